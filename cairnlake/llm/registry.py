@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from cairnlake.llm.byte_bpe import op3_byte_bpe
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
 }
 ORACLE_SQL = {
