@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WORD_SQL = r"[^\\x20\\x09-\\x0D]+"
+WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: str | None) -> list[str]:

@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from cairnlake.llm.byte_bpe import op3_byte_bpe
+from cairnlake.llm.html_extract import op6_html_extract
+from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
+from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
+from cairnlake.llm.simhash import op2_simhash
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op6_html_extract": op6_html_extract,
+    "op7_mixing": op7_mixing,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
 }
