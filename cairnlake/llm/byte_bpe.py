@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with a public tokenizer's ranks.
 
-Encoding is one narrow pass. A task splits its documents into pieces by the tokenizer's pattern and numbers
-the distinct ones; Spark higher-order functions fold the ranked merges over each distinct piece's bytes,
-with the ranks as a literal map in the plan; a last step puts the pieces' ids in the documents' order. No
-row is shuffled or broadcast, a lost task repeats its own split alone, and what a task holds is bounded by
-MOST_PIECES and by its largest document. Decoding looks every id up in a literal array and concatenates the
-binary pieces, all in Spark expressions.
+Encoding is one narrow pass. A task splits its documents into pieces by the tokenizer's pattern, numbers the
+distinct ones, folds the ranked merges over each distinct piece's bytes once, and puts the pieces' ids in the
+documents' order. No row is shuffled or broadcast, a lost task repeats its own split alone, and what a task
+holds is bounded by MOST_PIECES and by its largest document. With native=True Spark higher-order functions
+fold the merges, the ranks being a literal map in the plan; that gives the same ids at a higher cost (see the
+README), so the default folds them in the task. Decoding looks every id up in a literal array and
+concatenates the binary pieces, all in Spark expressions.
 
 Defined results: a null or empty text has no ids; special tokens' strings are ordinary text; repeated rows
 are encoded once each; an empty table gives no rows; other columns are passed through under their names.
@@ -96,6 +97,25 @@ def fold_merges(piece_hex: Column, path: str) -> Column:
     return _let(rank(piece_hex), lambda whole: F.when(whole < NO_RANK, F.array(whole)).otherwise(folded))
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece: merges of lowest rank first, leftmost among equals."""
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    get = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < NO_RANK:
+        i = pairs.index(least)
+        new = parts[i] + parts[i + 1]
+        parts[i : i + 2] = [new]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + new, NO_RANK)
+        if i < len(pairs):
+            pairs[i] = get(new + parts[i + 1], NO_RANK)
+    return [ranks[x] for x in parts]
+
+
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same ids for a long piece, in time near its length: a heap of pairs over a linked list."""
     n = len(piece)
@@ -156,11 +176,34 @@ def _split(pattern: str):
     return run
 
 
+def _encode(pattern: str, ranks: dict[bytes, int]):
+    """Documents to their ids, folding each new distinct piece once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, numbers = regex.compile(pattern).findall, _Numbers()
+        flat, sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+        for batch in small_batches(batches):
+            if len(numbers) > MOST_PIECES:
+                numbers, flat, sizes = _Numbers(), flat[:0], sizes[:0]
+            at = numbers.__getitem__
+            tokens = [np.fromiter(map(at, find(x.as_py() or "")), np.int32).tobytes() for x in batch.column("__text")]
+            if numbers.new:
+                ids = [(merge_short if len(b) <= LONG_PIECE else merge_long)(b, ranks) for b in map(str.encode, numbers.new)]
+                flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.int32)])
+                sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+                numbers.new.clear()
+            kept = [x for x in batch.schema.names if x != "__text"]
+            part = pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(tokens, pa.binary())], names=[*kept, "__data"])
+            yield from _documents(part, flat, np.cumsum(sizes) - sizes, sizes)
+
+    return run
+
+
 def _rows(kind: int, n: int, kept: list, data: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.nulls(n, c.type) for _, c in kept), pa.array(np.full(n, kind, np.int8)), data], names=[*(x for x, _ in kept), "__kind", "__data"])
 
 
-def _assemble(path: str, ranks: dict[bytes, int]):
+def _assemble(ranks: dict[bytes, int]):
     """Puts pieces' ids in the documents' order; rows come as _split sent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +252,7 @@ def _documents(batch: pa.RecordBatch, flat: np.ndarray, starts: np.ndarray, size
         )
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, native: bool = False) -> DataFrame:
     """docs' columns `keep` (all: None) with ids (array<int>) and ids_le (the ids as little-endian 32 bits).
 
     Columns of docs named ids or ids_le are replaced; names that begin with two underscores are reserved.
@@ -217,9 +260,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "ids_le")]
     wide = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields if f.name != "__text"]
+    ranks = load_ranks(path)
+    out = ", ".join([*kept, "ids array<int>", "ids_le binary"])
+    if not native:
+        return wide.mapInArrow(_encode(pattern, ranks), out)
     pieces = wide.mapInArrow(_split(pattern), ", ".join([*kept, "__kind tinyint", "__data binary"]))
     ids = F.when((F.col("__kind") == 0) & (F.octet_length("__data") <= LONG_PIECE), fold_merges(F.hex("__data"), path))
-    return pieces.withColumn("__ids", ids).mapInArrow(_assemble(path, load_ranks(path)), ", ".join([*kept, "ids array<int>", "ids_le binary"]))
+    return pieces.withColumn("__ids", ids).mapInArrow(_assemble(ranks), out)
 
 
 def decode(ids: Column, path: str) -> Column:

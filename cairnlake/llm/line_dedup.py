@@ -85,12 +85,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run: i
         lambda i: F.struct(F.coalesce(F.get(r, i - 1)["e"] + 1, F.lit(0)).alias("a"), F.coalesce(F.get(r, i)["s"], F.size(lines)).alias("b")),
     )
     kept = F.array_join(F.flatten(F.transform(cuts, lambda c: F.slice(lines, c["a"] + 1, c["b"] - c["a"]))), "\n")
-    new = F.when(F.size(r) > 0, kept).otherwise(t)
-    columns = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(
-        *columns, F.coalesce(F.size(lines), F.lit(0)).alias("__n_lines"),
+    found = found.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c != text], F.when(F.size(r) > 0, kept).otherwise(t).alias("__new"),
+        F.coalesce(F.size(lines), F.lit(0)).alias("__n_lines"),
         F.aggregate(r, F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1).alias("__n_removed"), F.size(r).alias("__n_runs"),
     )
+    new = F.col("__new")
+    columns = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns, "__n_lines", "__n_removed", "__n_runs")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
