@@ -8,6 +8,7 @@ from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
 from cairnlake.llm.simhash import op2_simhash
+from cairnlake.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_html_extract": op6_html_extract,
     "op7_mixing": op7_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
