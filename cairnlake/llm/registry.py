@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairnlake.llm.byte_bpe import op3_byte_bpe
 from cairnlake.llm.html_extract import op6_html_extract
+from cairnlake.llm.imatch import op8_imatch
 from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_html_extract": op6_html_extract,
     "op7_mixing": op7_mixing,
+    "op8_imatch": op8_imatch,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
