@@ -69,8 +69,15 @@ def components(terms: list[np.ndarray]) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, the share of equal components among those that either has; 1 where neither has any."""
+    """Row by row, the share of equal components among those that either has; 1 where neither has any.
+
+    Scales where every subset holds terms of the texts are left out if sparser ones hold some: a subset with
+    many terms of a text changes with any edit, one with a single term changes as seldom as the term does.
+    """
     either = (a != 0) | (b != 0)
+    sparse = np.repeat(either[:, 1:].reshape(len(a), len(SCALES), EACH).sum(axis=2) < EACH, EACH, axis=1)
+    sparse = np.concatenate([np.zeros((len(a), 1), dtype=bool), sparse], axis=1) & either
+    either = np.where(sparse.any(axis=1)[:, None], sparse, either)
     n = either.sum(axis=1)
     return np.where(n > 0, ((a == b) & either).sum(axis=1) / np.maximum(n, 1), 1.0)
 
