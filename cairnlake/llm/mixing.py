@@ -184,7 +184,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     first = F.greatest(F.col("block") * block - F.col("__start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block - F.col("__start"), F.col("__size"))
     held = held.select("__row", "rank", "block", first.alias("first"), (last - first).alias("n"))
-    pieces = held.join(slots(targets, block, seed=seed), ["rank", "block"]).select("__row", "shard", "slot", "turn", "first", "n")
+    # slots grow with the corpus, which their plan's size estimate does not show: never broadcast them
+    pieces = held.join(slots(targets, block, seed=seed).hint("merge"), ["rank", "block"]).select("__row", "shard", "slot", "turn", "first", "n")
     return rows, targets, pieces
 
 
