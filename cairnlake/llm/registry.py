@@ -8,6 +8,7 @@ from cairnlake.llm.imatch import op8_imatch
 from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
+from cairnlake.llm.recompression import op9_recompression
 from cairnlake.llm.simhash import op2_simhash
 from cairnlake.llm.toxicity import op10_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_html_extract": op6_html_extract,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,
+    "op9_recompression": op9_recompression,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
