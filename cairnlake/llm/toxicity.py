@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and their character 5-grams that the training labels tell apart (likelihood ratio over
-all training rows). Every document becomes a TF-IDF vector over them, with document frequencies over all
+Features are character 5-grams of words that the training labels tell apart (likelihood ratio over
+training rows). Every document becomes a TF-IDF vector over them, with document frequencies over all
 documents. Training examples are indexed as posting lists cut into blocks of examples; each block keeps the
 largest weight of each term. A query visits blocks by falling upper bound and stops when the bound cannot
 beat its k-th neighbour, so the neighbours are exact. Votes weighted by cosine become a score through a
 monotone map fitted on examples that vote without themselves; the neighbours are the evidence.
 
-Bounds, all documented parameters: MOST_FEATURES features and MOST_EXAMPLES examples (a seeded sample of the
-training rows beyond that) make the index that is broadcast, some tens of MB at most at any corpus size.
+Bounds, all documented parameters: features are learned from MOST_TRAINING training rows, and MOST_FEATURES
+features and MOST_EXAMPLES examples make the index that is broadcast, some tens of MB at most at any corpus
+size. Beyond the bounds training rows are sampled by a hash of their key.
 
 Defined results: null and empty texts, and texts without features, get the rate of such training rows;
 a label row with null toxic or null doc_id is left out, repeated label rows of a document count as the
@@ -33,6 +34,7 @@ from cairnlake.session import staged, table
 GRAM = 5
 MOST_FEATURES = 8192
 MOST_EXAMPLES = 20_000
+MOST_TRAINING = 100_000
 #: A feature's likelihood ratio (2 ln) and how many times likelier it is in one class, at least.
 LEAST_RATIO, LEAST_LIFT = 20.0, 4.0
 NEIGHBOURS = 15
@@ -42,45 +44,49 @@ MOST_CACHED = 300_000
 
 
 def features_of(word: str) -> list[str]:
-    """A word in lower case without what surrounds its letters, and its 5-grams with ends marked."""
+    """The 5-grams of a word in lower case, without what surrounds its letters and with its ends marked; a short word is one."""
     w = EDGES.sub("", word.lower())
     if not w:
         return []
     marked = f"^{w}$"
-    return [w, *dict.fromkeys(marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1))]
+    return list({marked[i : i + GRAM] for i in range(max(1, len(marked) - GRAM + 1))})
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each distinct word of a batch: documents with label 0 and 1 that hold it."""
-    for batch in small_batches(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-            seen[label].update(set(WORD.findall(text.as_py() or "")))
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], names=["word", "n0", "n1"]
-        )
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each feature: documents with label 0 and 1 that hold it, summed over a task as far as memory allows."""
+    cache: dict[str, list[str]] = {}
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
 
+    def out() -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array(names, pa.string()), *(pa.array([s[x] for x in names], pa.int64()) for s in seen)]
+        for s in seen:
+            s.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "n0", "n1"])
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 1 << 18):
-        out, at = [], []
-        for i, word in enumerate(batch.column("word").to_pylist()):
-            found = features_of(word)
-            out += found
-            at += [i] * len(found)
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("n0").take(take), batch.column("n1").take(take)], names=["feature", "n0", "n1"])
+    for batch in small_batches(batches):
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            grams: set[str] = set()
+            for word in set(WORD.findall(text.as_py() or "")):
+                found = cache.get(word)
+                if found is None:
+                    if len(cache) > MOST_CACHED // 4:
+                        cache.clear()
+                    found = cache[word] = features_of(word)
+                grams.update(found)
+            seen[1 if label else 0].update(grams)
+        if len(seen[0]) > MOST_CACHED:
+            yield out()
+    yield out()
 
 
 def select_features(training: DataFrame) -> list[str]:
     """The features that tell the labels of training (text, label) apart, strongest first; MOST_FEATURES at most."""
-    words = staged(training.select("text", "label").mapInArrow(_word_counts, "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    grams = words.mapInArrow(_grams, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    grams = training.select("text", "label").mapInArrow(_gram_counts, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     all0, all1 = training.agg(F.sum(F.lit(1) - F.col("label")), F.sum("label")).first()
     if not all0 or not all1:
         return []
@@ -232,7 +238,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__k")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("label"))
     known = known.where(~is_held_out(F.col("__k")))
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    training = d.join(known, F.col("key") == F.col("__k")).select("text", "label")
+    sample = known.orderBy(F.xxhash64("__k"), "__k").limit(MOST_TRAINING)  # some MB at most
+    training = d.join(F.broadcast(sample), F.col("key") == F.col("__k")).select("text", "label")
     features = select_features(training)
     vectors = staged(d.mapInArrow(_vectors(features), "key bigint, counts binary"))
     n, df = vectors.count(), np.zeros(len(features))
