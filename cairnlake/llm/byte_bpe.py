@@ -155,14 +155,14 @@ class _Numbers(dict):
         return value
 
 
-def _split(pattern: str):
+def _split(pattern: str, most: int):
     """Documents to rows of their new distinct pieces (kind 0), then of themselves as numbers of pieces (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, numbers = regex.compile(pattern).findall, _Numbers()
         for batch in small_batches(batches):
             kept = [(x, batch.column(x)) for x in batch.schema.names if x != "__text"]
-            if len(numbers) > MOST_PIECES:
+            if len(numbers) > most:
                 numbers = _Numbers()
                 yield _rows(2, 1, kept, pa.nulls(1, pa.binary()))
             at = numbers.__getitem__
@@ -176,14 +176,14 @@ def _split(pattern: str):
     return run
 
 
-def _encode(pattern: str, ranks: dict[bytes, int]):
+def _encode(pattern: str, ranks: dict[bytes, int], most: int):
     """Documents to their ids, folding each new distinct piece once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, numbers = regex.compile(pattern).findall, _Numbers()
         flat, sizes = np.empty(0, np.int32), np.empty(0, np.int64)
         for batch in small_batches(batches):
-            if len(numbers) > MOST_PIECES:
+            if len(numbers) > most:
                 numbers, flat, sizes = _Numbers(), flat[:0], sizes[:0]
             at = numbers.__getitem__
             tokens = [np.fromiter(map(at, find(x.as_py() or "")), np.int32).tobytes() for x in batch.column("__text")]
@@ -252,7 +252,7 @@ def _documents(batch: pa.RecordBatch, flat: np.ndarray, starts: np.ndarray, size
         )
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, native: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, native: bool = False, most_pieces: int = MOST_PIECES) -> DataFrame:
     """docs' columns `keep` (all: None) with ids (array<int>) and ids_le (the ids as little-endian 32 bits).
 
     Columns of docs named ids or ids_le are replaced; names that begin with two underscores are reserved.
@@ -263,8 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     ranks = load_ranks(path)
     out = ", ".join([*kept, "ids array<int>", "ids_le binary"])
     if not native:
-        return wide.mapInArrow(_encode(pattern, ranks), out)
-    pieces = wide.mapInArrow(_split(pattern), ", ".join([*kept, "__kind tinyint", "__data binary"]))
+        return wide.mapInArrow(_encode(pattern, ranks, most_pieces), out)
+    pieces = wide.mapInArrow(_split(pattern, most_pieces), ", ".join([*kept, "__kind tinyint", "__data binary"]))
     ids = F.when((F.col("__kind") == 0) & (F.octet_length("__data") <= LONG_PIECE), fold_merges(F.hex("__data"), path))
     return pieces.withColumn("__ids", ids).mapInArrow(_assemble(ranks), out)
 

@@ -10,6 +10,7 @@ from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
 from cairnlake.llm.recompression import op9_recompression
 from cairnlake.llm.simhash import op2_simhash
+from cairnlake.llm.suffix_array import op5_suffix_array
 from cairnlake.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_array": op5_suffix_array,
     "op6_html_extract": op6_html_extract,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,

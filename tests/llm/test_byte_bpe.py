@@ -13,9 +13,9 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, ids string, lang string"
 
 
-def rows(spark, texts, native=False):
+def rows(spark, texts, native=False, **bounds):
     docs = spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(texts)], SCHEMA)
-    out = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, native=native)
+    out = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, native=native, **bounds)
     return out.withColumn("bytes", byte_bpe.decode(F.col("ids"), PATH)).orderBy("doc_id").collect()
 
 
@@ -36,11 +36,10 @@ def test_matches_the_library_and_round_trips(spark, native):
 
 
 @pytest.mark.parametrize("native", [False, True])
-def test_forgetting_pieces_changes_nothing(spark, monkeypatch, native):
+def test_forgetting_pieces_changes_nothing(spark, native):
     texts = [f"alpha beta gamma number{i % 7} delta{i}" for i in range(50)]
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
-    monkeypatch.setattr(byte_bpe, "MOST_PIECES", 3)
-    assert [r.ids for r in rows(spark, texts, native)] == [library.encode_ordinary(t) for t in texts]
+    assert [r.ids for r in rows(spark, texts, native, most_pieces=3)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_long_pieces_match_the_fold():
