@@ -55,7 +55,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def laid_out(docs: DataFrame, source: str, text: str, key: str, keep: list[str]) -> DataFrame:
-    """A written table: `keep` with __source, __size, __row (unique) and __start, the words before it in its source."""
+    """A written table: `keep` with __source, __size, __row (unique), __part and __within, the words before it there."""
     spark = docs.sparkSession
     sized = docs.select(
         *[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("__source"), F.col(f"`{key}`").alias("__key"),
@@ -65,7 +65,12 @@ def laid_out(docs: DataFrame, source: str, text: str, key: str, keep: list[str])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields] + ["__part int", "__row bigint", "__within bigint"])
-    rows = staged(ranged.mapInArrow(_running, schema))
+    return staged(ranged.mapInArrow(_running, schema))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(__row, __source, __size, __start): the words before each row in its source, from laid_out rows."""
+    rows = rows.select("__row", "__source", "__size", "__part", "__within")
     # one row for each source in each partition
     sums = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("__sum"))
     shift = sums.select(
@@ -73,7 +78,7 @@ def laid_out(docs: DataFrame, source: str, text: str, key: str, keep: list[str])
         F.coalesce(F.sum("__sum").over(Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"),
     )
     joined = rows.join(shift, rows["__source"].eqNullSafe(shift["__s"]) & (rows["__part"] == shift["__p"]))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "__source", "__size", "__row", (F.col("__within") + F.col("__shift")).alias("__start"))
+    return joined.select("__row", "__source", "__size", (F.col("__within") + F.col("__shift")).alias("__start"))
 
 
 def shares(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST_TIMES) -> DataFrame:
@@ -170,7 +175,7 @@ def slots(targets: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", keep: list[str] | None = None, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix: (rows, targets, pieces).
 
-    rows: `keep` with __source, __size, __row, __start; targets: as shares() gives; pieces: (__row, shard, slot,
+    rows: `keep` with __source, __size, __row; targets: as shares() gives; pieces: (__row, shard, slot,
     turn, first, n) - which words of a row each slot takes. The order of words in a shard is that of its slots.
     """
     rows = laid_out(docs, source, text, key, docs.columns if keep is None else keep)
@@ -178,7 +183,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     ranked = targets.select(F.col("source").alias("__s"), F.col("rank").cast("bigint").alias("rank"))
     # sources beside rows: a source may hold a third of them, and the join can split it
     held = (
-        rows.where("__size > 0").select("__row", "__source", "__start", "__size").join(ranked, F.col("__source").eqNullSafe(F.col("__s")))
+        starts(rows.where("__size > 0")).join(ranked, F.col("__source").eqNullSafe(F.col("__s")))
         .select("__row", "rank", "__start", "__size", F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("__size") - 1) / block))).alias("block"))
     )
     first = F.greatest(F.col("block") * block - F.col("__start"), F.lit(0))
@@ -189,14 +194,22 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     return rows, targets, pieces
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        out = []
-        for text, spans in zip(batch.column("__text"), batch.column("__spans"), strict=True):
-            words = WORD.findall(text.as_py() or "")
-            out.append(" ".join(w for a, n in sorted((s["first"], s["n"]) for s in spans.as_py()) for w in words[a : a + n]))
-        names = [x for x in batch.schema.names if not x.startswith("__")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(out, pa.string())], names=[*names, "__cut"])
+def _cut(text: str):
+    """Puts the taken words in place of a text; a text taken whole stays as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out = []
+            for x, size, taken, spans in zip(batch.column(text), batch.column("__size").to_pylist(), batch.column("__taken").to_pylist(), batch.column("__spans"), strict=True):
+                if taken == size:
+                    out.append(x.as_py())
+                    continue
+                words = WORD.findall(x.as_py())
+                out.append(" ".join(w for a, n in sorted((s["first"], s["n"]) for s in spans.as_py()) for w in words[a : a + n]))
+            names = [x for x in batch.schema.names if x not in ("__size", "__taken", "__spans")]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if x == text else batch.column(x) for x in names], names=names)
+
+    return run
 
 
 def mixed_texts(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
@@ -206,15 +219,10 @@ def mixed_texts(docs: DataFrame, source: str = "source", text: str = "text", key
     """
     rows, _, pieces = mix(docs, source, text, key)
     taken = pieces.groupBy("__row", "turn").agg(F.sum("n").alias("__taken"), F.collect_list(F.struct("first", "n")).alias("__spans"))
-    found = rows.join(taken, "__row")
-    names = docs.columns
-    whole = found.where("__taken = __size").select(*[F.col(f"`{c}`") for c in names])
-    part = found.where("__taken < __size").select(*[F.col(f"`{c}`") for c in names if c != text], F.col(f"`{text}`").alias("__text"), "__spans")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields if not f.name.startswith("__")] + ["__cut string"])
-    cut = part.mapInArrow(_cut, schema).select(
-        *[F.col("__cut").alias(text) if c == text else F.length("__cut").cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(f"`{c}`") for c in names]
-    )
-    return whole.unionByName(cut)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    found = rows.select("__row", *names, "__size").join(taken, "__row").select(*names, "__size", "__taken", "__spans")
+    out = found.mapInArrow(_cut(text), docs.schema)
+    return out.select(*[F.length(F.col(f"`{text}`")).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
