@@ -3,10 +3,10 @@
 A string of `WINDOW` bytes is a repeat if it also starts in a document with a smaller key. Suffixes are sorted
 only where repeats can be:
 
-1. Documents are packed in batches of some MB. In every window the k-gram of least rank (the leftmost of
+1. Documents are packed in batches of about a megabyte. In every window the k-gram of least rank (the leftmost of
    equals) is its anchor; neighbouring windows with one anchor form a patch, the bytes they cover. Equal
-   windows have equal anchors. Names of anchors, 40 bits each, go sorted and packed to buckets by their first
-   bits; a bucket answers each batch with a code per name: met once in the corpus, shared, or hot.
+   windows have equal anchors. An exchange of packed names tells each batch which of its anchors are met once
+   in the corpus, which are shared, and which are hot.
 2. Patches with shared names go to the bucket of their name, each distinct one of a batch once; what is equal
    inside a batch is settled there. Windows with a hot name go by their own hash, so no name fills a bucket.
 3. A bucket's strings are joined and sorted by the difference cover modulo 3: triples at positions not
@@ -14,7 +14,7 @@ only where repeats can be:
    byte and a sampled rank, and both are merged. Neighbouring suffixes that agree on a window's length form a
    class; its windows in documents beyond its smallest one are repeats.
 
-Only names of 40 bits decide what is looked at; all equality is of bytes (of 64-bit hashes for equal patches
+Names only decide what is looked at; all equality is of bytes (of 64-bit hashes for equal patches
 inside a batch). No step needs all rows of a key in one task beyond the bounds above. Texts travel packed.
 
 Defined results: a null text counts as empty; texts shorter than a window stay whole; null keys come last, and
@@ -30,22 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import small_batches
-from cairnlake.llm.hashing import Spans, byte_values, joined, mix
+from cairnlake.llm.batches import BATCH, NO_KEY, bucket_bits, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
+from cairnlake.llm.hashing import Spans, byte_values, mix
 from cairnlake.session import staged, table
 
 WINDOW = 50
 GRAM = 16
-BATCH = 4 << 20
 #: Patches of a name beyond which its windows are dealt by their own hashes.
 HOT = 4096
 #: Bytes that are sorted at once; ranks take 21 bits.
 MOST_SORTED = 1 << 20
-NAME_BITS = 40
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -128,107 +125,23 @@ def patches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     final = np.concatenate([begin[1:], [len(start)]]) - 1
-    return doc[begin], start[begin], start[final] + WINDOW, hashes[anchor[begin]] >> np.uint64(64 - NAME_BITS), anchor[begin]
+    return doc[begin], start[begin], start[final] + WINDOW, hashes[anchor[begin]], anchor[begin]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _names(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return patches(data, bounds)[3]
 
 
-def _unpack(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=dtype)
-
-
-def _batched(most: int):
-    """Documents to packed batches: (batch, docs, sizes, blob)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, i = TaskContext.get().partitionId(), 0
-        docs: list[int] = []
-        texts: list[bytes] = []
-
-        def out() -> pa.RecordBatch:
-            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            row = [[(part << 32) + i], [np.array(docs, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [blob]]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(c, pa.binary()) for c in row[1:])], names=["batch", "docs", "sizes", "blob"])
-
-        held = 0
-        for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                docs.append(doc)
-                texts.append(text.as_py() or b"")
-                held += len(texts[-1])
-                if held >= most or len(docs) >= 50_000:
-                    yield out()
-                    docs, texts, held, i = [], [], 0, i + 1
-        if docs:
-            yield out()
-
-    return run
-
-
-def _texts(docs: bytes, sizes: bytes, blob: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(blob) if blob else b""
-    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-    return np.frombuffer(docs, np.int64), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _cells(batch: pa.RecordBatch, *names: str):
-    return zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-
-
-def _names(bits: int):
-    """Names of a batch's anchors by bucket, sorted, with how often each comes (up to 255)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for batch, docs, sizes, blob in _cells(rows, "batch", "docs", "sizes", "blob"):
-                data, bounds = joined(_texts(docs, sizes, blob)[1])
-                names, n = np.unique(patches(data, bounds)[3], return_counts=True)
-                bucket = (names >> np.uint64(NAME_BITS - bits)).astype(np.int64)
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(names) else np.empty(0, np.int64)
-                ends = np.concatenate([cut[1:], [len(names)]]) if len(cut) else cut
-                low = (names & np.uint64((1 << (NAME_BITS - bits)) - 1)).astype(np.uint32)
-                step = [_pack(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(cut, ends, strict=True)]
-                many = [_pack(np.minimum(n[a:b], 255).astype(np.uint8)) for a, b in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut]), pa.array(np.full(len(cut), batch)), pa.array(step, pa.binary()), pa.array(many, pa.binary())],
-                    names=["bucket", "batch", "names", "counts"],
-                )
-
-    return run
-
-
-def _answered(hot: int):
-    """Of one bucket: for each batch the code of each of its names. 0: met once, 1: shared, 2: hot."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        steps = [_unpack(x, np.uint32) for x in rows.column("names").to_pylist()]
-        counts = [_unpack(x, np.uint8) for x in rows.column("counts").to_pylist()]
-        flat = np.concatenate([np.cumsum(s, dtype=np.uint32) for s in steps])
-        _, inverse = np.unique(flat, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts))[inverse]
-        codes = (total > 1).astype(np.uint8) + (total > hot).astype(np.uint8)
-        ends = np.cumsum([len(s) for s in steps]).tolist()
-        packed = [_pack(codes[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "codes": pa.array(packed, pa.binary())})
-
-    return run
-
-
-def _routed(buckets: int):
+def _routed(buckets: int, bits: int):
     """Each batch's shared patches to sorting buckets, and those settled inside the batch (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for docs, sizes, blob, codes in _cells(rows, "docs", "sizes", "blob", "codes"):
-                ids, texts = _texts(docs, sizes, blob)
-                data, bounds = joined(texts)
+            for batch, codes, *packed in cells(rows, "batch", "codes", "docs", "hashes", "sizes", "blob"):
+                ids, _, data, bounds = texts_of(*packed)
                 doc, start, end, name, anchor = patches(data, bounds)
-                kinds, inverse = np.unique(name, return_inverse=True)
-                code = np.concatenate([_unpack(c["codes"], np.uint8) for c in sorted(codes or (), key=lambda c: c["bucket"])] or [np.zeros(0, np.uint8)])
-                assert len(code) == len(kinds)
-                code = code[inverse] if len(code) else np.zeros(len(name), np.uint8)
+                kinds, inverse = distinct(name, bits, inverse=True)
+                name, code = kinds[inverse], read_codes(codes, len(kinds))[inverse]
                 spans = Spans(byte_values(data), 0x2545F4914F6CDD1D)
                 warm, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
                 # windows of hot patches, one by one
@@ -238,19 +151,19 @@ def _routed(buckets: int):
                 d = np.concatenate([doc[warm], np.repeat(doc[hot], n)])
                 a, b = np.concatenate([start[warm], w]), np.concatenate([end[warm], w + WINDOW])
                 whole = mix(spans(a, b) + np.concatenate([anchor[warm] - start[warm], np.full(len(w), GRAM)]).astype(np.uint64))
-                yield from _parcels(ids, bounds, data, key, whole, d, a, b, buckets)
+                yield from _parcels(batch, ids, bounds, data, key, whole, d, a, b, buckets)
 
     return run
 
 
-def _parcels(ids, bounds, data, key, whole, d, a, b, buckets: int) -> Iterator[pa.RecordBatch]:
+def _parcels(batch: int, ids, bounds, data, key, whole, d, a, b, buckets: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((a, ids[d], whole))
     key, whole, d, a, b = key[order], whole[order], d[order], a[order], b[order]
     new = np.concatenate([[True], whole[1:] != whole[:-1]]) if len(whole) else np.empty(0, bool)
     least = ids[d][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(whole) else ids[d]
     late = ids[d] > least
     base = bounds[:-1][d]
-    yield _parcel(-1, ids[d][late], d[late], a[late] - base[late], b[late] - base[late], np.empty(0, np.uint64), [])
+    yield _parcel(batch, -1, ids[d][late], d[late], a[late] - base[late], b[late] - base[late], np.empty(0, np.uint64), [])
     stay = np.flatnonzero(~late)
     bucket = (key[stay] % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
@@ -259,16 +172,16 @@ def _parcels(ids, bounds, data, key, whole, d, a, b, buckets: int) -> Iterator[p
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(stay) else np.empty(0, np.int64)
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(stay)], strict=False):
         s = stay[x:y]
-        yield _parcel(int(bucket[x]), ids[d[s]], d[s], a[s] - base[s], b[s] - base[s], key[s], [raw[i:j] for i, j in zip(a[s].tolist(), b[s].tolist(), strict=True)])
+        yield _parcel(batch, int(bucket[x]), ids[d[s]], d[s], a[s] - base[s], b[s] - base[s], key[s], [raw[i:j] for i, j in zip(a[s].tolist(), b[s].tolist(), strict=True)])
 
 
-def _parcel(bucket: int, doc, row, a, b, key, strings: list[bytes]) -> pa.RecordBatch:
-    packed = [_pack(np.asarray(x, t)) for x, t in ((doc, np.int64), (row, np.int32), (a, np.int32), (b, np.int32), (key, np.uint64))]
+def _parcel(batch: int, bucket: int, doc, row, a, b, key, strings: list[bytes]) -> pa.RecordBatch:
+    packed = [pack(np.asarray(x, t)) for x, t in ((doc, np.int64), (row, np.int32), (a, np.int32), (b, np.int32), (key, np.uint64))]
     blob = zstandard.ZstdCompressor(level=1).compress(b"".join(strings))
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in [*packed, blob])], names=["bucket", "doc", "row", "a", "b", "key", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in [*packed, blob])], names=["batch", "bucket", "doc", "row", "a", "b", "key", "blob"])
 
 
-PARCEL_SQL = "bucket int, doc binary, row binary, a binary, b binary, key binary, blob binary"
+PARCEL_SQL = "batch bigint, bucket int, doc binary, row binary, a binary, b binary, key binary, blob binary"
 
 
 def _sorted_bucket(most: int):
@@ -277,14 +190,14 @@ def _sorted_bucket(most: int):
     def run(rows: pa.Table) -> pa.Table:
         names = ("doc", "row", "a", "b", "key")
         types = (np.int64, np.int32, np.int32, np.int32, np.uint64)
-        cells = [[_unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in zip(names, types, strict=True)]
+        cells = [[unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in zip(names, types, strict=True)]
         doc, row, a, b, key = (np.concatenate(c) for c in cells)
         batch = np.repeat(np.array(rows.column("batch").to_pylist(), np.int64), [len(x) for x in cells[0]])
         raw = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows.column("blob").to_pylist())
         ends = np.cumsum(b - a, dtype=np.int64).tolist()
         strings = [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
         by = np.argsort(key, kind="stable").tolist()
-        found: list[tuple[int, int, int, int]] = []
+        found = []
         i = 0
         while i < len(by):
             # as many keys as are sorted at once; a key's strings stay together
@@ -292,43 +205,44 @@ def _sorted_bucket(most: int):
             while j < len(by) and (held < most // 2 or key[by[j]] == key[by[j - 1]]):
                 held += len(strings[by[j]]) + 1
                 j += 1
-            found += _repeats([(strings[k], k) for k in by[i:j]], doc, row, a, batch)
+            found.append(_repeats([strings[k] for k in by[i:j]], np.array(by[i:j]), doc, a))
             i = j
-        out = sorted(found)
-        return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "row": pa.array([x[1] for x in out], pa.int32()), "s": pa.array([x[2] for x in out], pa.int32()), "e": pa.array([x[3] for x in out], pa.int32())})
+        place, s, e = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        return pa.table({"batch": pa.array(batch[place]), "row": pa.array(row[place], pa.int32()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
 
     return run
 
 
-def _repeats(strings: list[tuple[bytes, int]], doc, row, a, batch) -> list[tuple[int, int, int, int]]:
+def _repeats(strings: list[bytes], place: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, end) of the runs of repeats in strings, which lie at place, begin at a[place] and are of doc[place]."""
     ids: dict[bytes, int] = {}
-    of = np.array([ids.setdefault(x, len(ids)) for x, _ in strings])
-    place = np.array([k for _, k in strings])
+    of = np.array([ids.setdefault(x, len(ids)) for x in strings])
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, of, doc[place])
     string, offset, group = repeated_starts(list(ids))
-    if not len(group):
-        return []
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     smallest = np.minimum.reduceat(least[string], begin)[group]
-    # per distinct string its windows and the smallest document of each; then per place
     by = np.lexsort((offset, string))
     string, offset, smallest = string[by], offset[by], smallest[by]
+    # the windows of each place's string, one after another
     first = np.searchsorted(string, np.arange(len(ids) + 1))
-    out = []
-    for k, s in zip(place.tolist(), of.tolist(), strict=True):
-        gone = offset[first[s] : first[s + 1]][smallest[first[s] : first[s + 1]] < doc[k]]
-        if len(gone):
-            cut = np.flatnonzero(np.diff(gone) > 1)
-            for x, y in zip([gone[0], *gone[cut + 1]], [*gone[cut], gone[-1]], strict=True):
-                out.append((int(batch[k]), int(row[k]), int(a[k] + x), int(a[k] + y + WINDOW)))
-    return out
+    n = first[of + 1] - first[of]
+    at = np.arange(n.sum()) + np.repeat(first[of] - (np.cumsum(n) - n), n)
+    owner = np.repeat(np.arange(len(of)), n)
+    gone = smallest[at] < doc[place][owner]
+    owner, where = owner[gone], offset[at[gone]]
+    if not len(owner):
+        return (np.empty(0, np.int64),) * 3
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (np.diff(where) > 1)])
+    start, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(owner)]]) - 1
+    k = place[owner[start]]
+    return k, a[k] + where[start], a[k] + where[last] + WINDOW
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        for batch, row, a, b in _cells(rows, "batch", "row", "a", "b"):
-            row, a, b = _unpack(row, np.int32), _unpack(a, np.int32), _unpack(b, np.int32)
+        for batch, row, a, b in cells(rows, "batch", "row", "a", "b"):
+            row, a, b = unpack(row, np.int32), unpack(a, np.int32), unpack(b, np.int32)
             by = np.lexsort((a, row))
             row, a, b = row[by], a[by], b[by]
             if len(row):  # patches overlap: their union is a few runs
@@ -340,8 +254,10 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        for docs, sizes, blob, spans in _cells(rows, "docs", "sizes", "blob", "spans"):
-            ids, texts = _texts(docs, sizes, blob)
+        for spans, *packed in cells(rows, "spans", "docs", "hashes", "sizes", "blob"):
+            ids, _, data, bounds = texts_of(*packed)
+            raw = data.tobytes()
+            texts = [raw[a : b - 1] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
             of: dict[int, list] = {}
             for s in spans or ():
                 of.setdefault(s["row"], []).append((s["s"], s["e"]))
@@ -355,7 +271,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at, until = max(at, e), max(until, e)
                 out.append((len(text), removed, runs, b"".join([*kept, text[at:]])))
             n, removed, runs, kept = zip(*out, strict=True)
-            keys = pa.array(ids, mask=ids == 2**63 - 1)
+            keys = pa.array(ids, mask=ids == NO_KEY)
             for x in range(0, len(out), 500):
                 y = x + 500
                 yield pa.RecordBatch.from_arrays(
@@ -366,37 +282,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH, hot: int = HOT, most_sorted: int = MOST_SORTED) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): each document without the bytes of repeats."""
-    d = docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"))
-    packed = staged(d.mapInArrow(_batched(batch_bytes), "batch bigint, docs binary, sizes binary, blob binary"))
+    packed = packed_batches(docs, key, text, batch_bytes)
     batches = packed.count()
-    bits = min(24, max(8, (batches // 64).bit_length()))
-    buckets = max(16, 4 * batches)
-    names = packed.mapInArrow(_names(bits), "bucket bigint, batch bigint, names binary, counts binary")
-    answers = names.groupBy("bucket").applyInArrow(_answered(hot), "batch bigint, bucket bigint, codes binary")
-    codes = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
-    coded = packed.join(codes.hint("merge"), "batch", "left")
-    routed = coded.mapInArrow(_with_batch(buckets), f"batch bigint, {PARCEL_SQL}")
-    parcels = staged(routed)
+    bits, buckets = bucket_bits(batches), max(16, batches)
+    coded = packed.join(name_codes(packed, _names, bits, hot).hint("merge"), "batch", "left")
+    parcels = staged(coded.mapInArrow(_routed(buckets, bits), PARCEL_SQL))
     found = parcels.where("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_bucket(most_sorted), "batch bigint, row int, s int, e int")
     inside = parcels.where("bucket < 0").select("batch", "row", "a", "b").mapInArrow(_settled, "batch bigint, row int, s int, e int")
     spans = found.union(inside).groupBy("batch").agg(F.collect_list(F.struct("row", "s", "e")).alias("spans"))
     return packed.join(spans.hint("merge"), "batch", "left").mapInArrow(_kept, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def _with_batch(buckets: int):
-    routed = _routed(buckets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                one = rows.slice(i, 1)
-                number = one.column("batch")[0].as_py()
-                for out in routed(iter([one])):
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * out.num_rows, pa.int64()), *out.columns], names=["batch", *out.schema.names])
-
-    return run
-
-
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its bytes, those removed, the runs they form, and a digest of the bytes that stay."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
