@@ -6,13 +6,13 @@ symbol depends on few words around it, its context, so equal windows hold equal
 lies inside. Of the symbols inside a window the one of least rank is its anchor (a window without one is its
 own); an anchor's name covers its context, and its patch is all the words its windows cover.
 
-1. Names met once are dropped: no window there is repeated. 2. Equal patches with equal names: all windows of
-the later ones are repeats. 3. Of the first patches, windows are compared by hashes of all their words, and
-later ones are repeats. A window's earliest place is always in a first patch, so nothing is missed. Each step
-first drops later copies inside a batch, so a passage in a third of all documents reaches a shuffle a few times
-a task; the joins have one row for each key on one side, and adaptive execution can split the other.
+1. Documents are packed in batches; an exchange of packed names tells each batch which of its anchors others
+have too. Windows of anchors met once are not repeated. 2. The other windows, each distinct one of a batch once,
+go packed to buckets by hashes of all their words; a bucket finds the first place of each and answers with a
+bit per window. 3. Each batch deletes the words of its windows that are not the first of their kind.
 
-Equality is of 128 hashed bits: name and patch, or two hashes of a window. Texts travel compressed.
+A name or a window reaches a bucket once a batch at most, so a passage in a third of all documents weighs little
+more than any other, and no task gets all rows of a key. Equality of windows is of 80 hashed bits.
 
 Defined results: a null text counts as empty; documents with fewer words than a window keep all; order is by
 key, null last, then by a hash of the text; rows equal in key and text are one place, none before the other;
@@ -21,24 +21,20 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import small_batches
-from cairnlake.llm.hashing import Spans, byte_values, joined, mix, words
-from cairnlake.session import staged, table
+from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
+from cairnlake.llm.hashing import MASK, Spans, byte_values, mix, words
+from cairnlake.session import table
 
 WINDOW = 20
 ROUNDS = 4
 NONE = 1 << 40  # a context that reaches beyond a document's ends
-PLACE = ["doc", "h"]
-PLACE_SQL = "doc bigint, h bigint"
 
 
 def symbols(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +58,7 @@ def symbols(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
     starts = begins[cut]
     for r in range(rounds):
         ends = np.concatenate([starts[1:], [True]])
-        right = (mix(name + np.uint64(r + 1) * np.uint64(0xE7037ED1A0B428DB)) & np.uint64(1)).astype(bool)
+        right = (mix(name + np.uint64((r + 1) * 0xE7037ED1A0B428DB & MASK)) & np.uint64(1)).astype(bool)
         pair = np.zeros(len(name), dtype=bool)
         pair[:-1] = ~right[:-1] & right[1:] & ~ends[:-1]
         second = np.concatenate([[False], pair[:-1]])
@@ -80,8 +76,8 @@ def symbols(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
     return name[inside], lo[inside], hi[inside]
 
 
-def patches(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(document, i0, i1, name, patch): windows i0..i1 (words from the document's start) share an anchor.
+def patches(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, i0, i1, name): windows i0..i1 (words from the document's start) share an anchor.
 
     Every window of every document is in exactly one patch.
     """
@@ -113,19 +109,32 @@ def patches(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
     else:
         a, b = s, e
     title = mix(spans(a, b) + alone.astype(np.uint64))
-    whole = mix(spans(s, e) + (a - s).astype(np.uint64) * np.uint64(0x1D8E4E27C47D124F))
     base = first[:-1][doc[begin]]
-    return doc[begin], s - base, at[end] - base, title, whole
+    return doc[begin], s - base, at[end] - base, title
 
 
-def _columns(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    return batch.column("doc").to_numpy(), batch.column("h").to_numpy(), [x or b"" for x in batch.column(text).to_pylist()]
+def _named(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of joined texts, where each text's words begin, and the words' names."""
+    starts, ends, first = words(data, bounds)
+    return starts, ends, first, Spans(byte_values(data), 0xAF251AF3B0F025B5)(starts, ends)
 
 
-def _named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, bounds = joined(texts)
-    starts, ends, first = words(data, bounds)
-    return data, starts, ends, first, Spans(byte_values(data), 0xAF251AF3B0F025B5)(starts, ends)
+def _anchor_names(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    _, _, first, names = _named(data, bounds)
+    return patches(names, first)[3]
+
+
+def _shared_windows(data: np.ndarray, bounds: np.ndarray, codes: list | None, bits: int) -> tuple[np.ndarray, ...]:
+    """Of the windows whose anchors others have too: document, first word, two hashes; and the words' starts and ends and where texts begin."""
+    starts, ends, first, names = _named(data, bounds)
+    doc, i0, i1, name = patches(names, first)
+    kinds, inverse = distinct(name, bits, inverse=True)
+    some = np.flatnonzero(read_codes(codes, len(kinds))[inverse])
+    n = i1[some] - i0[some] + 1
+    i = np.arange(n.sum()) + np.repeat(i0[some] - (np.cumsum(n) - n), n)
+    d = np.repeat(doc[some], n)
+    s = first[:-1][d] + i
+    return d, i, Spans(names)(s, s + WINDOW), Spans(names, 0x2545F4914F6CDD1D)(s, s + WINDOW) >> np.uint64(48), starts, ends, first
 
 
 def first_of_kind(keys: tuple, places: tuple) -> np.ndarray:
@@ -148,126 +157,74 @@ def first_of_kind(keys: tuple, places: tuple) -> np.ndarray:
     return out
 
 
-def _found(kind: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *(pa.array(v) for v in columns.values())], names=["kind", *columns])
-
-
-def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 8 << 20):
-        _, _, texts = _columns(batch)
-        *_, first, names = _named(texts)
-        got, n = np.unique(patches(names, first)[3], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["name", "n"])
-
-
-def _patch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 1: the first of each kind in a batch; kind 0: windows i0..i1 that are repeats of such."""
-    for batch in small_batches(batches, 8 << 20):
-        doc, h, texts = _columns(batch)
-        *_, first, names = _named(texts)
-        d, i0, i1, name, patch = patches(names, first)
-        kind = first_of_kind((name, patch), (doc[d], h[d], i0))
-        yield _found(kind, {"name": name.view(np.int64), "patch": patch.view(np.int64), "doc": doc[d], "h": h[d], "i0": i0.astype(np.int32), "i1": i1.astype(np.int32)})
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of listed patches, with two hashes each; kinds as above."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in small_batches(batches, 2 << 20):
-        doc, h, packed = _columns(batch, "packed")
-        *_, first, names = _named([unpack(x) for x in packed])
-        at, d = [], []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            for s in spans:
-                at.append(np.arange(s["i0"], s["i1"] + 1))
-                d.append(np.full(s["i1"] - s["i0"] + 1, i))
-        i, d = np.concatenate(at), np.concatenate(d)
-        s = first[:-1][d] + i
-        w1, w2 = Spans(names)(s, s + WINDOW), Spans(names, 0x2545F4914F6CDD1D)(s, s + WINDOW)
-        kind = first_of_kind((w1, w2), (doc[d], h[d], i))
-        yield _found(kind, {"name": w1.view(np.int64), "patch": w2.view(np.int64), "doc": doc[d], "h": h[d], "i0": i.astype(np.int32), "i1": i.astype(np.int32)})
-
-
-FOUND_SQL = f"kind tinyint, name bigint, patch bigint, {PLACE_SQL}, i0 int, i1 int"
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in small_batches(batches):
-        out = [pack(x or b"") for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(out, pa.binary())], names=["doc", "h", "packed"])
-
-
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in small_batches(batches, 2 << 20):
-        rows = []
-        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data, bounds = joined([unpack(packed)])
-            starts, ends, _ = words(data, bounds)
-            gone = np.zeros(len(starts) + 1, dtype=np.int64)
-            for s in spans or ():
-                gone[s["i0"]] += 1
-                gone[s["i1"] + WINDOW] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            raw = data.tobytes()
-            stay = np.flatnonzero(~gone)
-            found = b" ".join(raw[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True))
-            rows.append((len(starts), int(gone.sum()), found))
-        n, removed, text = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([x.decode() for x in text], pa.string())],
-            names=["key", "n_words", "n_removed", "kept"],
-        )
-
-
-def placed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, doc, h, text as bytes): doc and h order the documents; h is 0 where keys alone do."""
-    d = docs.select(F.col(f"`{key}`").alias("key"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"))
-    unique = d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR key IS NULL").isEmpty()
-    h = F.lit(0).cast("bigint") if unique else F.xxhash64("text")
-    return d.select("key", F.coalesce(F.col("key").cast("bigint"), F.lit(2**63 - 1)).alias("doc"), h.alias("h"), "text")
-
-
-def repeats(d: DataFrame) -> DataFrame:
-    """(doc, h, i0, i1): windows i0..i1 of a document that start earlier elsewhere too. A window may come more than once."""
-    place = F.struct("doc", "h", "i0")
-    counts = d.select("doc", "h", "text").mapInArrow(_name_counts, "name bigint, n tinyint")
-    shared = staged(counts.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"))
-    rows = d.select("doc", "h", "text").mapInArrow(_patch_rows, FOUND_SQL)
-    # kind 0 rows have shared names too
-    near = staged(rows.join(shared.hint("merge"), "name"))
-    flags = [near.where("kind = 0")]
-    some = near.where("kind = 1")
-
-    def split(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Those that come later than another of their kind, and the first ones."""
-        first = some.groupBy("name", "patch").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        late = some.join(first.where("first <> last").select("name", "patch", "first").hint("merge"), ["name", "patch"], "left")
-        is_late = F.col("first").isNotNull() & (place != F.col("first"))
-        return late.where(is_late), late.where(~is_late)
-
-    late, early = split(some)
-    flags.append(late)
-    spans = early.groupBy("doc", "h").agg(F.collect_list(F.struct("i0", "i1")).alias("spans"))
-    packed = d.select("doc", "h", "text").mapInArrow(_packed, f"{PLACE_SQL}, packed binary")
-    windows = staged(packed.join(spans.hint("merge"), PLACE).mapInArrow(_window_rows, FOUND_SQL))
-    flags.append(windows.where("kind = 0"))
-    flags.append(split(windows.where("kind = 1"))[0])
-    out = flags[0].select("doc", "h", "i0", "i1")
-    for f in flags[1:]:
-        out = out.union(f.select("doc", "h", "i0", "i1"))
-    return out
-
-
-def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _sent_order(d, i, w1, w2, ids, hashes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows a batch sends (the first of each kind), in the order of their buckets, and which are such."""
+    first = first_of_kind((w1, w2), (ids[d], hashes[d], i))
+    send = np.flatnonzero(first)
+    return send[np.lexsort((i[send], d[send], w1[send] >> np.uint64(64 - bits)))], first
+
+
+def _window_rows(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for batch, codes, *packed in cells(rows, "batch", "codes", "docs", "hashes", "sizes", "blob"):
+                ids, hashes, data, bounds = texts_of(*packed)
+                d, i, w1, w2, *_ = _shared_windows(data, bounds, codes, bits)
+                send, _ = _sent_order(d, i, w1, w2, ids, hashes, bits)
+                buckets, parts = by_bucket(w1[send], bits)
+                d, i, w1, w2 = d[send], i[send], w1[send], w2[send].astype(np.uint16)
+                columns = [[pack(x[p]) for p in parts] for x in (ids[d], hashes[d], i.astype(np.int32), w1, w2)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), pa.array(np.full(len(buckets), batch)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "batch", "docs", "hashes", "i", "w1", "w2"]
+                )
+
+    return run
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Of one bucket: for each window of each batch whether it starts earlier elsewhere."""
+    columns = [[unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in (("docs", np.int64), ("hashes", np.int64), ("i", np.int32), ("w1", np.uint64), ("w2", np.uint16))]
+    docs, hashes, i, w1, w2 = (np.concatenate(c) for c in columns)
+    late = (~first_of_kind((w1, w2), (docs, hashes, i))).astype(np.uint8)
+    ends = np.cumsum([len(x) for x in columns[0]]).tolist()
+    return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "codes": pa.array([pack(late[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+
+def _kept(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for codes, late, *packed in cells(rows, "codes", "late", "docs", "hashes", "sizes", "blob"):
+                ids, hashes, data, bounds = texts_of(*packed)
+                d, i, w1, w2, starts, ends, first = _shared_windows(data, bounds, codes, bits)
+                send, first_here = _sent_order(d, i, w1, w2, ids, hashes, bits)
+                repeat = ~first_here
+                repeat[send] = read_codes(late, len(send)) > 0
+                at = first[:-1][d[repeat]] + i[repeat]
+                change = np.zeros(len(starts) + 1, dtype=np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + WINDOW, -1)
+                stay = np.cumsum(change)[:-1] == 0
+                raw, s, e = data.tobytes(), starts.tolist(), ends.tolist()
+                n = np.diff(first)
+                left = np.concatenate([[0], np.cumsum(stay)])
+                kept_words = np.flatnonzero(stay).tolist()
+                cut = left[first].tolist()
+                texts = [b" ".join([raw[s[w] : e[w]] for w in kept_words[a:b]]).decode() for a, b in zip(cut, cut[1:], strict=False)]
+                keys = pa.array(ids, mask=ids == NO_KEY)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(n - np.diff(left[first])), pa.array(texts, pa.string())], names=["key", "n_words", "n_removed", "kept"])
+
+    return run
+
+
+def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH) -> DataFrame:
     """(key, n_words, n_removed, kept): each document without the words of windows that start earlier elsewhere."""
-    d = placed(docs, key, text)
-    spans = repeats(d).groupBy("doc", "h").agg(F.collect_set(F.struct("i0", "i1")).alias("spans"))
-    packed = d.select("doc", "h", "text").mapInArrow(_packed, f"{PLACE_SQL}, packed binary")
-    back = F.when(F.col("doc") != 2**63 - 1, F.col("doc")).alias("key")
-    out = packed.join(spans.hint("merge"), PLACE, "left").select(back, "packed", "spans")
-    return out.mapInArrow(_kept, "key bigint, n_words bigint, n_removed bigint, kept string")
+    packed = packed_batches(docs, key, text, batch_bytes)
+    bits = bucket_bits(packed.count())
+    coded = packed.join(name_codes(packed, _anchor_names, bits, 2**31).hint("merge"), "batch", "left")
+    sent = coded.mapInArrow(_window_rows(bits), "bucket bigint, batch bigint, docs binary, hashes binary, i binary, w1 binary, w2 binary")
+    late = answers_by_batch(sent.groupBy("bucket").applyInArrow(_compared, CODES_SQL), "late")
+    out = coded.join(late.hint("merge"), "batch", "left")
+    return out.mapInArrow(_kept(bits), "key bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

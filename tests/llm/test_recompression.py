@@ -28,9 +28,9 @@ def brute(rows, window=R.WINDOW):
     return sorted(out, key=str)
 
 
-def run(spark, rows, parts=3):
+def run(spark, rows, parts=3, **bounds):
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, doc string").repartition(parts)
-    return sorted((tuple(r) for r in R.dedup_windows(df).collect()), key=str)
+    return sorted((tuple(r) for r in R.dedup_windows(df, **bounds).collect()), key=str)
 
 
 @pytest.mark.parametrize("letters", [2, 30])
@@ -38,7 +38,7 @@ def test_random_texts(spark, letters):
     rng = random.Random(letters)
     pool = [" ".join(f"w{rng.randrange(letters)}" for _ in range(rng.randrange(15, 70))) for _ in range(12)]
     rows = [(i, " ".join(rng.choice([rng.choice(pool), " ".join(f"u{i}x{rng.randrange(99)}" for _ in range(rng.randrange(8)))]) for _ in range(rng.randrange(6)))) for i in range(60)]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == run(spark, rows, batch_bytes=700) == brute(rows)
 
 
 def test_runs_nulls_and_long_texts(spark):
@@ -69,7 +69,7 @@ def test_equal_windows_have_equal_anchors():
         x, y = (np.concatenate(p).astype(np.uint64) for p in ((a, core, b), (b, a, core)))
         found = []
         for seq, at in ((x, len(a)), (y, len(a) + len(b))):
-            d, i0, i1, name, _ = R.patches(R.mix(seq + np.uint64(7)), np.array([0, len(seq)]))
+            d, i0, i1, name = R.patches(R.mix(seq + np.uint64(7)), np.array([0, len(seq)]))
             per = {i: n for s, e, n in zip(i0, i1, name, strict=True) for i in range(s, e + 1)}
             found.append([per[at + i] for i in range(len(core) - R.WINDOW + 1)])
         assert found[0] == found[1]
