@@ -42,3 +42,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def survivors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, survivor) of merged groups: named before unnamed, then more files, then the lower id.
+
+    pairs: (src, dst); nodes: (id, named, files). Components come first; the survivor is a grouped maximum.
+    """
+    found = components(pairs).join(nodes.withColumnRenamed("id", "node"), "node")
+    best = found.groupBy("component").agg(F.max(F.struct("named", "files", (-F.col("node")).alias("back"))).alias("x"))
+    return found.join(best, "component").select(F.col("node").alias("id"), (-F.col("x.back")).alias("survivor"))
