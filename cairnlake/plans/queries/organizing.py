@@ -1 +1,102 @@
-"""Placeholder."""
+"""Plans for folders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cairnlake.functions import text as X
+from cairnlake.operators import facts
+from cairnlake.operators import organize as O
+from cairnlake.plans.registry import query
+
+_T = "coalesce(created_at, modified_at)"
+_PLAN = f"""
+WITH sp AS (SELECT file_id, min(name) AS person FROM faces LEFT JOIN persons ON persons.id = person_id GROUP BY file_id HAVING count(*) = count(name) AND count(DISTINCT CASE WHEN name IS NOT NULL THEN person_id END) = 1),
+j AS (SELECT files.*, person, strftime(to_timestamp({_T}) AT TIME ZONE 'UTC', '%Y/%m') AS ym, coalesce(abs(lat) <= 90 AND abs(lon) <= 180, false) AS here FROM files LEFT JOIN sp ON sp.file_id = files.id),
+m AS (SELECT id, folder, stem, extension, person,
+  CASE WHEN person IS NOT NULL THEN 'person' WHEN kind IN ('image', 'video') AND here THEN 'place' WHEN kind IN ('pdf', 'doc') THEN 'document' WHEN kind = 'image' THEN 'photo' WHEN kind = 'video' THEN 'video' WHEN kind = 'audio' THEN 'audio' ELSE 'other' END AS category,
+  CASE WHEN person IS NOT NULL THEN 'People/' || person WHEN kind IN ('image', 'video') AND here THEN 'Places/' || format('{{:.1f}},{{:.1f}}', round(lat * 2) / 2, round(lon * 2) / 2) WHEN kind IN ('pdf', 'doc') THEN 'Documents/' || ym WHEN kind = 'image' THEN 'Photos/' || ym
+    WHEN kind = 'video' THEN 'Videos/' || ym WHEN kind = 'audio' THEN 'Audio' ELSE 'Other' END AS destination FROM j),
+p AS (SELECT *, CASE category WHEN 'place' THEN 'review' WHEN 'audio' THEN 'review' WHEN 'other' THEN 'ask' ELSE 'auto' END AS confidence FROM m),
+tiers AS (SELECT folder, sum(n)::BIGINT AS n, CASE WHEN sum(n) <= 2 THEN 'junk' WHEN max(n) / sum(n) >= 0.8 THEN 'anchor' ELSE 'mixed' END AS tier FROM (SELECT folder, category, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2) GROUP BY folder)
+"""
+
+
+def _plan(c):
+    return O.plan(c.files, O.single_person(c.faces, c.persons))
+
+
+@query("org_cascade", _PLAN + "SELECT id, destination, category, confidence FROM p")
+def _(c):
+    return _plan(c).select("id", "destination", "category", "confidence")
+
+
+@query("org_confidence_counts", _PLAN + "SELECT confidence, category, count(*) AS n FROM p GROUP BY 1, 2")
+def _(c):
+    return _plan(c).groupBy("confidence", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("org_folder_tier", _PLAN + "SELECT folder, n, tier FROM tiers")
+def _(c):
+    return facts.folder_tiers(_plan(c))
+
+
+@query("org_without_anchors", _PLAN + "SELECT p.id, p.destination FROM p JOIN tiers ON tiers.folder = p.folder WHERE tier <> 'anchor' OR category = 'person'")
+def _(c):
+    p = _plan(c)
+    return O.without_anchors(p, facts.folder_tiers(p), F.col("category") == "person").select("id", "destination")
+
+
+@query("org_collision_free", _PLAN + ", k AS (SELECT *, row_number() OVER (PARTITION BY destination, lower(stem), lower(extension) ORDER BY id) AS r FROM p) SELECT id, destination || '/' || stem || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.' || extension AS target FROM k")
+def _(c):
+    return O.without_collisions(_plan(c))
+
+
+_TOKENS = r"""
+WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM files WHERE lang = 'en'), f AS (SELECT g, token, count(*) AS tf FROM t WHERE length(token) >= 4 GROUP BY 1, 2)
+"""
+
+
+@query("org_ctfidf", _TOKENS + """
+, s AS (SELECT g, f.token, round(tf * ln(1 + mean / total), 9) AS s FROM f JOIN (SELECT token, sum(tf) AS total FROM f GROUP BY token) x ON x.token = f.token, (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM f GROUP BY g)) y),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, token) AS r FROM s) SELECT g AS "group", string_agg(token, ' ' ORDER BY r) AS name FROM r WHERE r <= 3 GROUP BY g""")
+def _(c):
+    t = c.files.where("lang = 'en'").select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
+    return O.group_names(t)
+
+
+@query("org_feedback_boost", """
+WITH w AS (SELECT token, folder, sum(w) AS weight FROM (SELECT lang AS token, folder, 0.5 AS w FROM files WHERE id % 3 = 0) GROUP BY 1, 2) SELECT files.id, round(sum(weight)::DOUBLE, 6) AS weight FROM files JOIN w ON w.folder = files.folder AND w.token = files.lang GROUP BY files.id HAVING sum(weight) >= 3""")
+def _(c):
+    w = c.files.where("id % 3 = 0").groupBy(F.col("lang").alias("token"), "folder").agg(F.sum(F.lit(0.5)).alias("weight"))
+    moves = c.files.select("id", "folder", F.array("lang", "source").alias("tokens"))
+    return O.feedback_boost(moves, w).select("id", F.round("weight", 6).alias("weight"))
+
+
+@query("org_majority_votes", """
+WITH l AS (SELECT "user", kind AS vote FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY seconds DESC, id) AS r FROM signals WHERE kind IN ('view', 'click')) WHERE r <= 50), e AS (SELECT "user", vote, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT "user", vote FROM e JOIN (SELECT "user" AS u, sum(n) AS t FROM e GROUP BY 1) x ON u = "user" WHERE t >= 3 AND 2 * n > t""")
+def _(c):
+    r = F.row_number().over(Window.partitionBy("user").orderBy(F.col("seconds").desc(), "id"))
+    votes = c.signals.where("kind IN ('view', 'click')").withColumn("r", r).where("r <= 50").select("user", F.col("kind").alias("vote"))
+    return O.majority(votes, "user")
+
+
+@query("org_signature_vocabulary", r"""
+WITH t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(stem), '[a-z]+'))) AS token FROM files) SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 512""")
+def _(c):
+    t = c.files.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "token").limit(512)
+
+
+@query("org_safe_names", r"""
+WITH n AS (SELECT id, replace(path, '/lib/', CASE id % 3 WHEN 0 THEN '..' WHEN 1 THEN 'a:b*' ELSE '' END) AS p FROM files) SELECT id, regexp_replace(regexp_replace(p, '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS name FROM n""")
+def _(c):
+    p = F.replace(F.col("path"), F.lit("/lib/"), F.when(F.col("id") % 3 == 0, "..").when(F.col("id") % 3 == 1, "a:b*").otherwise(""))
+    return c.files.select("id", X.safe_component(p).alias("name"))
+
+
+@query("org_prototype_folders", "SELECT folder, count(*) AS n, round(avg(size_bytes), 4) AS mean FROM files GROUP BY folder HAVING count(*) >= 5")
+def _(c):
+    return c.files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size_bytes"), 4).alias("mean")).where("n >= 5")

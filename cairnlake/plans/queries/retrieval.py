@@ -21,7 +21,7 @@ hits AS (SELECT id, ln(1 + (n - df0 + 0.5::DOUBLE) / (df0 + 0.5::DOUBLE)) * tf0
 kw AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits QUALIFY rank <= 30)
 """
 _VISUAL = """, vis AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 17)), 9) DESC, id) AS rank FROM vectors QUALIFY rank <= 30),
-fused AS (SELECT id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(l * 1000 + rank) AS at FROM (SELECT id, rank, 0 AS l FROM kw UNION ALL SELECT id, rank, 1 FROM vis) GROUP BY id)
+fused AS (SELECT id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(l * 1000 + rank) AS place FROM (SELECT id, rank, 0 AS l FROM kw UNION ALL SELECT id, rank, 1 FROM vis) GROUP BY id)
 """
 
 
@@ -40,12 +40,12 @@ def _(c):
     return R.ranked(hits, 30).join(hits, "id").select("id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("rrf_fusion", _BM25 + _VISUAL + "SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, at, id LIMIT 50")
+@query("rrf_fusion", _BM25 + _VISUAL + "SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, place, id LIMIT 50")
 def _(c):
     return R.fuse([_keyword(c), _visual(c)]).select("id", F.round("score", 9).alias("score"))
 
 
-@query("hybrid_search", _BM25 + _VISUAL + "SELECT fused.id, round(score, 9) AS score, path FROM fused JOIN files ON files.id = fused.id WHERE kind IN ('image', 'doc', 'pdf', 'video') ORDER BY round(score, 12) DESC, at, fused.id LIMIT 20")
+@query("hybrid_search", _BM25 + _VISUAL + "SELECT fused.id, round(score, 9) AS score, path FROM fused JOIN files ON files.id = fused.id WHERE kind IN ('image', 'doc', 'pdf', 'video') ORDER BY round(score, 12) DESC, place, fused.id LIMIT 20")
 def _(c):
     hits = R.restrict(R.fuse([_keyword(c), _visual(c)], limit=60), Filter(kinds=("image", "doc", "pdf", "video")).apply(c.files))
     return hits.orderBy(F.round("score", 12).desc(), "at", "id").limit(20).join(c.files.select("id", "path"), "id").select("id", F.round("score", 9).alias("score"), "path")
