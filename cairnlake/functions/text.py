@@ -133,7 +133,7 @@ def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-def _porter_free_garbled(text: str) -> float:
+def _garbled(text: str) -> float:
     words = re.findall(r"\S+", text or "")
     if not words:
         return 0.0
@@ -149,7 +149,7 @@ def _porter_free_garbled(text: str) -> float:
 @F.pandas_udf(DoubleType())
 def garbled_share(x: pd.Series) -> pd.Series:
     """Share of words that look misread: case flips, symbols inside, five consonants in a row."""
-    return x.map(_porter_free_garbled)
+    return x.map(_garbled)
 
 
 def rake_phrases(text: str, most: int = 8) -> list[tuple[str, float]]:
@@ -198,14 +198,17 @@ def porter_like(word: str) -> str:
         if word.endswith(a):
             word = word[: len(word) - len(a)] + b
             break
-    for a in ("eed", "ed", "ing"):
-        if word.endswith(a) and len(word) > len(a) + 2 and re.search(r"[aeiouy]", word[: -len(a)]):
-            word = word[: -len(a)] + ("ee" if a == "eed" else "")
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz":
-                word = word[:-1]
-            break
+    if word.endswith("eed"):
+        word = word[:-1] if len(word) > 4 else word
+    else:
+        for a in ("ed", "ing"):
+            if word.endswith(a) and len(word) > len(a) + 2 and re.search(r"[aeiouy]", word[: -len(a)]):
+                word = word[: -len(a)]
+                if word.endswith(("at", "bl", "iz")):
+                    word += "e"
+                elif len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz":
+                    word = word[:-1]
+                break
     return word[:-1] + "i" if len(word) > 2 and word.endswith("y") and re.search(r"[aeiou]", word[:-1]) else word
 
 

@@ -128,7 +128,7 @@ def parse(question: str, today: str | None = None) -> Question:
         text = re.sub(r"\b(?:%s)s?\b" % "|".join(words), " ", text)
     if m := re.search(r"\b(?:top|show|list|first)?\s*(?:me )?(?:the )?(\d{1,3})\b", text):
         q, text = replace(q, limit=max(1, min(int(m[1]), 100))), text.replace(m[0], " ")
-    skip = {*STOP_WORDS, "files", "file", "show", "list", "find", "many", "much", "please", "get", "see"}
+    skip = {*STOP_WORDS, "files", "file", "show", "list", "find", "many", "much", "please", "get", "see", "only", "instead"}
     return replace(q, filter=replace(f, kinds=kinds), subject=tuple(w for w in re.findall(r"[^\W_]+", text) if w not in skip))
 
 

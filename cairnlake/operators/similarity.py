@@ -30,13 +30,13 @@ def hamming_pairs(hashes: DataFrame, radius: int) -> DataFrame:
     literal = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
     live = hashes.where("phash IS NOT NULL AND phash <> 0").select("id", "phash")
     distinct = live.select("phash").distinct()
-    keyed = distinct.select("phash", F.posexplode(literal).alias("k", "mask")).select("phash", "k", F.expr("phash & mask").alias("block"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    differ = F.col("a.phash").bitwiseXOR(F.col("b.phash"))
-    first = ~F.exists(F.slice(literal, F.lit(1), F.col("a.k")), lambda m: differ.bitwiseAND(m) == 0)
-    near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.phash") < F.col("b.phash")) & (F.bit_count(differ) <= radius) & first)
-    near = near.select(F.col("a.phash").alias("x"), F.col("b.phash").alias("y"), F.bit_count(differ).alias("distance"))
-    near = near.union(distinct.select(F.col("phash").alias("x"), F.col("phash").alias("y"), F.lit(0).alias("distance")))
+    # each side is projected by itself: Catalyst must not have to tell two uses of one generator apart
+    side = lambda x: distinct.select(F.col("phash").alias(x), F.posexplode(literal).alias(f"k{x}", f"m{x}")).select(x, f"k{x}", F.expr(f"{x} & m{x}").alias(f"b{x}"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = ~F.exists(F.slice(literal, F.lit(1), F.col("kx")), lambda m: differ.bitwiseAND(m) == 0)
+    near = side("x").join(side("y"), (F.col("kx") == F.col("ky")) & (F.col("bx") == F.col("by")) & (F.col("x") < F.col("y")) & (F.bit_count(differ) <= radius) & first)
+    near = near.select("x", "y", F.bit_count(differ).alias("distance"))
+    near = near.where(F.lit(radius > 0)).union(distinct.select(F.col("phash").alias("x"), F.col("phash").alias("y"), F.lit(0).alias("distance")))
     left, right = live.select(F.col("id").alias("p"), F.col("phash").alias("x")), live.select(F.col("id").alias("q"), F.col("phash").alias("y"))
     pairs = near.join(left, "x").join(right, "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("distance").cast("long").alias("distance"))
