@@ -82,7 +82,7 @@ def texts_of(docs: bytes, hashes: bytes, sizes: bytes, blob: bytes) -> tuple[np.
 
 def bucket_bits(n_batches: int) -> int:
     """First bits of a name that choose its bucket; with 32 more they are the name. Both grow with the input."""
-    return min(24, max(4, (n_batches // 16).bit_length()))
+    return min(24, max(4, (n_batches // 32).bit_length()))
 
 
 def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:

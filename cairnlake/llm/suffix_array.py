@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm.batches import BATCH, NO_KEY, bucket_bits, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
 from cairnlake.llm.hashing import Spans, byte_values, mix
-from cairnlake.session import staged, table
+from cairnlake.session import table
 
 WINDOW = 50
 GRAM = 16
@@ -163,52 +163,75 @@ def _parcels(batch: int, ids, bounds, data, key, whole, d, a, b, buckets: int) -
     least = ids[d][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(whole) else ids[d]
     late = ids[d] > least
     base = bounds[:-1][d]
-    yield _parcel(batch, -1, ids[d][late], d[late], a[late] - base[late], b[late] - base[late], np.empty(0, np.uint64), [])
+    yield _parcel(batch % buckets, batch, *_runs(d[late], a[late] - base[late], b[late] - base[late]))
+    # a parcel for each bucket, in the order of the text
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
     stay = np.flatnonzero(~late)
-    bucket = (key[stay] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    stay, bucket = stay[by], bucket[by]
-    raw = data.tobytes()
+    stay = stay[np.lexsort((a[stay], d[stay], bucket[stay]))]
+    bucket, raw = bucket[stay], data.tobytes()
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(stay) else np.empty(0, np.int64)
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(stay)], strict=False):
         s = stay[x:y]
-        yield _parcel(batch, int(bucket[x]), ids[d[s]], d[s], a[s] - base[s], b[s] - base[s], key[s], [raw[i:j] for i, j in zip(a[s].tolist(), b[s].tolist(), strict=True)])
-
-
-def _parcel(batch: int, bucket: int, doc, row, a, b, key, strings: list[bytes]) -> pa.RecordBatch:
-    packed = [pack(np.asarray(x, t)) for x, t in ((doc, np.int64), (row, np.int32), (a, np.int32), (b, np.int32), (key, np.uint64))]
-    blob = zstandard.ZstdCompressor(level=1).compress(b"".join(strings))
-    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in [*packed, blob])], names=["batch", "bucket", "doc", "row", "a", "b", "key", "blob"])
+        strings = [raw[i:j] for i, j in zip(a[s].tolist(), b[s].tolist(), strict=True)]
+        yield _parcel(int(bucket[x]), batch, d[s], a[s] - base[s], b[s] - base[s], ids[d[s]], mix(key[s]) >> np.uint64(48), strings)
+
+
+def _runs(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of overlapping stretches a..b of each row."""
+    by = np.lexsort((a, row))
+    row, a, b = row[by].astype(np.int64), a[by].astype(np.int64), b[by].astype(np.int64)
+    if not len(row):
+        return row, a, b
+    reach = np.maximum.accumulate((row << 32) + b)
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] << 32) + a[1:] > reach[:-1]]))
+    return row[cut], a[cut], np.maximum.reduceat(b, cut)
+
+
+def _parcel(bucket: int, batch: int, row, a, b, doc=None, kind=None, strings: list[bytes] | None = None) -> pa.RecordBatch:
+    """Stretches a..b of rows of a batch; those to be sorted also carry their document, 16 bits of their key, and their bytes."""
+    columns = [pack(np.diff(np.asarray(row, np.int32), prepend=np.int32(0))), pack(np.asarray(a, np.int32)), pack(np.asarray(b - a, np.int32))]
+    if doc is None:
+        columns += [None, None, None]
+    else:
+        columns += [pack(np.diff(doc, prepend=np.int64(0))), pack(kind.astype(np.uint16)), zstandard.ZstdCompressor(level=3).compress(b"".join(strings))]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["bucket", "batch", "row", "a", "n", "doc", "kind", "blob"])
 
 
-PARCEL_SQL = "batch bigint, bucket int, doc binary, row binary, a binary, b binary, key binary, blob binary"
+PARCEL_SQL = "bucket int, batch bigint, row binary, a binary, n binary, doc binary, kind binary, blob binary"
+SPAN_SQL = "batch bigint, row int, s int, e int"
 
 
 def _sorted_bucket(most: int):
-    """Of one bucket: the starts of repeats, by batch."""
+    """Of one bucket: the runs of repeats, by batch."""
 
     def run(rows: pa.Table) -> pa.Table:
-        names = ("doc", "row", "a", "b", "key")
-        types = (np.int64, np.int32, np.int32, np.int32, np.uint64)
-        cells = [[unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in zip(names, types, strict=True)]
-        doc, row, a, b, key = (np.concatenate(c) for c in cells)
-        batch = np.repeat(np.array(rows.column("batch").to_pylist(), np.int64), [len(x) for x in cells[0]])
-        raw = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows.column("blob").to_pylist())
-        ends = np.cumsum(b - a, dtype=np.int64).tolist()
-        strings = [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-        by = np.argsort(key, kind="stable").tolist()
-        found = []
-        i = 0
-        while i < len(by):
-            # as many keys as are sorted at once; a key's strings stay together
-            j, held = i, 0
-            while j < len(by) and (held < most // 2 or key[by[j]] == key[by[j - 1]]):
-                held += len(strings[by[j]]) + 1
-                j += 1
-            found.append(_repeats([strings[k] for k in by[i:j]], np.array(by[i:j]), doc, a))
-            i = j
-        place, s, e = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        return pa.table({"batch": pa.array(batch[place]), "row": pa.array(row[place], pa.int32()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
+        batch, row, a, n, doc, kind, blobs = [], [], [], [], [], [], []
+        settled = []
+        for number, r, x, y, d, k, blob in cells(rows, "batch", "row", "a", "n", "doc", "kind", "blob"):
+            r, x, y = np.cumsum(unpack(r, np.int32), dtype=np.int64), unpack(x, np.int32).astype(np.int64), unpack(y, np.int32)
+            if d is None:
+                settled.append((np.full(len(r), number), r, x, x + y))
+                continue
+            for to, value in ((batch, np.full(len(r), number)), (row, r), (a, x), (n, y), (doc, np.cumsum(unpack(d, np.int64), dtype=np.int64)), (kind, unpack(k, np.uint16))):
+                to.append(value)
+            blobs.append(zstandard.ZstdDecompressor().decompress(blob) if blob else b"")
+        found = [(np.empty(0, np.int64),) * 4, *settled]
+        if batch:
+            batch, row, a, n, doc, kind = (np.concatenate(c) for c in (batch, row, a, n, doc, kind))
+            raw, ends = b"".join(blobs), np.cumsum(n, dtype=np.int64).tolist()
+            by = np.argsort(kind, kind="stable").tolist()
+            i = 0
+            while i < len(by):
+                # as many keys as are sorted at once; a key's strings stay together
+                j, held = i, 0
+                while j < len(by) and (held < most // 2 or kind[by[j]] == kind[by[j - 1]]):
+                    held += int(n[by[j]]) + 1
+                    j += 1
+                place, s, e = _repeats([raw[ends[k] - n[k] : ends[k]] for k in by[i:j]], np.array(by[i:j]), doc, a)
+                found.append((batch[place], row[place], s, e))
+                i = j
+        batch, row, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"batch": pa.array(batch, pa.int64()), "row": pa.array(row, pa.int32()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
 
     return run
 
@@ -239,19 +262,6 @@ def _repeats(strings: list[bytes], place: np.ndarray, doc: np.ndarray, a: np.nda
     return k, a[k] + where[start], a[k] + where[last] + WINDOW
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for batch, row, a, b in cells(rows, "batch", "row", "a", "b"):
-            row, a, b = unpack(row, np.int32), unpack(a, np.int32), unpack(b, np.int32)
-            by = np.lexsort((a, row))
-            row, a, b = row[by], a[by], b[by]
-            if len(row):  # patches overlap: their union is a few runs
-                new = np.concatenate([[True], (row[1:] != row[:-1]) | (a[1:] > np.maximum.accumulate(b + row.astype(np.int64) * (1 << 32))[:-1] - row[1:].astype(np.int64) * (1 << 32))])
-                cut = np.flatnonzero(new)
-                row, a, b = row[cut], a[cut], np.maximum.reduceat(b, cut)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), batch)), pa.array(row), pa.array(a), pa.array(b)], names=["batch", "row", "s", "e"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for spans, *packed in cells(rows, "spans", "docs", "hashes", "sizes", "blob"):
@@ -284,12 +294,10 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """(key, n_bytes, n_removed, n_spans, kept): each document without the bytes of repeats."""
     packed = packed_batches(docs, key, text, batch_bytes)
     batches = packed.count()
-    bits, buckets = bucket_bits(batches), max(16, batches)
+    bits, buckets = bucket_bits(batches), max(16, batches // 16)
     coded = packed.join(name_codes(packed, _names, bits, hot).hint("merge"), "batch", "left")
-    parcels = staged(coded.mapInArrow(_routed(buckets, bits), PARCEL_SQL))
-    found = parcels.where("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_bucket(most_sorted), "batch bigint, row int, s int, e int")
-    inside = parcels.where("bucket < 0").select("batch", "row", "a", "b").mapInArrow(_settled, "batch bigint, row int, s int, e int")
-    spans = found.union(inside).groupBy("batch").agg(F.collect_list(F.struct("row", "s", "e")).alias("spans"))
+    found = coded.mapInArrow(_routed(buckets, bits), PARCEL_SQL).groupBy("bucket").applyInArrow(_sorted_bucket(most_sorted), SPAN_SQL)
+    spans = found.groupBy("batch").agg(F.collect_list(F.struct("row", "s", "e")).alias("spans"))
     return packed.join(spans.hint("merge"), "batch", "left").mapInArrow(_kept, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
