@@ -25,6 +25,9 @@ from cairnlake.session import staged, table
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
+#: Blocked hosts up to which their verdicts are broadcast (some MB); beyond it they are joined by salted keys.
+FEW_HOSTS = 100_000
+SALTS = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -128,7 +131,7 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", rules
     """docs (or its columns `keep`) with __counts, __base_failed, __host_rate and __kept.
 
     Hosts are aggregated with map-side partial sums, so a host with a third of all rows costs no more than
-    others; blocked hosts are joined back. Where the text is kept the counts are made twice, else written once.
+    others; verdicts of blocked hosts meet the documents without moving those of a large host to one task. Where the text is kept the counts are made twice, else written once.
     """
     names = docs.columns if keep is None else keep
     with_host = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__input"))
@@ -138,8 +141,13 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", rules
         for_hosts = counted(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__input")), "__input", ["__host"])
     else:
         rows = for_hosts = staged(rows)
-    blocked = host_rates(for_hosts, F.col("__host"), failed).where(F.col("rate") >= rules.blocked_rate)
-    joined = rows.join(blocked.select(F.col("host").alias("__blocked"), F.col("rate").alias("__host_rate")), F.col("__host").eqNullSafe(F.col("__blocked")), "left")
+    blocked = staged(host_rates(for_hosts, F.col("__host"), failed).where(F.col("rate") >= rules.blocked_rate).select(F.col("host").alias("__blocked"), F.col("rate").alias("__host_rate")))
+    if blocked.count() <= FEW_HOSTS:
+        joined = rows.join(F.broadcast(blocked), F.col("__host").eqNullSafe(F.col("__blocked")), "left")
+    else:  # a host may hold a third of all rows: its rows are dealt to SALTS parts, and verdicts go to each
+        salted = rows.withColumn("__salt", (F.col("__n_words") + F.col("__word_chars") * 7) % SALTS)
+        every = blocked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(every, F.col("__host").eqNullSafe(F.col("__blocked")) & (F.col("__salt") == F.col("__part")), "left")
     base = base_failed(rules, "__")
     verdict = F.when(F.col("__host_rate").isNotNull(), ~soft_failed(rules, "__", rules.strict)).otherwise(~soft_failed(rules, "__"))
     return joined.select(

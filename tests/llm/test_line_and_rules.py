@@ -1,5 +1,6 @@
 """Line dedup and quality rules on odd inputs."""
 
+from cairnlake.llm import quality_rules
 from cairnlake.llm.line_dedup import dedup_lines
 from cairnlake.llm.quality_rules import apply_rules, count_rules
 
@@ -34,11 +35,14 @@ def test_rule_counts():
     assert count_rules("é# x\n\né# x\n y|") == (5, 8, 3, 1, 0, 3)
 
 
-def test_verdicts(spark):
+def test_verdicts(spark, monkeypatch):
     words = " ".join(f"word{i}" for i in range(60))
     rows = [(i, words, "good", 0.5) for i in range(50)] + [(100, "short", "good", 0.5), (101, None, None, 0.5), (102, words, None, 0.5)]
     rows += [(200 + i, "### " * 30 + words, "bad", 0.5) for i in range(40)] + [(300, words, "bad", 0.5), (301, "# " * 12 + words, "bad", 0.5), (302, "# " * 12 + words, "good", 0.5)]
     out = {r.doc_id: r for r in apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, rate double")).collect()}
     kept = {i for i, r in out.items() if r["__kept"]}
     assert kept == {*range(50), 102, 300, 302} and out[101]["__base_failed"]
+    monkeypatch.setattr(quality_rules, "FEW_HOSTS", 0)  # the salted join
+    out = apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, rate double")).collect()
+    assert {r.doc_id for r in out if r["__kept"]} == kept and len(out) == len(rows)
     assert apply_rules(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
