@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,14 +124,22 @@ def lexicon(docs: DataFrame, n_docs: int, least: float = LEAST_SHARE, most: floa
     return np.sort(band["term"].to_numpy(np.int64).view(np.uint64))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in small_batches(batches):
+        texts = [pack((x or "").encode()) for x in batch.column("text").to_pylist()]
+        names = [x for x in batch.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts, pa.binary())], names=[*names, "packed"])
+
+
 def _chained(lexicon: np.ndarray):
     """Rows by bucket and rising key, a guest first in each bucket: every row and the one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(lexicon)
+        hasher, unpack = _Hasher(lexicon), zstandard.ZstdDecompressor().decompress
         before, fp_before = "", np.zeros(SUBSETS, dtype=np.uint32)
-        for batch in small_batches(batches, 1 << 20):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+        for batch in small_batches(batches, 1 << 18):
+            texts = [unpack(x).decode() for x in batch.column("packed").to_pylist()]
             guests = np.array(batch.column("guest").to_pylist(), dtype=bool)
             own = components([hasher(t) for t in texts])
             edited = []
@@ -158,7 +167,7 @@ def fingerprint_chain(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Per row of docs its fingerprint, that of its edited text, and its likeness to that and to the next row.
 
     Rows are dealt to ranges of keys by boundaries found beforehand from the keys alone, and the last row of a
-    range visits the next one as a guest, so whole texts are shuffled once and no task sees more than its range.
+    range visits the next one as a guest, so whole texts are shuffled once, compressed, and no task sees more than its range.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -175,10 +184,11 @@ def fingerprint_chain(docs: DataFrame, key: str = "doc_id", text: str = "text")
     known = spark.createDataFrame(hosts, "k bigint, h bigint, visit int")  # a row for each range
     on = F.col("key").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("h"))
     guests = d.join(F.broadcast(known), on).select("key", "text", F.col("visit").alias("bucket"))
-    both = d.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    dealt = both.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", F.col("guest").desc(), F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    both = d.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))).withColumn("hash", F.xxhash64("text"))
+    packed = both.select("key", "bucket", "guest", "hash", "text").mapInArrow(_packed, "key bigint, bucket int, guest boolean, hash bigint, packed binary")
+    dealt = packed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", F.col("guest").desc(), F.col("key").asc_nulls_first(), "hash")
     schema = "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("key", "text", "guest").mapInArrow(_chained(words), schema)
+    return dealt.select("key", "packed", "guest").mapInArrow(_chained(words), schema)
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
