@@ -93,9 +93,12 @@ def repeated_starts(strings: list[bytes], window: int = WINDOW) -> tuple[np.ndar
     sa = suffix_array(data.astype(np.int64) + 1)
     owner = np.repeat(np.arange(len(strings)), sizes)
     sa = sa[(sa - begin[owner[sa]]) + window < sizes[owner[sa]]]
+    # neighbours' windows are compared eight bytes at a time
+    eight = np.ndarray(len(data), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     same = np.ones(max(len(sa) - 1, 0), dtype=bool)
-    for k in range(window):
-        same &= data[sa[1:] + k] == data[sa[:-1] + k]
+    for k in [*range(0, window - 8, 8), window - 8]:
+        word = eight[sa + k]
+        same &= word[1:] == word[:-1]
     return owner[sa], sa - begin[owner[sa]], np.concatenate([[0], np.cumsum(~same)]) if len(sa) else np.empty(0, np.int64)
 
 
@@ -177,7 +180,7 @@ def _parcels(batch: int, ids, bounds, data, key, whole, d, a, b, buckets: int) -
 
 
 def _runs(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unions of overlapping stretches a..b of each row."""
+    """Unions of overlapping or touching stretches a..b of each row."""
     by = np.lexsort((a, row))
     row, a, b = row[by].astype(np.int64), a[by].astype(np.int64), b[by].astype(np.int64)
     if not len(row):
@@ -198,7 +201,7 @@ def _parcel(bucket: int, batch: int, row, a, b, doc=None, kind=None, strings: li
 
 
 PARCEL_SQL = "bucket int, batch bigint, row binary, a binary, n binary, doc binary, kind binary, blob binary"
-SPAN_SQL = "batch bigint, row int, s int, e int"
+SPAN_SQL = "batch bigint, row binary, s binary, e binary"
 
 
 def _sorted_bucket(most: int):
@@ -231,7 +234,11 @@ def _sorted_bucket(most: int):
                 found.append((batch[place], row[place], s, e))
                 i = j
         batch, row, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"batch": pa.array(batch, pa.int64()), "row": pa.array(row, pa.int32()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
+        by = np.lexsort((s, row, batch))
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(batch[by]) != 0])) if len(by) else np.empty(0, np.int64)
+        parts = [by[x:y] for x, y in zip(cut, [*cut[1:], len(by)], strict=False)]
+        packed = [pa.array([pack(c[p].astype(np.int32)) for p in parts], pa.binary()) for c in (row, s, e)]
+        return pa.table([pa.array(batch[by[cut]], pa.int64()), *packed], names=["batch", "row", "s", "e"])
 
     return run
 
@@ -268,18 +275,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, _, data, bounds = texts_of(*packed)
             raw = data.tobytes()
             texts = [raw[a : b - 1] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-            of: dict[int, list] = {}
-            for s in spans or ():
-                of.setdefault(s["row"], []).append((s["s"], s["e"]))
+            row, start, end = (np.concatenate([np.empty(0, np.int32), *(unpack(x[c], np.int32) for x in spans or ())]) for c in ("row", "s", "e"))
+            row, start, end = _runs(row, start, end)
+            first = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+            start, end = start.tolist(), end.tolist()
             out = []
             for i, text in enumerate(texts):
-                kept, at, removed, runs, until = [], 0, 0, 0, -1
-                for s, e in sorted(of.get(i, ())):
-                    runs += s > until
-                    kept.append(text[at:s] if s > at else b"")
-                    removed += max(0, e - max(s, at))
-                    at, until = max(at, e), max(until, e)
-                out.append((len(text), removed, runs, b"".join([*kept, text[at:]])))
+                x, y = first[i], first[i + 1]
+                kept = b"".join([text[p:q] for p, q in zip([0, *end[x:y]], [*start[x:y], len(text)], strict=True)])
+                out.append((len(text), len(text) - len(kept), y - x, kept))
             n, removed, runs, kept = zip(*out, strict=True)
             keys = pa.array(ids, mask=ids == NO_KEY)
             for x in range(0, len(out), 500):
