@@ -88,30 +88,38 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
     return pairs.mapInPandas(compare, "a bigint, b bigint, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(id, other, cosine, rank): the k nearest of each, cosine falling, then id; exact, block by block.
+def best_matches(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, same: bool = False) -> DataFrame:
+    """(id, other, cosine, rank): for each vector of left the k nearest of right, cosine falling, then id; exact.
 
-    A task keeps the k best of a block against a block; the k best of those are taken per id.
+    Block meets block by matrix products; a task keeps the k best of a block against a block, and the k best of
+    those are taken per id, so what is shuffled is k rows per id and block of right. same: leave out equal ids.
     """
-    rows = _blocks(vectors, block)
-    left, right = rows.select(F.col("block").alias("i"), F.col("rows").alias("l")), rows.select(F.col("block").alias("j"), F.col("rows").alias("r"))
+    rows = _blocks(left, block)
+    l = rows.select(F.col("block").alias("i"), F.col("rows").alias("l"))
+    r = (rows if same else _blocks(right, block)).select(F.col("block").alias("j"), F.col("rows").alias("r"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for l, r in zip(f.l, f.r, strict=True):
-                (a, x), (b, y) = _read(l), _read(r)
-                s = np.round(x @ y.T, 9)
-                s[a[:, None] == b[None, :]] = -2
+            for x, y in zip(f.l, f.r, strict=True):
+                (a, u), (b, v) = _read(x), _read(y)
+                s = np.round(u @ v.T, 9)
+                if same:
+                    s[a[:, None] == b[None, :]] = -2
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids rise within a block
                 got = np.take_along_axis(s, order, axis=1)
                 out = pd.DataFrame({"id": np.repeat(a, order.shape[1]), "other": b[order].ravel(), "cosine": got.ravel()})
                 yield out[out.cosine > -2]
 
-    every = left.join(right, F.lit(True)).repartition("i", "j").mapInPandas(best, "id bigint, other bigint, cosine double")
+    every = l.join(r, F.lit(True)).repartition("i", "j").mapInPandas(best, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return every.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(id, other, cosine, rank): the k nearest of each vector among the others."""
+    return best_matches(vectors, vectors, k, block, same=True)
+
+
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """(by, n, centroid): the mean of unit vectors, normalised; sums per dimension are combined before the shuffle."""
     each = vectors.where(F.col(by).isNotNull()).select(by, F.posexplode(unit(F.col("v"))).alias("i", "x"))
@@ -126,16 +134,10 @@ def cohesion(vectors: DataFrame, centers: DataFrame, by: str) -> DataFrame:
 
 
 def two_nearest(vectors: DataFrame, centers: DataFrame, by: str) -> DataFrame:
-    """Per vector its best centre, and the margin to the second.
-
-    Prototypes are few beside vectors (one per folder or person); they are broadcast as the smaller side of a
-    join on a constant only where Spark's own size estimate allows, and joined by blocks otherwise.
-    """
-    s = F.round(cosine(F.col("v"), F.col("centroid")), 9)
-    scored = vectors.select("id", "v").join(centers.select(F.col(by).alias("center"), "centroid"), F.lit(True)).select("id", "center", s.alias("s"))
-    best = scored.groupBy("id").agg(F.max(F.struct("s", (-F.col("center")).alias("c"))).alias("one"), F.max_by("center", F.struct("s", -F.col("center")), ).alias("center"), F.expr("array_agg(s)").alias("all"))
-    second = F.get(F.sort_array("all", asc=False), F.lit(1))
-    return best.select("id", "center", F.col("one.s").alias("score"), (F.col("one.s") - second).alias("margin"))
+    """(id, center, score, margin): per vector its best centre, and the margin to the second."""
+    best = best_matches(vectors, centers.select(F.col(by).alias("id"), F.col("centroid").alias("v")), 2)
+    at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
+    return best.groupBy("id").agg(at(1, "other").alias("center"), at(1, "cosine").alias("score"), (at(1, "cosine") - at(2, "cosine")).alias("margin"))
 
 
 def margin_strength(scores: Column, baseline: Column, strong: float) -> Column:
