@@ -119,12 +119,12 @@ def safe_component(name: Column) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    """A size in decimal units with one decimal, halves up."""
-    tenths = lambda unit: F.floor(n * 10 / unit + F.lit(0.5)) / 10
-    return (
-        F.when(n >= 1e9, F.format_string("%.1f GB", tenths(1e9))).when(n >= 1e6, F.format_string("%.1f MB", tenths(1e6)))
-        .when(n >= 1e3, F.format_string("%.1f KB", tenths(1e3))).otherwise(F.format_string("%d bytes", n))
-    )
+    """A size in decimal units with one decimal, halves up; a label that would read 1000.0 takes the next unit."""
+    out = F.when(n == 1, "1 byte").when(n < 1000, F.format_string("%d bytes", n))
+    for unit, size in (("KB", 10**3), ("MB", 10**6), ("GB", 10**9), ("TB", 10**12)):
+        tenths = F.floor(n * 10 / size + F.lit(0.5))
+        out = out.when(tenths < 10_000, F.format_string(f"%.1f {unit}", tenths / 10))
+    return out.otherwise(F.format_string("%.1f PB", F.floor(n * 10 / 10**15 + F.lit(0.5)) / 10))
 
 
 @F.pandas_udf(StringType())

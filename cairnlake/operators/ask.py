@@ -29,7 +29,7 @@ SEASONS = {"spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11), "fal
 
 @dataclass(frozen=True)
 class Question:
-    """measure: count, bytes, list, folders, formats, kinds, range; breakdown: year or month."""
+    """measure: count, bytes, list, overview, folders, formats; breakdown: year or month."""
 
     measure: str = "list"
     order: str = "newest"
@@ -59,7 +59,9 @@ def date_window(text: str, today: dt.date) -> tuple[dt.date | None, dt.date | No
         "this month": (first, _next_month(first)), "last month": (before, first), "this year": (dt.date(today.year, 1, 1), dt.date(today.year + 1, 1, 1)),
         "last year": (dt.date(today.year - 1, 1, 1), dt.date(today.year, 1, 1)), "past week": (today - 7 * day, today + day), "past month": (today - 30 * day, today + day), "past year": (today - 365 * day, today + day),
     }
-    one = r"(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|(?:%s) \d{4}|(?:19|20)\d{2}|%s)" % ("|".join(MONTHS), "|".join(named))
+    month = "|".join(sorted(MONTHS, key=len, reverse=True))
+    season = "|".join(SEASONS)
+    one = rf"(\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}} (?:{month}) \d{{4}}|(?:{month}) \d{{1,2}} \d{{4}}|(?:{month}|{season}) \d{{4}}|(?:19|20)\d{{2}}|{'|'.join(named)})"
 
     def span(x: str) -> tuple[dt.date, dt.date]:
         if x in named:
@@ -70,6 +72,13 @@ def date_window(text: str, today: dt.date) -> tuple[dt.date | None, dt.date | No
         if m := re.fullmatch(r"(\d{1,2})/(\d{1,2})/(\d{4})", x):
             d = dt.date(int(m[3]), int(m[1]), int(m[2]))
             return d, d + day
+        if m := re.fullmatch(r"(\d{1,2}) ([a-z]+) (\d{4})", x) or re.fullmatch(r"(?P<m>[a-z]+) (?P<d>\d{1,2}) (\d{4})", x):
+            words = m.groupdict() or {"d": m[1], "m": m[2]}
+            d = dt.date(int(m[3]), MONTHS[words["m"]], int(words["d"]))
+            return d, d + day
+        if (m := re.fullmatch(r"([a-z]+) (\d{4})", x)) and m[1] in SEASONS:
+            d = dt.date(int(m[2]), SEASONS[m[1]][0], 1)
+            return d, _next_month(_next_month(_next_month(d)))
         if m := re.fullmatch(r"([a-z]+) (\d{4})", x):
             d = dt.date(int(m[2]), MONTHS[m[1]], 1)
             return d, _next_month(d)
@@ -82,53 +91,94 @@ def date_window(text: str, today: dt.date) -> tuple[dt.date | None, dt.date | No
             return *pick(span(m[1])), (), text.replace(m[0], " ")
     if m := re.search(rf"\b(?:in |from |on |of )?(?:the )?{one}\b", text):
         return *span(m[1]), (), text.replace(m[0], " ")
-    if m := re.search(r"\b(?:in |from |of )?(?:the )?(%s)\b" % "|".join(SEASONS), text):
+    kinds = "|".join(w for words in KIND_WORDS.values() for w in words)
+    if m := re.search(rf"\b(?:in|from|during|of)(?: the)? ({season})\b", text) or re.search(rf"\b({season})(?= (?:{kinds})s?\b)", text):
         return None, None, SEASONS[m[1]], text.replace(m[0], " ")
-    if m := re.search(r"\bin (%s)\b" % "|".join(MONTHS), text):
+    if m := re.search(rf"\b(?:in|from|during|of|on) ({month})\b(?! \d)", text):
         return None, None, (MONTHS[m[1]],), text.replace(m[0], " ")
     return None, None, (), text
 
 
+def month_day(text: str) -> tuple[tuple[int, int] | None, str]:
+    """A day of any year, and the text without it."""
+    month = "|".join(sorted(MONTHS, key=len, reverse=True))
+    if m := re.search(rf"\b(?:(?:from|on|in) )?(?:the )?(?:(?P<m>{month}) (?P<d>\d{{1,2}})(?:st|nd|rd|th)?|(?P<e>\d{{1,2}})(?:st|nd|rd|th)? (?:of )?(?P<n>{month}))\b(?! ?\d{{4}})", text):
+        return (MONTHS[m["m"] or m["n"]], int(m["d"] or m["e"])), text.replace(m[0], " ")
+    return None, text
+
+
 def size_bounds(text: str) -> tuple[int | None, int | None, str]:
     """(above, below, rest): exclusive bounds in decimal units."""
     above = below = None
     number = r"(\d+(?:\.\d+)?) ?(%s)\b" % "|".join(sorted(UNITS, key=len, reverse=True))
-    if m := re.search(rf"\b(?:bigger|larger|more|over|above)(?: than)? {number}", text):
+    if m := re.search(rf"\b(?:(?:bigger|larger|more|over|above)(?: than)?|at least) {number}", text):
         above, text = int(float(m[1]) * UNITS[m[2]]), text.replace(m[0], " ")
-    if m := re.search(rf"\b(?:smaller|less|under|below)(?: than)? {number}", text):
+    if m := re.search(rf"\b(?:(?:smaller|less|under|below)(?: than)?|at most) {number}", text):
         below, text = int(float(m[1]) * UNITS[m[2]]), text.replace(m[0], " ")
     return above, below, text
 
 
+ORDERS = {"largest": "largest|biggest|heaviest", "smallest": "smallest|tiniest", "oldest": "oldest|earliest", "newest": "newest|latest|most recent"}
+MEASURES = (
+    ("overview", r"\b(?:what(?:'s| is) in my library|(?:summarize|summarise|describe) my library|library (?:overview|summary)|(?:how many )?of each (?:file )?(?:type|kind)|break ?down my files(?: by (?:type|kind))?|(?:what|which) (?:file )?(?:types|kinds)\b.*)"),
+    ("formats", r"\b(?:what|which) (?:file )?(?:formats|extensions)\b.*"), ("folders", r"\b(?:which|what) folders?\b.*|\b(?:what are )?(?:my )?(?P<order>largest|biggest|top) folders?\b.*"),
+    ("bytes", r"\b(?:how much (?:space|storage|disk|room)|total size|how big)\b|\bwhat(?:'s| is) (?:taking up|using)(?: the)? (?P<most>most) (?:space|storage)\b"), ("count", r"\b(?:how many|count|number of)\b"),
+)
+RAW = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "raw", "rw2")
+FORMATS = ("avi", "docx", "gif", "heic", "jpeg", "jpg", "mkv", "mov", "mp3", "mp4", "png", "pptx", "txt", "wav", "webp", "xlsx")
+COMMON_FOLDERS = ("desktop", "documents", "downloads", "movies", "music", "pictures")
+
+
+def _ordered(q: Question, text: str) -> tuple[Question, str]:
+    """Order and limit words; a number is a limit only beside an order, top or first."""
+    for order, words in ORDERS.items():
+        if m := re.search(rf"\b(?:(\d{{1,3}}) )?(?:{words})\b", text):
+            q, text = replace(q, order=order, limit=_limit(m[1], q.limit)), text.replace(m[0], " ")
+            break
+    if m := re.search(r"\btop (\d{1,3})\b", text):
+        q, text = replace(q, order="largest", limit=_limit(m[1], q.limit)), text.replace(m[0], " ")
+    if m := re.search(r"\bfirst (\d{1,3})\b", text):
+        q, text = replace(q, limit=_limit(m[1], q.limit)), text.replace(m[0], " ")
+    if m := re.search(r"\b(?:sorted |ordered )?by (size|date)\b", text):
+        q, text = replace(q, order="largest" if m[1] == "size" else "newest"), text.replace(m[0], " ")
+    return q, text
+
+
+def _limit(number: str | None, before: int) -> int:
+    return max(1, min(int(number), 100)) if number else before
+
+
 def parse(question: str, today: str | None = None) -> Question:
     """A question to what it asks."""
     now = dt.date.fromisoformat(today) if today else dt.datetime.now(dt.timezone.utc).date()
     text = re.sub(r"\s+", " ", re.sub(r"[?!,]", " ", question.lower())).strip()
     q, f = Question(), Filter()
-    for pattern, change in (
-        (r"\bhow (?:many|much) (?:space|storage|disk)\b|\btotal size\b|\bhow (?:big|large)\b", {"measure": "bytes"}), (r"\bhow many\b|\bcount\b|\bnumber of\b", {"measure": "count"}),
-        (r"\b(?:which|what|largest|biggest|top) folders?\b", {"measure": "folders"}), (r"\b(?:which|what) (?:formats?|file types?|extensions?)\b", {"measure": "formats"}), (r"\b(?:which|what) kinds?\b", {"measure": "kinds"}),
-        (r"\bby (year|month)\b|\bper (year|month)\b", {}), (r"\bduplicates?\b|\bextra copies\b", {"duplicates": True}),
-        (r"\b(?:largest|biggest)\b", {"order": "largest"}), (r"\bsmallest\b", {"order": "smallest"}), (r"\b(?:oldest|earliest|first)\b", {"order": "oldest"}), (r"\b(?:newest|latest|most recent)\b", {"order": "newest"}),
-    ):
+    if m := re.search(r"\b(?:by|per|each) (year|month)\b|\b(year|month)ly\b", text):
+        q, text = replace(q, breakdown=m[1] or m[2], measure="count"), text.replace(m[0], " ")
+    for measure, pattern in MEASURES:
         if m := re.search(pattern, text):
-            if not change:
-                q = replace(q, breakdown=next(x for x in m.groups() if x))
-            q, text = replace(q, **change), text[: m.start()] + " " + text[m.end() :]
+            most = any(v for v in m.groupdict().values())
+            q, text = replace(q, measure=measure, order="largest" if most else q.order), text.replace(m[0], " ")
+            break
+    if m := re.search(r"\bduplicates?\b|\bextra copies\b", text):
+        q, text = replace(q, duplicates=True), text.replace(m[0], " ")
+    if m := re.search(r"\b(?:without|no|missing) (?:a )?descriptions?\b|\b(?:not|un) ?described(?: yet)?\b", text):
+        f, text = replace(f, undescribed=True), text.replace(m[0], " ")
     above, below, text = size_bounds(text)
-    f = replace(f, above_bytes=above, below_bytes=below)
     start, end, months, text = date_window(re.sub(r"\s+", " ", text), now)
-    f = replace(f, start=_epoch(start) if start else None, end=_epoch(end) if end else None, months=months)
-    if m := re.search(r"\b(?:in|from|inside|under) (?:the )?(?:folder )?[\"']?([\w.-]+)[\"']? folder\b|\bfolder [\"']?([\w.-]+)[\"']?", text):
-        f, text = replace(f, folder=m[1] or m[2]), text.replace(m[0], " ")
-    if m := re.search(r"\b(?:without|no|missing) (?:a )?descriptions?\b|\bundescribed\b", text):
-        f, text = replace(f, undescribed=True), text.replace(m[0], " ")
+    day, text = (None, text) if start or end or months else month_day(text)
+    f = replace(f, above_bytes=above, below_bytes=below, start=_epoch(start) if start else None, end=_epoch(end) if end else None, months=months, day=day)
+    if m := re.search(r"\b(?:in|from|inside|under) (?:the |my )?(?:folder )?[\"']?([\w.-]+)[\"']? folder\b|\bfolder [\"']?([\w.-]+)[\"']?|\bin (?:the |my )?(%s)\b" % "|".join(COMMON_FOLDERS), text):
+        f, text = replace(f, folder=next(x for x in m.groups() if x)), text.replace(m[0], " ")
+    q, text = _ordered(q, text)
+    if m := re.search(r"\braws?\b", text):
+        f, text = replace(f, extensions=RAW), text.replace(m[0], " ")
+    elif m := re.search(r"\b(%s)s?\b" % "|".join(FORMATS), text):
+        f, text = replace(f, extensions=(m[1],)), text.replace(m[0], " ")
     kinds = tuple(k for k, words in KIND_WORDS.items() if re.search(r"\b(?:%s)s?\b" % "|".join(words), text))
     for words in KIND_WORDS.values():
         text = re.sub(r"\b(?:%s)s?\b" % "|".join(words), " ", text)
-    if m := re.search(r"\b(?:top|show|list|first)?\s*(?:me )?(?:the )?(\d{1,3})\b", text):
-        q, text = replace(q, limit=max(1, min(int(m[1]), 100))), text.replace(m[0], " ")
-    skip = {*STOP_WORDS, "files", "file", "show", "list", "find", "many", "much", "please", "get", "see", "only", "instead"}
+    skip = {*STOP_WORDS, "files", "file", "show", "list", "find", "many", "much", "please", "get", "see", "only", "instead", "are", "there", "take", "taken", "use", "library", "totals", "may", "last"}
     return replace(q, filter=replace(f, kinds=kinds), subject=tuple(w for w in re.findall(r"[^\W_]+", text) if w not in skip))
 
 
@@ -154,10 +204,10 @@ def answer(q: Question, files: DataFrame, faces: DataFrame) -> DataFrame:
         return facts.by_period(found, "yyyy" if q.breakdown == "year" else "yyyy-MM")
     if q.measure in ("count", "bytes"):
         return facts.totals(found)
+    if q.measure == "overview":
+        return facts.overview(found)
     if q.measure == "folders":
         return facts.folder_totals(found)
     if q.measure == "formats":
         return facts.counts_by(found, F.coalesce(F.lower("extension"), F.lit("none")), "format")
-    if q.measure == "kinds":
-        return facts.counts_by(found, F.col("kind"), "kind")
     return facts.listing(found, q.order, q.limit)

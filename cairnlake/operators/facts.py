@@ -30,6 +30,11 @@ def capture_range(files: DataFrame) -> DataFrame:
     return files.agg(day(F.min(taken())).alias("first_day"), day(F.max(taken())).alias("last_day"))
 
 
+def overview(files: DataFrame) -> DataFrame:
+    """Q05: files, bytes, folders and kinds in one pass."""
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.countDistinct("folder").alias("folders"), F.countDistinct("kind").alias("kinds"))
+
+
 def folder_totals(files: DataFrame) -> DataFrame:
     """Files and bytes by folder, with the shortest ending of two parts or more that names it alone."""
     by = counts_by(files, F.col("folder"), "folder")

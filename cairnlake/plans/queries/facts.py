@@ -59,7 +59,7 @@ def _(c):
 SELECT (SELECT count(*) FROM files) AS files, (SELECT sum(size_bytes)::BIGINT FROM files) AS bytes, (SELECT count(DISTINCT folder) FROM files) AS folders,
   (SELECT count(DISTINCT kind) FROM files) AS kinds""")
 def _(c):
-    return c.files.agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.countDistinct("folder").alias("folders"), F.countDistinct("kind").alias("kinds"))
+    return facts.overview(c.files)
 
 
 @query("facts_counters", """
@@ -281,10 +281,12 @@ def _(c):
 
 
 @query("text_size_labels", """
-SELECT id, CASE WHEN s >= 1e9 THEN format('{:.1f} GB', floor(s * 10 / 1e9 + 0.5) / 10) WHEN s >= 1e6 THEN format('{:.1f} MB', floor(s * 10 / 1e6 + 0.5) / 10)
-  WHEN s >= 1e3 THEN format('{:.1f} KB', floor(s * 10 / 1e3 + 0.5) / 10) ELSE s || ' bytes' END AS label FROM (SELECT id, size_bytes AS s FROM files)""")
+WITH z AS (SELECT id, size_bytes * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 999 WHEN 2 THEN 1000003 ELSE 1000000007 END AS s FROM files)
+SELECT id, CASE WHEN s = 1 THEN '1 byte' WHEN s < 1000 THEN s || ' bytes' WHEN floor(s * 10 / 1e3 + 0.5) < 10000 THEN format('{:.1f} KB', floor(s * 10 / 1e3 + 0.5) / 10) WHEN floor(s * 10 / 1e6 + 0.5) < 10000 THEN format('{:.1f} MB', floor(s * 10 / 1e6 + 0.5) / 10)
+  WHEN floor(s * 10 / 1e9 + 0.5) < 10000 THEN format('{:.1f} GB', floor(s * 10 / 1e9 + 0.5) / 10) ELSE format('{:.1f} TB', floor(s * 10 / 1e12 + 0.5) / 10) END AS label FROM z""")
 def _(c):
-    return c.files.select("id", X.size_label(F.col("size_bytes")).alias("label"))
+    scale = F.element_at(F.array(F.lit(1), F.lit(999), F.lit(1000003), F.lit(1000000007)), (F.col("id") % 4 + 1).cast("int"))
+    return c.files.select("id", X.size_label(F.col("size_bytes") * scale).alias("label"))
 
 
 @query("text_html_visible", r"""
