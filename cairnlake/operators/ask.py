@@ -211,3 +211,43 @@ def answer(q: Question, files: DataFrame, faces: DataFrame) -> DataFrame:
     if q.measure == "formats":
         return facts.counts_by(found, F.coalesce(F.lower("extension"), F.lit("none")), "format")
     return facts.listing(found, q.order, q.limit)
+
+
+NEGATION = re.compile(r"\b(?:except|without|not|excluding)\b")
+FILL = frozenset("please show me find files file of my the a an some see get can could you i want to search for only now just them those these and".split())
+PRONOUNS = frozenset("he she it they him her his their there that this".split())
+
+
+def search_plan(messages: list[str]) -> tuple[str, tuple[str, ...]]:
+    """Q03: (query, kinds) of a conversation: each message keeps, narrows, extends or replaces what came before.
+
+    A message of kinds alone changes the kinds; "all" drops the subject; "and" adds words; pronouns keep the kinds;
+    anything else begins anew. A message with a negation is searched as it is.
+    """
+    query, kinds = "", ()
+    for i, message in enumerate(messages):
+        text = re.sub(r"[\"'“”‘’?!.,]", " ", message.lower()).strip()
+        if NEGATION.search(text):
+            query, kinds = " ".join(text.split()), ()
+            continue
+        found = tuple(k for k, words in KIND_WORDS.items() if re.search(r"\b(?:%s)s?\b" % "|".join(words), text))
+        if "doc" in found and re.search(r"\bdocuments?\b", text):
+            found = tuple(sorted({*found, "pdf"}))
+        rest = text
+        for words in KIND_WORDS.values():
+            rest = re.sub(r"\b(?:%s)s?\b" % "|".join(words), " ", rest)
+        every = bool(re.search(r"\ball\b", rest))
+        said = [w for w in rest.split() if w not in FILL and w not in PRONOUNS and w not in ("all", "is", "are", "was", "does", "do")]
+        if every and not said:
+            query, kinds = "", found
+        elif not i:
+            query, kinds = " ".join(said), found
+        elif not said:
+            kinds = found or kinds
+        elif re.match(r"and\b", text):
+            query, kinds = f"{query} {' '.join(said)}".strip(), found or kinds
+        elif PRONOUNS & set(text.split()):
+            query, kinds = " ".join(said), found or kinds
+        else:
+            query, kinds = " ".join(said), found
+    return query, kinds

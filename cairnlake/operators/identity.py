@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnlake.operators.graph import components
 from cairnlake.operators.similarity import centroids, cosine_pairs, nearest, two_nearest
+from cairnlake.session import staged
 
 
 def merge_suggestions(centers: DataFrame, seen: DataFrame, low: float, high: float) -> DataFrame:
@@ -102,3 +104,90 @@ def cluster(faces: DataFrame, core: float = 0.66, assign: float = 0.54, margin:
 
     small = named.where((F.col("n") >= 4) & (F.col("n") <= most)).groupBy("cluster").applyInPandas(split, "id bigint, cluster bigint")
     return small.unionByName(named.where((F.col("n") < 4) | (F.col("n") > most)).select("id", "cluster"))
+
+
+def protected_partition(faces: DataFrame, owners: DataFrame, different: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(face, part) of raw clusters (face, cluster) under rulings: owners (face, person) and pairs that differ (a, b).
+
+    A cluster with two owners or a differing pair falls apart: owned faces go to their owner's part, others stand
+    alone. An owner with a differing pair among its faces is no part at all: its faces stand alone. Faces of a
+    whole cluster with one owner join that owner. The part's name is its least face.
+    """
+    f = faces if excluded is None else faces.join(excluded.select("face"), "face", "left_anti")
+    f = f.join(owners, "face", "left")
+    of = lambda x, y: f.select(F.col("face").alias(x), F.col("cluster").alias(f"c{y}"), F.col("person").alias(f"p{y}"))
+    pairs = different.join(of("a", 1), "a").join(of("b", 2), "b")
+    broken_owner = pairs.where("p1 = p2").select(F.col("p1").alias("person")).distinct().withColumn("bad_owner", F.lit(True))
+    broken = pairs.where("c1 = c2").select(F.col("c1").alias("cluster")).union(f.groupBy("cluster").agg(F.countDistinct("person").alias("n")).where("n > 1").select("cluster")).distinct().withColumn("bad", F.lit(True))
+    single = f.groupBy("cluster").agg(F.max("person").alias("owner"))
+    j = f.join(broken, "cluster", "left").join(broken_owner, "person", "left").join(single, "cluster", "left")
+    key = (
+        F.when(F.col("person").isNotNull(), F.when(F.col("bad_owner"), F.concat(F.lit("f"), "face")).otherwise(F.concat(F.lit("p"), "person")))
+        .when(F.col("bad"), F.concat(F.lit("f"), "face")).when(F.col("owner").isNotNull(), F.concat(F.lit("p"), "owner")).otherwise(F.concat(F.lit("c"), "cluster"))
+    )
+    named = j.select("face", key.alias("key"))
+    return named.join(named.groupBy("key").agg(F.min("face").alias("part")), "key").select("face", "part")
+
+
+def inherited_ids(priors: DataFrame, clusters: DataFrame, fixed: DataFrame, preserved: DataFrame) -> DataFrame:
+    """(cluster, id): clusters keep the identity of the prior they overlap by half of its faces or more.
+
+    priors: (id, face); clusters: (cluster, face, representative); fixed: (cluster, id) confirmed by hand;
+    preserved: (id) that stay out of reach. Pairs are matched one to one, larger overlap first, then the prior
+    that holds the representative, then the lower id: rounds in which a pair is the best of both its sides,
+    which is what a greedy pass in that order gives. Raises ValueError for input that contradicts itself.
+    """
+    each = clusters.groupBy("face").agg(F.count(F.lit(1)).alias("n"))
+    problems = {
+        "a face in two clusters": each.where("n > 1"),
+        "a representative outside its cluster": clusters.groupBy("cluster").agg(F.max(F.col("face") == F.col("representative")).alias("ok")).where("NOT ok"),
+        "one id fixed to two clusters": fixed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "a fixed id that is not known": fixed.join(priors.select("id").distinct(), "id", "left_anti"),
+        "a preserved face in a cluster": clusters.join(priors.join(preserved, "id", "left_semi"), "face", "left_semi"),
+    }
+    for what, rows in problems.items():
+        if not rows.isEmpty():
+            raise ValueError(what)
+    sizes = priors.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    both = priors.join(clusters, "face").groupBy("id", "cluster").agg(F.count(F.lit(1)).alias("overlap"), F.max((F.col("face") == F.col("representative")).cast("int")).alias("anchor"))
+    free = both.join(sizes, "id").where(2 * F.col("overlap") >= F.col("size")).join(fixed.select("cluster"), "cluster", "left_anti").join(fixed.select("id").union(preserved.select("id")), "id", "left_anti")
+    open_, out = staged(free.select("id", "cluster", "overlap", "anchor")), fixed.select("cluster", "id")
+    while not open_.isEmpty():
+        key = F.struct("overlap", "anchor", (-F.col("id")).alias("i"), (-F.col("cluster")).alias("c"))
+        best = open_.withColumn("k", key)
+        won = best.join(best.groupBy("id").agg(F.max("k").alias("k")), ["id", "k"]).select("id", "cluster", "k").join(best.groupBy("cluster").agg(F.max("k").alias("k")), ["cluster", "k"]).select("cluster", "id")
+        won = staged(won)
+        out = out.union(won)
+        open_ = staged(open_.join(won.select("id"), "id", "left_anti").join(won.select("cluster"), "cluster", "left_anti"))
+    return clusters.select("cluster").distinct().join(out, "cluster", "left").select("cluster", "id")
+
+
+def split_suggestions(faces: DataFrame, least: int = 3, share: float = 0.1, apart: float = 0.45, cohesive: float = 0.5, most: int = 5000) -> DataFrame:
+    """(person_id, size_a, size_b, cosine) where a person's faces are two cohesive groups far apart.
+
+    One group is one task's work, so persons of more than `most` faces are judged by that many, by a hash of their ids.
+    """
+    r = F.row_number().over(Window.partitionBy("person_id").orderBy(F.xxhash64("id"), "id"))
+    some = faces.where("person_id IS NOT NULL").withColumn("r", r).where(F.col("r") <= most)
+
+    def judge(f: pd.DataFrame) -> pd.DataFrame:
+        v = np.array([np.asarray(x, dtype=float) for x in f.sort_values("id").v])
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        side = _split(v, 2.0, 0.0, 1)
+        none = pd.DataFrame({"person_id": [], "size_a": [], "size_b": [], "cosine": []}).astype({"person_id": "int64", "size_a": "int64", "size_b": "int64"})
+        if side.max() != 1:
+            return none
+        parts = [v[side == i] for i in (0, 1)]
+        centers = [p.mean(axis=0) / (np.linalg.norm(p.mean(axis=0)) or 1.0) for p in parts]
+        near = float(centers[0] @ centers[1])
+        ok = min(map(len, parts)) >= max(least, len(v) * share) and near <= apart and all((p @ c).mean() >= cohesive for p, c in zip(parts, centers, strict=True))
+        return pd.DataFrame({"person_id": [f.person_id.iloc[0]], "size_a": [len(parts[0])], "size_b": [len(parts[1])], "cosine": [near]}) if ok else none
+
+    return some.select("person_id", "id", "v").groupBy("person_id").applyInPandas(judge, "person_id bigint, size_a bigint, size_b bigint, cosine double")
+
+
+def consolidated(faces: DataFrame, blocked: DataFrame, least: float = 0.75) -> DataFrame:
+    """(cluster, into): clusters (id, v, cluster) whose centres are near enough merge, but for blocked pairs (a, b)."""
+    centers = centroids(faces, "cluster").select(F.col("cluster").alias("id"), F.col("centroid").alias("v"))
+    pairs = cosine_pairs(centers, least).join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("cluster"), F.col("component").alias("into"))

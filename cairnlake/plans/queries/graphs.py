@@ -242,3 +242,35 @@ def _(c):
 def _(c):
     firsts = c.faces.where("person_id IS NOT NULL").groupBy("person_id").agg(F.min("id").alias("first"))  # a row for each person
     return firsts.select("person_id", F.row_number().over(Window.orderBy("first")).cast("long").alias("cluster"))
+
+
+@query("people_protected_parts", """
+WITH f AS (SELECT id AS face, label::BIGINT AS cluster, CASE WHEN id % 7 = 0 THEN id % 3 END AS person FROM vectors), d AS (SELECT 10 AS a, 20 AS b UNION ALL SELECT 7, 28),
+p AS (SELECT x.cluster AS c1, y.cluster AS c2, x.person AS p1, y.person AS p2 FROM d JOIN f x ON x.face = a JOIN f y ON y.face = b), bo AS (SELECT DISTINCT p1 AS person FROM p WHERE p1 = p2),
+bc AS (SELECT c1 AS cluster FROM p WHERE c1 = c2 UNION SELECT cluster FROM f GROUP BY cluster HAVING count(DISTINCT person) > 1), o AS (SELECT cluster, max(person) AS owner FROM f GROUP BY cluster),
+k AS (SELECT face, CASE WHEN f.person IS NOT NULL THEN CASE WHEN f.person IN (SELECT person FROM bo) THEN 'f' || face ELSE 'p' || f.person END WHEN f.cluster IN (SELECT cluster FROM bc) THEN 'f' || face WHEN owner IS NOT NULL THEN 'p' || owner ELSE 'c' || f.cluster END AS key FROM f JOIN o ON o.cluster = f.cluster)
+SELECT face, min(face) OVER (PARTITION BY key) AS part FROM k""")
+def _(c):
+    faces = c.vectors.select(F.col("id").alias("face"), F.col("label").alias("cluster"))
+    owners = c.vectors.where("id % 7 = 0").select(F.col("id").alias("face"), (F.col("id") % 3).alias("person"))
+    return identity.protected_partition(faces, owners, c.spark.createDataFrame([(10, 20), (7, 28)], "a long, b long"))
+
+
+@query("people_inherited_ids")
+def _(c):
+    priors = c.faces.where("person_id IS NOT NULL").select(F.col("person_id").alias("id"), F.col("id").alias("face"))
+    moved = F.when(F.col("id") % 9 == 0, (F.col("person_id") + 1) % 10).otherwise(F.col("person_id")) + 100
+    clusters = c.faces.where("person_id IS NOT NULL").select(moved.alias("cluster"), F.col("id").alias("face"))
+    first = clusters.groupBy("cluster").agg(F.min("face").alias("representative"))
+    none = c.spark.createDataFrame([], "cluster long, id long")
+    return identity.inherited_ids(priors, clusters.join(first, "cluster"), none, none.select("id"))
+
+
+@query("people_split_suggestions")
+def _(c):
+    return identity.split_suggestions(c.faces.select("person_id", "id", "v"), apart=0.9, cohesive=0.05)
+
+
+@query("people_consolidated")
+def _(c):
+    return identity.consolidated(c.faces.where("person_id IS NOT NULL").select("id", "v", F.col("person_id").alias("cluster")), c.spark.createDataFrame([(0, 1)], "a long, b long"), 0.01)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions import text as X
-from cairnlake.operators import facts
+from cairnlake.operators import facts, naming
 from cairnlake.operators import organize as O
 from cairnlake.plans.registry import query
 
@@ -100,3 +100,19 @@ def _(c):
 @query("org_prototype_folders", "SELECT folder, count(*) AS n, round(avg(size_bytes), 4) AS mean FROM files GROUP BY folder HAVING count(*) >= 5")
 def _(c):
     return c.files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size_bytes"), 4).alias("mean")).where("n >= 5")
+
+
+@query("org_smart_names")
+def _(c):
+    tags = c.tags.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    files = c.files.join(tags, "id", "left").select("id", F.col("stem").alias("original"), "description", "tags")
+    return naming.propose_names(files)
+
+
+@query("org_sequence_names", """
+WITH g AS (SELECT id, folder, lang AS name, extension FROM files), u AS (SELECT id, folder, name, extension, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY id) AS n FROM g)
+SELECT id, name || CASE WHEN n + CASE WHEN contains(folder, 'src1/') THEN 1 ELSE 0 END > 1 THEN '_' || (n + CASE WHEN contains(folder, 'src1/') THEN 1 ELSE 0 END) ELSE '' END || '.' || extension AS final FROM u""")
+def _(c):
+    proposals = c.files.select("id", "folder", F.col("lang").alias("name"), "extension")
+    taken = c.files.where(F.col("folder").contains("src1/")).select("folder", F.col("lang").alias("name")).distinct()
+    return naming.unique_names(proposals, taken)
