@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions.vectors import cosine
-from cairnlake.operators import identity
+from cairnlake.operators import ann, identity
 from cairnlake.operators import similarity as S
 from cairnlake.operators.graph import components, survivors
 from cairnlake.plans.queries.facts import _KEEPER, keeper_window
@@ -274,3 +274,8 @@ def _(c):
 @query("people_consolidated")
 def _(c):
     return identity.consolidated(c.faces.where("person_id IS NOT NULL").select("id", "v", F.col("person_id").alias("cluster")), c.spark.createDataFrame([(0, 1)], "a long, b long"), 0.01)
+
+
+@query("vec_ann")
+def _(c):
+    return ann.ann_top_k(c.vectors, c.vectors.where("id % 50 = 0"), 10).withColumn("score", F.round("score", 6))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from cairnlake.functions import text as X
-from cairnlake.operators import ask, filters, identity
+from cairnlake.operators import ann, ask, filters, identity
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import sessions as T
 from cairnlake.operators import similarity as S
@@ -107,3 +107,20 @@ def test_ingest_moves_are_one_to_one(spark):
     gone = spark.createDataFrame([(1, "h", 5, 10.0), (2, "h", 5, 20.0)], "id long, content_hash string, size_bytes long, modified_at double")
     new = spark.createDataFrame([("/a", "h", 5, 11.0)], "path string, content_hash string, size_bytes long, modified_at double")
     assert [tuple(r) for r in I.moved(gone, new).collect()] == [(1, "/a")]
+
+
+def test_inverted_lists_find_nearly_all_and_exactly_all_when_probed_wholly(spark):
+    rng = random.Random(8)
+    v = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(400)]
+    v += [v[0], v[1]]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    asked = df.where("id % 50 = 0")
+    exact = {}
+    for r in S.nearest(df, 5).where("id % 50 = 0").collect():
+        exact.setdefault(r.id, set()).add(r.other)
+    for probes, least in ((8, 0.9), (10_000, 1.0)):
+        got = {}
+        for r in ann.ann_top_k(df, asked, 5, probes).collect():
+            got.setdefault(r.query, set()).add(r.id)
+        assert sum(len(got[q] & exact[q]) for q in exact) >= least * sum(map(len, exact.values()))
+    assert ann.ann_top_k(df.where("false"), asked, 5).collect() == []
