@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import small_batches
+from cairnlake.llm.common import bounded_batches, small_batches
 from cairnlake.session import table
 
 #: A task forgets its numbered pieces when it holds so many; they are folded anew if they come again.
@@ -278,6 +278,7 @@ def decode(ids: Column, path: str) -> Column:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its number of ids, and digests of the ids and of the decoded bytes."""
+    bounded_batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import small_batches
+from cairnlake.llm.common import bounded_batches, small_batches
 from cairnlake.session import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -209,4 +209,5 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page of `pages`: page_id, url, its main text and the text's code points."""
+    bounded_batches(spark)
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])

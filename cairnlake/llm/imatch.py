@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import WORD, small_batches
+from cairnlake.llm.common import WORD, bounded_batches, small_batches
 from cairnlake.session import table
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.05
@@ -193,4 +193,5 @@ def fingerprint_chain(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its I-Match fingerprint beside those of its edited text and the next document."""
+    bounded_batches(spark)
     return fingerprint_chain(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.llm.common import WORD, WORD_SQL, small_batches
+from cairnlake.llm.common import WORD, WORD_SQL, bounded_batches, small_batches
 from cairnlake.session import staged, table
 
 BLOCK = 64
@@ -227,6 +227,7 @@ def mixed_texts(docs: DataFrame, source: str = "source", text: str = "text", key
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its size, its source's size and target, and the words that the mix takes."""
+    bounded_batches(spark)
     rows, targets, pieces = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     taken = pieces.groupBy("__row").agg(F.sum("n").alias("taken"))
     t = targets.select(F.col("source").alias("__s"), "source_size", "target")

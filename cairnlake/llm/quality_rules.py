@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import WORD, small_batches
+from cairnlake.llm.common import WORD, bounded_batches, small_batches
 from cairnlake.session import staged, table
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -158,6 +158,7 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", rules
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its rule counts, whether the base rules fail, and the verdict."""
+    bounded_batches(spark)
     out = apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select(
         "doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS[:5]],

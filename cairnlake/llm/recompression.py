@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
+from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.hashing import MASK, Spans, byte_values, mix, words
 from cairnlake.session import table
 
@@ -229,5 +230,6 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", batc
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its words, those removed, and a digest of the words that stay."""
+    bounded_batches(spark)
     out = dedup_windows(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

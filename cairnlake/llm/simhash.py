@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import small_batches
+from cairnlake.llm.common import bounded_batches, small_batches
 from cairnlake.operators.graph import components
 from cairnlake.session import staged, table
 
@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its fingerprint and the component it belongs to."""
+    bounded_batches(spark)
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"),

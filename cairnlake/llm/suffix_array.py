@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.batches import BATCH, NO_KEY, bucket_bits, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
+from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.hashing import Spans, byte_values, mix
 from cairnlake.session import table
 
@@ -307,5 +308,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: its bytes, those removed, the runs they form, and a digest of the bytes that stay."""
+    bounded_batches(spark)
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import WORD, small_batches
+from cairnlake.llm.common import WORD, bounded_batches, small_batches
 from cairnlake.session import staged, table
 
 GRAM = 5
@@ -261,5 +261,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: whether it is held out, its score, the prediction, and the nearest examples."""
+    bounded_batches(spark)
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("key").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

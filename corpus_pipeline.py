@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.byte_bpe import decode, encode
+from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.line_dedup import dedup_lines
 from cairnlake.llm.mixing import mixed_texts
 from cairnlake.llm.quality_rules import apply_rules
@@ -19,27 +20,32 @@ from cairnlake.session import staged, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules and their host's verdict."""
+    bounded_batches(spark)
     return apply_rules(docs).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that came before; a document may be left empty, and stays."""
+    bounded_batches(spark)
     return dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id; rows without doc_id stay."""
+    bounded_batches(spark)
     gone = near_duplicates(docs).where("key <> component").select(F.col("key").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each turn in which words of a document are taken."""
+    bounded_batches(spark)
     return mixed_texts(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, with digests of the ids and of the bytes they decode to."""
+    bounded_batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
