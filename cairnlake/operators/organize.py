@@ -76,3 +76,35 @@ def majority(votes: DataFrame, by: str, least: int = 3) -> DataFrame:
     each = votes.groupBy(by, "vote").agg(F.count(F.lit(1)).alias("n"))
     g = each.groupBy(by).agg(F.sum("n").alias("total"), F.max(F.struct("n", "vote")).alias("x"))
     return g.where((F.col("total") >= least) & (2 * F.col("x.n") > F.col("total"))).select(by, F.col("x.vote").alias("vote"))
+
+
+def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, least: float, margin: float, alike: float) -> DataFrame:
+    """(id, destination, why) for files with vectors.
+
+    A file goes to the folder whose prototype (the mean of its members) is nearest, if near enough and clear of
+    the second; a file that already is there stays. Others that are alike form groups (components of cosine
+    pairs), named by the words that mark them. folders: (id, folder); vectors: (id, v).
+    """
+    from cairnlake.operators.graph import components
+    from cairnlake.operators.similarity import centroids, cosine_pairs, two_nearest
+
+    member = vectors.join(folders, "id")
+    numbered = folders.select("folder").distinct().select("folder", F.xxhash64("folder").alias("key"))
+    prototypes = centroids(member.join(numbered, "folder").select("id", "v", "key"), "key").where("n >= 3")
+    best = two_nearest(vectors, prototypes, "key").where((F.col("score") >= least) & (F.coalesce("margin", F.lit(2.0)) >= margin))
+    routed = best.join(numbered.withColumnRenamed("key", "center"), "center").join(folders.withColumnRenamed("folder", "here"), "id", "left")
+    routed = routed.where(F.col("here").isNull() | (F.col("here") != F.col("folder"))).select("id", F.col("folder").alias("destination"), F.lit("prototype").alias("why"))
+    rest = vectors.join(best.select("id"), "id", "left_anti")
+    pairs = cosine_pairs(rest, alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    words = groups.join(files.select("id", F.explode(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0))).alias("token")), "id").select("group", "token")
+    named = groups.join(group_names(words, 2), "group", "left")
+    return routed.unionByName(named.select("id", F.concat(F.lit("New/"), F.coalesce("name", F.lit("group"))).alias("destination"), F.lit("group").alias("why")))
+
+
+def signatures(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, v): files as normalised multi-hot vectors over a vocabulary (token, i) of a few hundred words."""
+    size = vocabulary.count()
+    hot = tokens.join(F.broadcast(vocabulary), "token").groupBy("id").agg(F.collect_set("i").alias("on"))
+    one = lambda i: F.when(F.array_contains("on", i), 1.0 / F.sqrt(F.size("on"))).otherwise(0.0)
+    return hot.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one).alias("v"))

@@ -116,3 +116,19 @@ def _(c):
     proposals = c.files.select("id", "folder", F.col("lang").alias("name"), "extension")
     taken = c.files.where(F.col("folder").contains("src1/")).select("folder", F.col("lang").alias("name")).distinct()
     return naming.unique_names(proposals, taken)
+
+
+@query("org_semantic")
+def _(c):
+    folders = c.files.where("id % 3 = 0").select("id", "folder")
+    return O.semantic_plan(c.files, c.vectors.select("id", "v"), folders, 0.2, 0.02, 0.3)
+
+
+@query("org_signatures", r"""
+WITH t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(stem), '[a-z]+'))) AS token FROM files), voc AS (SELECT token FROM t GROUP BY token HAVING count(*) >= 2 ORDER BY count(*) DESC, token LIMIT 512), n AS (SELECT id, count(*) AS n FROM t WHERE token IN (SELECT token FROM voc) GROUP BY id)
+SELECT id, n AS ones, round(1 / sqrt(n), 6) AS weight FROM n""")
+def _(c):
+    t = c.files.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
+    top = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "token").limit(512)
+    vocabulary = top.select("token", (F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) - 1).alias("i"))
+    return O.signatures(t, vocabulary).select("id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("ones"), F.round(F.array_max("v"), 6).alias("weight"))

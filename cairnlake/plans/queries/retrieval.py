@@ -134,3 +134,20 @@ def _(c):
 @query("win_follow_ups", "SELECT conv, turn, lag(turn) OVER (PARTITION BY conv, role ORDER BY turn) AS before, count(*) OVER (PARTITION BY conv) AS n FROM messages")
 def _(c):
     return c.messages.select("conv", "turn", F.lag("turn").over(Window.partitionBy("conv", "role").orderBy("turn")).alias("before"), F.count(F.lit(1)).over(Window.partitionBy("conv")).alias("n"))
+
+
+@query("vec_passages_floor", "SELECT id, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 30)), 6) AS score FROM vectors WHERE list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 30)) >= 0.2 ORDER BY score DESC, id LIMIT 20")
+def _(c):
+    q = c.vectors.where("id = 30").select("v").first()[0]
+    return S.top_k(c.vectors, q, 20).where("score >= 0.2").select("id", F.round("score", 6).alias("score"))
+
+
+@query("chat_retrieval", _BM25 + _VISUAL + """
+, r AS (SELECT id, score, place FROM fused WHERE id IN (SELECT id FROM files WHERE kind IN ('doc', 'pdf'))), h AS (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, place, id)::INTEGER AS rank FROM r),
+m AS (SELECT id, 2147483647 AS rank FROM files WHERE kind IN ('doc', 'pdf') AND contains(lower(text), 'license') AND id NOT IN (SELECT id FROM h) ORDER BY id LIMIT 50) SELECT id, rank FROM (SELECT * FROM h UNION ALL SELECT * FROM m) ORDER BY rank, id LIMIT 50""")
+def _(c):
+    query_, kinds = ask.search_plan(["license files", "only documents"])
+    found = Filter(kinds=kinds).apply(c.files)
+    hits = R.restrict(R.fuse([_keyword(c), _visual(c)], limit=100), found)
+    ranked = hits.select("id", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "at", "id")).alias("rank"))
+    return R.fill(ranked, found.where(F.lower("text").contains(query_)), 50)
