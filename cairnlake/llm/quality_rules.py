@@ -37,7 +37,7 @@ class Rules:
 
     min_words: int = 10
     max_repeat_pct: int = 20
-    max_symbols_per_100_words: int = 50
+    max_symbols_per_100_words: int = 20
     max_dup_lines_pct: int = 50
     mean_word_chars: tuple[float, float] = (2.0, 20.0)
     #: A host whose shrunk failure rate reaches this is blocked: its documents face limits cut by `strict`.
@@ -191,9 +191,9 @@ WITH d AS (
   FROM w LEFT JOIN reps ON reps.r = w.r
 ), f AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-    (100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines
+    (100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
       OR (n_words > 0 AND NOT (word_chars / n_words BETWEEN 2.0 AND 20.0))) AS soft,
-    (400 * n_symbols > 50 * n_words OR 400 * n_dup_lines > 50 * n_lines
+    (400 * n_symbols > 20 * n_words OR 400 * n_dup_lines > 50 * n_lines
       OR (n_words > 0 AND NOT (word_chars / n_words BETWEEN 2.0 AND 20.0))) AS strict_soft
   FROM c
 ), h AS (
