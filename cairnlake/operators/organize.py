@@ -108,3 +108,43 @@ def signatures(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     hot = tokens.join(F.broadcast(vocabulary), "token").groupBy("id").agg(F.collect_set("i").alias("on"))
     one = lambda i: F.when(F.array_contains("on", i), 1.0 / F.sqrt(F.size("on"))).otherwise(0.0)
     return hot.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one).alias("v"))
+
+
+RAW_EXTENSIONS = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2")
+
+
+def folder_role(name: Column) -> Column:
+    """What a folder's name says it holds: raw, jpeg, video, photo, or null."""
+    low = F.lower(name)
+    return F.when(low.rlike(r"\braws?\b"), "raw").when(low.rlike(r"\bjpe?gs?\b"), "jpeg").when(low.rlike(r"\b(videos?|movies|clips)\b"), "video").when(low.rlike(r"\b(photos?|pictures|images)\b"), "photo")
+
+
+def file_role(kind: Column, extension: Column) -> Column:
+    """What a file is to such folders."""
+    e = F.lower(extension)
+    return F.when(e.isin(*RAW_EXTENSIONS), "raw").when(e.isin("jpg", "jpeg"), "jpeg").when(kind == "video", "video").when(kind == "image", "photo")
+
+
+def fits(folder: Column, file: Column) -> Column:
+    """Whether a file belongs in a folder of a role; a folder without one takes all."""
+    return folder.isNull() | (folder == file) | ((folder == "photo") & file.isin("raw", "jpeg", "photo"))
+
+
+def junk_prototype(name: Column) -> Column:
+    """Folder names that cannot stand for a subject: dumps, and bare years that no camera has seen."""
+    low = F.lower(F.trim(name))
+    year = F.regexp_extract(low, r"^(\d{4})$", 1)
+    return low.rlike(r"^(new|old|misc|other|stuff|backup|export|untitled).*$") | ((year != "") & ((year < "1990") | (year > "2100")))
+
+
+def respected(moves: DataFrame, usable: Column, role: Column, tiers: DataFrame) -> DataFrame:
+    """Moves without files that are organised already: in a usable folder that is no junk and fits their role."""
+    j = moves.join(tiers.select("folder", "tier"), "folder", "left")
+    organised = usable & (F.coalesce("tier", F.lit("junk")) != "junk") & fits(folder_role(F.col("folder")), role)
+    return j.where(~organised).drop("tier")
+
+
+def reply_fields(reply: Column, schema: str) -> Column:
+    """Fields of a JSON reply, taken between its first and last brace; null where it does not parse."""
+    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    return F.from_json(body, schema, {"mode": "PERMISSIVE"})

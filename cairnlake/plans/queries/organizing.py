@@ -132,3 +132,35 @@ def _(c):
     top = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "token").limit(512)
     vocabulary = top.select("token", (F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) - 1).alias("i"))
     return O.signatures(t, vocabulary).select("id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("ones"), F.round(F.array_max("v"), 6).alias("weight"))
+
+
+@query("org_folder_roles", r"""
+WITH n AS (SELECT id, kind, lower(extension) AS e, (['RAW', 'jpeg export', 'Video clips', 'My photos', 'trip'])[(id % 5 + 1)::INTEGER] AS folder FROM files),
+r AS (SELECT id, CASE WHEN regexp_matches(lower(folder), '\braws?\b') THEN 'raw' WHEN regexp_matches(lower(folder), '\bjpe?gs?\b') THEN 'jpeg' WHEN regexp_matches(lower(folder), '\b(videos?|movies|clips)\b') THEN 'video' WHEN regexp_matches(lower(folder), '\b(photos?|pictures|images)\b') THEN 'photo' END AS fr,
+  CASE WHEN e = 'arw' THEN 'raw' WHEN e = 'jpg' THEN 'jpeg' WHEN kind = 'video' THEN 'video' WHEN kind = 'image' THEN 'photo' END AS r FROM n)
+SELECT id, fr AS folder_role, r AS file_role, coalesce(fr IS NULL OR fr = r OR (fr = 'photo' AND r IN ('raw', 'jpeg', 'photo')), false) AS fits FROM r""")
+def _(c):
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("RAW", "jpeg export", "Video clips", "My photos", "trip")]), (F.col("id") % 5 + 1).cast("int"))
+    a, b = O.folder_role(folder), O.file_role(F.col("kind"), F.col("extension"))
+    return c.files.select("id", a.alias("folder_role"), b.alias("file_role"), F.coalesce(O.fits(a, b), F.lit(False)).alias("fits"))
+
+
+@query("org_respected", _PLAN + """
+SELECT p.id, p.destination FROM p JOIN tiers ON tiers.folder = p.folder WHERE NOT (p.id % 2 = 0 AND tier <> 'junk')""")
+def _(c):
+    p = _plan(c)
+    return O.respected(p, F.col("id") % 2 == 0, F.lit("photo"), facts.folder_tiers(p)).select("id", "destination")
+
+
+@query("org_junk_prototypes", r"""
+WITH n AS (SELECT DISTINCT (['New Folder', '1850', '2019', 'Rome', 'backup 3'])[(id % 5 + 1)::INTEGER] AS name FROM files)
+SELECT name, regexp_matches(lower(trim(name)), '^(new|old|misc|other|stuff|backup|export|untitled).*$') OR (regexp_matches(trim(name), '^\d{4}$') AND (trim(name) < '1990' OR trim(name) > '2100')) AS junk FROM n""")
+def _(c):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("New Folder", "1850", "2019", "Rome", "backup 3")]), (F.col("id") % 5 + 1).cast("int"))
+    return c.files.select(name.alias("name")).distinct().select("name", O.junk_prototype(F.col("name")).alias("junk"))
+
+
+@query("fn_reply_fields", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events")
+def _(c):
+    reply = F.when(F.col("event_id") % 3 == 0, F.lit("no idea")).otherwise(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done")))
+    return c.table("events").select("event_id", O.reply_fields(reply, "k string")["k"].alias("k"))
