@@ -74,3 +74,13 @@ def test_text_of_documents(spark, tmp_path):
     assert row.text == "seen" and row.identity == D.content_identity((tmp_path / "a.html").read_bytes())
     big = bytes(D.WHOLE + 5)
     assert D.content_identity(big) != D.content_identity(big + b"x")
+
+
+def test_intents_are_parsed_and_questions_are_not():
+    from cairnlake.operators.intents import intent
+
+    assert intent("Please stop the scan.") == {"kind": "stopJob", "job": "scan"}
+    assert intent("trash the duplicates")["kind"] == "moveDuplicatesToTrash" and intent("trash my songs") == {"kind": "refuse"}
+    assert intent("merge Ann into Anna") == {"kind": "mergePeople", "people": ["Anna", "Ann"]}
+    assert intent("call them uncle bob") == {"kind": "namePerson", "name": "Uncle Bob"}
+    assert intent("how many songs are there?") is None and intent("this is nice") is None
