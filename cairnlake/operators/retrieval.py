@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +26,11 @@ def bm25(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     Terms are looked for while a document is read: only matching counts are shuffled, never the corpus.
     """
     wanted = list(dict.fromkeys(t.lower() for t in terms))
-    split = docs.select("id", tokens(text).alias("t"))
-    count = lambda w: F.size(F.filter("t", lambda x: x == w))
+    low = F.lower(text)
+    # counted by the regular expression engine: no array of tokens is built
+    count = lambda w: F.when(low.contains(w), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])"))).otherwise(0)
     counts = [count(w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    found = split.select("id", F.size("t").alias("length"), *counts)
+    found = docs.select("id", F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("length"), *counts)
     facts = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     hits = found.where(" AND ".join(f"tf{i} > 0" for i in range(len(wanted)))).join(F.broadcast(facts), F.lit(True))  # one row
     score = F.lit(0.0)
