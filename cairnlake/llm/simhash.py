@@ -35,18 +35,18 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
-def shingle_hashes(text: str | None) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
     """XXH64 of every shingle of a text, repeats included."""
     words = WORD_BYTES.findall((text or "").encode().lower())  # lower() of bytes changes A-Z alone
     if not words:
         return []
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(line, SEED)]
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - np.array([len(w) for w in words])).tolist()
     digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=False)]
+    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

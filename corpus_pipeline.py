@@ -14,6 +14,7 @@ from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.line_dedup import dedup_lines
 from cairnlake.llm.mixing import mixed_texts
 from cairnlake.llm.quality_rules import apply_rules
+from cairnlake.llm.shingles import shingle_components
 from cairnlake.llm.simhash import near_duplicates
 from cairnlake.session import staged, table
 
@@ -31,12 +32,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; rows without doc_id stay."""
+    """The rule of op2_simhash alone: of each of its components the document with the least doc_id; rows without doc_id stay."""
     bounded_batches(spark)
     gone = near_duplicates(docs).where("key <> component").select(F.col("key").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that SimHash or five-word shingles of similarity 0.8 link: that with the least doc_id."""
+    bounded_batches(spark)
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = staged(shingle_components(rows, near_duplicates(rows, key="__row")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component").agg(first)
+    return rows.join(kept.select("__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each turn in which words of a document are taken."""
     bounded_batches(spark)
@@ -59,7 +70,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", simhash_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mixing),
     ("byte-level BPE encoding and decoding", byte_bpe),
 ]
