@@ -9,7 +9,8 @@ expression. Frequent lines are pre-aggregated before each shuffle and meet a sid
 so adaptive execution can split a hot key.
 
 Defined results: a null text counts as empty and stays null; texts with fewer than `run` lines with words
-stay as they are; documents are ordered by key, null last, then by text; rows equal in key and text are one
+stay as they are, unless `words` is given: then a repeat of fewer lines that hold so many words counts too,
+and so does a later copy of a whole text of fewer lines; documents are ordered by key, null last, then by text; rows equal in key and text are one
 document and are treated alike; an empty table gives no rows; other columns are passed through, and names
 that begin with two underscores are reserved.
 """
@@ -20,17 +21,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnlake.llm.common import WORD_SQL
 from cairnlake.session import staged, table
 
 #: Lines with words that a repeated run has at least.
 RUN = 4
+#: Words that make a shorter repeat count, where dedup_lines is given them.
+PASSAGE = 50
 
 
-def _windows(text: Column, run: int) -> Column:
-    """Array of (fp, windows): each fingerprint of a text and, of the windows it stands for, keys and first and last line."""
+def _windows(text: Column, run: int, words: int | None = None) -> Column:
+    """Array of (fp, windows): each fingerprint of a text and, of the windows it stands for, keys and first and last line.
+
+    With `words` also shorter windows that hold so many words, and a text of fewer than `run` lines as a whole.
+    """
     lines = F.split(text, "\n", -1)
+    counted = lambda x: [F.regexp_count(x, F.lit(WORD_SQL)).alias("n")] if words else []
     named = F.filter(
-        F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(x).alias("h"), i.alias("at")))),
+        F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(x).alias("h"), i.alias("at"), *counted(x)))),
         lambda x: x.isNotNull(),
     )
 
@@ -48,14 +56,36 @@ def _windows(text: Column, run: int) -> Column:
                 ).alias("w"),
             )
 
-        return F.when(F.size(named) >= run, F.transform(F.sequence(F.lit(0), F.size(named) - run), window))
+        def exact(part: Column, kind: str) -> Column:
+            hashes = F.transform(part, lambda x: x["h"])
+            a = F.xxhash64(F.lit(kind), hashes)
+            return F.struct(
+                F.struct(a.alias("h"), F.lit(0).alias("back")).alias("fp"),
+                F.struct(a.alias("a"), F.xxhash64(F.lit(1), F.lit(kind), hashes).alias("b"), F.element_at(part, 1)["at"].alias("s"), F.element_at(part, -1)["at"].alias("e")).alias("w"),
+            )
+
+        def short(n: int) -> Column:
+            # windows that a shorter one of the same first or last line does not hold: their unions are those of all
+            def least(j: Column) -> Column:
+                sizes = [F.get(named, j + i)["n"] for i in range(n)]
+                total = sum(sizes[1:], sizes[0])
+                return (total >= words) & ((total - sizes[0] < words) | (total - sizes[-1] < words))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(named) - n), least)
+            return F.when(F.size(named) >= n, F.transform(starts, lambda j: exact(F.slice(named, j + 1, F.lit(n)), "lines")))
+
+        runs = F.when(F.size(named) >= run, F.transform(F.sequence(F.lit(0), F.size(named) - run), window))
+        if not words:
+            return runs
+        whole = F.when(F.size(named).between(1, run - 1), F.array(exact(named, "text")))
+        return F.flatten(F.array_compact(F.array(runs, whole, *[short(n) for n in range(1, run)])))
 
     return F.get(F.transform(F.array(named), of), F.lit(0))
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, words: int | None = None) -> DataFrame:
     """(__key, __hash, __runs): per document with repeats its runs [s, e] of lines to delete, in order."""
-    d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.explode(_windows(F.col(f"`{text}`"), run)).alias("x"))
+    d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.explode(_windows(F.col(f"`{text}`"), run, words)).alias("x"))
     # a row for each fingerprint with its windows: they are neighbours, and stay together
     windows = d.select("key", "hash", F.col("x.fp.h").alias("fp"), F.col("x.w").alias("w"))
     windows = staged(windows.select("key", "hash", "fp", "w.*"))
@@ -72,9 +102,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run:
     return runs.groupBy(F.col("key").alias("__key"), F.col("hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__runs"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, n_chars: str | None = "n_chars") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, n_chars: str | None = "n_chars", words: int | None = None) -> DataFrame:
     """docs with repeated runs deleted from the text, and __n_lines, __n_removed, __n_runs beside their columns."""
-    runs = repeated_runs(docs, text, key, run)
+    runs = repeated_runs(docs, text, key, run, words)
     t = F.col(f"`{text}`")
     found = docs.withColumn("__h", F.xxhash64(t)).join(runs, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__hash")), "left")
     lines = F.split(t, "\n", -1)

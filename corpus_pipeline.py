@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm.byte_bpe import decode, encode
 from cairnlake.llm.common import bounded_batches
-from cairnlake.llm.line_dedup import dedup_lines
+from cairnlake.llm.line_dedup import PASSAGE, dedup_lines
 from cairnlake.llm.mixing import mixed_texts
 from cairnlake.llm.quality_rules import apply_rules
 from cairnlake.llm.shingles import shingle_components
@@ -26,11 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that came before; a document may be left empty, and stays."""
+    """The rule of op1_line_dedup alone: documents without runs of lines that came before; a document may be left empty, and stays."""
     bounded_batches(spark)
     return dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def line_and_passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of four lines, shorter passages of 50 words, and short whole texts that came before."""
+    bounded_batches(spark)
+    return dedup_lines(docs, words=PASSAGE).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rule of op2_simhash alone: of each of its components the document with the least doc_id; rows without doc_id stay."""
     bounded_batches(spark)
@@ -69,7 +75,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
+    ("line dedup", line_and_passage_dedup),
     ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mixing),
     ("byte-level BPE encoding and decoding", byte_bpe),
