@@ -56,3 +56,10 @@ def test_the_pairs_of_the_documents(spark):
     left = {r.doc_id for r in stage(spark, rows).collect()}
     assert {1, 6} <= left and not {145, 177} & left
     assert left == brute_kept([(r.doc_id, r.text) for r in rows.collect()])
+
+
+def test_rows_that_repeat_or_lack_a_doc_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, b), (None, "c d e"), (None, "c d e")]
+    got = [(r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, "c d e")], key=str)
