@@ -42,13 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session, as in tests, takes a temporary folder; on a cluster, whose executors
+    would each write to a folder of their own, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         jvm_dir = context._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cairnlake-")
         context.setCheckpointDir(found)
     return found
@@ -60,6 +66,7 @@ def staged(df: DataFrame) -> DataFrame:
     This cuts the lineage: the rows outlive lost executors, and later jobs do not compute them again.
     """
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
