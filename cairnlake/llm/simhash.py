@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, exact Hamming check.
 
 Fingerprints of 64 bits are cut into six blocks. Two that differ in at most three bits agree on three blocks
-or more, so pairs are joined on every choice of three blocks (20 keys of about 32 bits: chance partners stay
-few at any corpus size), the distance is verified in the join, and a pair is kept only under its first
-agreeing key. Equal fingerprints are one node, so copies are never expanded into pairs.
+or more, so they meet under one of the 20 choices of three blocks (keys of about 32 bits: chance partners stay
+few at any corpus size), where the distance is verified. Equal fingerprints are one node, and near ones are
+first linked to the least of their block, so neither copies nor near copies are expanded into pairs.
 
 Defined results: a null or empty text, or one without words, has the fingerprint zero and is linked like any
 other; texts of one or two words are one shingle; rows with the same doc_id are one node; rows with a null
@@ -81,23 +81,34 @@ def block_masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of nodes (node, fp) whose distinct fingerprints differ in RADIUS bits or fewer, once each."""
+def links(fps: DataFrame) -> DataFrame:
+    """Links (src, dst) over distinct fingerprints (fp) whose components are those of all pairs within RADIUS bits.
+
+    Two steps, so that a ball of near fingerprints is not expanded into its pairs: each block links its members
+    to its least one where the distance allows, and then only pairs of a block that this left apart are compared.
+    """
     masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks()])
-    keyed = nodes.select("node", "fp", F.posexplode(masks).alias("k", "mask")).select("node", "fp", "k", F.expr("fp & mask").alias("block"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = ~F.exists(F.slice(masks, F.lit(1), F.col("a.k")), lambda m: differ.bitwiseAND(m) == 0)
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= RADIUS) & first
-    return a.join(b, on).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.expr("fp & mask").alias("block"))
+    shared = keyed.groupBy("k", "block").agg(F.min("fp").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    near = staged(keyed.join(shared, ["k", "block"]))
+    within = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
+    stars = staged(near.where((F.col("fp") != F.col("one")) & within("fp", "one")).select(F.col("fp").alias("src"), F.col("one").alias("dst")).distinct())
+    joined = staged(near.join(components(stars).select(F.col("node").alias("fp"), "component"), "fp", "left").select("k", "block", "fp", F.coalesce("component", "fp").alias("c")))
+    apart = joined.groupBy("k", "block").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k", "block")
+    left = joined.join(apart, ["k", "block"])
+    a, b = left.select("k", "block", F.col("fp").alias("src"), F.col("c").alias("c")), left.select("k", "block", F.col("fp").alias("dst"), F.col("c").alias("d"))
+    pairs = a.join(b, ["k", "block"]).where((F.col("c") < F.col("d")) & within("src", "dst")).select("src", "dst").distinct()
+    return stars.union(pairs)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component): the least key that a row reaches over links, itself included."""
     rows = staged(fingerprints(docs, text, key))
-    nodes = staged(rows.groupBy("fp").agg(F.min("key").alias("node")))
-    found = components(links(nodes.where("node IS NOT NULL")))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    nodes = staged(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    # the graph is over fingerprints, so rows without a key link like any other
+    found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = staged(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(named, "fp").select("key", "fp", "component")
 
 

@@ -5,6 +5,7 @@ import random
 import xxhash
 
 from cairnlake.llm import simhash
+from cairnlake.operators.graph import components
 
 
 def brute_fp(text):
@@ -48,7 +49,7 @@ def test_documents(spark):
     check(spark, [*texts, None, "", "  \n", "One", "one", "one Two", "É a", "é a", texts[0], "w " * 100_000])
 
 
-def test_links_are_those_of_brute_force(spark):
+def test_links_join_what_brute_force_joins(spark):
     random.seed(5)
     fps = {random.getrandbits(64)}
     for _ in range(60):
@@ -56,10 +57,26 @@ def test_links_are_those_of_brute_force(spark):
         for _ in range(random.randrange(1, 6)):
             x ^= 1 << random.randrange(64)
         fps.add(x)
-    fps = sorted(fps)
-    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
-    got = sorted(tuple(sorted((r.src, r.dst))) for r in simhash.links(spark.createDataFrame(rows, "node long, fp long")).collect())
-    assert got == [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    center = random.getrandbits(64)  # a ball of near fingerprints
+    fps |= {center ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for _ in range(80)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = [(r.src, r.dst) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in got)
+    found = {r.node: r.component for r in components(spark.createDataFrame(got, "src long, dst long")).collect()}
+    assert {f: found.get(f, f) for f in signed} == {f: signed[i] for f, i in ((signed[k], v) for k, v in brute_components({k: f & (2**64 - 1) for k, f in enumerate(signed)}).items())}
+
+
+def test_rows_without_key_link_and_bridge(spark, monkeypatch):
+    fp = {"A": 0b1, "near A": 0b11, "B": 0b11100000, "bridge": 0b00100000 | 0b1, "far": 0b1111 << 59}
+    fp["C"] = fp["bridge"] ^ (0b111 << 20)
+    fp["D"] = fp["bridge"] ^ (0b111 << 30)
+    rows = [(None, "far"), (7, "far"), (None, "bridge"), (9, "C"), (3, "D"), (None, "B" * 3)]
+    fp["BBB"] = 2**50 + 2**51 + 2**52 + 2**53
+    table = spark.createDataFrame([(k, fp[t]) for k, t in rows], "key long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, text, key: docs)
+    got = sorted((str(r.key), r.fp, r.component) for r in simhash.near_duplicates(table).collect())
+    want = [("None", fp["far"], 7), ("7", fp["far"], 7), ("None", fp["bridge"], 3), ("9", fp["C"], 3), ("3", fp["D"], 3), ("None", fp["BBB"], None)]
+    assert got == sorted(want, key=lambda x: x[:2])
 
 
 def test_nulls_repeats_and_empty_table(spark):
