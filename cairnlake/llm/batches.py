@@ -1,9 +1,12 @@
 """Documents in packed batches, and a packed exchange that tells each batch which of its names others have too.
 
-A batch is about a megabyte of whole documents, compressed, in one row, so that numpy works on arrays instead
-of rows and a shuffle moves compressed bytes. Names are 64-bit hashes; a name meets itself in the bucket of its
-first bits. Each batch sends its distinct names of a bucket once, sorted, as 32-bit differences, however often
-they come, so the most frequent name weighs no more than any other; the bucket answers with one code per name.
+A batch is about four megabytes of whole documents, compressed, in one row, so that numpy works on arrays
+instead of rows and a shuffle moves compressed bytes. Inside a batch work goes by pieces of a megabyte, and a
+longer document is cut in overlapping pieces, so memory does not grow with its length. Names are 64-bit hashes;
+a name meets itself in the bucket of its first bits. Each batch sends its distinct names of a bucket once,
+sorted, as 32-bit differences, with their counts, so the most frequent name weighs no more than any other; the
+bucket answers with one code per name. A bucket holds the names of a fixed volume of text, and is a partition of
+its own: what a task reads does not grow with the input.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from cairnlake.llm.hashing import joined
 from cairnlake.session import staged
 
-BATCH = 1 << 20
+BATCH = 4 << 20
+#: Bytes of text of which a bucket of names, and a task that reads batches, holds its share.
+BUCKET, READ = 32 << 20, 16 << 20
 NO_KEY = 2**63 - 1
 PACKED_SQL = "batch bigint, docs binary, hashes binary, sizes binary, blob binary"
 CODES_SQL = "batch bigint, bucket bigint, codes binary"
@@ -80,9 +85,28 @@ def texts_of(docs: bytes, hashes: bytes, sizes: bytes, blob: bytes) -> tuple[np.
     return np.frombuffer(docs, np.int64), np.frombuffer(hashes, np.int64), data, bounds
 
 
-def bucket_bits(n_batches: int) -> int:
+def bucket_bits(n_batches: int, batch_bytes: int = BATCH) -> int:
     """First bits of a name that choose its bucket; with 32 more they are the name. Both grow with the input."""
-    return min(24, max(4, (n_batches // 32).bit_length()))
+    return min(24, max(4, (n_batches * batch_bytes // BUCKET).bit_length()))
+
+
+def readers(n_batches: int, batch_bytes: int = BATCH) -> int:
+    """Tasks that read batches: one for each READ bytes of text, 16 at least."""
+    return max(16, n_batches * batch_bytes // READ)
+
+
+def pieces(starts: np.ndarray, ends: np.ndarray, most: int, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, starts, ends) of neighbouring documents in pieces of about `most`; longer ones are cut alone, with an overlap."""
+    sizes = ends - starts
+    alone = sizes > most
+    number = np.cumsum(np.where(alone, 0, sizes)) // most
+    cut = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | alone[1:] | alone[:-1]])) if len(sizes) else np.empty(0, np.int64)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(sizes)], strict=False):
+        if not alone[i]:
+            yield i, starts[i:j], ends[i:j]
+            continue
+        for at in range(int(starts[i]), int(ends[i]) - overlap, most - overlap):
+            yield i, np.array([at]), np.array([min(at + most, int(ends[i]))])
 
 
 def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
@@ -103,7 +127,7 @@ def _sent(names_of: Callable, bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(buckets), pa.array(np.full(len(buckets), batch)), pa.array([pack(np.diff(low[p], prepend=np.uint32(0))) for p in parts], pa.binary()),
-                        pa.array([pack(np.minimum(n[p], 255).astype(np.uint8)) for p in parts], pa.binary()),
+                        pa.array([pack(n[p].astype(np.uint32)) for p in parts], pa.binary()),
                     ],
                     names=["bucket", "batch", "names", "counts"],
                 )
@@ -120,7 +144,7 @@ def distinct(names: np.ndarray, bits: int, inverse: bool = False):
 def _answered(hot: int):
     def run(rows: pa.Table) -> pa.Table:
         steps = [unpack(x, np.uint32) for x in rows.column("names").to_pylist()]
-        counts = np.concatenate([unpack(x, np.uint8) for x in rows.column("counts").to_pylist()])
+        counts = np.concatenate([unpack(x, np.uint32) for x in rows.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint32) for s in steps]), return_inverse=True)
         total = np.bincount(inverse, counts)[inverse]
         codes = (total > 1).astype(np.uint8) + (total > hot).astype(np.uint8)
@@ -130,15 +154,15 @@ def _answered(hot: int):
     return run
 
 
-def answers_by_batch(answers: DataFrame, name: str) -> DataFrame:
+def answers_by_batch(answers: DataFrame, name: str, tasks: int) -> DataFrame:
     """(batch, name): a batch's answers from all buckets."""
-    return answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias(name))
+    return answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias(name))
 
 
-def name_codes(packed: DataFrame, names_of: Callable, bits: int, hot: int) -> DataFrame:
+def name_codes(packed: DataFrame, names_of: Callable, bits: int, hot: int, tasks: int) -> DataFrame:
     """(batch, codes): of each batch's distinct names whether one is met once (0), more often (1), or above hot times (2)."""
     sent = packed.mapInArrow(_sent(names_of, bits), "bucket bigint, batch bigint, names binary, counts binary")
-    return answers_by_batch(sent.groupBy("bucket").applyInArrow(_answered(hot), CODES_SQL), "codes")
+    return answers_by_batch(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answered(hot), CODES_SQL), "codes", tasks)
 
 
 def read_codes(codes: list | None, n: int) -> np.ndarray:

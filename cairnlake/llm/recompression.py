@@ -12,7 +12,8 @@ go packed to buckets by hashes of all their words; a bucket finds the first plac
 bit per window. 3. Each batch deletes the words of its windows that are not the first of their kind.
 
 A name or a window reaches a bucket once a batch at most, so a passage in a third of all documents weighs little
-more than any other, and no task gets all rows of a key. Equality of windows is of 80 hashed bits.
+more than any other, and no task gets all rows of a key. Words are named by XXH64; windows are equal if 128 bits
+of two hashes over their names are.
 
 Defined results: a null text counts as empty; documents with fewer words than a window keep all; order is by
 key, null last, then by a hash of the text; rows equal in key and text are one place, none before the other;
@@ -25,16 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, name_codes, pack, packed_batches, read_codes, texts_of, unpack
+from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, name_codes, pack, packed_batches, pieces, read_codes, readers, texts_of, unpack
 from cairnlake.llm.common import bounded_batches
-from cairnlake.llm.hashing import MASK, Spans, byte_values, mix, words
+from cairnlake.llm.hashing import MASK, Spans, mix, words
 from cairnlake.session import table
 
 WINDOW = 20
 ROUNDS = 4
+SEED = 9
+#: Words whose windows are looked at at once.
+PIECE = 200_000
 NONE = 1 << 40  # a context that reaches beyond a document's ends
 
 
@@ -80,8 +85,19 @@ def symbols(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
 def patches(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, i0, i1, name): windows i0..i1 (words from the document's start) share an anchor.
 
-    Every window of every document is in exactly one patch.
+    Every window of every document is in exactly one patch. A symbol inside a window depends on the window's
+    words alone, so a long document may be cut in overlapping pieces.
     """
+    found = []
+    for d, starts, ends in pieces(first[:-1], first[1:], PIECE, window - 1):
+        lo = starts[0]
+        doc, i0, i1, name = _patches(names[lo : ends[-1]], np.append(starts, ends[-1]) - lo, window)
+        back = (starts - first[d : d + len(starts)])[doc]
+        found.append((d + doc, i0 + back, i1 + back, name))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+
+
+def _patches(names: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     last = first[1:] - window  # of each document, its last window
     count = np.maximum(last - first[:-1] + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
@@ -115,9 +131,11 @@ def patches(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
 
 
 def _named(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of joined texts, where each text's words begin, and the words' names."""
+    """Starts and ends of the words of joined texts, where each text's words begin, and the words' names: their XXH64."""
     starts, ends, first = words(data, bounds)
-    return starts, ends, first, Spans(byte_values(data), 0xAF251AF3B0F025B5)(starts, ends)
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    names = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return starts, ends, first, names
 
 
 def _anchor_names(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -135,7 +153,7 @@ def _shared_windows(data: np.ndarray, bounds: np.ndarray, codes: list | None, bi
     i = np.arange(n.sum()) + np.repeat(i0[some] - (np.cumsum(n) - n), n)
     d = np.repeat(doc[some], n)
     s = first[:-1][d] + i
-    return d, i, Spans(names)(s, s + WINDOW), Spans(names, 0x2545F4914F6CDD1D)(s, s + WINDOW) >> np.uint64(48), starts, ends, first
+    return d, i, Spans(names)(s, s + WINDOW), Spans(mix(names), 0x2545F4914F6CDD1D)(s, s + WINDOW), starts, ends, first
 
 
 def first_of_kind(keys: tuple, places: tuple) -> np.ndarray:
@@ -173,7 +191,7 @@ def _window_rows(bits: int):
                 d, i, w1, w2, *_ = _shared_windows(data, bounds, codes, bits)
                 send, _ = _sent_order(d, i, w1, w2, ids, hashes, bits)
                 buckets, parts = by_bucket(w1[send], bits)
-                d, i, w1, w2 = d[send], i[send], w1[send], w2[send].astype(np.uint16)
+                d, i, w1, w2 = d[send], i[send], w1[send], w2[send]
                 columns = [[pack(x[p]) for p in parts] for x in (ids[d], hashes[d], i.astype(np.int32), w1, w2)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(buckets), pa.array(np.full(len(buckets), batch)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "batch", "docs", "hashes", "i", "w1", "w2"]
@@ -184,7 +202,7 @@ def _window_rows(bits: int):
 
 def _compared(rows: pa.Table) -> pa.Table:
     """Of one bucket: for each window of each batch whether it starts earlier elsewhere."""
-    columns = [[unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in (("docs", np.int64), ("hashes", np.int64), ("i", np.int32), ("w1", np.uint64), ("w2", np.uint16))]
+    columns = [[unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in (("docs", np.int64), ("hashes", np.int64), ("i", np.int32), ("w1", np.uint64), ("w2", np.uint64))]
     docs, hashes, i, w1, w2 = (np.concatenate(c) for c in columns)
     late = (~first_of_kind((w1, w2), (docs, hashes, i))).astype(np.uint8)
     ends = np.cumsum([len(x) for x in columns[0]]).tolist()
@@ -220,10 +238,11 @@ def _kept(bits: int):
 def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH) -> DataFrame:
     """(key, n_words, n_removed, kept): each document without the words of windows that start earlier elsewhere."""
     packed = packed_batches(docs, key, text, batch_bytes)
-    bits = bucket_bits(packed.count())
-    coded = packed.join(name_codes(packed, _anchor_names, bits, 2**31).hint("merge"), "batch", "left")
+    batches = packed.count()
+    bits, tasks = bucket_bits(batches, batch_bytes), readers(batches, batch_bytes)
+    coded = packed.repartition(tasks, "batch").join(name_codes(packed, _anchor_names, bits, 2**31, tasks).hint("merge"), "batch", "left")
     sent = coded.mapInArrow(_window_rows(bits), "bucket bigint, batch bigint, docs binary, hashes binary, i binary, w1 binary, w2 binary")
-    late = answers_by_batch(sent.groupBy("bucket").applyInArrow(_compared, CODES_SQL), "late")
+    late = answers_by_batch(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_compared, CODES_SQL), "late", tasks)
     out = coded.join(late.hint("merge"), "batch", "left")
     return out.mapInArrow(_kept(bits), "key bigint, n_words bigint, n_removed bigint, kept string")
 

@@ -57,6 +57,24 @@ def test_repeated_rows_are_one_place(spark):
     assert [r[:3] for r in got] == [(1, 30, 29), (1, 40, 0), (1, 40, 0), (2, 40, 40)]
 
 
+def test_unequal_words_are_never_taken_for_equal(spark):
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    complement = thue.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, "some other words"), (2, f"{thue} {tail} end"), (3, f"{complement} {tail} stop")]
+    assert run(spark, rows) == brute(rows) and run(spark, rows)[2][2] == 0
+
+
+def test_pieces_of_long_documents_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    names = R.mix(rng.integers(0, 6, 9000).astype(np.uint64))
+    first = np.array([0, 10, 4000, 4000, 4030, 9000])
+    each = lambda p: sorted((int(d), w, int(n)) for d, a, b, n in zip(*p, strict=True) for w in range(a, b + 1))
+    whole = R.patches(names, first)
+    monkeypatch.setattr(R, "PIECE", 300)
+    assert each(R.patches(names, first)) == each(whole)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

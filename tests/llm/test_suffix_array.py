@@ -71,5 +71,55 @@ def test_documents(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_a_gram_in_110_000_surroundings(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = ["".join(rng.choices(letters, k=70)) + "SIXTEEN BYTES OK" for _ in range(110_000)]
+    long = "".join(parts)
+    second = "".join("".join(parts[i : i + 2]) + f" own text {i} of the second document, which nothing else has " for i in rng.sample(range(100_000), 300))
+    of_first = set()
+    wanted = {second[i : i + S.WINDOW] for i in range(len(second) - S.WINDOW + 1)}
+    for i in range(len(long) - S.WINDOW + 1):
+        if long[i : i + S.WINDOW] in wanted:
+            of_first.add(long[i : i + S.WINDOW])
+    gone = np.zeros(len(second), dtype=bool)
+    for i in range(len(second) - S.WINDOW + 1):
+        if second[i : i + S.WINDOW] in of_first:
+            gone[i : i + S.WINDOW] = True
+    got = run(spark, [(1, long), (2, second)])
+    assert [r[:3] for r in got] == [(1, len(long), 0), (2, len(second), int(gone.sum()))] and gone.sum() > 50_000
+    assert got[1][4] == bytes(b for b, g in zip(second.encode(), gone, strict=True) if not g)
+
+
+def test_pieces_of_long_documents_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 60_000).astype(np.uint8)
+    bounds = np.array([0, 100, 20_000, 20_050, 50_000, 50_010, 60_000])
+    each = lambda p: sorted((int(d), w, int(n), int(x)) for d, a, b, n, x, _ in zip(*p, strict=True) for w in range(a, b - S.WINDOW + 1))
+    whole = S.patches(data, bounds)
+    monkeypatch.setattr(S, "PIECE", 3_000)
+    assert each(S.patches(data, bounds)) == each(whole)
+
+
+def test_split_patches_are_the_same_in_any_surroundings():
+    rng = np.random.default_rng(6)
+    core = rng.integers(97, 99, 300).astype(np.uint8)
+    found = []
+    for before in (0, 7, 61):
+        data = np.concatenate([rng.integers(97, 99, before).astype(np.uint8), core, rng.integers(97, 99, 80).astype(np.uint8)])
+        _, a, b, name, anchor, _ = S.patches(data, np.array([0, len(data) + 1]))
+        of, s, e, title, _ = S.split_patches(data, a, b, name, anchor)
+        assert all(a[o] <= x and y <= b[o] for o, x, y in zip(of, s, e, strict=True))
+        per = {w: t for x, y, t in zip(s, e, title, strict=True) for w in range(x, y - S.WINDOW + 1)}
+        assert sorted(per) == list(range(len(data) - S.WINDOW + 1))
+        found.append([per[before + i] for i in range(len(core) - S.WINDOW + 1)])
+    assert found[0] == found[1] == found[2]
+
+
+def test_more_symbols_than_ranks_hold_are_refused():
+    with pytest.raises(ValueError):
+        S.suffix_array(np.ones((1 << 21) - 3, np.int64))
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
