@@ -25,7 +25,7 @@ from cairnlake.session import staged
 
 BATCH = 4 << 20
 #: Bytes of text of which a bucket of names, and a task that reads batches, holds its share.
-BUCKET, READ = 32 << 20, 16 << 20
+BUCKET, READ = 32 << 20, 8 << 20
 NO_KEY = 2**63 - 1
 PACKED_SQL = "batch bigint, docs binary, hashes binary, sizes binary, blob binary"
 CODES_SQL = "batch bigint, bucket bigint, codes binary"
@@ -159,10 +159,21 @@ def answers_by_batch(answers: DataFrame, name: str, tasks: int) -> DataFrame:
     return answers.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias(name))
 
 
+def each_bucket(rows: DataFrame, buckets: int, of_bucket: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """of_bucket over all rows of each bucket 0..buckets - 1; every bucket is a partition of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from of_bucket(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, schema)
+
+
 def name_codes(packed: DataFrame, names_of: Callable, bits: int, hot: int, tasks: int) -> DataFrame:
     """(batch, codes): of each batch's distinct names whether one is met once (0), more often (1), or above hot times (2)."""
     sent = packed.mapInArrow(_sent(names_of, bits), "bucket bigint, batch bigint, names binary, counts binary")
-    return answers_by_batch(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answered(hot), CODES_SQL), "codes", tasks)
+    return answers_by_batch(each_bucket(sent, 1 << bits, _answered(hot), CODES_SQL), "codes", tasks)
 
 
 def read_codes(codes: list | None, n: int) -> np.ndarray:

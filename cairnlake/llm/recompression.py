@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, name_codes, pack, packed_batches, pieces, read_codes, readers, texts_of, unpack
+from cairnlake.llm.batches import BATCH, CODES_SQL, NO_KEY, answers_by_batch, bucket_bits, by_bucket, cells, distinct, each_bucket, name_codes, pack, packed_batches, pieces, read_codes, readers, texts_of, unpack
 from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.hashing import MASK, Spans, mix, words
 from cairnlake.session import table
@@ -242,7 +242,7 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", batc
     bits, tasks = bucket_bits(batches, batch_bytes), readers(batches, batch_bytes)
     coded = packed.repartition(tasks, "batch").join(name_codes(packed, _anchor_names, bits, 2**31, tasks).hint("merge"), "batch", "left")
     sent = coded.mapInArrow(_window_rows(bits), "bucket bigint, batch bigint, docs binary, hashes binary, i binary, w1 binary, w2 binary")
-    late = answers_by_batch(sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_compared, CODES_SQL), "late", tasks)
+    late = answers_by_batch(each_bucket(sent, 1 << bits, _compared, CODES_SQL), "late", tasks)
     out = coded.join(late.hint("merge"), "batch", "left")
     return out.mapInArrow(_kept(bits), "key bigint, n_words bigint, n_removed bigint, kept string")
 

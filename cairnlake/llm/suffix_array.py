@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.batches import BATCH, NO_KEY, bucket_bits, cells, distinct, name_codes, pack, packed_batches, pieces, read_codes, readers, texts_of, unpack
+from cairnlake.llm.batches import BATCH, NO_KEY, bucket_bits, cells, distinct, each_bucket, name_codes, pack, packed_batches, pieces, read_codes, readers, texts_of, unpack
 from cairnlake.llm.common import bounded_batches
 from cairnlake.llm.hashing import Spans, byte_values, mix
 from cairnlake.session import table
@@ -45,7 +45,7 @@ HOT = 4096
 #: Bytes of text whose windows are looked at at once.
 PIECE = 1 << 20
 #: Bytes that are sorted at once; ranks take 21 bits.
-MOST_SORTED = 1 << 20
+MOST_SORTED = 1 << 18
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -409,7 +409,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     bits, tasks = bucket_bits(batches, batch_bytes), readers(batches, batch_bytes)
     spread = packed.repartition(tasks, "batch")
     coded = spread.join(name_codes(packed, _names, bits, hot, tasks).hint("merge"), "batch", "left")
-    found = coded.mapInArrow(_routed(tasks, bits), PARCEL_SQL).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket(most_sorted), SPAN_SQL)
+    found = each_bucket(coded.mapInArrow(_routed(tasks, bits), PARCEL_SQL), tasks, _sorted_bucket(most_sorted), SPAN_SQL)
     spans = found.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("row", "s", "e")).alias("spans"))
     return spread.join(spans.hint("merge"), "batch", "left").mapInArrow(_kept, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
