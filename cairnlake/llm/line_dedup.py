@@ -1,12 +1,13 @@
 """Line dedup by winnowing: runs of lines that an earlier document, or the same one, already had are deleted.
 
 Lines with a word are hashed. Of every `run` consecutive hashes the least (the rightmost of equals) is a
-fingerprint, so any repeated run of that length shares one. Fingerprints met once are dropped; around each
-shared one the match is extended both ways to the windows it stands for, which are joined on all their line
-hashes. A window that is not the first of its kind, by document and position, is a repeat; overlapping
+fingerprint, so any repeated run of that length shares one; only these window minima become rows, each with the
+windows it stands for, up to run - 1 lines to either side. Fingerprints met once are dropped; around each shared
+one the match is extended both ways: its windows are matched on all their lines, by two 64-bit hashes of
+each line. A window that is not the first of its kind, by document and position, is a repeat; overlapping
 repeats form maximal runs, which are deleted with the blank lines inside them. Everything is a Spark
-expression. Frequent lines are pre-aggregated before each shuffle and meet a side with one row for each key,
-so adaptive execution can split a hot key.
+expression. Every fingerprint and window is aggregated before a shuffle, and the rows of each meet its one
+verdict in SALTS parts, so a line in a third of all documents is never one task's work.
 
 Defined results: a null text counts as empty and stays null; texts with fewer than `run` lines with words
 stay as they are, unless `words` is given: then a repeat of fewer lines that hold so many words counts too,
@@ -26,43 +27,50 @@ from cairnlake.session import staged, table
 
 #: Lines with words that a repeated run has at least.
 RUN = 4
+#: Parts into which the rows of one fingerprint or window are dealt where they meet its verdict.
+SALTS = 8
 #: Words that make a shorter repeat count, where dedup_lines is given them.
 PASSAGE = 50
 
 
+def _bind(x: Column, f) -> Column:
+    """f(x), with x computed once a row."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _windows(text: Column, run: int, words: int | None = None) -> Column:
-    """Array of (fp, windows): each fingerprint of a text and, of the windows it stands for, keys and first and last line.
+    """Array of (fp, ws): each fingerprint of a text and the windows it stands for, with their keys and first and last line.
 
     With `words` also shorter windows that hold so many words, and a text of fewer than `run` lines as a whole.
     """
     lines = F.split(text, "\n", -1)
     counted = lambda x: [F.regexp_count(x, F.lit(WORD_SQL)).alias("n")] if words else []
     named = F.filter(
-        F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(x).alias("h"), i.alias("at"), *counted(x)))),
+        F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), i.alias("at"), *counted(x)))),
         lambda x: x.isNotNull(),
     )
 
     def of(named: Column) -> Column:
+        def keyed(part: Column, *kind: Column) -> Column:
+            return F.struct(
+                F.xxhash64(*kind, F.transform(part, lambda x: x["h"])).alias("a"), F.xxhash64(F.lit(1), *kind, F.transform(part, lambda x: x["g"])).alias("b"),
+                F.element_at(part, 1)["at"].alias("s"), F.element_at(part, -1)["at"].alias("e"),
+            )
+
         def window(j: Column) -> Column:
             part = F.slice(named, j + 1, F.lit(run))
-            hashes = F.transform(part, lambda x: x["h"])
             # the least hash; of equals the last: positions count down
             least = F.array_min(F.transform(part, lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
-            return F.struct(
-                least.alias("fp"),
-                F.struct(
-                    F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit(1), hashes).alias("b"),
-                    F.element_at(part, 1)["at"].alias("s"), F.element_at(part, -1)["at"].alias("e"),
-                ).alias("w"),
-            )
+            return F.struct(least.alias("fp"), keyed(part).alias("w"))
+
+        def minima(w: Column) -> Column:
+            # the windows of one minimum follow each other
+            firsts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i)["fp"] != F.get(w, i - 1)["fp"]))
+            its = lambda i: F.transform(F.filter(F.slice(w, i + 1, F.lit(run)), lambda x: x["fp"] == F.get(w, i)["fp"]), lambda x: x["w"])
+            return F.transform(firsts, lambda i: F.struct(F.get(w, i)["fp"]["h"].alias("fp"), its(i).alias("ws")))
 
         def exact(part: Column, kind: str) -> Column:
-            hashes = F.transform(part, lambda x: x["h"])
-            a = F.xxhash64(F.lit(kind), hashes)
-            return F.struct(
-                F.struct(a.alias("h"), F.lit(0).alias("back")).alias("fp"),
-                F.struct(a.alias("a"), F.xxhash64(F.lit(1), F.lit(kind), hashes).alias("b"), F.element_at(part, 1)["at"].alias("s"), F.element_at(part, -1)["at"].alias("e")).alias("w"),
-            )
+            return _bind(keyed(part, F.lit(kind)), lambda w: F.struct(w["a"].alias("fp"), F.array(w).alias("ws")))
 
         def short(n: int) -> Column:
             # windows that a shorter one of the same first or last line does not hold: their unions are those of all
@@ -74,26 +82,32 @@ def _windows(text: Column, run: int, words: int | None = None) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(named) - n), least)
             return F.when(F.size(named) >= n, F.transform(starts, lambda j: exact(F.slice(named, j + 1, F.lit(n)), "lines")))
 
-        runs = F.when(F.size(named) >= run, F.transform(F.sequence(F.lit(0), F.size(named) - run), window))
+        runs = F.when(F.size(named) >= run, _bind(F.transform(F.sequence(F.lit(0), F.size(named) - run), window), minima))
         if not words:
             return runs
         whole = F.when(F.size(named).between(1, run - 1), F.array(exact(named, "text")))
         return F.flatten(F.array_compact(F.array(runs, whole, *[short(n) for n in range(1, run)])))
 
-    return F.get(F.transform(F.array(named), of), F.lit(0))
+    return _bind(named, of)
+
+
+def _dealt(rows: DataFrame, verdicts: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the verdict of their key, if there is one; the rows of a key are dealt to SALTS parts."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    every = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every.hint("merge"), [*on, "__salt"]).drop("__salt")
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, words: int | None = None) -> DataFrame:
     """(__key, __hash, __runs): per document with repeats its runs [s, e] of lines to delete, in order."""
     d = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.explode(_windows(F.col(f"`{text}`"), run, words)).alias("x"))
-    # a row for each fingerprint with its windows: they are neighbours, and stay together
-    windows = d.select("key", "hash", F.col("x.fp.h").alias("fp"), F.col("x.w").alias("w"))
-    windows = staged(windows.select("key", "hash", "fp", "w.*"))
-    spots = windows.groupBy("fp").agg((F.min(F.struct(F.col("key").isNull().alias("n"), "key", "hash", "s")) != F.max(F.struct(F.col("key").isNull().alias("n"), "key", "hash", "s"))).alias("shared"))
-    near = windows.join(spots.where("shared").select("fp"), "fp").drop("fp")
+    prints = staged(d.select("key", "hash", "x.fp", "x.ws"))
+    where = F.struct(F.col("key").isNull().alias("n"), "key", "hash", F.get(F.col("ws"), 0)["s"].alias("s"))
+    shared = prints.groupBy("fp").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("fp")
+    near = staged(_dealt(prints, shared, ["fp"]).select("key", "hash", F.explode("ws").alias("w")).select("key", "hash", "w.*"))
     where = F.struct(F.col("key").isNull().alias("n"), "key", "hash", "s")
     first = near.groupBy("a", "b").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last")
-    later = near.join(first, ["a", "b"]).where(where != F.col("first")).select("key", "hash", "s", "e").distinct()
+    later = _dealt(near, first, ["a", "b"]).where(where != F.col("first")).select("key", "hash", "s", "e").distinct()
     # overlapping repeats make one run; a document's windows are as many as its lines at most
     order = Window.partitionBy("key", "hash").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -92,13 +92,15 @@ def links(fps: DataFrame) -> DataFrame:
     shared = keyed.groupBy("k", "block").agg(F.min("fp").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     near = staged(keyed.join(shared, ["k", "block"]))
     within = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
-    stars = staged(near.where((F.col("fp") != F.col("one")) & within("fp", "one")).select(F.col("fp").alias("src"), F.col("one").alias("dst")).distinct())
-    joined = staged(near.join(components(stars).select(F.col("node").alias("fp"), "component"), "fp", "left").select("k", "block", "fp", F.coalesce("component", "fp").alias("c")))
+    starred = near.where((F.col("fp") != F.col("one")) & within("fp", "one"))
+    # of its stars a fingerprint keeps the least: those that keep the same one are linked by it
+    labels = starred.groupBy("fp").agg(F.min("one").alias("c"))
+    joined = staged(near.join(labels, "fp", "left").select("k", "block", "fp", F.coalesce("c", "fp").alias("c")))
     apart = joined.groupBy("k", "block").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k", "block")
     left = joined.join(apart, ["k", "block"])
     a, b = left.select("k", "block", F.col("fp").alias("src"), F.col("c").alias("c")), left.select("k", "block", F.col("fp").alias("dst"), F.col("c").alias("d"))
     pairs = a.join(b, ["k", "block"]).where((F.col("c") < F.col("d")) & within("src", "dst")).select("src", "dst").distinct()
-    return stars.union(pairs)
+    return starred.select(F.col("fp").alias("src"), F.col("one").alias("dst")).distinct().union(pairs)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -107,7 +109,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     nodes = staged(rows.groupBy("fp").agg(F.min("key").alias("least")))
     # the graph is over fingerprints, so rows without a key link like any other
     found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = staged(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(named, "fp").select("key", "fp", "component")
 
