@@ -30,6 +30,8 @@ from cairnlake.session import staged, table
 
 BLOCK = 64
 SLOTS_PER_SHARD = 4096
+#: Ranges of shards among which a source's slots are drawn first, so that no task draws for all shards.
+RANGES = 4096
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 MOST_TIMES = 2
@@ -88,8 +90,14 @@ def shares(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mos
     stops at most * its source's size, and the rest is shared again by weight until none is above. Each round
     is one sum over sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(order) - 1)
+    # ranks by range partitions and the numbers of rows before them, not by one task
+    order = F.col("source").asc_nulls_last()
+    ranged = staged(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sums = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    ranked = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    ranked = ranked.select(*sizes.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     ranked = staged(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))))
     cap = most * F.col("source_size")
     all_words = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -127,19 +135,35 @@ def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _dealt(seed: int, per_shard: int):
-    """Of each source the slots of each shard: a seeded multinomial draw of the source's slots over the shards."""
+def _ranges(seed: int):
+    """Of each source the slots of each range of shards: a seeded multinomial draw by the ranges' sizes, RANGES at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rank, blocks, slots, shards in zip(*(batch.column(c).to_pylist() for c in ("rank", "blocks", "slots", "shards")), strict=True):
-                counts = np.random.default_rng([seed, rank]).multinomial(slots, np.full(shards, 1 / shards))
-                first = np.cumsum(counts) - counts
+                wide = -(-shards // RANGES)
+                lo = np.arange(0, shards, wide)
+                sizes = np.minimum(lo + wide, shards) - lo
+                counts = np.random.default_rng([seed, rank]).multinomial(slots, sizes / shards)
+                full = lambda x: pa.array(np.full(len(lo), x, np.int64))
+                yield pa.RecordBatch.from_arrays([full(rank), full(blocks), pa.array(lo), pa.array(sizes), pa.array(np.cumsum(counts) - counts), pa.array(counts)], names=["rank", "blocks", "lo", "size", "first", "count"])
+
+    return run
+
+
+def _dealt(seed: int):
+    """Of each source and range the slots of each shard: a seeded multinomial draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rank, blocks, lo, size, begin, slots in zip(*(batch.column(c).to_pylist() for c in ("rank", "blocks", "lo", "size", "first", "count")), strict=True):
+                counts = np.random.default_rng([seed, rank, lo]).multinomial(slots, np.full(size, 1 / size))
+                first = begin + np.cumsum(counts) - counts
                 some = np.flatnonzero(counts)
                 for a in range(0, len(some), 10_000):
                     at = some[a : a + 10_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), rank, np.int64)), pa.array(np.full(len(at), blocks, np.int64)), pa.array(at), pa.array(first[at]), pa.array(counts[at])],
+                        [pa.array(np.full(len(at), rank, np.int64)), pa.array(np.full(len(at), blocks, np.int64)), pa.array(lo + at), pa.array(first[at]), pa.array(counts[at])],
                         names=["rank", "blocks", "shard", "first", "count"],
                     )
 
@@ -167,8 +191,10 @@ def slots(targets: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
     blocks = F.ceil(F.col("source_size") / block)
     plan = targets.where("source_size > 0").select(F.col("rank").cast("bigint").alias("rank"), blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("bigint").alias("slots"))
     shards = max(1, -(-(plan.agg(F.sum("slots")).first()[0] or 0) // per_shard))
-    dealt = plan.withColumn("shards", F.lit(shards).cast("bigint")).mapInArrow(_dealt(seed, per_shard), "rank bigint, blocks bigint, shard bigint, first bigint, count bigint")
-    spread = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = plan.withColumn("shards", F.lit(shards).cast("bigint")).mapInArrow(_ranges(seed), "rank bigint, blocks bigint, lo bigint, size bigint, first bigint, count bigint")
+    dealt = ranges.repartition(parts, "lo", "rank").mapInArrow(_dealt(seed), "rank bigint, blocks bigint, shard bigint, first bigint, count bigint")
+    spread = dealt.repartition(parts, "shard", "rank")
     return spread.mapInArrow(_slots(seed), "rank bigint, shard bigint, slot bigint, turn bigint, block bigint")
 
 

@@ -40,7 +40,9 @@ class Rules:
     max_symbols_per_100_words: int = 20
     max_dup_lines_pct: int = 50
     mean_word_chars: tuple[float, float] = (2.0, 20.0)
-    #: A host whose shrunk failure rate reaches this is blocked: its documents face limits cut by `strict`.
+    #: A host is blocked where its shrunk failure rate is so many times the corpus rate or more, or reaches
+    #: blocked_rate: its documents face limits cut by `strict`. Where hosts are alike none is blocked.
+    blocked_times: float = 1.5
     blocked_rate: float = 0.5
     strict: int = 4
 
@@ -104,7 +106,7 @@ def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
-    """(host, n, failed, rate): failure rates shrunk to the corpus by a beta prior fitted by moments.
+    """(host, n, failed, rate, corpus_rate): failure rates shrunk to the corpus by a beta prior fitted by moments.
 
     The prior's mean is the corpus rate and its weight comes from the spread of hosts' rates beyond what
     chance explains; where hosts do not differ the weight is large and all hosts get the corpus rate.
@@ -123,7 +125,7 @@ def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
     # one row joins: a constant key, no product of rows
     return (
         hosts.withColumn("__one", F.lit(1)).join(F.broadcast(prior.withColumn("__one", F.lit(1))), "__one")
-        .select("host", "n", F.col("bad").alias("failed"), rate.alias("rate"))
+        .select("host", "n", F.col("bad").alias("failed"), rate.alias("rate"), F.col("prior_mean").alias("corpus_rate"))
     )
 
 
@@ -141,7 +143,7 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", rules
         for_hosts = counted(docs.select(F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__input")), "__input", ["__host"])
     else:
         rows = for_hosts = staged(rows)
-    blocked = staged(host_rates(for_hosts, F.col("__host"), failed).where(F.col("rate") >= rules.blocked_rate).select(F.col("host").alias("__blocked"), F.col("rate").alias("__host_rate")))
+    blocked = staged(host_rates(for_hosts, F.col("__host"), failed).where(F.col("rate") >= F.least(rules.blocked_times * F.col("corpus_rate"), F.lit(rules.blocked_rate))).where("failed > 0").select(F.col("host").alias("__blocked"), F.col("rate").alias("__host_rate")))
     if blocked.count() <= FEW_HOSTS:
         joined = rows.join(F.broadcast(blocked), F.col("__host").eqNullSafe(F.col("__blocked")), "left")
     else:  # a host may hold a third of all rows: its rows are dealt to SALTS parts, and verdicts go to each
@@ -205,7 +207,7 @@ WITH d AS (
 ), pr AS (
   SELECT m, CASE WHEN b > 0 THEN least(greatest(m * (1 - m) / b - 1, 1.0), 1e6) ELSE 1e6 END AS wt FROM q
 ), hb AS (
-  SELECT source FROM h, pr WHERE (bad + m * wt) / (n + wt) >= 0.5
+  SELECT source FROM h, pr WHERE (bad + m * wt) / (n + wt) >= least(1.5 * m, 0.5::DOUBLE) AND bad > 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT CASE WHEN EXISTS (SELECT 1 FROM hb WHERE hb.source IS NOT DISTINCT FROM f.source)

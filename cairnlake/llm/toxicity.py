@@ -7,9 +7,10 @@ largest weight of each term. A query visits blocks by falling upper bound and st
 beat its k-th neighbour, so the neighbours are exact. Votes weighted by cosine become a score through a
 monotone map fitted on examples that vote without themselves; the neighbours are the evidence.
 
-Bounds, all documented parameters: features are learned from MOST_TRAINING training rows, and MOST_FEATURES
-features and MOST_EXAMPLES examples make the index that is broadcast, some tens of MB at most at any corpus
-size. Beyond the bounds training rows are sampled by a hash of their key.
+Bounds, all documented parameters: features are learned from MOST_TRAINING training rows; MOST_FEATURES features
+and MOST_EXAMPLES examples whose vectors hold MOST_BYTES make the index that goes to the tasks, about 80 MB at
+most at any corpus size; votes are calibrated on MOST_CALIBRATION of the examples. Beyond the bounds training
+rows are sampled by a hash of their key.
 
 Defined results: null and empty texts, and texts without features, get the rate of such training rows;
 a label row with null toxic or null doc_id is left out, repeated label rows of a document count as the
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnlake.llm.common import WORD, bounded_batches, small_batches
 from cairnlake.session import staged, table
@@ -35,6 +37,10 @@ GRAM = 5
 MOST_FEATURES = 8192
 MOST_EXAMPLES = 20_000
 MOST_TRAINING = 100_000
+MOST_BYTES = 32 << 20
+MOST_CALIBRATION = 4_000
+#: Documents that a task scores, about.
+SCORED = 4096
 #: A feature's likelihood ratio (2 ln) and how many times likelier it is in one class, at least.
 LEAST_RATIO, LEAST_LIFT = 20.0, 4.0
 NEIGHBOURS = 15
@@ -199,7 +205,7 @@ class Index:
         w = cosines * cosines
         return float(((w * self.labels[rows]).sum() + 0.09 * self.prior) / (w.sum() + 0.09))
 
-    def calibrate(self, counts: list[bytes], labels: list[int], most: int = 4000) -> None:
+    def calibrate(self, counts: list[bytes], labels: list[int], most: int = MOST_CALIBRATION) -> None:
         """Fit the monotone map from votes to rates: pooled neighbours over examples that vote without themselves."""
         vectors = [self.vector(c) for c in counts]
         own = {k: i for i, k in enumerate(self.keys)}
@@ -249,12 +255,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     labelled = vectors.join(known, F.col("key") == F.col("__k"))
     empty = labelled.where(F.length("counts") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = empty[1] / empty[0] if empty[0] else 0.0
-    examples = labelled.where(F.length("counts") > 0).orderBy(F.xxhash64("key"), "key", "counts").limit(MOST_EXAMPLES).select("key", "counts", "label").collect()
+    order = (F.xxhash64("key"), F.col("key"), F.col("counts"))
+    some = labelled.where(F.length("counts") > 0).orderBy(*order).limit(MOST_EXAMPLES).select("key", "counts", "label")
+    held = F.sum(F.length("counts")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    examples = some.withColumn("held", held).where(F.col("held") <= MOST_BYTES).orderBy(*order).drop("held").collect()
     counts, marks = [bytes(r.counts) for r in examples], [r.label for r in examples]
     index = Index(idf, counts, marks, list(range(len(examples))), prior)
     index.calibrate(counts, marks)
     index.keys = [examples[i].key for i in index.keys]
-    return vectors.mapInArrow(_scored(index), "key bigint, score double, evidence array<struct<doc_id:bigint,cosine:double>>").select(
+    spread = vectors.repartition(max(1, n // SCORED))  # vectors are small, so their files would make few tasks
+    return spread.mapInArrow(_scored(index), "key bigint, score double, evidence array<struct<doc_id:bigint,cosine:double>>").select(
         "key", is_held_out(F.col("key")).alias("held_out"), "score", "evidence"
     )
 

@@ -1,5 +1,9 @@
 """Line dedup and quality rules on odd inputs."""
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from cairnlake.llm import quality_rules
 from cairnlake.llm.line_dedup import dedup_lines
 from cairnlake.llm.quality_rules import apply_rules, count_rules
@@ -46,3 +50,23 @@ def test_verdicts(spark, monkeypatch):
     out = apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, rate double")).collect()
     assert {r.doc_id for r in out if r["__kept"]} == kept and len(out) == len(rows)
     assert apply_rules(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_a_bad_host_against_sql(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, words if i % 9 else f"{words} ### ### ### ### ### ###", f"host{i % 12}") for i in range(600)]
+    rows += [(1000 + i, f"{words} " + "### " * (i % 3 * 5), "bad") for i in range(60)] + [(2000, "# # # # " + words, "bad"), (2001, "# # # # " + words, "host1"), (2002, None, None)]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "documents.parquet")
+    got = sorted(tuple(r) for r in quality_rules.op4_quality_rules(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert got == sorted(con.execute(quality_rules.OP4_SQL).fetchall())
+    kept = {r[0]: r[-1] for r in got}
+    assert not kept[2000] and kept[2001]  # the host's verdict acts
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long = "word " * 300_000
+    rows = [(1, long, "a"), (2, "some words " * 3, "a"), (2, "some words " * 3, "a")]
+    out = apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["doc_id"]).collect()
+    assert sorted((r.doc_id, r["__n_words"]) for r in out) == [(1, 300_000), (2, 6), (2, 6)]
