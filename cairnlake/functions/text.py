@@ -41,6 +41,16 @@ def strip_tags(x: Column, collapse: bool = True) -> Column:
     return collapsed(x) if collapse else x
 
 
+#: Letters up to U+024F that decompose, and the letters they stand on.
+_ACCENTED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")}
+
+
+def folded(x: Column) -> Column:
+    """Lower case without accents, as index terms are."""
+    bare = F.translate(F.lower(x), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    return F.regexp_replace(bare, r"\p{Mn}+", "")
+
+
 def tokens(x: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -60,11 +60,20 @@ def keyset_page(files: DataFrame, after: int, limit: int) -> DataFrame:
     return files.where(F.col("id") > after).orderBy("id").limit(limit)
 
 
-def folder_tiers(moves: DataFrame) -> DataFrame:
-    """Tiers of folders from (folder, category): junk with two moves or fewer, anchor where one category has 80 %, else mixed."""
+#: Folder names that mark a folder as junk whatever it holds.
+GENERIC_FOLDERS = "downloads,downloaded,desktop,unsorted,inbox,new folder,untitled,temp,tmp,misc,other,stuff,things,files".split(",")
+
+
+def folder_tiers(moves: DataFrame, library_root: str | None = None) -> DataFrame:
+    """Tiers of folders from (folder, category): junk by a generic name or with two moves or fewer, anchor where one category has 80 %, else mixed.
+
+    The library's root is never an anchor; letter case does not matter to it.
+    """
     each = moves.groupBy("folder", "category").agg(F.count(F.lit(1)).alias("n"))
     by = each.groupBy("folder").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    tier = F.when(F.col("n") <= 2, "junk").when(F.col("top") / F.col("n") >= 0.8, "anchor").otherwise("mixed")
+    generic = F.lower(F.regexp_extract("folder", r"([^/\\]*)[/\\]*$", 1)).isin(GENERIC_FOLDERS)
+    root = F.lower("folder") == library_root.lower() if library_root is not None else F.lit(False)
+    tier = F.when(generic | (F.col("n") <= 2), "junk").when(~root & (F.col("top") / F.col("n") >= 0.8), "anchor").otherwise("mixed")
     return by.select("folder", "n", tier.alias("tier"))
 
 

@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import tokens, word_forms
+from cairnlake.functions.text import folded, tokens, word_forms
+from cairnlake.session import written
 
 K1, B = 1.2, 0.75
 RRF = 60
 
 
-def postings(docs: DataFrame, text: Column) -> DataFrame:
-    """(term, id, tf, length) of documents; length in tokens."""
-    split = docs.select("id", tokens(text).alias("t"))
-    return split.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings (term, id, tf, length, at) in the order of terms, and how many documents and tokens there are (n, total)."""
 
+    postings: DataFrame
+    facts: DataFrame
 
-def bm25(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
-    """(id, score) of documents that hold all terms; idf is ln(1 + (N - n + 0.5) / (n + 0.5)).
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: files hold ranges of terms, so only those of the wanted ones are read."""
+        return self.postings.where(F.col("term").isin(terms))
 
-    Terms are looked for while a document is read: only matching counts are shuffled, never the corpus.
+
+def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column) -> TextIndex:
+    """The index of docs (id, text), which derive from the files at `source`; written once.
+
+    Terms are folded to lower case without accents; `at` are positions. A term in a third of all documents is
+    spread over files by id.
     """
+
+    def postings() -> DataFrame:
+        t = docs.select("id", tokens(folded(text)).alias("t")).select("id", F.size("t").alias("length"), F.posexplode("t").alias("p", "term"))
+        each = t.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("p")).alias("at"))
+        return each.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+    found = written(spark, "postings", source, postings)
+    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tf").alias("total"))))  # one row
+    return TextIndex(found, facts)
+
+
+def bm25(index: TextIndex, terms: list[str]) -> DataFrame:
+    """(id, score) of documents that hold all terms; idf is ln(1 + (N - n + 0.5) / (n + 0.5)). Only the terms' postings are read."""
     wanted = list(dict.fromkeys(t.lower() for t in terms))
-    low = F.lower(text)
-    # counted by the regular expression engine: no array of tokens is built
-    count = lambda w: F.when(low.contains(w), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])"))).otherwise(0)
-    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    found = docs.select("id", F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("length"), *counts)
-    facts = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    hits = found.where(" AND ".join(f"tf{i} > 0" for i in range(len(wanted)))).join(F.broadcast(facts), F.lit(True))  # one row
+    own = index.of(wanted)
+    counts = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    found = own.groupBy("id", "length").agg(*counts)
+    frequencies = own.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(wanted)])
+    facts = index.facts.select("n", (F.col("total") / F.col("n")).alias("mean")).join(F.broadcast(frequencies), F.lit(True))
+    hits = found.where(" AND ".join(f"tf{i} IS NOT NULL" for i in range(len(wanted)))).join(F.broadcast(facts), F.lit(True))  # one row
     score = F.lit(0.0)
     for i in range(len(wanted)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
@@ -40,6 +62,27 @@ def bm25(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     return hits.select("id", score.alias("score"))
 
 
+def phrases(raw: str) -> list[list[str]]:
+    """The phrases of a request: each word between spaces is one, as its letters and digits in order; words without any are dropped."""
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
+    return [p for w in raw.split() if (p := "".join(c if c.isalnum() else " " for c in bare(w)).split())]
+
+
+def phrase_hits(index: TextIndex, raw: str) -> DataFrame:
+    """Ids of documents that hold every phrase of a request; a request without phrases finds nothing."""
+    wanted = phrases(raw)
+    terms = sorted({t for p in wanted for t in p})
+    if not wanted:
+        return index.postings.select("id").where("false")
+    at = {t: f"at{i}" for i, t in enumerate(terms)}
+    found = index.of(terms).groupBy("id").agg(*[F.first(F.when(F.col("term") == t, F.col("at")), ignorenulls=True).alias(c) for t, c in at.items()])
+    found = found.where(" AND ".join(f"{c} IS NOT NULL" for c in at.values()))
+    for p in wanted:
+        follow = list(enumerate(p[1:], 1))
+        found = found.where(F.exists(at[p[0]], lambda x: reduce(Column.__and__, [F.array_contains(at[t], x + i) for i, t in follow], F.lit(True))))  # noqa: B023
+    return found.select("id")
+
+
 def ranked(hits: DataFrame, limit: int) -> DataFrame:
     """(id, rank): the best hits, score falling, ties by id; rank from 1."""
     top = hits.orderBy(F.round("score", 9).desc(), "id").limit(limit)
@@ -55,19 +98,15 @@ def fuse(lists: list[DataFrame], weights: list[float] | None = None, limit: int
     return both.groupBy("id").agg(F.sum("s").alias("score"), F.min("at").alias("at")).orderBy(F.round("score", 12).desc(), "at", "id").limit(limit).select("id", "score", "at")
 
 
-def subject_ids(docs: DataFrame, text: Column, groups: list[list[str]]) -> DataFrame:
+def subject_ids(index: TextIndex, groups: list[list[str]]) -> DataFrame:
     """Ids with all words of any group; a word is met in any of its forms."""
-    t = tokens(text)
-    spark = docs.sparkSession
     words = sorted({w for g in groups for w in g})
+    spark = index.postings.sparkSession
     forms = {r.w: r.f for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", word_forms(F.col("w")).alias("f")).collect()}
-    match = F.lit(False)
-    for g in groups:
-        every = F.lit(True)
-        for w in g:
-            every &= F.arrays_overlap(t, F.array(*[F.lit(x) for x in forms[w]]))
-        match |= every
-    return docs.where(match).select("id")
+    own = index.of(sorted({f for x in forms.values() for f in x}))
+    met = own.groupBy("id").agg(*[F.max(F.col("term").isin(forms[w])).alias(f"w{i}") for i, w in enumerate(words)])
+    match = reduce(Column.__or__, [reduce(Column.__and__, [F.col(f"w{words.index(w)}") for w in g]) for g in groups])
+    return met.where(match).select("id")
 
 
 def tag_hits(tags: DataFrame, words: list[str], limit: int = 100) -> DataFrame:

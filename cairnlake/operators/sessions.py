@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnlake.functions.text import STOP_WORDS, jaccard, stem_of, tokens
+from cairnlake.functions.vectors import dot, unit
+
 
 def gap_sessions(rows: DataFrame, by: list[str], time: str, gap: float, order: str = "id", most: int | None = None) -> DataFrame:
     """Rows with `session`, numbered from 0 within each group; a new one starts where the gap is exceeded.
@@ -48,44 +54,109 @@ def trimmed_spans(rows: DataFrame, by: str, time: str, least: int = 5, most_seco
     return spans.where((F.col("n") >= least) & (F.col("last") - F.col("first") <= most_seconds)).select(by, "n", "first", "last")
 
 
-def group_bursts(rows: DataFrame, by: list[str], gap: float, to_first: float, to_last: float, most: int = 2000) -> DataFrame:
-    """(id, burst) by a greedy pass in time order: a row joins the open burst if it is near in time and alike to the burst's first and last rows.
+@dataclass(frozen=True)
+class BurstLimits:
+    """Limits of a group of shots; hashes decide alone only where a vector is missing and `by_hash_alone` is set."""
 
-    rows: by, id, seconds, v. The pass runs within gap sessions of at most `most` rows; the burst is its first id.
-    """
-    cut = gap_sessions(rows, by, "seconds", gap, most=most)
+    gap: float
+    span: float
+    to_last: float
+    to_first: float
+    bits: int
+    most: int
+    by_hash_alone: bool = False
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["seconds", "id"])
-        v = np.array([np.asarray(x, dtype=float) for x in f.v])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        ids, times, out, first = f.id.to_numpy(), f.seconds.to_numpy(), [], 0
-        for i in range(len(f)):
-            if i and not (times[i] - times[i - 1] <= gap and v[i] @ v[first] >= to_first and v[i] @ v[i - 1] >= to_last):
-                first = i
-            out.append(ids[first])
-        return pd.DataFrame({"id": ids, "burst": out})
 
-    return cut.groupBy(*by, "session", "part").applyInPandas(fold, "id bigint, burst bigint")
+#: The three profiles.
+NEAR_DUPLICATES = BurstLimits(2.0, 12.0, 0.97, 0.955, 8, 24)
+TAKES = BurstLimits(4.0, 30.0, 0.93, 0.88, 12, 60, True)
+CLIPS = BurstLimits(900.0, 3600.0, 0.90, 0.86, 0, 24)
+SIDECAR_COSINE = 0.90
 
 
-def change_samples(rows: DataFrame, by: list[str], least: float = 0.025, spacing: float = 1.5) -> DataFrame:
-    """(by, id): peaks of `value` at least `least`, kept in time order with `spacing` seconds between them."""
+def aligned_sidecars(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose `seconds` is the least of those with the same stem and a like vector, so that an export sorts beside its original."""
+    stem = F.lower(stem_of(F.col("path")))
+    keyed = rows.withColumn("__stem", stem)
+    many = keyed.groupBy(*by, "__stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twins = keyed.join(many, [*by, "__stem"], "left_semi").where("v IS NOT NULL AND seconds IS NOT NULL").select(*by, "__stem", "id", "seconds", unit(F.col("v")).alias("u"))
+    other = twins.select(*by, "__stem", F.col("id").alias("o"), F.col("seconds").alias("t"), F.col("u").alias("w"))
+    near = twins.join(other, [*by, "__stem"]).where((F.col("t") < F.col("seconds")) & (dot(F.col("u"), F.col("w")) >= SIDECAR_COSINE))
+    earlier = near.groupBy("id").agg(F.min("t").alias("__earlier"))
+    return keyed.join(earlier, "id", "left").withColumn("seconds", F.coalesce("__earlier", "seconds")).select(*rows.columns)
+
+
+def group_bursts(rows: DataFrame, by: list[str], limits: BurstLimits = NEAR_DUPLICATES) -> DataFrame:
+    """(id, burst): a greedy pass over shots in order of time, stem, path and id.
+
+    rows: by, id, path, seconds, phash, v. A shot joins the open group while gap, span and size allow, if it has
+    a member's stem, or is alike to the group's first and last; a shot without a time stands alone. The group is
+    named by its first id. A larger gap always ends a group, so the pass runs over gap sessions, whose rows
+    stream by in order: only the open group is held, however long a session is.
+    """
+    timed = aligned_sidecars(rows, by).withColumn("__stem", F.lower(stem_of(F.col("path"))))
+    cut = gap_sessions(timed.where("seconds IS NOT NULL"), by, "seconds", limits.gap)
+    keys = [*by, "session"]
+    ordered = cut.select(F.xxhash64(*keys).alias("key"), F.struct(*keys).cast("string").alias("name"), "seconds", "__stem", "path", "id", "phash", unit(F.col("v")).alias("v"))
+    ordered = ordered.repartition("key").sortWithinPartitions("key", "name", "seconds", "__stem", "path", "id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[tuple] = []
+        at = None
+        for f in frames:
+            out = []
+            for name, t, stem, path, i, h, v in zip(f.name, f.seconds, f["__stem"], f.path, f.id, f.phash, f.v, strict=True):
+                row = (t, stem, path, i, None if pd.isna(h) else int(h), None if v is None else np.asarray(v, dtype=float))
+                if name != at or not _joins(row, open_, limits):
+                    open_, at = [], name
+                open_.append(row)
+                out.append(open_[0][3])
+            yield pd.DataFrame({"id": f.id, "burst": pd.array(out, dtype="int64")})
+
+    found = ordered.select("key", F.col("name"), "seconds", "__stem", "path", "id", "phash", "v").mapInPandas(fold, "id bigint, burst bigint")
+    return found.unionByName(timed.where("seconds IS NULL").select("id", F.col("id").alias("burst")))
+
+
+def _joins(row: tuple, group: list[tuple], limits: BurstLimits) -> bool:
+    t, stem, path, _, h, v = row
+    first, last = group[0], group[-1]
+    if len(group) >= limits.most or t - last[0] > limits.gap or t - first[0] > limits.span:
+        return False
+    if any(g[1] == stem and g[2] != path for g in group):
+        return True
+    bits = ((h ^ last[4]) & ((1 << 64) - 1)).bit_count() if h and last[4] else None
+    if v is None or last[5] is None or first[5] is None:
+        return limits.by_hash_alone and bits is not None and bits <= limits.bits
+    if len(v) != len(first[5]) or v @ first[5] < limits.to_first:
+        return False
+    to_last = v @ last[5]
+    return bool(to_last >= limits.to_last or (bits is not None and bits <= limits.bits and to_last >= limits.to_first))
+
+
+def change_samples(signals: DataFrame, durations: DataFrame, by: list[str], interval: float, least: float = 0.025, spacing: float = 1.5, most: int = 100_000) -> DataFrame:
+    """(by, seconds): time 0 and one sample an interval: its strongest change if far enough from the sample before, else its end.
+
+    signals: by, seconds, change; durations: by, duration. Peaks are grouped maxima (the earliest of equals); the
+    pass over a file's intervals, `most` of them at most, depends on order.
+    """
+    files = durations.where((F.col("duration") > 0) & (F.col("duration") / interval <= most))
+    valid = signals.join(files, by).where((F.col("seconds") >= 0) & (F.col("seconds") < F.col("duration")) & F.col("change").between(least, 1.0))
+    peaks = valid.groupBy(*by, F.floor(F.col("seconds") / interval).alias("w")).agg(F.max_by("seconds", F.struct("change", -F.col("seconds"))).alias("peak"))
+    windows = files.select(*by, "duration", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") / interval) - 1)).alias("w"))
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["seconds", "id"])
-        keep, last = [], -np.inf
-        for t, v in zip(f.seconds, f.value, strict=True):
-            ok = v >= least and t - last >= spacing
-            keep.append(ok)
-            last = t if ok else last
-        return f[keep][[*by, "id"]]
+        f = f.sort_values("w")
+        out = [0.0]
+        for w, d, peak in zip(f.w, f.duration, f.peak, strict=True):
+            end = min(d, (w + 1) * interval)
+            if not np.isnan(peak) and peak - out[-1] >= spacing:
+                out.append(peak)
+            elif end < d and end - out[-1] >= spacing:
+                out.append(end)
+        return pd.DataFrame({c: [f[c].iloc[0]] * len(out) for c in by} | {"seconds": out})
 
-    w = Window.partitionBy(*by).orderBy("seconds", "id")
-    before, after = F.coalesce(F.lag("value").over(w), F.lit(-1.0)), F.coalesce(F.lead("value").over(w), F.lit(-1.0))
-    peaks = rows.withColumn("__peak", (F.col("value") >= before) & (F.col("value") > after)).where("__peak").select(*by, "id", "seconds", "value")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in peaks.select(*by, "id").schema.fields)
-    return peaks.groupBy(*by).applyInPandas(fold, schema)
+    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in durations.select(*by).schema.fields] + ["seconds double"])
+    return windows.join(peaks, [*by, "w"], "left").groupBy(*by).applyInPandas(fold, schema)
 
 
 def sliding_windows(rows: DataFrame, by: list[str], length: str, stride: str) -> DataFrame:
@@ -93,25 +164,79 @@ def sliding_windows(rows: DataFrame, by: list[str], length: str, stride: str) ->
     return rows.groupBy(*by, F.window("ts", length, stride).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"), F.max_by("id", F.struct("value", -F.col("id"))).alias("peak_id")).select(*by, F.col("w.start").alias("start"), "n", "peak", "peak_id")
 
 
-def merged_intervals(rows: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Gaps and islands: unions of overlapping or touching intervals."""
+def merged_intervals(rows: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: float = 0.0) -> DataFrame:
+    """Gaps and islands: unions of intervals that overlap or are no further apart than `gap`."""
     w = Window.partitionBy(*by).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    marked = rows.withColumn("__new", F.when(reach.isNull() | (F.col(start) - reach > gap), 1).otherwise(0))
     return marked.withColumn("__g", F.sum("__new").over(w)).groupBy(*by, "__g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__g")
 
 
-def still_spans(islands: DataFrame, by: list[str], least: float = 0.0, start: str = "start", end: str = "end") -> DataFrame:
-    """The gaps between merged intervals."""
-    nxt = F.lead(start).over(Window.partitionBy(*by).orderBy(start))
-    return islands.select(*by, F.col(end).alias("from"), nxt.alias("to")).where(F.col("to") - F.col("from") > least)
+#: Limits of activity.
+ACTIVITY_CHANGE, PAD, MERGE_GAP, WINDOW_SECONDS, WINDOW_FRAMES = 0.02, 0.5, 1.0, 2.5, 6
 
 
-def split_spans(islands: DataFrame, by: list[str], length: float, most: int, start: str = "start", end: str = "end") -> DataFrame:
-    """Moments through each interval, at most `most`, no further apart than `length` where that allows."""
-    n = F.least(F.greatest(F.ceil((F.col(end) - F.col(start)) / length), F.lit(1)), F.lit(most)).cast("int")
-    at = F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
-    return islands.select(*by, start, end, n.alias("parts"), at).select(*by, start, (F.col(start) + (F.col(end) - F.col(start)) * (F.col("i") + 0.5) / F.col("parts")).alias("at"))
+def activity_windows(frames: DataFrame, durations: DataFrame, by: list[str], least: float = ACTIVITY_CHANGE, pad: float = PAD, gap: float = MERGE_GAP, length: float = WINDOW_SECONDS, most: int = WINDOW_FRAMES) -> DataFrame:
+    """(by, start, end, times): where frames change, in windows of `length` seconds with `most` of the frames' times.
+
+    frames: by, seconds, change; durations: by, duration. A change spans from the frame before to the frame,
+    padded and held to the file; spans not further apart than `gap` are one. Each is cut into even windows; of
+    more frames than `most` evenly placed ones are kept; a window with fewer than two takes the two frames nearest
+    to its start. Frames meet windows by cells of `length`, never all of a file's.
+    """
+    order = Window.partitionBy(*by).orderBy("seconds")
+    known = frames.join(durations.where("duration > 0"), by)
+    changed = known.withColumn("__before", F.lag("seconds").over(order)).where(F.col("__before").isNotNull() & (F.col("change") >= least))
+    spans = changed.select(*by, F.greatest(F.col("__before") - pad, F.lit(0.0)).alias("start"), F.least(F.col("seconds") + pad, "duration").alias("end"))
+    islands = merged_intervals(spans, by, gap=gap)
+    n = F.greatest(F.ceil((F.col("end") - F.col("start")) / length), F.lit(1)).cast("int")
+    cut = islands.select(*by, "start", "end", n.alias("__n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("__i"))
+    size = (F.col("end") - F.col("start")) / F.col("__n")
+    cut = cut.select(*by, (F.col("start") + F.col("__i") * size).alias("__a"), F.when(F.col("__i") == F.col("__n") - 1, F.col("end")).otherwise(F.col("start") + F.col("__i") * size + size).alias("__b"))
+    cells = cut.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__a") / length), F.floor(F.col("__b") / length))))
+    inside = cells.join(frames.select(*by, "seconds", F.floor(F.col("seconds") / length).alias("__cell")), [*by, "__cell"]).where("seconds BETWEEN __a AND __b")
+    times = inside.groupBy(*by, "__a", "__b").agg(F.array_sort(F.collect_list("seconds")).alias("__t"))
+    # the frames about a window's start: the two up to it and the two after
+    near = lambda k: F.lead("seconds", k).over(order) if k > 0 else F.lag("seconds", -k).over(order)
+    about = frames.select(*by, F.col("seconds").alias("__at"), F.array("seconds", near(-1), near(1), near(2)).alias("__f"), F.lit(None).cast("double").alias("__a"), F.lit(None).cast("double").alias("__b"))
+    asked = cut.select(*by, F.col("__a").alias("__at"), F.lit(None).cast("array<double>").alias("__f"), "__a", "__b")
+    upto = Window.partitionBy(*by).orderBy("__at", F.col("__a").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    from_ = Window.partitionBy(*by).orderBy("__at", F.col("__a").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    both = about.unionByName(asked).withColumn("__f", F.coalesce(F.last("__f", ignorenulls=True).over(upto), F.first("__f", ignorenulls=True).over(from_))).where("__a IS NOT NULL")
+    nearest = F.slice(F.array_sort(F.transform(F.array_compact("__f"), lambda x: F.struct(F.abs(x - F.col("__a")).alias("d"), x.alias("x")))), 1, 2)
+    joined = both.select(*by, "__a", "__b", F.transform(nearest, lambda x: x["x"]).alias("__near")).join(times, [*by, "__a", "__b"], "left").withColumn("__t", F.coalesce("__t", F.array().cast("array<double>")))
+    step = (F.size("__t") - 1) / (most - 1)
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.get("__t", F.floor(k * step + 0.5).cast("int")))
+    found = F.when(F.size("__t") > most, even).when(F.size("__t") < 2, F.array_sort(F.array_union("__t", "__near"))).otherwise(F.col("__t"))
+    out = joined.select(*by, "__a", "__b", found.alias("times")).where(F.size("times") >= 2)
+    return out.select(*by, F.least("__a", F.element_at("times", 1)).alias("start"), F.greatest("__b", F.element_at("times", -1)).alias("end"), "times")
+
+
+def still_spans(windows: DataFrame, durations: DataFrame, by: list[str], least: float = 0.001) -> DataFrame:
+    """(by, from, to): what no window (start, end) covers of 0..duration, before the first and after the last too."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.coalesce(F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0))
+    between = windows.select(*by, reach.alias("from"), F.col("start").alias("to"))
+    ends = windows.groupBy(*by).agg(F.max("end").alias("from"))
+    tail = durations.join(ends, by, "left").select(*by, F.greatest(F.coalesce("from", F.lit(0.0)), F.lit(0.0)).alias("from"), F.col("duration").alias("to"))
+    return between.unionByName(tail).where(F.col("to") > F.col("from") + least)
+
+
+def chapter_starts(captions: DataFrame, by: list[str], unlike: float = 0.12, like: float = 0.35, least: int = 3) -> DataFrame:
+    """(by, start, end, text): drafts of chapters at captions unlike the one before and like the one after.
+
+    captions: by, id, seconds, text; blank ones are left out, files with fewer than `least` or without such a
+    caption have no chapters. The first caption starts the first chapter; the last one's end is null.
+    """
+    words = lambda x: F.array_except(F.array_distinct(tokens(x)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    order = Window.partitionBy(*by).orderBy("seconds", "id")
+    c = captions.where((F.col("seconds") >= 0) & (F.trim("text") != "")).withColumn("__s", words(F.col("text")))
+    c = c.withColumn("__before", F.lag("__s").over(order)).withColumn("__after", F.lead("__s").over(order)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    boundary = F.col("__before").isNotNull() & F.col("__after").isNotNull() & (jaccard(F.col("__before"), F.col("__s")) < unlike) & (jaccard(F.col("__s"), F.col("__after")) >= like)
+    c = c.where(F.col("__n") >= least).withColumn("__boundary", F.coalesce(boundary, F.lit(False))).withColumn("__any", F.max("__boundary").over(Window.partitionBy(*by)))
+    starts = c.where(F.col("__any") & (F.col("__boundary") | F.col("__before").isNull()))
+    following = F.lead("seconds").over(order)
+    return starts.select(*by, F.col("seconds").alias("start"), F.greatest("seconds", following - 0.001).alias("end"), "text").withColumn("end", F.when(F.col("end") > F.col("start"), F.col("end")))
 
 
 def scene_cuts(rows: DataFrame, by: list[str], least: float = 0.75) -> DataFrame:
@@ -180,10 +305,15 @@ def recommendation(scored: DataFrame, group: str, tie: float = 0.03, clear: floa
     return best.select(group, "id", "n", verdict.alias("verdict"))
 
 
-def representatives(pairs: DataFrame, members: DataFrame, penalty: float = 0.001) -> DataFrame:
-    """(group, id): the member with the greatest sum of cosines to others; raw files lose a little. pairs: (group, a, b, cosine)."""
-    both = pairs.select("group", F.col("a").alias("id"), "cosine").union(pairs.select("group", F.col("b").alias("id"), "cosine"))
-    sums = both.groupBy("group", "id").agg(F.sum("cosine").alias("s"))
-    scored = members.join(sums, ["group", "id"], "left").select("group", "id", F.round(F.coalesce("s", F.lit(0.0)) - F.when(F.col("raw"), penalty).otherwise(0.0), 9).alias("s"))
-    return scored.groupBy("group").agg(F.max(F.struct("s", (-F.col("id")).alias("back"))).alias("x")).select("group", (-F.col("x.back")).alias("id"))
+def representatives(members: DataFrame, penalty: float = 0.001) -> DataFrame:
+    """(group, id): the member with the greatest sum of cosines to the others of its group; raw files lose a little, ties go to the least id.
 
+    members: group, id, raw, v. A member's sum is its product with the sum of all unit vectors of the group, less
+    its own, so no pairs are made.
+    """
+    u = members.withColumn("u", unit(F.col("v")))
+    sums = u.select("group", F.posexplode("u").alias("i", "x")).groupBy("group", "i").agg(F.sum("x").alias("x"))
+    total = sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
+    s = dot(F.col("u"), F.col("total")) - dot(F.col("u"), F.col("u")) - F.when(F.col("raw"), penalty).otherwise(0.0)
+    scored = u.join(total, "group").select("group", "id", F.round(s, 9).alias("s"))
+    return scored.groupBy("group").agg(F.max(F.struct("s", (-F.col("id")).alias("back"))).alias("x")).select("group", (-F.col("x.back")).alias("id"))

@@ -176,7 +176,7 @@ def _(c):
 SELECT id FROM files WHERE (contains(lower(text), 'the') AND contains(lower(text), 'license')) OR (contains(lower(text), 'der') AND contains(lower(text), 'ung'))""")
 def _(c):
     t = F.lower("text")
-    word = lambda w: c.files.where(t.contains(w)).select("id")
+    word = lambda w: c.texts.where(t.contains(w)).select("id")
     return word("the").join(word("license"), "id", "left_semi").union(word("der").join(word("ung"), "id", "left_semi")).distinct()
 
 
@@ -252,7 +252,7 @@ def _(c):
 WITH w AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM files)
 SELECT term, count(*) AS n FROM w WHERE length(term) >= 3 GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 256""")
 def _(c):
-    w = c.files.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term")).where("length(term) >= 3")
+    w = c.texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term")).where("length(term) >= 3")
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.col("n").desc(), "term").limit(256)
 
 
@@ -261,7 +261,7 @@ WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS
 SELECT w, CASE WHEN length(w) >= 4 AND NOT ends_with(w, 'ss') THEN CASE WHEN ends_with(w, 'ies') THEN w || ',' || w[:-4] || 'y' WHEN ends_with(w, 'es') THEN w || ',' || w[:-3] || ',' || w[:-2]
   WHEN ends_with(w, 's') THEN w || ',' || w[:-2] ELSE w END ELSE w END AS forms FROM w""")
 def _(c):
-    w = c.files.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    w = c.texts.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
     return w.select("w", F.array_join(X.word_forms(F.col("w")), ",").alias("forms"))
 
 
@@ -269,7 +269,7 @@ def _(c):
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM files WHERE id < 200)
 SELECT w, CASE WHEN length(w) > 5 AND ends_with(w, 'ing') THEN w[:-4] WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END AS stem FROM w""")
 def _(c):
-    w = c.files.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    w = c.texts.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
     return w.select("w", X.light_stem(F.col("w")).alias("stem"))
 
 
@@ -309,12 +309,12 @@ def _(c):
 
 @query("text_keyphrases")
 def _(c):
-    return c.files.where("lang = 'en'").select("id", F.array_join(X.keyphrases(F.col("text")), "; ").alias("phrases"), X.grounded_name(F.col("text")).alias("name"))
+    return c.texts.where("lang = 'en'").select("id", F.array_join(X.keyphrases(F.col("text")), "; ").alias("phrases"), X.grounded_name(F.col("text")).alias("name"))
 
 
 @query("text_garbled_share")
 def _(c):
-    return c.files.select("id", F.round(X.garbled_share(F.col("text")), 6).alias("share"))
+    return c.texts.select("id", F.round(X.garbled_share(F.col("text")), 6).alias("share"))
 
 
 @query("text_title", r"""
@@ -322,7 +322,7 @@ WITH t AS (SELECT id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t
 k AS (SELECT id, f, regexp_extract(substr(f, 1, 88), '^(.*\S)\s+\S*$', 1) AS cut FROM f)
 SELECT id, CASE WHEN length(f) <= 88 THEN trim(f) ELSE CASE WHEN cut <> '' THEN cut ELSE substr(f, 1, 88) END || '…' END AS title FROM k""")
 def _(c):
-    return c.files.select("id", X.title_of(F.col("text")).alias("title"))
+    return c.texts.select("id", X.title_of(F.col("text")).alias("title"))
 
 
 @query("fn_year_month", f"SELECT id, CASE WHEN {_TAKEN} > 0 THEN {_MONTH} END AS month FROM files")

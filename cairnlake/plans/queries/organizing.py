@@ -21,6 +21,19 @@ m AS (SELECT id, folder, stem, extension, person,
 p AS (SELECT *, CASE category WHEN 'place' THEN 'review' WHEN 'audio' THEN 'review' WHEN 'other' THEN 'ask' ELSE 'auto' END AS confidence FROM m),
 tiers AS (SELECT folder, sum(n)::BIGINT AS n, CASE WHEN sum(n) <= 2 THEN 'junk' WHEN max(n) / sum(n) >= 0.8 THEN 'anchor' ELSE 'mixed' END AS tier FROM (SELECT folder, category, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2) GROUP BY folder)
 """
+_GENERIC = ", ".join(f"'{x}'" for x in facts.GENERIC_FOLDERS)
+_PLACES = _PLAN + f"""
+, q AS (SELECT id, category, CASE WHEN id % 11 = 0 THEN folder || '/Downloads' WHEN id % 11 = 1 AND category = 'document' THEN '/LIB' WHEN id % 11 = 2 AND category = 'document' THEN '/lib/papers' ELSE folder END AS folder FROM p),
+qt AS (SELECT folder, sum(n)::BIGINT AS n, CASE WHEN lower(regexp_extract(folder, '([^/]*)$', 1)) IN ({_GENERIC}) OR sum(n) <= 2 THEN 'junk' WHEN lower(folder) <> '/lib' AND max(n) / sum(n) >= 0.8 THEN 'anchor' ELSE 'mixed' END AS tier FROM (SELECT folder, category, count(*)::DOUBLE AS n FROM q GROUP BY 1, 2) GROUP BY folder)
+"""
+
+
+def _places(c):
+    """The plan with some files in a folder of a generic name, in the library's root, and in one of a single category."""
+    i, document = F.col("id"), F.col("category") == "document"
+    place = F.when(i % 11 == 0, F.concat("folder", F.lit("/Downloads"))).when((i % 11 == 1) & document, "/LIB").when((i % 11 == 2) & document, "/lib/papers").otherwise(F.col("folder"))
+    return _plan(c).withColumn("folder", place)
+
 
 
 def _plan(c):
@@ -37,15 +50,15 @@ def _(c):
     return _plan(c).groupBy("confidence", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("org_folder_tier", _PLAN + "SELECT folder, n, tier FROM tiers")
+@query("org_folder_tier", _PLACES + "SELECT folder, n, tier FROM qt")
 def _(c):
-    return facts.folder_tiers(_plan(c))
+    return facts.folder_tiers(_places(c), "/lib")
 
 
-@query("org_without_anchors", _PLAN + "SELECT p.id, p.destination FROM p JOIN tiers ON tiers.folder = p.folder WHERE tier <> 'anchor' OR category = 'person'")
+@query("org_without_anchors", _PLACES + "SELECT q.id, p.destination FROM q JOIN p ON p.id = q.id JOIN qt ON qt.folder = q.folder WHERE tier <> 'anchor' OR q.category = 'person'")
 def _(c):
-    p = _plan(c)
-    return O.without_anchors(p, facts.folder_tiers(p), F.col("category") == "person").select("id", "destination")
+    p = _places(c)
+    return O.without_anchors(p, facts.folder_tiers(p, "/lib"), F.col("category") == "person").select("id", "destination")
 
 
 @query("org_collision_free", _PLAN + ", k AS (SELECT *, row_number() OVER (PARTITION BY destination, lower(stem), lower(extension) ORDER BY id) AS r FROM p) SELECT id, destination || '/' || stem || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.' || extension AS target FROM k")
@@ -62,7 +75,7 @@ WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+'))
 , s AS (SELECT g, f.token, round(tf * ln(1 + mean / total), 9) AS s FROM f JOIN (SELECT token, sum(tf) AS total FROM f GROUP BY token) x ON x.token = f.token, (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM f GROUP BY g)) y),
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, token) AS r FROM s) SELECT g AS "group", string_agg(token, ' ' ORDER BY r) AS name FROM r WHERE r <= 3 GROUP BY g""")
 def _(c):
-    t = c.files.where("lang = 'en'").select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
+    t = c.texts.where("lang = 'en'").select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
     return O.group_names(t)
 
 

@@ -14,7 +14,7 @@ from cairnlake.operators.filters import Filter
 from cairnlake.plans.registry import query
 
 _BM25 = r"""
-WITH t AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files),
+WITH t AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files),
 f AS (SELECT id, len(t) AS length, len(list_filter(t, lambda x: x = 'the')) AS tf0, len(list_filter(t, lambda x: x = 'license')) AS tf1 FROM t),
 s AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f),
 hits AS (SELECT id, ln(1 + (n - df0 + 0.5::DOUBLE) / (df0 + 0.5::DOUBLE)) * tf0 * 2.2::DOUBLE / (tf0 + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean)) + ln(1 + (n - df1 + 0.5::DOUBLE) / (df1 + 0.5::DOUBLE)) * tf1 * 2.2::DOUBLE / (tf1 + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean)) AS score FROM f, s WHERE tf0 > 0 AND tf1 > 0),
@@ -25,8 +25,12 @@ fused AS (SELECT id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(l * 1000 + ran
 """
 
 
+def _index(c):
+    return R.text_index(c.spark, c.documents_path, c.texts, F.col("text"))
+
+
 def _keyword(c):
-    return R.ranked(R.bm25(c.files, F.col("text"), ["the", "license"]), 30)
+    return R.ranked(R.bm25(_index(c), ["the", "license"]), 30)
 
 
 def _visual(c):
@@ -36,7 +40,7 @@ def _visual(c):
 
 @query("text_bm25", _BM25 + "SELECT id, rank, round(score, 6) AS score FROM kw")
 def _(c):
-    hits = R.bm25(c.files, F.col("text"), ["the", "license"])
+    hits = R.bm25(_index(c), ["the", "license"])
     return R.ranked(hits, 30).join(hits, "id").select("id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -57,11 +61,18 @@ def _(c):
     return R.fill(hits, c.files.where("kind = 'pdf'"), 40)
 
 
+@query("text_phrase", r"""
+WITH t AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files)
+SELECT id FROM t WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'licensed' AND t[i + 1] = 'under')) > 0 AND list_contains(t, 'the')""")
+def _(c):
+    return R.phrase_hits(_index(c), '-- "Licensed-under" ! thé')
+
+
 @query("text_subject_and_or", r"""
-WITH t AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files)
+WITH t AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files)
 SELECT id FROM t WHERE (list_has_any(t, ['licenses', 'licens', 'license']) AND list_has_any(t, ['the'])) OR (list_has_any(t, ['clown']) AND list_has_any(t, ['idiots', 'idiot']))""")
 def _(c):
-    return R.subject_ids(c.files, F.col("text"), [["licenses", "the"], ["clown", "idiots"]])
+    return R.subject_ids(_index(c), [["licenses", "the"], ["clown", "idiots"]])
 
 
 @query("text_tag_prefix", """
@@ -78,7 +89,7 @@ def _(c):
     people = c.faces.join(c.persons.where(F.lower("name").contains("fra")).select(F.col("id").alias("person_id")), "person_id", "left_semi").select("file_id")
     also = c.tags.where("tag = 'error'").select("file_id").union(people).distinct().withColumnRenamed("file_id", "id").withColumn("also", F.lit(True))
     text = F.lower("text").contains("license") | F.lower("path").contains("paris") | F.lower(F.coalesce("description", F.lit(""))).contains("the")
-    return c.files.join(also, "id", "left").where(text | F.col("also").isNotNull()).select("id")
+    return c.texts.join(also, "id", "left").where(text | F.col("also").isNotNull()).select("id")
 
 
 @query("evidence_ordered", "SELECT conv, turn, CASE role WHEN 'system' THEN 'chapter' WHEN 'assistant' THEN 'passage' ELSE 'frame' END AS kind FROM messages WHERE contains(lower(text), 'th') ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, conv, turn LIMIT 80")
@@ -142,12 +153,12 @@ def _(c):
     return S.top_k(c.vectors, q, 20).where("score >= 0.2").select("id", F.round("score", 6).alias("score"))
 
 
-@query("chat_retrieval", _BM25 + _VISUAL + """
+@query("chat_retrieval", _BM25 + _VISUAL + r"""
 , r AS (SELECT id, score, place FROM fused WHERE id IN (SELECT id FROM files WHERE kind IN ('doc', 'pdf'))), h AS (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, place, id)::INTEGER AS rank FROM r),
-m AS (SELECT id, 2147483647 AS rank FROM files WHERE kind IN ('doc', 'pdf') AND contains(lower(text), 'license') AND id NOT IN (SELECT id FROM h) ORDER BY id LIMIT 50) SELECT id, rank FROM (SELECT * FROM h UNION ALL SELECT * FROM m) ORDER BY rank, id LIMIT 50""")
+m AS (SELECT id, 2147483647 AS rank FROM files WHERE kind IN ('doc', 'pdf') AND list_contains(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), 'license') AND id NOT IN (SELECT id FROM h) ORDER BY id LIMIT 50) SELECT id, rank FROM (SELECT * FROM h UNION ALL SELECT * FROM m) ORDER BY rank, id LIMIT 50""")
 def _(c):
     query_, kinds = ask.search_plan(["license files", "only documents"])
     found = Filter(kinds=kinds).apply(c.files)
     hits = R.restrict(R.fuse([_keyword(c), _visual(c)], limit=100), found)
     ranked = hits.select("id", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "at", "id")).alias("rank"))
-    return R.fill(ranked, found.where(F.lower("text").contains(query_)), 50)
+    return R.fill(ranked, found.join(R.phrase_hits(_index(c), query_), "id", "left_semi"), 50)

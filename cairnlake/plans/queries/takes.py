@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnlake.functions.text import STOP_WORDS
 from cairnlake.functions.vectors import cosine
 from cairnlake.operators import sessions as T
-from cairnlake.operators import similarity as S
 from cairnlake.plans.registry import query
 
 _SESS = """
@@ -22,9 +22,9 @@ def _(c):
     return T.session_spans(s, ["user"], "seconds").select("user", "session", "n", F.round(F.col("last") - F.col("first"), 3).alias("span"))
 
 
-@query("sess_gap_30m_cap", _SESS.format(86400) + 'SELECT id, session, ((row_number() OVER (PARTITION BY "user", session ORDER BY seconds, id) - 1) // 5)::BIGINT AS part FROM s')
+@query("sess_gap_30m_cap", _SESS.format(1800).replace('"user"', "kind") + "SELECT id, kind, session, ((row_number() OVER (PARTITION BY kind, session ORDER BY seconds, id) - 1) // 2000)::BIGINT AS part FROM s")
 def _(c):
-    return T.gap_sessions(c.signals, ["user"], "seconds", 86400, most=5).select("id", "session", "part")
+    return T.gap_sessions(c.signals, ["kind"], "seconds", 1800, most=2000).select("id", "kind", "session", "part")
 
 
 @query("sess_loose_events", _SESS.format(43200) + """SELECT "user", session, n, CASE WHEN d1 = d2 THEN d1 ELSE d1 || ' to ' || d2 END AS label FROM (SELECT "user", session, count(*) AS n, strftime(to_timestamp(min(seconds)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d1,
@@ -47,16 +47,16 @@ def _shots(c):
 
 @query("burst_groups")
 def _(c):
-    return T.group_bursts(_shots(c), ["label"], 86400.0, -0.1, -0.1)
+    shots = c.signals.select("id", "seconds").join(c.vectors.select("id", "v", "phash", "label"), "id")
+    path = F.concat(F.lit("/shots/"), F.when(F.col("id") % 7 == 0, F.col("id") - 1).otherwise(F.col("id")).cast("string"), F.when(F.col("id") % 7 == 0, ".jpg").otherwise(".arw"))
+    return T.group_bursts(shots.withColumn("path", path), ["label"], T.BurstLimits(86400.0, 5 * 86400.0, 0.2, -0.1, 24, 24, True))
 
 
 @query("burst_representatives", """
 WITH p AS (SELECT x.label, x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS s FROM vectors x JOIN vectors y ON x.label = y.label AND x.id < y.id), t AS (SELECT label, a AS id, s FROM p UNION ALL SELECT label, b, s FROM p),
 u AS (SELECT label, id, round(sum(s) - CASE WHEN id % 3 = 0 THEN 0.001 ELSE 0 END, 9) AS s FROM t GROUP BY label, id) SELECT label AS "group", id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, id) AS r FROM u) WHERE r = 1""")
 def _(c):
-    v = c.vectors.select(F.col("label").alias("group"), "id", "v")
-    pairs = S.cosine_pairs(v, -1.0).join(v.select(F.col("id").alias("a"), "group"), "a").join(v.select(F.col("id").alias("b"), F.col("group").alias("g")), "b").where(F.col("group") == F.col("g"))
-    return T.representatives(pairs, v.select("group", "id", (F.col("id") % 3 == 0).alias("raw")))
+    return T.representatives(c.vectors.select(F.col("label").alias("group"), "id", (F.col("id") % 3 == 0).alias("raw"), "v"))
 
 
 _TAKES = """
@@ -93,11 +93,14 @@ def _(c):
     return c.files.where("kind IN ('image', 'video')").groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-@query("take_relation", "SELECT a.id AS a, b.id AS b, CASE WHEN list_cosine_similarity(a.v, b.v) >= 0.25 THEN 'repeated attempts' WHEN list_cosine_similarity(a.v, b.v) < 0.1 THEN 'alternate views' ELSE 'uncertain' END AS relation FROM vectors a JOIN vectors b ON a.label = b.label AND b.id = a.id + 10")
+@query("take_relation", """
+WITH o AS (SELECT id, label, v, lead(id) OVER w AS b, lead(v) OVER w AS u FROM vectors WINDOW w AS (PARTITION BY label ORDER BY id))
+SELECT id AS a, b, CASE WHEN list_cosine_similarity(v, u) >= 0.25 THEN 'repeated attempts' WHEN list_cosine_similarity(v, u) < 0.1 THEN 'alternate views' ELSE 'uncertain' END AS relation FROM o WHERE b IS NOT NULL""")
 def _(c):
-    a, b = c.vectors, c.vectors.select((F.col("id") - 10).alias("id"), F.col("id").alias("b"), F.col("label").alias("l"), F.col("v").alias("w"))
-    s = cosine(F.col("v"), F.col("w"))
-    return a.join(b, "id").where("label = l").select(F.col("id").alias("a"), "b", F.when(s >= 0.25, "repeated attempts").when(s < 0.1, "alternate views").otherwise("uncertain").alias("relation"))
+    w = Window.partitionBy("label").orderBy("id")
+    s = cosine(F.col("v"), F.col("u"))
+    pairs = c.vectors.select("id", F.lead("id").over(w).alias("b"), "v", F.lead("v").over(w).alias("u")).where("b IS NOT NULL")
+    return pairs.select(F.col("id").alias("a"), "b", F.when(s >= 0.25, "repeated attempts").when(s < 0.1, "alternate views").otherwise("uncertain").alias("relation"))
 
 
 @query("sess_trimmed_spans", """
@@ -140,9 +143,27 @@ def _(c):
     return w.select("kind", F.unix_timestamp("start").alias("start"), "n", F.round("peak", 6).alias("peak"), "peak_id")
 
 
-@query("timeline_change_samples")
+_FILES = """
+WITH RECURSIVE o AS (SELECT "user", id, seconds - min(seconds) OVER (PARTITION BY "user") AS t, (id * 37 % 101) / 1000.0::DOUBLE AS change FROM signals), d AS (SELECT "user", max(t) + 1.0 AS duration FROM o GROUP BY "user")
+"""
+
+
+def _frames(c):
+    """A timeline per user as (user, seconds, change), and its (user, duration)."""
+    first = F.min("seconds").over(Window.partitionBy("user"))
+    o = c.signals.select("user", "id", (F.col("seconds") - first).alias("seconds"), (F.col("id") * 37 % 101 / 1000.0).alias("change"))
+    return o, o.groupBy("user").agg((F.max("seconds") + 1.0).alias("duration"))
+
+
+@query("timeline_change_samples", _FILES.replace("WITH RECURSIVE", "WITH") + """
+, p AS (SELECT o."user", floor(t / 86400)::BIGINT AS w, arg_max(t, (change, -t)) AS peak FROM o JOIN d ON d."user" = o."user" WHERE change >= 0.025 AND t < duration GROUP BY 1, 2),
+w AS (SELECT d."user", duration, unnest(range(ceil(duration / 86400)::BIGINT)) AS w FROM d), j AS (SELECT w.*, peak, least(duration, (w.w + 1) * 86400.0::DOUBLE) AS e FROM w LEFT JOIN p ON p."user" = w."user" AND p.w = w.w),
+r AS (SELECT "user", (-1)::BIGINT AS w, 0.0::DOUBLE AS last, 0.0::DOUBLE AS pick FROM d UNION ALL
+  SELECT j."user", j.w, coalesce(CASE WHEN peak - last >= 40000 THEN peak WHEN e < duration AND e - last >= 40000 THEN e END, last), CASE WHEN peak - last >= 40000 THEN peak WHEN e < duration AND e - last >= 40000 THEN e END FROM r JOIN j ON j."user" = r."user" AND j.w = r.w + 1)
+SELECT "user", round(pick, 3) AS seconds FROM r WHERE pick IS NOT NULL""")
 def _(c):
-    return T.change_samples(c.signals, ["user"], 20.0, 86400.0)
+    o, d = _frames(c)
+    return T.change_samples(o, d, ["user"], 86400.0, spacing=40000.0).select("user", F.round("seconds", 3).alias("seconds"))
 
 
 _ISLANDS = """
@@ -160,25 +181,53 @@ def _(c):
     return _islands(c).select("user", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("timeline_still_spans", _ISLANDS + ', n AS (SELECT "user", b AS f, lead(a) OVER (PARTITION BY "user" ORDER BY a) AS t FROM m) SELECT "user", round(f, 3) AS "from", round(t, 3) AS "to" FROM n WHERE t - f > 3600')
+_WINDOWS = _FILES.replace("WITH RECURSIVE", "WITH") + """
+, c AS (SELECT o."user", greatest(b - 1800, 0) AS a, least(t + 1800, duration) AS b FROM (SELECT *, lag(t) OVER (PARTITION BY "user" ORDER BY t) AS b FROM o) o JOIN d ON d."user" = o."user" WHERE b IS NOT NULL AND change >= 0.02),
+p AS (SELECT *, max(b) OVER (PARTITION BY "user" ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY "user" ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM p),
+m AS (SELECT "user", min(a) AS a, max(b) AS b FROM g GROUP BY "user", g), n AS (SELECT *, greatest(ceil((b - a) / 90000), 1)::INTEGER AS n FROM m), x AS (SELECT *, unnest(range(n)) AS i FROM n),
+k AS (SELECT "user", a + i * ((b - a) / n) AS a, CASE WHEN i = n - 1 THEN b ELSE a + i * ((b - a) / n) + (b - a) / n END AS b FROM x), f AS (SELECT "user", list(t ORDER BY t) AS f FROM o GROUP BY "user"),
+y AS (SELECT k.*, f, list_filter(f, lambda t: t >= a AND t <= b) AS t FROM k JOIN f ON f."user" = k."user"),
+z AS (SELECT "user", a, b, CASE WHEN len(t) > 6 THEN list_transform(range(6), lambda q: t[floor(q * ((len(t) - 1) / 5.0::DOUBLE) + 0.5)::INTEGER + 1])
+  WHEN len(t) < 2 THEN list_sort(list_distinct(list_concat(t, list_transform(list_sort(list_transform(f, lambda v: {'d': abs(v - a), 'x': v}))[1:2], lambda v: v.x)))) ELSE t END AS t FROM y),
+win AS (SELECT "user", least(a, t[1]) AS start, greatest(b, t[len(t)]) AS "end", t AS times FROM z WHERE len(t) >= 2)
+"""
+
+
+def _windows(c):
+    o, d = _frames(c)
+    return T.activity_windows(o.select("user", "seconds", "change"), d, ["user"], pad=1800.0, gap=3600.0, length=90000.0), d
+
+
+@query("timeline_activity_frames", _WINDOWS + 'SELECT "user", round(start, 3) AS start, round("end", 3) AS "end", len(times)::BIGINT AS n, round(list_sum(times), 2) AS total, round(times[1], 3) AS first FROM win')
 def _(c):
-    return T.still_spans(_islands(c), ["user"], 3600.0).select("user", F.round("from", 3).alias("from"), F.round("to", 3).alias("to"))
+    w, _ = _windows(c)
+    total = F.aggregate("times", F.lit(0.0), lambda s, x: s + x)
+    return w.select("user", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.size("times").cast("long").alias("n"), F.round(total, 2).alias("total"), F.round(F.get("times", 0), 3).alias("first"))
 
 
-@query("timeline_activity_frames", _ISLANDS + """
-, k AS (SELECT "user", a, b, least(greatest(ceil((b - a) / 7200), 1), 6)::INTEGER AS parts FROM m), x AS (SELECT *, unnest(range(parts)) AS i FROM k) SELECT "user", round(a, 3) AS start, round(a + (b - a) * (i + 0.5::DOUBLE) / parts, 2) AS at FROM x""")
+@query("timeline_still_spans", _WINDOWS + """
+, s AS (SELECT "user", greatest(coalesce(max("end") OVER (PARTITION BY "user" ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS f, start AS t FROM win UNION ALL
+  SELECT d."user", coalesce(max("end"), 0), max(duration) FROM d LEFT JOIN win ON win."user" = d."user" GROUP BY d."user")
+SELECT "user", round(f, 3) AS "from", round(t, 3) AS "to" FROM s WHERE t > f + 0.001""")
 def _(c):
-    return T.split_spans(_islands(c), ["user"], 7200.0, 6).select("user", F.round("start", 3).alias("start"), F.round("at", 2).alias("at"))
+    w, d = _windows(c)
+    return T.still_spans(w, d, ["user"]).select("user", F.round("from", 3).alias("from"), F.round("to", 3).alias("to"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-@query("timeline_chapters", """
-WITH w AS (SELECT conv, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM messages), p AS (SELECT conv, turn, s, lag(s) OVER (PARTITION BY conv ORDER BY turn) AS b FROM w)
-SELECT conv, turn FROM p WHERE b IS NULL OR len(list_intersect(s, b))::DOUBLE / greatest(len(list_distinct(list_concat(s, b))), 1) < 0.12""")
+@query("timeline_chapters", rf"""
+WITH cap AS (SELECT conv, turn, arg_min(text, turn) OVER (PARTITION BY conv, turn // 2) AS text FROM messages), w AS (SELECT conv, turn, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')), lambda x: x NOT IN ({_STOP})) AS s FROM cap WHERE trim(text) <> ''),
+p AS (SELECT *, lag(s) OVER q AS b, lead(s) OVER q AS a, count(*) OVER (PARTITION BY conv) AS n FROM w WINDOW q AS (PARTITION BY conv ORDER BY turn)),
+j AS (SELECT *, coalesce(b IS NOT NULL AND a IS NOT NULL AND coalesce(len(list_intersect(s, b))::DOUBLE / nullif(len(list_distinct(list_concat(s, b))), 0), 0) < 0.12 AND coalesce(len(list_intersect(s, a))::DOUBLE / nullif(len(list_distinct(list_concat(s, a))), 0), 0) >= 0.35, false) AS x FROM p WHERE n >= 3),
+k AS (SELECT *, bool_or(x) OVER (PARTITION BY conv) AS has FROM j), s AS (SELECT conv, turn, lead(turn) OVER (PARTITION BY conv ORDER BY turn) AS nxt FROM k WHERE has AND (x OR b IS NULL))
+SELECT conv, turn::DOUBLE AS start, round(nxt - 0.001, 3) AS "end" FROM s""")
 def _(c):
-    s = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    w = c.messages.select("conv", "turn", s.alias("s")).withColumn("b", F.lag("s").over(Window.partitionBy("conv").orderBy("turn")))
-    like = F.size(F.array_intersect("s", "b")) / F.greatest(F.size(F.array_union("s", "b")), F.lit(1))
-    return w.where(F.col("b").isNull() | (like < 0.12)).select("conv", "turn")
+    # captions that hold for two turns, so that some are unlike the one before and like the one after
+    same = F.min_by("text", "turn").over(Window.partitionBy("conv", F.floor(F.col("turn") / 2)))
+    captions = c.messages.select("conv", F.col("turn").alias("id"), F.col("turn").cast("double").alias("seconds"), same.alias("text"))
+    return T.chapter_starts(captions, ["conv"]).select("conv", "start", F.round("end", 3).alias("end"))
 
 
 @query("timeline_scene_cuts")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +74,25 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    """A table derived from the files at `source`, written once in the shared folder and read by every later query.
+
+    Its folder carries the source's path, bytes, files and time, so a changed source is derived anew.
+    """
+    importable(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(path)
+    state = f"{source} {summary.getLength()} {summary.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"
+    out = f"{shared_dir(spark)}/derived-{name}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
+    done = hadoop.Path(f"{out}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        writer = build().write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(out)
+    return spark.read.parquet(out)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged() frame that no pending plan reads any more."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import visible_text
-from cairnlake.session import table
+from cairnlake.session import table, written
 
 #: File kinds by extension.
 KINDS = {
@@ -52,7 +52,19 @@ class Catalog:
 
     @cached_property
     def all_files(self) -> DataFrame:
-        """Files, failed ones too."""
+        """Files without their text, failed ones too: derived once and written by kind, so filters reach the files and hashes are kept."""
+        return written(self.spark, "files", self.documents_path, lambda: self._with_text(F.sha2("text", 256).alias("content_hash")).drop("text"), "kind")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Active files with their text."""
+        return self._with_text().where("failed = 0")
+
+    @property
+    def documents_path(self) -> str:
+        return f"{self.sf_dir}/documents.parquet"
+
+    def _with_text(self, *more: Column) -> DataFrame:
         i = F.col("doc_id")
         extension = F.element_at(F.array(*[F.lit(x) for x in ("jpg", "JPG", "arw", "mp4", "mov", "pdf", "docx", "mp3", "txt", "xyz")]), (i % 10 + 1).cast("int"))
         stem = (
@@ -63,7 +75,7 @@ class Catalog:
         return self.table("documents").select(
             i.alias("id"), folder.alias("folder"), stem.alias("stem"), extension.alias("extension"),
             F.concat(folder, F.lit("/"), stem, F.lit("."), extension).alias("path"), kind_of(extension).alias("kind"),
-            F.col("n_chars").alias("size_bytes"), F.sha2("text", 256).alias("content_hash"),
+            F.col("n_chars").alias("size_bytes"), *more,
             F.when(i % 7 != 0, F.lit(1672531200.0) + (i * 7919 % 31536000).cast("double")).alias("created_at"),
             (F.lit(1704067200.0) + i.cast("double") * 60).alias("modified_at"),
             F.when(i % 8 != 0, (i * 37 % 101).cast("double") / 100).alias("quality"),

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from cairnlake.functions import text as X
-from cairnlake.operators import ann, ask, filters, identity
+from cairnlake.operators import ann, ask, facts, filters, identity
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import sessions as T
 from cairnlake.operators import similarity as S
@@ -61,10 +61,63 @@ def test_admission_skips_what_does_not_fit(spark):
     assert sorted(r.first_id for r in identity.admitted(df, 6, 10_000).collect()) == [2, 3]
 
 
+def plain_bursts(rows, limits):
+    """The greedy pass over all shots of a group, in one list."""
+    stem = lambda r: r[2].rsplit("/")[-1].rsplit(".")[0]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    out = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        time = {}
+        for r in own:
+            twins = [o[3] for o in own if stem(o) == stem(r) and o[3] is not None and r[3] is not None and o[3] < r[3] and o[5] and r[5] and cos(o[5], r[5]) >= 0.9]
+            time[r[1]] = min([*twins, r[3]]) if r[3] is not None else None
+        open_ = []
+        for r in sorted(own, key=lambda r: (time[r[1]] is None, time[r[1]] or 0, stem(r), r[2], r[1])):
+            t = time[r[1]]
+            fits = bool(open_) and t is not None and len(open_) < limits.most and t - time[open_[-1][1]] <= limits.gap and t - time[open_[0][1]] <= limits.span
+            if fits and not any(stem(o) == stem(r) and o[2] != r[2] for o in open_):
+                first, last = open_[0], open_[-1]
+                bits = bin((r[4] ^ last[4]) & (2**64 - 1)).count("1") <= limits.bits if r[4] and last[4] else False
+                if not (r[5] and first[5] and last[5]):
+                    fits = limits.by_hash_alone and bits
+                else:
+                    to_last = cos(r[5], last[5])
+                    fits = cos(r[5], first[5]) >= limits.to_first and (to_last >= limits.to_last or (bits and to_last >= limits.to_first))
+            open_ = [*open_, r] if fits else [r]
+            out[r[1]] = open_[0][1]
+    return out
+
+
+def test_activity_chapters_and_stills(spark):
+    frames = spark.createDataFrame([(1, i * 0.5, 0.03 if 4 <= i <= 20 else 0.0) for i in range(60)] + [(2, 0.0, 0.0), (2, 30.0, 0.5), (3, 0.0, 0.0), (3, 1.0, 0.0)], "f long, seconds double, change double")
+    files = spark.createDataFrame([(1, 30.0), (2, 40.0), (3, 5.0)], "f long, duration double")
+    w = T.activity_windows(frames, files, ["f"])
+    got = sorted((r.f, r.start, r.end, r.times) for r in w.collect())
+    assert [g[:3] for g in got if g[0] == 1] == [(1, 1.0 + i * 9.5 / 4, 1.0 + (i + 1) * 9.5 / 4) for i in range(4)]
+    assert all(2 <= len(g[3]) <= 6 for g in got) and [g[1:3] for g in got if g[0] == 2][0] == (0.0, 30.0)
+    still = sorted((r.f, r["from"], r.to) for r in T.still_spans(w.where("f <> 2"), files, ["f"]).collect())
+    assert still == [(1, 0.0, 1.0), (1, 10.5, 30.0), (2, 0.0, 40.0), (3, 0.0, 5.0)]
+    said = [(1, 1, 0.0, "red boat harbor"), (1, 2, 1.0, "red boat harbor"), (1, 3, 2.0, "green hills sheep"), (1, 4, 3.0, "green hills sheep"), (1, 5, 4.0, "lonely"), (2, 1, 0.0, "red"), (2, 2, 1.0, "blue"), (3, 1, 0.0, " "), (3, 2, 1.0, "x1 x2"), (3, 3, 2.0, "y1"), (3, 4, 3.0, "y2")]
+    c = spark.createDataFrame(said, "f long, id long, seconds double, text string")
+    assert sorted((r.f, r.start, r.end) for r in T.chapter_starts(c, ["f"]).collect()) == [(1, 0.0, 1.999), (1, 2.0, None)]
+
+
+def test_folder_tiers(spark):
+    rows = [("/lib/Downloads", "photo")] * 9 + [("/LIB", "photo")] * 9 + [("/lib/trip", "photo")] * 9 + [("/lib/few", "photo")] * 2 + [("/lib/both", k) for k in ("photo", "video") * 3]
+    got = {r.folder: r.tier for r in facts.folder_tiers(spark.createDataFrame(rows, "folder string, category string"), "/lib").collect()}
+    assert got == {"/lib/Downloads": "junk", "/LIB": "mixed", "/lib/trip": "anchor", "/lib/few": "junk", "/lib/both": "mixed"}
+
+
 def test_bursts_windows_and_passages(spark):
-    rows = [(1, 0.0, [1.0, 0.0]), (2, 1.0, [1.0, 0.1]), (3, 2.0, [0.0, 1.0]), (4, 3.0, [0.1, 1.0]), (5, 99.0, [0.1, 1.0])]
-    df = spark.createDataFrame([(7, *r) for r in rows], "g long, id long, seconds double, v array<double>")
-    assert {r.id: r.burst for r in T.group_bursts(df, ["g"], 2.0, 0.9, 0.9).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        v = None if rng.random() < 0.1 else [rng.choice((1.0, 0.9)), rng.random() * 0.6]
+        rows.append((i % 2, i, f"/f/{rng.randrange(150)}.{rng.choice(('arw', 'jpg'))}", None if rng.random() < 0.02 else rng.randrange(2000) / 4.0, rng.choice((0, None, 7, -8, 1 << 40)), v))
+    df = spark.createDataFrame(rows, "g long, id long, path string, seconds double, phash long, v array<double>")
+    for limits in (T.NEAR_DUPLICATES, T.TAKES, T.BurstLimits(3.0, 9.0, 0.99, 0.9, 3, 4, True)):
+        assert {r.id: r.burst for r in T.group_bursts(df, ["g"], limits).collect()} == plain_bursts(rows, limits)
     said = spark.createDataFrame([(1, i, float(i), "x" * 100) for i in range(4)] + [(1, 9, 30.0, "late")], "f long, id long, seconds double, text string")
     assert [len(r.text) for r in sorted(T.passages(said, ["f"]).collect(), key=lambda r: r.start)] == [201, 201, 4]
 
