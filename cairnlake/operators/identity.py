@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnlake.functions.vectors import dot, unit
 from cairnlake.operators.graph import components
-from cairnlake.operators.similarity import centroids, cosine_pairs, nearest, two_nearest
+from cairnlake.operators.similarity import centroids, cohesion, cosine_pairs, nearest, two_nearest
 from cairnlake.session import staged
 
 
@@ -48,27 +49,42 @@ def admitted(classes: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
     return classes.orderBy(F.col("size_bytes").desc(), "first_id").coalesce(1).mapInPandas(fold, classes.schema)
 
 
-def _split(v: np.ndarray, mean: float, variance: float, depth: int) -> np.ndarray:
+ALIKE = 0.999
+ROUNDS = 10
+
+
+def _halves(v: np.ndarray, ids: np.ndarray) -> np.ndarray | None:
+    """Which unit vectors are nearer to the first of two centres, as halves() finds them; None if all are on one side."""
+    s = np.round(v @ _unit(v.mean(axis=0)), 9)
+    far = np.lexsort((ids, s))[0]
+    t = np.round(v @ v[far], 9)
+    t[far] = np.inf
+    a, b = v[far], v[np.lexsort((ids, t))[0]]
+    for _ in range(ROUNDS):
+        p, q = np.round(v @ a, 9), np.round(v @ b, 9)
+        side = (p > q) | ((p == q) & (ids % 2 == 0))
+        if side.all() or not side.any():
+            return None
+        x, y = _unit(v[side].mean(axis=0)), _unit(v[~side].mean(axis=0))
+        if x @ a > ALIKE and y @ b > ALIKE:
+            break
+        a, b = x, y
+    return side
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x) or 1.0)
+
+
+def _split(v: np.ndarray, ids: np.ndarray, mean: float, variance: float, depth: int) -> np.ndarray:
     """Labels from splitting in two until a group's cosines to its centre are high and even."""
     labels, todo, n = np.zeros(len(v), dtype=int), [(np.arange(len(v)), 0)], 0
     while todo:
         rows, d = todo.pop()
-        center = v[rows].mean(axis=0)
-        s = v[rows] @ (center / (np.linalg.norm(center) or 1.0))
-        far = rows[np.argmin(s)]
-        other = rows[np.argmin(v[rows] @ v[far])]
-        if len(rows) < 4 or d >= depth or (s.mean() >= mean and s.var() <= variance):
-            labels[rows] = n
-            n += 1
-            continue
-        a, b = v[far], v[other]
-        for _ in range(10):
-            side = v[rows] @ a >= v[rows] @ b
-            if side.all() or not side.any():
-                break
-            a, b = v[rows[side]].mean(axis=0), v[rows[~side]].mean(axis=0)
-            a, b = a / (np.linalg.norm(a) or 1.0), b / (np.linalg.norm(b) or 1.0)
-        if side.all() or not side.any():
+        s = v[rows] @ _unit(v[rows].mean(axis=0))
+        even = len(rows) < 4 or d >= depth or (s.mean() >= mean and s.var() <= variance)
+        side = None if even else _halves(v[rows], ids[rows])
+        if side is None:
             labels[rows] = n
             n += 1
         else:
@@ -76,22 +92,97 @@ def _split(v: np.ndarray, mean: float, variance: float, depth: int) -> np.ndarra
     return labels
 
 
+def halves(faces: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Two groups within each group of (id, v): (by, id, v, side) and (by, a, b), their centres; groups that do not part are left out.
+
+    Spherical 2-means from the face farthest from the centre and the one farthest from that; faces as near to both
+    go by whether their id is even. Sums of a group are combined before each shuffle, so no task holds a group.
+    """
+    u = staged(faces.select(by, "id", unit(F.col("v")).alias("v")))
+    score = lambda c: F.round(dot(F.col("v"), F.col(c)), 9)
+    center = centroids(u, by).select(by, F.col("centroid").alias("c"))
+    far = u.join(center, by).groupBy(by).agg(F.min(F.struct(score("c").alias("s"), "id", "v")).alias("x")).select(by, F.col("x.id").alias("far"), F.col("x.v").alias("next_a"))
+    other = u.join(far, by).where("id <> far").groupBy(by).agg(F.min(F.struct(score("next_a").alias("s"), "id", "v")).alias("y")).select(by, F.col("y.v").alias("next_b"))
+    at = staged(far.join(other, by).select(by, F.col("next_a").alias("a"), F.col("next_b").alias("b"), "next_a", "next_b", F.lit(False).alias("done")))
+    nearer = F.when(score("a") > score("b"), 0).when(score("a") < score("b"), 1).otherwise(F.when(F.col("id") % 2 == 0, 0).otherwise(1))
+    for _ in range(ROUNDS):
+        now = at.select(by, *[F.when(F.col("done"), F.col(x)).otherwise(F.col(f"next_{x}")).alias(x) for x in "ab"], F.col("done").alias("was"))
+        sided = u.join(now, by).withColumn("key", F.struct(by, nearer.alias("side")))
+        new = centroids(sided.select("key", "id", "v"), "key").select(F.col(f"key.{by}").alias(by), F.col("key.side").alias("side"), "centroid")
+        pair = new.groupBy(by).agg(*[F.first(F.when(F.col("side") == i, F.col("centroid")), ignorenulls=True).alias(f"next_{x}") for i, x in enumerate("ab")])
+        alike = (dot(F.col("next_a"), F.col("a")) > ALIKE) & (dot(F.col("next_b"), F.col("b")) > ALIKE)
+        at = staged(now.join(pair.where("next_a IS NOT NULL AND next_b IS NOT NULL"), by).select(by, "a", "b", "next_a", "next_b", (F.col("was") | alike).alias("done")))
+        if at.where("NOT done").isEmpty():
+            break
+    return u.join(at.select(by, "a", "b"), by).select(by, "id", "v", nearer.alias("side")), at.select(by, F.col("next_a").alias("a"), F.col("next_b").alias("b"))
+
+
+def half_facts(sided: DataFrame, centers: DataFrame, by: str, percentile: float = 0.05) -> DataFrame:
+    """(by, size_a, size_b, cosine, mean_a, mean_b, margin): of two groups their sizes, likeness, mean cosines to their own
+    centre, and the low percentile of how much nearer faces are to their own centre than to the other."""
+    j = sided.join(centers, by)
+    own, other = [F.when(F.col("side") == 0, dot(F.col("v"), F.col(x))).otherwise(dot(F.col("v"), F.col(y))) for x, y in ("ab", "ba")]
+    scored = j.select(by, "side", own.alias("own"), (own - other).alias("m"), dot(F.col("a"), F.col("b")).alias("cosine"))
+    w = Window.partitionBy(by)
+    ranked = scored.withColumn("r", F.row_number().over(w.orderBy("m"))).withColumn("n", F.count(F.lit(1)).over(w))
+    of = lambda i, x: F.avg(F.when(F.col("side") == i, x))
+    return ranked.groupBy(by).agg(
+        F.count_if(F.col("side") == 0).alias("size_a"), F.count_if(F.col("side") == 1).alias("size_b"), F.max("cosine").alias("cosine"), of(0, F.col("own")).alias("mean_a"), of(1, F.col("own")).alias("mean_b"),
+        F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * percentile), F.col("n") - 1) + 1, F.col("m"))).alias("margin"),
+    )
+
+
+def bimodal_parts(faces: DataFrame, least: int = 5000, least_group: int = 500, share: float = 0.20, apart: float = 0.74, margin: float = 0.02) -> DataFrame:
+    """(id, cluster) of (id, v, cluster) with very large clusters parted where they are plainly two people.
+
+    A cluster of `least` faces or more falls in two if both groups have `least_group` faces and a `share` of it, their
+    centres' cosine is `apart` or less, and all but a twentieth of the faces are nearer to their own by `margin`.
+    The part is named by its least face.
+    """
+    large = faces.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    sided, centers = halves(faces.join(large, "cluster", "left_semi"), "cluster")
+    f = half_facts(sided, centers, "cluster")
+    small = F.least("size_a", "size_b")
+    parted = f.where((small >= least_group) & (small / (F.col("size_a") + F.col("size_b")) >= share) & (F.col("cosine") <= apart) & (F.col("margin") >= margin)).select("cluster")
+    own = sided.join(parted, "cluster").select("cluster", "side", "id")
+    named = own.join(own.groupBy("cluster", "side").agg(F.min("id").alias("part")), ["cluster", "side"]).select("id", "part")
+    return faces.join(named, "id", "left").select("id", F.coalesce("part", "cluster").alias("cluster"))
+
+
+def _large_split(named: DataFrame, mean: float, variance: float, depth: int, most: int) -> DataFrame:
+    """(id, v, cluster, depth): clusters of more than `most` faces split in two, as _split does, until they are even or small."""
+    named = named.withColumn("depth", F.lit(0))
+    for d in range(depth):
+        sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cluster")
+        if sizes.isEmpty():
+            break
+        members = named.join(sizes, "cluster", "left_semi").where(F.col("depth") == d)
+        spread = cohesion(members, centroids(members, "cluster"), "cluster")
+        uneven = spread.where((F.col("mean") < mean) | (F.col("variance") > variance)).select("cluster")
+        sided, _ = halves(members.join(uneven, "cluster", "left_semi").select("cluster", "id", "v"), "cluster")
+        parts = sided.groupBy("cluster", "side").agg(F.min("id").alias("part"))
+        moved = sided.join(parts, ["cluster", "side"]).select("id", "part")
+        named = staged(named.join(moved, "id", "left").select("id", "v", F.coalesce("part", "cluster").alias("cluster"), F.when(F.col("part").isNotNull(), d + 1).otherwise(F.col("depth")).alias("depth")))
+    return named
+
+
 def cluster(faces: DataFrame, core: float = 0.66, assign: float = 0.54, margin: float = 0.10, k: int = 32, mean: float = 0.60, variance: float = 0.04, depth: int = 7, most: int = 5000) -> DataFrame:
     """(id, cluster) in three passes over (id, v): components of mutual nearest neighbours at `core`, single
-    faces to the best centre at `assign` with a margin, and splitting of uneven groups of `most` members or fewer.
+    faces to the best centre at `assign` with a margin, and splitting of uneven groups.
 
-    The id of a cluster is the least id in it. Larger groups are left as they are: their split is per-group work
-    that one task would have to hold.
+    The id of a cluster is the least id in it. Groups of more than `most` faces are split by jobs over all faces of a
+    group (halves), smaller ones in a task each; both follow the same rule, so `most` does not change a result.
     """
     near = nearest(faces, k).where(F.col("cosine") >= core).select("id", "other")
     mutual = near.join(near.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"]).where("id < other")
     found = components(mutual.select(F.col("id").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "id")
-    labelled = faces.join(found, "id", "left")
+    labelled = staged(faces.join(found, "id", "left"))
     grouped = labelled.where("component IS NOT NULL")
     centers = centroids(grouped, "component")
     single = labelled.where("component IS NULL")
     best = two_nearest(single, centers, "component").where((F.col("score") >= assign) & (F.coalesce("margin", F.lit(2.0)) >= margin)).select("id", F.col("center").alias("joined"))
-    named = labelled.join(best, "id", "left").select("id", "v", F.coalesce("component", "joined", "id").alias("cluster"))
+    named = staged(labelled.join(best, "id", "left").select("id", "v", F.coalesce("component", "joined", "id").alias("cluster")))
+    named = _large_split(named, mean, variance, depth, most)
     sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     named = named.join(sizes, "cluster")
 
@@ -99,7 +190,8 @@ def cluster(faces: DataFrame, core: float = 0.66, assign: float = 0.54, margin:
         v = np.array([np.asarray(x, dtype=float) for x in f.v])
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         order = np.argsort(f.id.to_numpy())
-        out = pd.DataFrame({"id": f.id.to_numpy()[order], "part": _split(v[order], mean, variance, depth)})
+        ids = f.id.to_numpy()[order]
+        out = pd.DataFrame({"id": ids, "part": _split(v[order], ids, mean, variance, depth - int(f.depth.iloc[0]))})
         return pd.DataFrame({"id": out.id, "cluster": out.groupby("part").id.transform("min")})
 
     small = named.where((F.col("n") >= 4) & (F.col("n") <= most)).groupBy("cluster").applyInPandas(split, "id bigint, cluster bigint")
@@ -162,28 +254,13 @@ def inherited_ids(priors: DataFrame, clusters: DataFrame, fixed: DataFrame, pres
     return clusters.select("cluster").distinct().join(out, "cluster", "left").select("cluster", "id")
 
 
-def split_suggestions(faces: DataFrame, least: int = 3, share: float = 0.1, apart: float = 0.45, cohesive: float = 0.5, most: int = 5000) -> DataFrame:
-    """(person_id, size_a, size_b, cosine) where a person's faces are two cohesive groups far apart.
-
-    One group is one task's work, so persons of more than `most` faces are judged by that many, by a hash of their ids.
-    """
-    r = F.row_number().over(Window.partitionBy("person_id").orderBy(F.xxhash64("id"), "id"))
-    some = faces.where("person_id IS NOT NULL").withColumn("r", r).where(F.col("r") <= most)
-
-    def judge(f: pd.DataFrame) -> pd.DataFrame:
-        v = np.array([np.asarray(x, dtype=float) for x in f.sort_values("id").v])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        side = _split(v, 2.0, 0.0, 1)
-        none = pd.DataFrame({"person_id": [], "size_a": [], "size_b": [], "cosine": []}).astype({"person_id": "int64", "size_a": "int64", "size_b": "int64"})
-        if side.max() != 1:
-            return none
-        parts = [v[side == i] for i in (0, 1)]
-        centers = [p.mean(axis=0) / (np.linalg.norm(p.mean(axis=0)) or 1.0) for p in parts]
-        near = float(centers[0] @ centers[1])
-        ok = min(map(len, parts)) >= max(least, len(v) * share) and near <= apart and all((p @ c).mean() >= cohesive for p, c in zip(parts, centers, strict=True))
-        return pd.DataFrame({"person_id": [f.person_id.iloc[0]], "size_a": [len(parts[0])], "size_b": [len(parts[1])], "cosine": [near]}) if ok else none
-
-    return some.select("person_id", "id", "v").groupBy("person_id").applyInPandas(judge, "person_id bigint, size_a bigint, size_b bigint, cosine double")
+def split_suggestions(faces: DataFrame, least: int = 3, share: float = 0.1, apart: float = 0.45, cohesive: float = 0.5) -> DataFrame:
+    """(person_id, size_a, size_b, cosine) where a person's faces are two cohesive groups far apart; all faces are judged."""
+    sided, centers = halves(faces.where("person_id IS NOT NULL").select("person_id", "id", "v"), "person_id")
+    f = half_facts(sided, centers, "person_id")
+    enough = F.least("size_a", "size_b") >= F.greatest(F.lit(float(least)), (F.col("size_a") + F.col("size_b")) * share)
+    ok = enough & (F.col("cosine") <= apart) & (F.col("mean_a") >= cohesive) & (F.col("mean_b") >= cohesive)
+    return f.where(ok).select("person_id", "size_a", "size_b", "cosine")
 
 
 def consolidated(faces: DataFrame, blocked: DataFrame, least: float = 0.75) -> DataFrame:

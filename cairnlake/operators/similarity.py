@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,26 +17,42 @@ from cairnlake.functions.vectors import cosine, dot, unit
 BLOCK = 2048
 
 
+def bit_masks(width: int, most: int) -> list[int]:
+    """The numbers of `width` bits with `most` bits set or fewer."""
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
+
+
+def hamming_blocks(radius: int) -> tuple[list[tuple[int, int]], int]:
+    """Blocks (first bit, width) and probed bits: hashes within `radius` agree on a block but for so many bits.
+
+    Radius 8 gives the three blocks of 21, 21 and 22 bits with two probed bits; up to 3 no bit is probed.
+    """
+    probed = 0 if radius < 4 else 1 if radius < 8 else 2
+    n = radius // (probed + 1) + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], probed
+
+
 def hamming_pairs(hashes: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b, distance) of (id, phash) within radius bits; a hash of 0 means none and is left out.
 
-    radius + 1 blocks: two hashes within the radius agree on a block. Equal hashes are joined once as a class,
-    so copies do not meet each other in every block, and a pair is kept under its first agreeing block.
+    Two hashes within the radius agree within a few bits on one of the blocks, so one side probes each block's
+    neighbourhood. Blocks stay wide, so chance partners are few. Equal hashes are joined once as a class, and
+    copies do not meet each other in every block.
     """
     if not 0 <= radius <= 16:
         raise ValueError("radius must be from 0 to 16")
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    literal = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
+    blocks, probed = hamming_blocks(radius)
     live = hashes.where("phash IS NOT NULL AND phash <> 0").select("id", "phash")
     distinct = live.select("phash").distinct()
-    # each side is projected by itself: Catalyst must not have to tell two uses of one generator apart
-    side = lambda x: distinct.select(F.col("phash").alias(x), F.posexplode(literal).alias(f"k{x}", f"m{x}")).select(x, f"k{x}", F.expr(f"{x} & m{x}").alias(f"b{x}"))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    first = ~F.exists(F.slice(literal, F.lit(1), F.col("kx")), lambda m: differ.bitwiseAND(m) == 0)
-    near = side("x").join(side("y"), (F.col("kx") == F.col("ky")) & (F.col("bx") == F.col("by")) & (F.col("x") < F.col("y")) & (F.bit_count(differ) <= radius) & first)
-    near = near.select("x", "y", F.bit_count(differ).alias("distance"))
+    # unsigned shifts: a block is the bits from `first` on, without a sign
+    key = lambda first, width: F.shiftrightunsigned("phash", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), key(first, width).alias("key")) for k, (first, width) in enumerate(blocks)])
+    masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in bit_masks(width, probed)]) for _, width in blocks])
+    kept = distinct.select(F.col("phash").alias("x"), F.explode(keys).alias("b")).select("x", "b.*")
+    asked = distinct.select(F.col("phash").alias("y"), F.explode(keys).alias("b")).select("y", "b.k", F.explode(F.transform(F.get(masks, F.col("b.k")), lambda m: F.col("b.key").bitwiseXOR(m))).alias("key"))
+    differ = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    near = kept.join(asked, ["k", "key"]).where((F.col("x") < F.col("y")) & (differ <= radius)).select("x", "y", differ.alias("distance")).distinct()
     near = near.where(F.lit(radius > 0)).union(distinct.select(F.col("phash").alias("x"), F.col("phash").alias("y"), F.lit(0).alias("distance")))
     left, right = live.select(F.col("id").alias("p"), F.col("phash").alias("x")), live.select(F.col("id").alias("q"), F.col("phash").alias("y"))
     pairs = near.join(left, "x").join(right, "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
@@ -55,14 +72,18 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """(block, ids, matrix): rows in blocks by a hash of their id, vectors normalised."""
+    """(block, ids, flat): rows in blocks by a hash of their id, in order of ids, vectors normalised and end to end."""
     n = max(1, -(-vectors.count() // block))
-    keyed = vectors.select((F.xxhash64("id") % n).alias("x"), "id", unit(F.col("v")).alias("v")).select(F.when(F.col("x") < 0, F.col("x") + n).otherwise(F.col("x")).alias("block"), "id", "v")
-    return keyed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    keyed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "id", unit(F.col("v")).alias("v"))
+    rows = keyed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    return rows.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("flat"))
 
 
-def _read(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows]), np.array([np.asarray(r["v"], dtype=np.float64) for r in rows])
+def matrices(batch: pa.RecordBatch, ids: str, flat: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of each row of a batch, without a Python object for each number."""
+    for x, y in zip(batch.column(ids), batch.column(flat), strict=True):
+        i = x.values.to_numpy(zero_copy_only=False)
+        yield i, y.values.to_numpy(zero_copy_only=False).reshape(len(i), -1)
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -72,20 +93,20 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
     tasks of block x block products, and nothing below the threshold leaves a task.
     """
     rows = _blocks(vectors, block)
-    left, right = rows.select(F.col("block").alias("i"), F.col("rows").alias("l")), rows.select(F.col("block").alias("j"), F.col("rows").alias("r"))
+    left = rows.select(F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
+    right = rows.select(F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i, j, l, r in zip(f.i, f.j, f.l, f.r, strict=True):
-                (a, x), (b, y) = _read(l), _read(r)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for i, j, (a, x), (b, y) in zip(f.column("i").to_pylist(), f.column("j").to_pylist(), matrices(f, "a", "x"), matrices(f, "b", "y"), strict=True):
                 s = x @ y.T
                 p, q = np.nonzero(s >= threshold)
                 keep = a[p] < b[q] if i == j else np.ones(len(p), dtype=bool)
                 p, q = p[keep], q[keep]
-                yield pd.DataFrame({"a": np.minimum(a[p], b[q]), "b": np.maximum(a[p], b[q]), "cosine": s[p, q]})
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[p], b[q])), pa.array(np.maximum(a[p], b[q])), pa.array(s[p, q])], names=["a", "b", "cosine"])
 
     pairs = left.join(right, F.col("i") <= F.col("j")).repartition("i", "j")
-    return pairs.mapInPandas(compare, "a bigint, b bigint, cosine double")
+    return pairs.mapInArrow(compare, "a bigint, b bigint, cosine double")
 
 
 def best_matches(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, same: bool = False) -> DataFrame:
@@ -95,22 +116,21 @@ def best_matches(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK,
     those are taken per id, so what is shuffled is k rows per id and block of right. same: leave out equal ids.
     """
     rows = _blocks(left, block)
-    l = rows.select(F.col("block").alias("i"), F.col("rows").alias("l"))
-    r = (rows if same else _blocks(right, block)).select(F.col("block").alias("j"), F.col("rows").alias("r"))
+    l = rows.select(F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
+    r = (rows if same else _blocks(right, block)).select(F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for x, y in zip(f.l, f.r, strict=True):
-                (a, u), (b, v) = _read(x), _read(y)
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for (a, u), (b, v) in zip(matrices(f, "a", "x"), matrices(f, "b", "y"), strict=True):
                 s = np.round(u @ v.T, 9)
                 if same:
                     s[a[:, None] == b[None, :]] = -2
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids rise within a block
-                got = np.take_along_axis(s, order, axis=1)
-                out = pd.DataFrame({"id": np.repeat(a, order.shape[1]), "other": b[order].ravel(), "cosine": got.ravel()})
-                yield out[out.cosine > -2]
+                got = np.take_along_axis(s, order, axis=1).ravel()
+                keep = got > -2
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, order.shape[1])[keep]), pa.array(b[order].ravel()[keep]), pa.array(got[keep])], names=["id", "other", "cosine"])
 
-    every = l.join(r, F.lit(True)).repartition("i", "j").mapInPandas(best, "id bigint, other bigint, cosine double")
+    every = l.join(r, F.lit(True)).repartition("i", "j").mapInArrow(best, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return every.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairnlake.functions import text as X
 from cairnlake.operators import ann, ask, facts, filters, identity
@@ -56,6 +57,37 @@ def test_two_identities_separate_and_copies_join(spark):
     assert {got[i] for i in range(15)} == {0} and {got[i] for i in range(15, 30)} == {15} and got[50] == 50
 
 
+def test_large_groups_split_as_small_ones_do(spark):
+    rng = random.Random(4)
+    make = lambda axis: [(1.0 if i == axis else 0.0) + rng.gauss(0, 0.3) for i in range(8)]
+    df = spark.createDataFrame([(i, make(i % 3)) for i in range(120)], "id long, v array<double>")
+    run = lambda most: {r.id: r.cluster for r in identity.cluster(df, core=0.2, assign=0.2, margin=0.0, k=20, mean=0.8, variance=0.02, most=most).collect()}
+    assert run(5000) == run(15) and len(set(run(5000).values())) > 3
+
+
+def test_two_people_in_one_large_cluster_part(spark):
+    rng = random.Random(6)
+    make = lambda axis: [(1.0 if i == axis else 0.0) + rng.gauss(0, 0.1) for i in range(6)]
+    rows = [(i, make(0 if i % 3 else 2), 0) for i in range(90)] + [(100 + i, make(1), 100) for i in range(60)] + [(200 + i, make(i % 2), 200) for i in range(20)]
+    got = {r.id: r.cluster for r in identity.bimodal_parts(spark.createDataFrame(rows, "id long, v array<double>, cluster long"), least=50, least_group=20).collect()}
+    assert {got[i] for i in range(90) if i % 3} == {1} and {got[i] for i in range(0, 90, 3)} == {0}
+    assert {got[100 + i] for i in range(60)} == {100} and {got[200 + i] for i in range(20)} == {200}
+    people = spark.createDataFrame([(p, i, v) for i, v, p in rows], "person_id long, id long, v array<double>")
+    assert sorted((r.person_id, r.size_a + r.size_b) for r in identity.split_suggestions(people).collect()) == [(0, 90), (200, 20)]
+
+
+def test_probed_lists_reach_the_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = df.where("id % 50 = 0")
+    true = {(r.id, r.other) for r in S.best_matches(asked, df, 11).where("id <> other AND rank <= 11").collect()}
+    got = {(r.query, r.id) for r in ann.ann_top_k(df, asked, 10).collect()}
+    assert len(got & true) >= 0.9 * len(true)
+
+
+def test_masks():
+    assert len(S.bit_masks(21, 2)) == 232 and S.hamming_blocks(8) == ([(0, 21), (21, 21), (42, 22)], 2)
+
+
 def test_admission_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(1000, 50, 1), (500, 3, 2), (400, 2, 3), (10, 2, 4)], "size_bytes long, n long, first_id long")
     assert sorted(r.first_id for r in identity.admitted(df, 6, 10_000).collect()) == [2, 3]
