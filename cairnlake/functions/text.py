@@ -111,14 +111,44 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+#: Names of folders that say nothing.
+GENERIC_FOLDERS = (
+    "downloads,downloaded,new folder,untitled folder,untitled,temp,tmp,misc,miscellaneous,other,others,stuff,things,files,unsorted,"
+    "desktop,dump,inbox,to sort,to-sort,import,imports,camera uploads,dcim,export,exports,screenshots,screen shots"
+).split(",")
+
+
 def generic_folder(name: Column) -> Column:
-    """Folder names that say nothing: camera folders, dumps, numbers."""
-    return F.lower(name).rlike(r"^(dcim|camera( roll)?|img|images?|photos?|pictures?|videos?|downloads?|desktop|documents?|misc|new folder( \(\d+\))?|untitled.*|unsorted|temp|tmp|\d{3}[a-z_]{3,5}|\d+)$")
+    """Folder names that say nothing: empty, dumps, numbered new folders, camera folders."""
+    n = F.lower(F.trim(name))
+    return (n == "") | n.isin(GENERIC_FOLDERS) | n.rlike(r"^(new folder|untitled folder|untitled)( [0-9]+)?$") | n.rlike(r"^[0-9]{3}[a-z_]{3,5}$")
 
 
 def usable_folder(name: Column) -> Column:
-    """Folder names worth keeping: not generic, not a camera stem, not only a short prefix with a number."""
-    return ~generic_folder(name) & ~F.lower(name).rlike(r"^(img|dsc|dscn|dscf|mvi|pxl|gopr|vid|p)[_-]?\d+") & ~F.lower(name).rlike(r"^[a-z]{1,2}[ _-]?\d+$") & (F.length(F.trim(name)) >= 2)
+    """Folder names worth keeping: three characters, no underscore, no camera stem, no short prefix with a number."""
+    n = F.lower(F.trim(name))
+    camera = n.rlike(r"\b(dsc|dscf|dscn|img|imgp|pxl|mvi|gopr|gp|dji|p\d{3}|_mg|mg)[_-]?\d{3,}")
+    return (F.length(n) >= 3) & ~n.contains("_") & ~camera & ~n.rlike(r"\b[a-z]{0,4}\d{4,}\b")
+
+
+#: Tags of pictures that hold writing.
+WRITING_TAGS = (
+    "handwriting,whiteboard,blackboard,chalkboard,chalk,sticky note,notebook,notepad,note,manuscript,calligraphy,signature,journal,diary,letter,"
+    "envelope,postcard,greeting card,document,printed page,paper,receipt,bill,form,contract,certificate,recipe,list,menu,newspaper,poster,"
+    "screenshot,sign,diagram,calendar,checkbook,text,presentation,writing,write"
+).split(",")
+
+
+def text_bearing(tags: Column) -> Column:
+    """X11: whether any of a picture's tags says that it holds writing."""
+    return F.exists(tags, lambda t: F.trim(F.replace(F.lower(t), F.lit("_"), F.lit(" "))).isin(WRITING_TAGS))
+
+
+def document_shape(width: Column, height: Column, has_camera: Column) -> Column:
+    """X11: whether a picture without a camera has a scanned page's proportions: Letter or A4, either way up."""
+    ratio = F.greatest(width, height) / F.least(width, height)
+    page = (F.abs(ratio - 11.0 / 8.5) < 0.015) | (F.abs(ratio - 2.0**0.5) < 0.015)
+    return F.when(has_camera | (F.least(width, height) <= 0), F.lit(False)).otherwise(page)
 
 
 def safe_component(name: Column) -> Column:

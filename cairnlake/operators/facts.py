@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.operators.filters import moment, taken
+from cairnlake.session import staged
 
 
 def totals(files: DataFrame) -> DataFrame:
@@ -83,3 +84,53 @@ def rank_percentile(values: DataFrame, column: str, p: float) -> DataFrame:
     upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(column)))
     n = counts.agg(F.sum("c").alias("n")).withColumn("one", F.lit(1))
     return upto.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").where(F.col("upto") > F.round((F.col("n") - 1) * p)).agg(F.min(column).alias("value"))
+
+
+def pending_names(files: DataFrame, limit: int) -> DataFrame:
+    """Files with a proposed name (id, path, proposed, analysed_at), newest analysed first."""
+    return files.where("proposed IS NOT NULL AND proposed <> ''").orderBy(F.col("analysed_at").desc(), "id").limit(limit).select("id", "path", "proposed")
+
+
+def timeline_tracks(coverage: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
+    """(file_id, track, start, end): examined spans and speech of files, `limit` of a track each, in order.
+
+    coverage: file_id, id, status, start, end; passages: file_id, id, stale, start, end.
+    """
+    examined = coverage.where("status IN ('sampled', 'verified') AND NOT startswith(id, 'speech:')").select("file_id", F.lit("examined").alias("track"), "start", "end")
+    speech = passages.where("NOT stale AND startswith(id, 'speech:') AND start IS NOT NULL").select("file_id", F.lit("speech").alias("track"), "start", F.coalesce("end", "start").alias("end"))
+    r = F.row_number().over(Window.partitionBy("file_id", "track").orderBy("start", "end"))
+    return examined.unionByName(speech).withColumn("r", r).where(F.col("r") <= limit).drop("r")
+
+
+def active_faces(faces: DataFrame, files: DataFrame) -> DataFrame:
+    """Faces that are not excluded, of active files."""
+    return faces.where("excluded = 0").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+
+
+def people_list(persons: DataFrame, faces: DataFrame, best: str) -> DataFrame:
+    """(id, name, files, faces, anchor) of people with active faces.
+
+    The anchor is the stored pick (persons.pick) while it is an active face of the person, else the face of best
+    quality or of the lowest id (`best`: quality, lowest); ties go to the lowest id.
+    """
+    key = F.struct(F.coalesce("quality", F.lit(0.0)).alias("q"), (-F.col("face")).alias("back")) if best == "quality" else F.struct((-F.col("face")).alias("back"))
+    f = faces.select(F.col("person_id").alias("id"), F.col("id").alias("face"), "file_id", "quality")
+    each = f.groupBy("id").agg(F.countDistinct("file_id").alias("files"), F.count(F.lit(1)).alias("faces"), (-F.max(key)["back"]).alias("other"))
+    pick = persons.select("id", F.col("pick").alias("face")).join(f.select("id", "face"), ["id", "face"], "left_semi").withColumnRenamed("face", "picked")
+    return persons.join(each, "id").join(pick, "id", "left").select("id", "name", "files", "faces", F.coalesce("picked", "other").alias("anchor"))
+
+
+def faces_of(person: int, faces: DataFrame, files: DataFrame, limit: int = 500) -> DataFrame:
+    """(face, file_id, path) of a person, newest file first."""
+    j = faces.where((F.col("person_id") == person) & (F.col("excluded") == 0)).select(F.col("id").alias("face"), "file_id").join(files.select(F.col("id").alias("file_id"), "path", "modified_at"), "file_id")
+    return j.orderBy(F.col("modified_at").desc(), "face").limit(limit).select("face", "file_id", "path")
+
+
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with `rank` from 0 in an order, by range partitions and the numbers of rows before them: no task sorts all rows."""
+    ranged = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sums = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    found = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return found.withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")

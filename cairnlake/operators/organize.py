@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnlake.functions.text import base_name, generic_folder, name_tokens, usable_folder
 from cairnlake.operators.filters import moment, taken
+from cairnlake.operators.similarity import centroids
 
 
 def cascade() -> Column:
@@ -86,7 +88,7 @@ def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, leas
     pairs), named by the words that mark them. folders: (id, folder); vectors: (id, v).
     """
     from cairnlake.operators.graph import components
-    from cairnlake.operators.similarity import centroids, cosine_pairs, two_nearest
+    from cairnlake.operators.similarity import cosine_pairs, two_nearest
 
     member = vectors.join(folders, "id")
     numbered = folders.select("folder").distinct().select("folder", F.xxhash64("folder").alias("key"))
@@ -110,24 +112,31 @@ def signatures(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return hot.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one).alias("v"))
 
 
-RAW_EXTENSIONS = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2")
+#: Extensions of roles, and words of folder names that ask for one.
+RAW_EXTENSIONS = "arw cr2 cr3 crw nef nrw dng raf orf rw2 pef srw x3f 3fr iiq rwl erf mef mos srf sr2".split()
+JPEG_EXTENSIONS = "jpg jpeg jpe heic heif png tif tiff webp".split()
+ROLE_WORDS = {"raw": "raw raws".split(), "jpeg": "jpeg jpegs jpg jpgs".split(), "video": "video videos movies clips footage".split(), "photo": "photo photos pictures images stills".split()}
+MONTHS = "January February March April May June July August September October November December".split()
 
 
 def folder_role(name: Column) -> Column:
     """What a folder's name says it holds: raw, jpeg, video, photo, or null."""
-    low = F.lower(name)
-    return F.when(low.rlike(r"\braws?\b"), "raw").when(low.rlike(r"\bjpe?gs?\b"), "jpeg").when(low.rlike(r"\b(videos?|movies|clips)\b"), "video").when(low.rlike(r"\b(photos?|pictures|images)\b"), "photo")
+    words = F.split(F.lower(name), r"[^\p{L}]+")
+    out = None
+    for role, of in ROLE_WORDS.items():
+        out = (F if out is None else out).when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in of])), role)
+    return out
 
 
 def file_role(kind: Column, extension: Column) -> Column:
-    """What a file is to such folders."""
+    """What a file is to such folders; a photo if nothing else."""
     e = F.lower(extension)
-    return F.when(e.isin(*RAW_EXTENSIONS), "raw").when(e.isin("jpg", "jpeg"), "jpeg").when(kind == "video", "video").when(kind == "image", "photo")
+    return F.when(e.isin(RAW_EXTENSIONS), "raw").when(kind == "video", "video").when(e.isin(JPEG_EXTENSIONS), "jpeg").otherwise("photo")
 
 
-def fits(folder: Column, file: Column) -> Column:
-    """Whether a file belongs in a folder of a role; a folder without one takes all."""
-    return folder.isNull() | (folder == file) | ((folder == "photo") & file.isin("raw", "jpeg", "photo"))
+def fits(file: Column, folder: Column) -> Column:
+    """Whether a file belongs in a folder of a role; a folder without one takes all, one for photos all but videos."""
+    return folder.isNull() | (folder == file) | ((folder == "photo") & (file != "video"))
 
 
 def junk_prototype(name: Column) -> Column:
@@ -137,11 +146,42 @@ def junk_prototype(name: Column) -> Column:
     return low.rlike(r"^(new|old|misc|other|stuff|backup|export|untitled).*$") | ((year != "") & ((year < "1990") | (year > "2100")))
 
 
-def respected(moves: DataFrame, usable: Column, role: Column, tiers: DataFrame) -> DataFrame:
-    """Moves without files that are organised already: in a usable folder that is no junk and fits their role."""
-    j = moves.join(tiers.select("folder", "tier"), "folder", "left")
-    organised = usable & (F.coalesce("tier", F.lit("junk")) != "junk") & fits(folder_role(F.col("folder")), role)
-    return j.where(~organised).drop("tier")
+def components(path: Column, root: str, last: bool = False) -> Column:
+    """Names of the folders below root, outermost first; the last part is a file's name unless `last`."""
+    parts = F.filter(F.split(F.substring(path, F.lit(len(root) + 1), F.length(path)), "/"), lambda x: x != "")
+    own = parts if last else F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.when(path.startswith(root), own).otherwise(F.array().cast("array<string>"))
+
+
+def respected(moves: DataFrame, root: str) -> DataFrame:
+    """Of moves (path, destination, kind, extension) those that respect what is organised.
+
+    A file below a folder of a telling name moves only to correct its format: to a sibling folder that fits its
+    role where its own does not. Others move where the last folder fits their role, and every folder is one that
+    they are in, has a usable name or a role, or is a month or year. destination: folders below root.
+    """
+    source, to = components(F.col("path"), root), components(F.concat(F.lit(root + "/"), F.col("destination")), root, last=True)
+    role = file_role(F.col("kind"), F.col("extension"))
+    end = lambda x: F.get(x, F.size(x) - 1)
+    above = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
+    organised = F.exists(source, lambda f: ~generic_folder(f))
+    there = folder_role(end(to))
+    corrects = (F.size(source) == F.size(to)) & (F.size(source) >= 2) & (above(source) == above(to)) & there.isNotNull() & ~fits(role, folder_role(end(source))) & fits(role, there)
+    dated = lambda f: f.rlike(r"^[0-9]{4}$") | f.isin(MONTHS)
+    known = F.forall(to, lambda f: F.array_contains(source, f) | usable_folder(f) | folder_role(f).isNotNull() | dated(f))
+    return moves.where(F.when(organised, corrects).otherwise(fits(role, there) & known))
+
+
+def folder_prototypes(files: DataFrame, vectors: DataFrame, least: int) -> DataFrame:
+    """(folder, n, centroid, tokens): the mean direction of each folder's vectors, with the words of its name and of its files' names.
+
+    files: (id, folder, stem); vectors: (id, v). Folders with fewer than `least` vectors have no prototype.
+    """
+    member = vectors.select("id", "v").join(files.select("id", "folder", "stem"), "id")
+    centers = centroids(member, "folder").where(F.col("n") >= least)
+    words = member.select("folder", F.explode(name_tokens(F.col("stem"))).alias("t")).union(member.select("folder", F.explode(name_tokens(base_name(F.col("folder"))))))
+    tokens = words.groupBy("folder").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
+    return centers.join(tokens, "folder", "left").select("folder", "n", "centroid", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
 def reply_fields(reply: Column, schema: str) -> Column:

@@ -126,6 +126,16 @@ def evidence_order(kind: Column) -> Column:
     return F.when(kind == "chapter", 0).when(kind == "frame", 2).otherwise(1)
 
 
+def source_rank(tier: Column) -> Column:
+    """Hits in a file's content, then in its recognised text, then in its name."""
+    return F.when(tier == "content", 0).when(tier == "ocr", 1).otherwise(2)
+
+
+def by_tier(hits: DataFrame, limit: int) -> DataFrame:
+    """Hits (id, tier, ordinal) by tier, place in their list, and id."""
+    return hits.orderBy(source_rank(F.col("tier")), "ordinal", "id").limit(limit)
+
+
 def snippet(text: Column, word: str, around: int = 40) -> Column:
     """The words about the first match, simplified: characters on either side."""
     at = F.locate(word.lower(), F.lower(text))

@@ -95,9 +95,79 @@ def _(c):
     return facts.keyset_page(c.files, 300, 40).select("id", "path")
 
 
-@query("list_nulls_last", "SELECT id, created_at FROM files ORDER BY created_at ASC NULLS LAST, id LIMIT 900")
+@query("list_nulls_last", "SELECT id, created_at, row_number() OVER (ORDER BY created_at ASC NULLS LAST, id) - 1 AS rank FROM files")
 def _(c):
-    return c.files.orderBy(F.col("created_at").asc_nulls_last(), "id").limit(900).select("id", "created_at")
+    return facts.in_order(c.files.select("id", "created_at"), F.col("created_at").asc_nulls_last(), F.col("id").asc())
+
+
+@query("facts_by_kind_under_root", "SELECT kind, count(*) AS n FROM files WHERE path >= '/lib/src1/' AND path < '/lib/src10' GROUP BY kind")
+def _(c):
+    # The half-open range of a root's paths
+    return c.files.where("path >= '/lib/src1/' AND path < '/lib/src10'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("names_pending", """
+SELECT id, path, 'name ' || id AS proposed FROM files WHERE id % 5 NOT IN (0, 1) ORDER BY modified_at + id * 31 % 1000 * 600 DESC, id LIMIT 40""")
+def _(c):
+    i = F.col("id")
+    proposed = F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 5 == 1, "").otherwise(F.concat(F.lit("name "), i.cast("string")))
+    return facts.pending_names(c.files.select("id", "path", proposed.alias("proposed"), (F.col("modified_at") + i * 31 % 1000 * 600).alias("analysed_at")), 40)
+
+
+@query("timeline_tracks", """
+WITH e AS (SELECT "user" AS file_id, CASE WHEN id % 5 = 0 THEN 'speech:' ELSE 'f' END || id AS id, kind, seconds AS s, CASE WHEN id % 3 > 0 THEN seconds + value END AS e FROM signals),
+t AS (SELECT file_id, 'examined' AS track, s, e FROM e WHERE kind IN ('view', 'click') AND NOT starts_with(id, 'speech:') UNION ALL SELECT file_id, 'speech', s, coalesce(e, s) FROM e WHERE kind <> 'error' AND starts_with(id, 'speech:')),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, track ORDER BY s, e NULLS FIRST) AS r FROM t) SELECT file_id, track, round(s, 3) AS start, round(e, 3) AS "end" FROM r WHERE r <= 8""")
+def _(c):
+    i = F.col("id")
+    e = c.signals.select(
+        F.col("user").alias("file_id"), F.concat(F.when(i % 5 == 0, "speech:").otherwise("f"), i.cast("string")).alias("id"), F.when(F.col("kind") == "view", "sampled").when(F.col("kind") == "click", "verified").otherwise("owed").alias("status"),
+        (F.col("kind") == "error").alias("stale"), F.col("seconds").alias("start"), F.when(i % 3 > 0, F.col("seconds") + F.col("value")).alias("end"),
+    )
+    return facts.timeline_tracks(e, e, 8).select("file_id", "track", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+_ACTIVE = """
+WITH a AS (SELECT * FROM faces WHERE excluded = 0 AND person_id IS NOT NULL AND file_id IN (SELECT id FROM files)), p AS (SELECT id, name, is_unknown, id * 10 + CASE WHEN id % 2 = 0 THEN id ELSE 1 END AS pick FROM persons),
+l AS (SELECT p.id, p.name, count(DISTINCT a.file_id) AS files, count(*) AS faces, coalesce(max(CASE WHEN a.id = pick THEN pick END), arg_max(a.id, ({0}, -a.id))) AS anchor FROM p JOIN a ON a.person_id = p.id {1} GROUP BY p.id, p.name)
+"""
+
+
+def _people(c, best):
+    pick = F.col("id") * 10 + F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(1)
+    persons = c.persons.withColumn("pick", pick)
+    return facts.people_list(persons.where("is_unknown = 0") if best == "quality" else persons, facts.active_faces(c.faces.where("person_id IS NOT NULL"), c.files), best)
+
+
+@query("people_list_best", _ACTIVE.format("coalesce(quality, 0)", "WHERE is_unknown = 0") + "SELECT id, coalesce(name, 'Person ' || id) AS name, faces, anchor FROM l ORDER BY faces DESC, id")
+def _(c):
+    p = _people(c, "quality")
+    return p.select("id", F.coalesce("name", F.concat(F.lit("Person "), F.col("id").cast("string"))).alias("name"), "faces", "anchor").orderBy(F.col("faces").desc(), "id")
+
+
+@query("people_list_lowest", _ACTIVE.format("0", "") + "SELECT id, name, files, anchor FROM l ORDER BY CASE WHEN trim(coalesce(name, '')) = '' THEN 1 ELSE 0 END, files DESC, id")
+def _(c):
+    unnamed = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", 1).otherwise(0)
+    return _people(c, "lowest").orderBy(unnamed, F.col("files").desc(), "id").select("id", "name", "files", "anchor")
+
+
+@query("people_faces_of", "SELECT f.id AS face, file_id, path FROM faces f JOIN files ON files.id = file_id WHERE person_id = 3 AND excluded = 0 ORDER BY modified_at DESC, f.id LIMIT 500")
+def _(c):
+    return facts.faces_of(3, c.faces, c.files)
+
+
+_PAGE = "greatest(w, h)::DOUBLE / least(w, h)"
+
+
+@query("text_bearing", f"""
+WITH g AS (SELECT file_id, list(tag) AS tags FROM (SELECT DISTINCT file_id, CASE tag WHEN 'view' THEN 'Sticky_Note ' WHEN 'error' THEN 'Receipt' ELSE tag END AS tag FROM tags) GROUP BY file_id),
+s AS (SELECT id, camera, 600 + id % 60 AS w, 850 + id % 7 AS h FROM files)
+SELECT id, coalesce(len(list_intersect(tags, ['Sticky_Note ', 'Receipt'])) > 0, false) AS bearing, camera IS NULL AND (abs({_PAGE} - 11.0::DOUBLE / 8.5) < 0.015 OR abs({_PAGE} - sqrt(2)) < 0.015) AS page FROM s LEFT JOIN g ON g.file_id = s.id""")
+def _(c):
+    tag = F.when(F.col("tag") == "view", "Sticky_Note ").when(F.col("tag") == "error", "Receipt").otherwise(F.col("tag"))
+    g = c.tags.groupBy(F.col("file_id").alias("id")).agg(F.collect_set(tag).alias("tags"))
+    page = X.document_shape(600 + F.col("id") % 60, 850 + F.col("id") % 7, F.col("camera").isNotNull())
+    return c.files.join(g, "id", "left").select("id", F.coalesce(X.text_bearing(F.col("tags")), F.lit(False)).alias("bearing"), page.alias("page"))
 
 
 @query("rows_by_id_list", "WITH w AS (SELECT unnest([30, 7, 500, 12]) AS id, unnest([0, 1, 2, 3]) AS pos) SELECT files.id, path, pos FROM w JOIN files ON files.id = w.id")
@@ -360,9 +430,14 @@ def _(c):
     return c.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("fn_folder_names", r"""
-WITH n AS (SELECT DISTINCT source AS name FROM files UNION ALL SELECT unnest(['DCIM', '100CANON', 'IMG_2041', 'Summer in Rome', 'new folder (2)', 'a1', '2023', 'Paris 2019']))
-SELECT name, regexp_matches(lower(name), '^(dcim|camera( roll)?|img|images?|photos?|pictures?|videos?|downloads?|desktop|documents?|misc|new folder( \(\d+\))?|untitled.*|unsorted|temp|tmp|\d{3}[a-z_]{3,5}|\d+)$') AS generic FROM n""")
+_FOLDER_NAMES = ("DCIM", "100CANON", "IMG_2041", "Summer in Rome", "new folder 2", "new folder x", "a1", "2023", "Paris 2019", "Trip DSC-0042", "P1010042", " Downloads ", "ab")
+_GENERIC = ", ".join(f"'{x}'" for x in X.GENERIC_FOLDERS)
+
+
+@query("fn_folder_names", rf"""
+WITH n AS (SELECT DISTINCT source AS name FROM files UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in _FOLDER_NAMES)}])), l AS (SELECT name, lower(trim(name)) AS n FROM n)
+SELECT name, n = '' OR n IN ({_GENERIC}) OR regexp_matches(n, '^(new folder|untitled folder|untitled)( [0-9]+)?$') OR regexp_matches(n, '^[0-9]{{3}}[a-z_]{{3,5}}$') AS generic,
+  length(n) >= 3 AND NOT contains(n, '_') AND NOT regexp_matches(n, '\b(dsc|dscf|dscn|img|imgp|pxl|mvi|gopr|gp|dji|p\d{{3}}|_mg|mg)[_-]?\d{{3,}}') AND NOT regexp_matches(n, '\b[a-z]{{0,4}}\d{{4,}}\b') AS usable FROM l""")
 def _(c):
-    more = c.spark.createDataFrame([(x,) for x in ("DCIM", "100CANON", "IMG_2041", "Summer in Rome", "new folder (2)", "a1", "2023", "Paris 2019")], "name string")
-    return c.files.select(F.col("source").alias("name")).distinct().union(more).select("name", X.generic_folder(F.col("name")).alias("generic"))
+    more = c.spark.createDataFrame([(x,) for x in _FOLDER_NAMES], "name string")
+    return c.files.select(F.col("source").alias("name")).distinct().union(more).select("name", X.generic_folder(F.col("name")).alias("generic"), X.usable_folder(F.col("name")).alias("usable"))

@@ -67,7 +67,7 @@ def _(c):
 
 
 _TOKENS = r"""
-WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM files WHERE lang = 'en'), f AS (SELECT g, token, count(*) AS tf FROM t WHERE length(token) >= 4 GROUP BY 1, 2)
+WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM files), f AS (SELECT g, token, count(*) AS tf FROM t WHERE length(token) >= 4 GROUP BY 1, 2)
 """
 
 
@@ -75,14 +75,14 @@ WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+'))
 , s AS (SELECT g, f.token, round(tf * ln(1 + mean / total), 9) AS s FROM f JOIN (SELECT token, sum(tf) AS total FROM f GROUP BY token) x ON x.token = f.token, (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM f GROUP BY g)) y),
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, token) AS r FROM s) SELECT g AS "group", string_agg(token, ' ' ORDER BY r) AS name FROM r WHERE r <= 3 GROUP BY g""")
 def _(c):
-    t = c.texts.where("lang = 'en'").select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
+    t = c.texts.select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
     return O.group_names(t)
 
 
 @query("org_feedback_boost", """
-WITH w AS (SELECT token, folder, sum(w) AS weight FROM (SELECT lang AS token, folder, 0.5 AS w FROM files WHERE id % 3 = 0) GROUP BY 1, 2) SELECT files.id, round(sum(weight)::DOUBLE, 6) AS weight FROM files JOIN w ON w.folder = files.folder AND w.token = files.lang GROUP BY files.id HAVING sum(weight) >= 3""")
+WITH w AS (SELECT token, folder, sum(w) AS weight FROM (SELECT lang AS token, folder, 0.5 AS w FROM files) GROUP BY 1, 2) SELECT files.id, round(sum(weight)::DOUBLE, 6) AS weight FROM files JOIN w ON w.folder = files.folder AND w.token = files.lang GROUP BY files.id HAVING sum(weight) >= 3""")
 def _(c):
-    w = c.files.where("id % 3 = 0").groupBy(F.col("lang").alias("token"), "folder").agg(F.sum(F.lit(0.5)).alias("weight"))
+    w = c.files.groupBy(F.col("lang").alias("token"), "folder").agg(F.sum(F.lit(0.5)).alias("weight"))
     moves = c.files.select("id", "folder", F.array("lang", "source").alias("tokens"))
     return O.feedback_boost(moves, w).select("id", F.round("weight", 6).alias("weight"))
 
@@ -110,9 +110,18 @@ def _(c):
     return c.files.select("id", X.safe_component(p).alias("name"))
 
 
-@query("org_prototype_folders", "SELECT folder, count(*) AS n, round(avg(size_bytes), 4) AS mean FROM files GROUP BY folder HAVING count(*) >= 5")
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query("org_prototype_folders", rf"""
+WITH m AS (SELECT files.id, folder, stem, v FROM vectors JOIN files ON files.id = vectors.id), u AS (SELECT folder, unnest(range(64)) AS i, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM m), a AS (SELECT folder, i, avg(x) AS x, count(*) AS n FROM u GROUP BY 1, 2),
+l AS (SELECT folder, max(n) AS n, sqrt(sum(x * x)) AS l, max(CASE WHEN i = 0 THEN x END) AS x0, max(CASE WHEN i = 63 THEN x END) AS x63 FROM a GROUP BY folder HAVING max(n) >= 3),
+t AS (SELECT folder, unnest(regexp_split_to_array(lower(stem), '[^\p{{L}}\p{{N}}]+')) AS t FROM m UNION ALL SELECT folder, unnest(regexp_split_to_array(lower(regexp_extract(folder, '([^/]*)$', 1)), '[^\p{{L}}\p{{N}}]+')) FROM m),
+k AS (SELECT folder, string_agg(DISTINCT t, ' ' ORDER BY t) AS tokens FROM t WHERE length(t) >= 3 AND NOT regexp_matches(t, '^\p{{N}}+$') AND t NOT IN ({_STOP}) GROUP BY folder)
+SELECT l.folder, n, round(x0 / l, 6) AS first, round(x63 / l, 6) AS last, coalesce(tokens, '') AS tokens FROM l LEFT JOIN k ON k.folder = l.folder""")
 def _(c):
-    return c.files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size_bytes"), 4).alias("mean")).where("n >= 5")
+    p = O.folder_prototypes(c.files, c.vectors, 3)
+    return p.select("folder", "n", F.round(F.get("centroid", 0), 6).alias("first"), F.round(F.get("centroid", 63), 6).alias("last"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("org_smart_names")
@@ -133,7 +142,7 @@ def _(c):
 
 @query("org_semantic")
 def _(c):
-    folders = c.files.where("id % 3 = 0").select("id", "folder")
+    folders = c.files.select("id", "folder")
     return O.semantic_plan(c.files, c.vectors.select("id", "v"), folders, 0.2, 0.02, 0.3)
 
 
@@ -147,22 +156,48 @@ def _(c):
     return O.signatures(t, vocabulary).select("id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("ones"), F.round(F.array_max("v"), 6).alias("weight"))
 
 
-@query("org_folder_roles", r"""
-WITH n AS (SELECT id, kind, lower(extension) AS e, (['RAW', 'jpeg export', 'Video clips', 'My photos', 'trip'])[(id % 5 + 1)::INTEGER] AS folder FROM files),
-r AS (SELECT id, CASE WHEN regexp_matches(lower(folder), '\braws?\b') THEN 'raw' WHEN regexp_matches(lower(folder), '\bjpe?gs?\b') THEN 'jpeg' WHEN regexp_matches(lower(folder), '\b(videos?|movies|clips)\b') THEN 'video' WHEN regexp_matches(lower(folder), '\b(photos?|pictures|images)\b') THEN 'photo' END AS fr,
-  CASE WHEN e = 'arw' THEN 'raw' WHEN e = 'jpg' THEN 'jpeg' WHEN kind = 'video' THEN 'video' WHEN kind = 'image' THEN 'photo' END AS r FROM n)
-SELECT id, fr AS folder_role, r AS file_role, coalesce(fr IS NULL OR fr = r OR (fr = 'photo' AND r IN ('raw', 'jpeg', 'photo')), false) AS fits FROM r""")
+def _role_sql(x):
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '(^|[^\\p{{L}}])({'|'.join(words)})([^\\p{{L}}]|$)') THEN '{role}'" for role, words in O.ROLE_WORDS.items()) + " END"
+
+
+def _in(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_FILE_ROLE = f"CASE WHEN lower(extension) IN ({_in(O.RAW_EXTENSIONS)}) THEN 'raw' WHEN kind = 'video' THEN 'video' WHEN lower(extension) IN ({_in(O.JPEG_EXTENSIONS)}) THEN 'jpeg' ELSE 'photo' END"
+_FITS = "coalesce({1} IS NULL OR {1} = {0} OR ({1} = 'photo' AND {0} <> 'video'), false)"
+
+
+@query("org_folder_roles", f"""
+WITH n AS (SELECT id, kind, extension, (['RAW', 'jpeg export', 'Video clips', 'My photos', 'trip'])[(id % 5 + 1)::INTEGER] AS folder FROM files), r AS (SELECT id, {_role_sql('folder')} AS fr, {_FILE_ROLE} AS r FROM n)
+SELECT id, fr AS folder_role, r AS file_role, {_FITS.format('r', 'fr')} AS fits FROM r""")
 def _(c):
     folder = F.element_at(F.array(*[F.lit(x) for x in ("RAW", "jpeg export", "Video clips", "My photos", "trip")]), (F.col("id") % 5 + 1).cast("int"))
     a, b = O.folder_role(folder), O.file_role(F.col("kind"), F.col("extension"))
-    return c.files.select("id", a.alias("folder_role"), b.alias("file_role"), F.coalesce(O.fits(a, b), F.lit(False)).alias("fits"))
+    return c.files.select("id", a.alias("folder_role"), b.alias("file_role"), F.coalesce(O.fits(b, a), F.lit(False)).alias("fits"))
+
+
+_GENERIC_NAME = f"(trim(lower(f)) = '' OR trim(lower(f)) IN ({_in(X.GENERIC_FOLDERS)}) OR regexp_matches(trim(lower(f)), '^(new folder|untitled folder|untitled)( [0-9]+)?$') OR regexp_matches(trim(lower(f)), '^[0-9]{{3}}[a-z_]{{3,5}}$'))"
+_USABLE = r"(length(trim(f)) >= 3 AND NOT contains(f, '_') AND NOT regexp_matches(trim(lower(f)), '\b(dsc|dscf|dscn|img|imgp|pxl|mvi|gopr|gp|dji|p\d{3}|_mg|mg)[_-]?\d{3,}') AND NOT regexp_matches(trim(lower(f)), '\b[a-z]{0,4}\d{4,}\b'))"
+_MOVES = _PLAN + """
+, v AS (SELECT p.id, files.kind, p.extension, CASE p.id % 4 WHEN 0 THEN '/lib/DCIM/100CANON/x.' || p.extension WHEN 1 THEN '/lib/inbox/x.' || p.extension WHEN 2 THEN '/lib/trip/JPEGs/x.' || p.extension ELSE files.path END AS path,
+  CASE p.id % 4 WHEN 2 THEN 'trip/RAW' WHEN 3 THEN p.destination WHEN 0 THEN CASE WHEN p.id % 8 = 0 THEN 'Photos/2023/May' ELSE 'Rome 2019/IMG_2041' END ELSE 'Paris holiday/videos' END AS destination FROM p JOIN files ON files.id = p.id)
+"""
 
 
-@query("org_respected", _PLAN + """
-SELECT p.id, p.destination FROM p JOIN tiers ON tiers.folder = p.folder WHERE NOT (p.id % 2 = 0 AND tier <> 'junk')""")
+@query("org_respected", _MOVES + f"""
+, w AS (SELECT *, string_split(path, '/')[3:len(string_split(path, '/')) - 1] AS src, string_split(destination, '/') AS dst, {_FILE_ROLE} AS role FROM v),
+r AS (SELECT *, {_role_sql('dst[len(dst)]')} AS dr, {_role_sql('src[len(src)]')} AS sr FROM w)
+SELECT id, destination FROM r WHERE CASE WHEN len(list_filter(src, lambda f: NOT {_GENERIC_NAME})) > 0
+  THEN len(src) = len(dst) AND len(src) >= 2 AND src[1:len(src) - 1] = dst[1:len(dst) - 1] AND dr IS NOT NULL AND NOT {_FITS.format('role', 'sr')} AND {_FITS.format('role', 'dr')}
+  ELSE {_FITS.format('role', 'dr')} AND len(list_filter(dst, lambda f: NOT (list_contains(src, f) OR {_USABLE} OR {_role_sql('f')} IS NOT NULL OR regexp_matches(f, '^[0-9]{{4}}$') OR f IN ({_in(O.MONTHS)})))) = 0 END""")
 def _(c):
-    p = _plan(c)
-    return O.respected(p, F.col("id") % 2 == 0, F.lit("photo"), facts.folder_tiers(p)).select("id", "destination")
+    i = F.col("id")
+    p = _plan(c).join(c.files.select("id", "kind"), "id")
+    file = F.concat(F.lit("/x."), F.col("extension"))
+    path = F.when(i % 4 == 0, F.concat(F.lit("/lib/DCIM/100CANON"), file)).when(i % 4 == 1, F.concat(F.lit("/lib/inbox"), file)).when(i % 4 == 2, F.concat(F.lit("/lib/trip/JPEGs"), file)).otherwise(F.col("path"))
+    to = F.when(i % 4 == 2, "trip/RAW").when(i % 4 == 3, F.col("destination")).when(i % 8 == 0, "Photos/2023/May").when(i % 4 == 0, "Rome 2019/IMG_2041").otherwise("Paris holiday/videos")
+    return O.respected(p.select("id", "kind", "extension", path.alias("path"), to.alias("destination")), "/lib").select("id", "destination")
 
 
 @query("org_junk_prototypes", r"""

@@ -99,6 +99,13 @@ def _(c):
     return m.orderBy(R.evidence_order(F.col("kind")), "conv", "turn").limit(80)
 
 
+@query("evidence_by_tier", "SELECT id, tier, CASE tier WHEN 'content' THEN 0 WHEN 'ocr' THEN 1 ELSE 2 END AS source_rank FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'filename' WHEN 1 THEN 'ocr' ELSE 'content' END AS tier FROM files) ORDER BY source_rank, id * 7 % 50, id LIMIT 100")
+def _(c):
+    tier = F.when(F.col("id") % 3 == 0, "filename").when(F.col("id") % 3 == 1, "ocr").otherwise("content")
+    hits = c.files.select("id", tier.alias("tier"), (F.col("id") * 7 % 50).alias("ordinal"))
+    return R.by_tier(hits, 100).select("id", "tier", R.source_rank(F.col("tier")).alias("source_rank"))
+
+
 @query("evidence_near_time", "SELECT a.id AS shot, b.id AS near FROM signals a JOIN signals b ON a.\"user\" = b.\"user\" AND a.id <> b.id AND abs(a.seconds - b.seconds) <= 600 WHERE a.kind = 'purchase' AND b.kind = 'error'")
 def _(c):
     # Equality on the user and on ten-minute cells, so the band never meets all rows of a user
@@ -124,7 +131,7 @@ def _(c):
 @query("text_stemmed_terms")
 def _(c):
     t = c.messages.select(F.explode(stemmed_tokens(F.col("text"))).alias("term"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(200)
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ask_count_videos", "SELECT count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM files WHERE kind = 'video' AND coalesce(created_at, modified_at) >= 1672531200 AND coalesce(created_at, modified_at) < 1704067200")
