@@ -11,10 +11,11 @@ import datetime as dt
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cairnlake.functions.text import STOP_WORDS
+from cairnlake.functions.text import STOP_WORDS, base_name
 from cairnlake.operators import facts
 from cairnlake.operators.filters import Filter
 
@@ -251,3 +252,55 @@ def search_plan(messages: list[str]) -> tuple[str, tuple[str, ...]]:
         else:
             query, kinds = " ".join(said), found
     return query, kinds
+
+
+def named(text: str, known: dict) -> list:
+    """The ids of known people or events (id: names) that a request names, by whole words in order, longest names first."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    found = []
+    taken: set[int] = set()
+    names = sorted(((tuple(w for w in re.split(r"[\W_]+", n.lower()) if w), i) for i, each in known.items() for n in each), key=lambda x: (-len(x[0]), str(x)))
+    for name, i in names:
+        for at in range(len(words) - len(name) + 1):
+            if name and tuple(words[at : at + len(name)]) == name and not taken & set(range(at, at + len(name))):
+                taken |= set(range(at, at + len(name)))
+                if i not in found:
+                    found.append(i)
+    return found
+
+
+def content_terms(text: str, names: list[str] = ()) -> list[tuple[str, str]]:
+    """(stem, word) of a request's words that say what to look for, once each: no stop words and no names."""
+    skip = set(STOP_WORDS) | {w for n in names for w in re.split(r"[\W_]+", n.lower())}
+    out: dict[str, str] = {}
+    for w in re.split(r"[\W_]+", text.lower()):
+        if w and w not in skip:
+            stem = w[:-3] if len(w) > 5 and w.endswith("ing") else w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+            out.setdefault(stem, w)
+    return list(out.items())
+
+
+def checks(text: str, most: int = 4) -> list[str]:
+    """A request's parts between "and", "with" and commas, each to be checked by itself; `most` at most, the last takes the rest."""
+    parts = [p.strip() for p in re.split(r"\s*,\s*(?:and\s+)?|\s+(?:and|with)\s+", text.strip(" ?.!")) if p.strip()]
+    return parts if len(parts) <= most else [*parts[: most - 1], " and ".join(parts[most - 1 :])]
+
+
+def flat(text: Column, most: int) -> Column:
+    """A text on one line, cut."""
+    return F.substring(F.array_join(F.filter(F.split(text, r"[\n\r\x0B\f\x{85}\x{2028}\x{2029}]"), lambda x: x != ""), " "), 1, most)
+
+
+def history_blocks(messages: DataFrame, turns: int, chars: int) -> DataFrame:
+    """Q07: (conv, block): the last turns of conversations (conv, turn, role, text) as lines for a prompt; empty ones say nothing."""
+    recent = messages.withColumn("r", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").desc()))).where(F.col("r") <= turns)
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), flat(F.col("text"), chars))
+    said = recent.where(F.trim(flat(F.coalesce("text", F.lit("")), chars)) != "").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
+    return said.select("conv", F.concat(F.lit("Earlier in this conversation:\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("block"))
+
+
+def evidence_lines(hits: DataFrame, limit: int, chars: int = 400) -> DataFrame:
+    """Q07: (n, line): ranked hits (rank, path, kind, seconds, page, text) as numbered lines of evidence."""
+    place = F.array_join(F.array_compact(F.array("kind", F.when(F.col("seconds").isNotNull(), F.format_string("at %.0f s", "seconds")), F.when(F.col("page").isNotNull(), F.format_string("page %d", "page")))), ", ")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), base_name(F.col("path")), F.lit(" ("), place, F.lit("): "), flat(F.coalesce("text", F.lit("")), chars))
+    return hits.where(F.col("rank") <= limit).select(F.col("rank").alias("n"), line.alias("line"))

@@ -188,3 +188,28 @@ def reply_fields(reply: Column, schema: str) -> Column:
     """Fields of a JSON reply, taken between its first and last brace; null where it does not parse."""
     body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
     return F.from_json(body, schema, {"mode": "PERMISSIVE"})
+
+
+def store_plan(moves: DataFrame, path: str) -> None:
+    """P10: write moves (id, source, destination, category, confidence) by confidence, in order of ids, for paging."""
+    moves.repartitionByRange("confidence", "id").sortWithinPartitions("id").write.mode("overwrite").partitionBy("confidence").parquet(path)
+
+
+def plan_page(plan: DataFrame, confidence: str, after: int, limit: int) -> DataFrame:
+    """P10: the next page of a stored plan: one confidence's files alone are read, and of those the ids that follow."""
+    return plan.where((F.col("confidence") == confidence) & (F.col("id") > after)).orderBy("id").limit(limit)
+
+
+def checked_plan(plan: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """P10: (id, verdict) of a stored plan against the files as they are now: missing, moved (its path changed), noop, outside
+    (of the root), taken (a file that does not move is there), clash (another move goes there), or ok."""
+    now = files.select("id", F.col("path").alias("now"))
+    j = plan.select("id", "source", "destination").join(now, "id", "left")
+    staying = files.select("id", F.lower("path").alias("to")).join(plan.select("id"), "id", "left_anti").select("to").distinct().withColumn("there", F.lit(True))
+    many = plan.groupBy(F.lower("destination").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    j = j.withColumn("to", F.lower("destination")).join(staying, "to", "left").join(many, "to")
+    verdict = (
+        F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("source"), "moved").when(F.lower("source") == F.col("to"), "noop")
+        .when(~F.col("destination").startswith(root.rstrip("/") + "/") | F.col("destination").contains("/../"), "outside").when(F.col("there"), "taken").when(F.col("n") > 1, "clash").otherwise("ok")
+    )
+    return j.select("id", verdict.alias("verdict"))

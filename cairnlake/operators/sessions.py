@@ -117,6 +117,70 @@ def group_bursts(rows: DataFrame, by: list[str], limits: BurstLimits = NEAR_DUPL
     return found.unionByName(timed.where("seconds IS NULL").select("id", F.col("id").alias("burst")))
 
 
+def take_groups(rows: DataFrame, by: list[str], limits: BurstLimits = TAKES) -> DataFrame:
+    """(burst, key, captured_at, similarity, shots): groups of shots to choose from, with two shots or more.
+
+    rows as for group_bursts, with content_hash and size_bytes. Of files with equal contents the first counts; files of
+    one stem are one shot, whose first file stands for it. similarity: the least cosine of neighbouring shots; key: a
+    digest of the ids in order.
+    """
+    j = group_bursts(rows, by, limits).join(rows, "id").withColumn("__stem", F.lower(stem_of(F.col("path"))))
+    order = ["seconds", "__stem", "path", "id"]
+    copies = F.row_number().over(Window.partitionBy("burst", "content_hash", "size_bytes").orderBy(*order))
+    j = j.withColumn("__copy", F.when(F.col("content_hash").isNotNull(), copies).otherwise(1)).where("__copy = 1")
+    members = j.groupBy("burst").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), ","), 256).alias("key"), F.max("seconds").alias("captured_at"))
+    first = j.withColumn("__r", F.row_number().over(Window.partitionBy("burst", "__stem").orderBy(*order))).where("__r = 1").withColumn("__u", unit(F.col("v")))
+    near = dot(F.col("__u"), F.lag("__u").over(Window.partitionBy("burst").orderBy(*order)))
+    shots = first.withColumn("__near", near).groupBy("burst").agg(F.count(F.lit(1)).alias("shots"), F.round(F.greatest(F.least(F.coalesce(F.min("__near"), F.lit(1.0)), F.lit(1.0)), F.lit(0.0)), 4).alias("similarity"))
+    return members.join(shots.where("shots >= 2"), "burst").select("burst", "key", "captured_at", "similarity", "shots")
+
+
+#: Limits of suggestions over chosen files.
+SUGGESTED_GAP, SUGGESTED_COSINE, SUGGESTED_OPEN, SUGGESTED_MOST = 20 * 60.0, 0.90, 32, 100
+
+
+def suggested_groups(rows: DataFrame, ids: list[int], limit: int = 100) -> DataFrame:
+    """(rank, first_id, members, similarity) over 2 to 10,000 chosen ids of rows (id, seconds, content_hash, size_bytes, v).
+
+    In order of time and id a file joins the open group whose first file it is most like (the later of equals); a
+    group closes when it began too long ago or too many are open; equal contents count once. One pass over files
+    that the request names, 10,000 at most, so it runs in one task.
+    """
+    chosen = sorted(set(ids))
+    if not 2 <= len(chosen) <= 10_000 or chosen[0] <= 0 or not 1 <= limit <= 100:
+        raise ValueError("2 to 10,000 positive ids and a limit of 1 to 100")
+    some = rows.where(F.col("id").isin(chosen) & F.col("seconds").isNotNull() & F.col("v").isNotNull()).select(F.lit(0).alias("g"), "id", "seconds", "content_hash", "size_bytes", unit(F.col("v")).alias("v"))
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        open_: list[dict] = []
+        done: list[dict] = []
+        seen: set[tuple] = set()
+        f = f.sort_values(["seconds", "id"])
+        for i, t, h, n, v in zip(f.id, f.seconds, f.content_hash, f.size_bytes, f.v, strict=True):
+            if h is not None and not pd.isna(h):
+                if (h, n) in seen:
+                    continue
+                seen.add((h, n))
+            while open_ and t - open_[0]["began"] > SUGGESTED_GAP:
+                done.append(open_.pop(0))
+            best, most = None, SUGGESTED_COSINE
+            for g in open_:
+                s = float(np.dot(v, g["v"]))
+                if len(g["ids"]) < SUGGESTED_MOST and s >= most:
+                    best, most = g, s
+            if best is not None:
+                best["ids"].append(i)
+                best["latest"], best["least"] = t, min(best["least"], most)
+                continue
+            if len(open_) >= SUGGESTED_OPEN:
+                done.append(open_.pop(0))
+            open_.append({"began": t, "latest": t, "v": v, "ids": [i], "least": 1.0})
+        found = sorted((g for g in done + open_ if len(g["ids"]) >= 2), key=lambda g: (-g["latest"], g["ids"][0]))[:limit]
+        return pd.DataFrame({"rank": range(1, len(found) + 1), "first_id": [g["ids"][0] for g in found], "members": [g["ids"] for g in found], "similarity": [min(g["least"], 1.0) for g in found]})
+
+    return some.groupBy("g").applyInPandas(fold, "rank bigint, first_id bigint, members array<bigint>, similarity double")
+
+
 def _joins(row: tuple, group: list[tuple], limits: BurstLimits) -> bool:
     t, stem, path, _, h, v = row
     first, last = group[0], group[-1]

@@ -201,11 +201,11 @@ c AS (SELECT m.person_id, list(x / l ORDER BY i) AS centroid FROM m JOIN l ON m.
 
 @query("people_merge_band", _PEOPLE + """
 SELECT a.person_id AS a, b.person_id AS b, round(list_cosine_similarity(a.centroid, b.centroid), 6) AS cosine FROM c a JOIN c b ON a.person_id < b.person_id
-WHERE list_cosine_similarity(a.centroid, b.centroid) >= -0.2 AND list_cosine_similarity(a.centroid, b.centroid) < 0.97 AND NOT EXISTS (SELECT 1 FROM faces x JOIN faces y ON x.id // 3 = y.id // 3 WHERE x.person_id = a.person_id AND y.person_id = b.person_id AND x.excluded = 0 AND y.excluded = 0)""")
+WHERE list_cosine_similarity(a.centroid, b.centroid) >= -0.2 AND list_cosine_similarity(a.centroid, b.centroid) < 0.97 AND NOT EXISTS (SELECT 1 FROM faces x JOIN faces y ON x.person_id // 3 = y.person_id // 3 WHERE x.person_id = a.person_id AND y.person_id = b.person_id AND x.excluded = 0 AND y.excluded = 0)""")
 def _(c):
     centers = S.centroids(c.faces, "person_id").select(F.col("person_id").alias("id"), F.col("centroid").alias("v"))
-    # three faces in a row stand for a file here: the table's own files hold nearly every pair of people
-    seen = c.faces.where("excluded = 0 AND person_id IS NOT NULL").select(F.floor(F.col("id") / 3).alias("file_id"), "person_id")
+    # people whose numbers share a third stand in one file here: the table's own files hold nearly every pair
+    seen = c.faces.where("excluded = 0 AND person_id IS NOT NULL").select(F.floor(F.col("person_id") / 3).alias("file_id"), "person_id")
     return identity.merge_suggestions(centers, seen, -0.2, 0.97).withColumn("cosine", F.round("cosine", 6))
 
 

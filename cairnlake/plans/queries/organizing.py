@@ -212,3 +212,32 @@ def _(c):
 def _(c):
     reply = F.when(F.col("event_id") % 3 == 0, F.lit("no idea")).otherwise(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done")))
     return c.table("events").select("event_id", O.reply_fields(reply, "k string")["k"].alias("k"))
+
+
+_STORED = _PLAN + """
+, s AS (SELECT p.id, files.path AS source, CASE WHEN p.id % 13 = 0 THEN '/elsewhere/' || p.id WHEN p.id % 13 = 1 THEN upper(files.path) WHEN p.id % 13 = 2 THEN '/lib/taken.txt' ELSE '/lib/' || p.destination || '/' || p.id || '.' || p.extension END AS destination, confidence FROM p JOIN files ON files.id = p.id WHERE p.id % 17 <> 0),
+now AS (SELECT id, CASE WHEN id % 17 = 0 AND id % 2 = 0 THEN '/lib/taken.txt' WHEN id % 19 = 1 THEN path || '.old' ELSE path END AS path FROM files WHERE id % 23 <> 0)
+"""
+
+
+def _stored(c):
+    """A plan as it was stored, and the files as they are later."""
+    i = F.col("id")
+    p = _plan(c).join(c.files.select("id", F.col("path").alias("source")), "id").where(i % 17 != 0)
+    to = F.when(i % 13 == 0, F.concat(F.lit("/elsewhere/"), i.cast("string"))).when(i % 13 == 1, F.upper("source")).when(i % 13 == 2, "/lib/taken.txt").otherwise(F.concat(F.lit("/lib/"), "destination", F.lit("/"), i.cast("string"), F.lit("."), "extension"))
+    now = c.files.where(i % 23 != 0).select("id", F.when((i % 17 == 0) & (i % 2 == 0), "/lib/taken.txt").when(i % 19 == 1, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"))
+    return p.select("id", "source", to.alias("destination"), "confidence"), now
+
+
+@query("org_plan_checked", _STORED + """
+SELECT s.id, CASE WHEN now.path IS NULL THEN 'missing' WHEN now.path <> source THEN 'moved' WHEN lower(source) = lower(destination) THEN 'noop' WHEN NOT starts_with(destination, '/lib/') OR contains(destination, '/../') THEN 'outside'
+  WHEN lower(destination) IN (SELECT lower(path) FROM now WHERE id NOT IN (SELECT id FROM s)) THEN 'taken' WHEN count(*) OVER (PARTITION BY lower(destination)) > 1 THEN 'clash' ELSE 'ok' END AS verdict FROM s LEFT JOIN now ON now.id = s.id""")
+def _(c):
+    plan, now = _stored(c)
+    return O.checked_plan(plan, now, "/lib")
+
+
+@query("org_plan_page", _STORED + "SELECT id, source, destination FROM s WHERE confidence = 'review' AND id > 100 ORDER BY id LIMIT 50")
+def _(c):
+    plan, _ = _stored(c)
+    return O.plan_page(plan, "review", 100, 50).select("id", "source", "destination")

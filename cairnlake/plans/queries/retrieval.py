@@ -169,3 +169,22 @@ def _(c):
     hits = R.restrict(R.fuse([_keyword(c), _visual(c)], limit=100), found)
     ranked = hits.select("id", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "at", "id")).alias("rank"))
     return R.fill(ranked, found.join(R.phrase_hits(_index(c), query_), "id", "left_semi"), 50)
+
+
+_FLAT = r"substr(array_to_string(list_filter(regexp_split_to_array({0}, '[\n\r\x0B\f\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: x <> ''), ' '), 1, {1})"
+
+
+@query("chat_history_blocks", f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn DESC) AS r FROM messages), f AS (SELECT conv, turn, role, {_FLAT.format("coalesce(text, '')", 200)} AS t FROM r WHERE r <= 4)
+SELECT conv, 'Earlier in this conversation:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || t, chr(10) ORDER BY turn) || chr(10) AS block FROM f WHERE trim(t) <> '' GROUP BY conv""")
+def _(c):
+    return ask.history_blocks(c.messages, 4, 200)
+
+
+@query("chat_evidence_lines", f"""
+SELECT rank AS n, '[' || rank || '] ' || regexp_extract(path, '([^/]*)$', 1) || ' (' || concat_ws(', ', kind, CASE WHEN kind = 'video' THEN 'at ' || round(modified_at % 90)::BIGINT || ' s' END, CASE WHEN kind = 'pdf' THEN 'page ' || id % 9 END) || '): ' || {_FLAT.format("coalesce(text, '')", 400)} AS line
+FROM (SELECT *, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM files) WHERE rank <= 30""")
+def _(c):
+    top = c.texts.orderBy(F.col("size_bytes").desc(), "id").limit(30)
+    hits = top.select(F.row_number().over(Window.orderBy(F.col("size_bytes").desc(), "id")).cast("long").alias("rank"), "path", "kind", F.when(F.col("kind") == "video", F.round(F.col("modified_at") % 90)).alias("seconds"), F.when(F.col("kind") == "pdf", F.col("id") % 9).alias("page"), "text")
+    return ask.evidence_lines(hits, 30)

@@ -52,6 +52,23 @@ def _(c):
     return T.group_bursts(shots.withColumn("path", path), ["label"], T.BurstLimits(86400.0, 5 * 86400.0, 0.2, -0.1, 24, 24, True))
 
 
+def _takes_rows(c):
+    shots = c.signals.select("id", "seconds").join(c.vectors.select("id", "v", "phash", "label"), "id").join(c.files.select("id", "path", "content_hash", "size_bytes"), "id")
+    return shots
+
+
+@query("take_groups")
+def _(c):
+    return T.take_groups(_takes_rows(c), ["label"], T.BurstLimits(10 * 86400.0, 30 * 86400.0, 0.1, -0.1, 28, 24, True))
+
+
+@query("take_suggestions")
+def _(c):
+    # the request names files 1..400
+    rows = _takes_rows(c).withColumn("seconds", F.col("seconds") / 3000)
+    return T.suggested_groups(rows.withColumn("v", F.slice("v", 1, 2)), list(range(1, 401)))
+
+
 @query("burst_representatives", """
 WITH p AS (SELECT x.label, x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS s FROM vectors x JOIN vectors y ON x.label = y.label AND x.id < y.id), t AS (SELECT label, a AS id, s FROM p UNION ALL SELECT label, b, s FROM p),
 u AS (SELECT label, id, round(sum(s) - CASE WHEN id % 3 = 0 THEN 0.001 ELSE 0 END, 9) AS s FROM t GROUP BY label, id) SELECT label AS "group", id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, id) AS r FROM u) WHERE r = 1""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as X
-from cairnlake.operators import ann, ask, facts, filters, identity
+from cairnlake.operators import ann, ask, facts, filters, identity, organize
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import sessions as T
 from cairnlake.operators import similarity as S
@@ -135,6 +135,36 @@ def test_activity_chapters_and_stills(spark):
     assert sorted((r.f, r.start, r.end) for r in T.chapter_starts(c, ["f"]).collect()) == [(1, 0.0, 1.999), (1, 2.0, None)]
 
 
+def test_take_groups_and_suggestions(spark):
+    row = lambda i, t, x, h, stem: (0, i, f"/f/{stem}.jpg", t, None, [1.0, x], h, 5)
+    rows = [row(1, 0.0, 0.0, "a", "s1"), row(2, 1.0, 0.1, "b", "s2"), row(3, 2.0, 0.2, "b", "s3"), row(4, 3.0, 0.1, None, "s1x"), row(5, 900.0, 0.0, "e", "s9"), row(6, 901.0, 9.0, "f", "s8")]
+    df = spark.createDataFrame(rows, "g long, id long, path string, seconds double, phash long, v array<double>, content_hash string, size_bytes long")
+    got = T.take_groups(df, ["g"]).collect()
+    assert [(r.burst, r.shots, r.captured_at, r.similarity) for r in got] == [(1, 3, 3.0, 0.995)]
+    found = T.suggested_groups(df, [1, 2, 3, 5, 6]).collect()
+    assert [(r.first_id, list(r.members)) for r in found] == [(1, [1, 2, 5])]
+    for bad in ([1], [0, 1], list(range(1, 10_002))):
+        with pytest.raises(ValueError):
+            T.suggested_groups(df, bad)
+
+
+def test_plans_are_stored_in_pages_and_checked(spark, tmp_path):
+    plan = spark.createDataFrame([(1, "/l/a", "/l/x/a", "c", "auto"), (2, "/l/b", "/l/x/A", "c", "auto"), (3, "/l/c", "/m/c", "c", "auto"), (4, "/l/d", "/l/D", "c", "ask"), (5, "/l/e", "/l/x/t", "c", "auto"), (6, "/l/f", "/l/x/f", "c", "auto"), (7, "/l/g", "/l/x/g", "c", "auto"), (8, "/l/h", "/l/x/h", "c", "auto")], "id long, source string, destination string, category string, confidence string")
+    organize.store_plan(plan, str(tmp_path / "plan"))
+    stored = spark.read.parquet(str(tmp_path / "plan"))
+    assert [r.id for r in organize.plan_page(stored, "auto", 1, 2).collect()] == [2, 3]
+    files = spark.createDataFrame([(1, "/l/a"), (2, "/l/b"), (3, "/l/c"), (4, "/l/d"), (5, "/l/e"), (7, "/l/g2"), (8, "/l/h"), (9, "/l/x/T")], "id long, path string")
+    got = {r.id: r.verdict for r in organize.checked_plan(stored, files, "/l").collect()}
+    assert got == {1: "clash", 2: "clash", 3: "outside", 4: "noop", 5: "taken", 6: "missing", 7: "moved", 8: "ok"}
+
+
+def test_names_terms_and_checks():
+    known = {1: ["Ana Maria"], 2: ["Ana"], 3: ["Bo"]}
+    assert ask.named("photos of Ana Maria and bo's dog", known) == [1, 3] and ask.named("ana", known) == [2] and ask.named("", known) == []
+    assert ask.content_terms("the running dogs of Bo", ["Bo"]) == [("runn", "running"), ("dog", "dogs")]
+    assert ask.checks("a dog with a ball, and snow and two people, smiling") == ["a dog", "a ball", "snow", "two people and smiling"]
+
+
 def test_folder_tiers(spark):
     rows = [("/lib/Downloads", "photo")] * 9 + [("/LIB", "photo")] * 9 + [("/lib/trip", "photo")] * 9 + [("/lib/few", "photo")] * 2 + [("/lib/both", k) for k in ("photo", "video") * 3]
     got = {r.folder: r.tier for r in facts.folder_tiers(spark.createDataFrame(rows, "folder string, category string"), "/lib").collect()}
