@@ -3,8 +3,9 @@
 Shingles have one order: those that a sample of texts holds often come last, others by hash. Two sets of
 similarity 0.8 meet in the first fifth of each, whatever the order is, so the sample decides only how many chance
 partners are met. Texts are first linked to one text of each shared shingle, which settles large groups of near
-copies without their pairs; then all pairs of different components that share a shingle are taken, those whose
-counts rule out the similarity are left out, and the rest are compared on all their shingles.
+copies without their pairs; then the pairs of different components that share a shingle of their prefixes are
+taken, those whose counts or bits rule out the similarity are left out in the join, and the rest are compared on
+all their shingles.
 
 Defined results: words and letter case are those of SimHash; a text of fewer than five words is one shingle;
 texts without words have none and are not linked here; an empty table gives no rows.
@@ -30,6 +31,10 @@ SHINGLE = 5
 SAMPLE, MOST_FREQUENT = 4_000, 200_000
 #: Nodes in pairs up to which they are broadcast, so that texts are not shuffled.
 MOST_ENDS = 200_000
+#: Rows of prefixes that a task joins, about.
+ROWS = 20_000
+#: Bits of a text: bit i tells whether an odd number of its shingles are i modulo BITS. Two texts differ in as many shingles as bits, at least.
+BITS = 512
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -62,16 +67,18 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = frequent
         for batch in small_batches(batches, 1 << 20):
-            sizes, first = [], []
+            sizes, first, bits = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
+                odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
                 sizes.append(len(s))
                 first.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "n", "first"]
+                [batch.column("node"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "n", "first", "bits"]
             )
 
     return run
@@ -117,12 +124,12 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     nodes = rows.groupBy(F.xxhash64(t), F.xxhash64(F.lit(1), t)).agg(F.min(row).alias("node"))
     named = nodes.select("node").join(base.withColumnRenamed(row, "node"), "node")
     texts = rows.select(F.col(row).alias("node"), t.alias("text"))
-    sized = texts.mapInArrow(_prefixes(frequent_shingles(texts)), "node bigint, n int, first array<bigint>")
+    sized = texts.mapInArrow(_prefixes(frequent_shingles(texts)), "node bigint, n int, first array<bigint>, bits array<bigint>")
     sized = staged(sized.join(named, "node"))
-    met = sized.select("node", "c", "n", F.posexplode("first").alias("i", "h"))
+    # each shingle of a prefix with its place and the one before it
+    met = sized.select("node", "c", "n", F.explode(F.transform("first", lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.get("first", i - 1).alias("p")))).alias("x")).select("node", "c", "n", "x.*")
     shared = met.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("h")
     near = staged(met.join(shared, "h"))
-    drop_staged(sized)
     # one text of each shingle stands for all that hold it
     where = F.struct(F.xxhash64("node"), "node", "c", "n")
     star = near.join(near.groupBy("h").agg(F.min(where).alias("one")), "h")
@@ -133,14 +140,19 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     joined = staged(components(first).select(F.col("node").alias("c"), F.col("component").alias("c1")))
     left = near.join(joined, "c", "left").withColumn("c1", F.coalesce("c1", "c"))
     apart = left.groupBy("h").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("h")
-    left = staged(left.join(apart, "h"))
-    a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.c1") < F.col("b.c1")) & _sizes_allow(F.col("a.n"), F.col("b.n"))
-    pairs = a.join(b, on).groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(
-        F.first("a.c").alias("cu"), F.first("b.c").alias("cv"), F.first("a.n").alias("n"), F.first("b.n").alias("k"),
-        F.count(F.lit(1)).alias("m"), F.max("a.i").alias("i"), F.max("b.i").alias("j"),
-    )
-    # shared so far, and all that can follow the last of them
-    second = verified(pairs.where("9 * (m + least(n - 1 - i, k - 1 - j)) >= 4 * (n + k)"), texts)
+    # A similar pair is met at the first shingle that its prefixes share: there the shingles before differ, and enough can
+    # follow. The bits of both bound what they differ in from below. What remains is little, and compared exactly.
+    left = staged(left.join(apart, "h").join(sized.select("node", "bits"), "node"))
+    drop_staged(near)
+    drop_staged(sized)
+    dealt = left.repartition(max(1, left.count() // ROWS), "h")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    can_follow = 9 * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= 4 * both
+    new = F.col("a.p").isNull() | F.col("b.p").isNull() | (F.col("a.p") != F.col("b.p"))
+    differ = sum((F.bit_count(F.get("a.bits", F.lit(k)).bitwiseXOR(F.get("b.bits", F.lit(k)))) for k in range(1, BITS // 64)), F.bit_count(F.get("a.bits", F.lit(0)).bitwiseXOR(F.get("b.bits", F.lit(0)))))
+    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.c1") < F.col("b.c1")) & _sizes_allow(F.col("a.n"), F.col("b.n")) & can_follow & new & (9 * differ <= both)
+    pairs = a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.c").alias("cu"), F.col("b.c").alias("cv")).distinct()
+    second = verified(pairs, texts)
     final = components(first.union(second)).select(F.col("node").alias("c"), "component")
     return base.join(final, "c", "left").select(row, F.coalesce("component", "c").alias("component"))
