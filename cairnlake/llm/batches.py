@@ -116,21 +116,29 @@ def by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
     return bucket[cut], [slice(a, b) for a, b in zip(cut, [*cut[1:], len(keys)], strict=False)]
 
 
+SENT_SQL = "bucket bigint, batch bigint, names binary, counts binary"
+
+
+def sent_names(batch: int, names: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A batch's distinct names with their counts, a row for each bucket."""
+    names, n = distinct(names, bits)
+    buckets, parts = by_bucket(names, bits)
+    low = ((names << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(buckets), pa.array(np.full(len(buckets), batch)), pa.array([pack(np.diff(low[p], prepend=np.uint32(0))) for p in parts], pa.binary()),
+            pa.array([pack(n[p].astype(np.uint32)) for p in parts], pa.binary()),
+        ],
+        names=["bucket", "batch", "names", "counts"],
+    )
+
+
 def _sent(names_of: Callable, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for batch, *packed in cells(rows, "batch", "docs", "hashes", "sizes", "blob"):
                 _, _, data, bounds = texts_of(*packed)
-                names, n = distinct(names_of(data, bounds), bits)
-                buckets, parts = by_bucket(names, bits)
-                low = ((names << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(buckets), pa.array(np.full(len(buckets), batch)), pa.array([pack(np.diff(low[p], prepend=np.uint32(0))) for p in parts], pa.binary()),
-                        pa.array([pack(n[p].astype(np.uint32)) for p in parts], pa.binary()),
-                    ],
-                    names=["bucket", "batch", "names", "counts"],
-                )
+                yield sent_names(batch, names_of(data, bounds), bits)
 
     return run
 
@@ -141,7 +149,7 @@ def distinct(names: np.ndarray, bits: int, inverse: bool = False):
     return np.unique(cut, return_inverse=True) if inverse else np.unique(cut, return_counts=True)
 
 
-def _answered(hot: int):
+def answered(hot: int):
     def run(rows: pa.Table) -> pa.Table:
         steps = [unpack(x, np.uint32) for x in rows.column("names").to_pylist()]
         counts = np.concatenate([unpack(x, np.uint32) for x in rows.column("counts").to_pylist()])
@@ -172,8 +180,8 @@ def each_bucket(rows: DataFrame, buckets: int, of_bucket: Callable[[pa.Table], p
 
 def name_codes(packed: DataFrame, names_of: Callable, bits: int, hot: int, tasks: int) -> DataFrame:
     """(batch, codes): of each batch's distinct names whether one is met once (0), more often (1), or above hot times (2)."""
-    sent = packed.mapInArrow(_sent(names_of, bits), "bucket bigint, batch bigint, names binary, counts binary")
-    return answers_by_batch(each_bucket(sent, 1 << bits, _answered(hot), CODES_SQL), "codes", tasks)
+    sent = packed.mapInArrow(_sent(names_of, bits), SENT_SQL)
+    return answers_by_batch(each_bucket(sent, 1 << bits, answered(hot), CODES_SQL), "codes", tasks)
 
 
 def read_codes(codes: list | None, n: int) -> np.ndarray:

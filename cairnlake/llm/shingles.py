@@ -18,9 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.batches import CODES_SQL, SENT_SQL, answered, answers_by_batch, bucket_bits, cells, distinct, each_bucket, pack, read_codes, readers, sent_names, unpack
 from cairnlake.llm.common import small_batches
 from cairnlake.llm.simhash import shingle_hashes
 from cairnlake.operators.graph import components
@@ -61,13 +63,17 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[by], n[by]
 
 
+PREFIX_SQL = "batch bigint, nodes binary, ns binary, sizes binary, first binary, bits binary"
+
+
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
-    """Texts to their number of shingles and the first of them, of which similar texts share one."""
+    """Batches of texts: their nodes, numbers of shingles, the first of these, of which similar texts share one, and their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = frequent
+        part, number = TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, 1 << 20):
-            sizes, first, bits = [], [], []
+            ns, first, bits = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
                 odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
@@ -75,15 +81,57 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     s = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
-                sizes.append(len(s))
-                first.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "n", "first", "bits"]
-            )
+                ns.append(len(s))
+                first.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1])
+            if not ns:
+                continue
+            nodes = np.array(batch.column("node").to_pylist(), np.int64)
+            columns = [nodes, np.array(ns, np.int32), np.array([len(x) for x in first], np.int32), np.concatenate(first), np.concatenate(bits)]
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), *(pa.array([pack(c)], pa.binary()) for c in columns)], names=["batch", "nodes", "ns", "sizes", "first", "bits"])
+            number += 1
 
     return run
 
 
+def _names_sent(bits: int):
+    """Each batch's distinct shingles of prefixes to the buckets of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for batch, first in cells(rows, "batch", "first"):
+                yield sent_names(batch, unpack(first, np.uint64), bits)
+
+    return run
+
+
+def _placed(bits: int):
+    """(node, n, h, i, p): the shingles of prefixes that other places have too, each with its place and the one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for codes, nodes, ns, sizes, first in cells(rows, "codes", "nodes", "ns", "sizes", "first"):
+                h, sizes = unpack(first, np.uint64), unpack(sizes, np.int32)
+                kinds, inverse = distinct(h, bits, inverse=True)
+                at = np.flatnonzero(read_codes(codes, len(kinds))[inverse])
+                owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+                i = at - (np.cumsum(sizes) - sizes)[owner]
+                h = h.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unpack(nodes, np.int64)[owner]), pa.array(unpack(ns, np.int32)[owner]), pa.array(h[at]), pa.array(i.astype(np.int32)), pa.array(h[np.maximum(at - 1, 0)], mask=i == 0)],
+                    names=["node", "n", "h", "i", "p"],
+                )
+
+    return run
+
+
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for nodes, bits in cells(rows, "nodes", "bits"):
+            nodes, flat = unpack(nodes, np.int64), unpack(bits, np.int64)
+            offsets = pa.array(np.arange(0, len(flat) + 1, BITS // 64, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "bits"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, 1 << 20):
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], names=["node", "s"])
@@ -124,12 +172,18 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     nodes = rows.groupBy(F.xxhash64(t), F.xxhash64(F.lit(1), t)).agg(F.min(row).alias("node"))
     named = nodes.select("node").join(base.withColumnRenamed(row, "node"), "node")
     texts = rows.select(F.col(row).alias("node"), t.alias("text"))
-    sized = texts.mapInArrow(_prefixes(frequent_shingles(texts)), "node bigint, n int, first array<bigint>, bits array<bigint>")
-    sized = staged(sized.join(named, "node"))
-    # each shingle of a prefix with its place and the one before it
-    met = sized.select("node", "c", "n", F.explode(F.transform("first", lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.get("first", i - 1).alias("p")))).alias("x")).select("node", "c", "n", "x.*")
+    # an exchange of packed names leaves the shingles that several places hold
+    packed = staged(texts.mapInArrow(_prefixes(frequent_shingles(texts)), PREFIX_SQL))
+    batches = packed.count()
+    name_bits, tasks = bucket_bits(batches, 1 << 20), readers(batches, 1 << 20)
+    sent = packed.select("batch", "first").mapInArrow(_names_sent(name_bits), SENT_SQL)
+    codes = answers_by_batch(each_bucket(sent, 1 << name_bits, answered(2**31), CODES_SQL), "codes", tasks)
+    coded = packed.drop("bits").repartition(tasks, "batch").join(codes.hint("merge"), "batch", "left")
+    placed = coded.mapInArrow(_placed(name_bits), "node bigint, n int, h bigint, i int, p bigint")
+    met = staged(placed.join(named, "node"))
     shared = met.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("h")
     near = staged(met.join(shared, "h"))
+    drop_staged(met)
     # one text of each shingle stands for all that hold it
     where = F.struct(F.xxhash64("node"), "node", "c", "n")
     star = near.join(near.groupBy("h").agg(F.min(where).alias("one")), "h")
@@ -142,9 +196,9 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     apart = left.groupBy("h").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("h")
     # A similar pair is met at the first shingle that its prefixes share: there the shingles before differ, and enough can
     # follow. The bits of both bound what they differ in from below. What remains is little, and compared exactly.
-    left = staged(left.join(apart, "h").join(sized.select("node", "bits"), "node"))
-    drop_staged(near)
-    drop_staged(sized)
+    left = staged(left.join(apart, "h").join(packed.mapInArrow(_bits_of, "node bigint, bits array<bigint>"), "node"))
+    for done in (near, packed):
+        drop_staged(done)
     dealt = left.repartition(max(1, left.count() // ROWS), "h")
     a, b = dealt.alias("a"), dealt.alias("b")
     both = F.col("a.n") + F.col("b.n")
