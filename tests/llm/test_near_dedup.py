@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline as P
+import numpy as np
 
 from cairnlake.llm.common import words_of
+from cairnlake.llm.shingles import may_be_similar, parities, sketch_size
 from cairnlake.llm.simhash import shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,18 @@ def test_rows_that_repeat_or_lack_a_doc_id(spark):
     docs = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, b), (None, "c d e"), (None, "c d e")]
     got = [(r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, "c d e")], key=str)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for n in (1, 5, 511, 512, 513, 1024, 1100, 3000):
+        for kept in (0.0, 0.5, 0.85, 0.89, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(kept * n)], rng.integers(0, 2**64, n - int(kept * n), dtype=np.uint64)]))
+            for x, y in ((a, b), (a, a[: max(1, int(kept * n))])):
+                both = len(np.intersect1d(x, y))
+                may = may_be_similar(*(z for s in (x, y) for z in (len(s), parities(s, sketch_size(len(s))).tobytes())))
+                assert may or 5 * both < 4 * (len(x) + len(y) - both)
+                ruled_out += not may
+    assert ruled_out > 20
