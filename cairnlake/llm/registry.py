@@ -9,6 +9,7 @@ from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cairnlake.llm.mixing import op7_mixing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
 from cairnlake.llm.recompression import op9_recompression
+from cairnlake.llm.resampling import op13_importance_resampling
 from cairnlake.llm.simhash import op2_simhash
 from cairnlake.llm.suffix_array import op5_suffix_array
 from cairnlake.llm.toxicity import op10_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_recompression": op9_recompression,
     "op10_toxicity": op10_toxicity,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
