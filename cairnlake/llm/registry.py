@@ -7,6 +7,7 @@ from cairnlake.llm.html_extract import op6_html_extract
 from cairnlake.llm.imatch import op8_imatch
 from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cairnlake.llm.mixing import op7_mixing
+from cairnlake.llm.packing import op12_packing
 from cairnlake.llm.quality_rules import OP4_SQL, op4_quality_rules
 from cairnlake.llm.recompression import op9_recompression
 from cairnlake.llm.resampling import op13_importance_resampling
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_recompression": op9_recompression,
     "op10_toxicity": op10_toxicity,
+    "op12_packing": op12_packing,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
