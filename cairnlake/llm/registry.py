@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairnlake.llm.byte_bpe import op3_byte_bpe
+from cairnlake.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from cairnlake.llm.html_extract import op6_html_extract
 from cairnlake.llm.imatch import op8_imatch
 from cairnlake.llm.line_dedup import OP1_SQL, op1_line_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_recompression": op9_recompression,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_packing": op12_packing,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
