@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions.vectors import dot, unit
+from cairnlake.operators.constrained import constrained_components
 from cairnlake.operators.graph import components
-from cairnlake.operators.similarity import centroids, cohesion, cosine_pairs, nearest, two_nearest
+from cairnlake.operators.similarity import best_matches, centroids, cohesion, cosine_pairs, nearest, two_nearest
 from cairnlake.session import staged
 
 
@@ -166,21 +167,68 @@ def _large_split(named: DataFrame, mean: float, variance: float, depth: int, mos
     return named
 
 
-def cluster(faces: DataFrame, core: float = 0.66, assign: float = 0.54, margin: float = 0.10, k: int = 32, mean: float = 0.60, variance: float = 0.04, depth: int = 7, most: int = 5000) -> DataFrame:
+def _joined(single: DataFrame, grouped: DataFrame, exclusive: DataFrame, assign: float, margin: float) -> DataFrame:
+    """(id, joined): single faces (id, v) to the best centre of grouped (id, v, component) that holds none of their keys.
+
+    Of faces that share a key and want the same centre the least id has it; the others choose again without it. A face
+    asks for more centres until it has two that hold none of its keys, or there are no more.
+    """
+    centers = staged(centroids(grouped, "component").select(F.col("component").alias("id"), F.col("centroid").alias("v")))
+    taken = staged(grouped.select("id", "component").join(exclusive.withColumnRenamed("node", "id"), "id").select("component", "key").distinct())
+    own = staged(single.select("id").join(exclusive.withColumnRenamed("node", "id"), "id").select("id", "key"))
+    open_, out, n = staged(single.select("id", "v")), None, centers.count()
+    k = 4
+    while True:
+        near = staged(best_matches(open_, centers, min(k, n)))
+        barred = near.join(own, "id").join(taken.withColumnRenamed("component", "other"), ["other", "key"]).select("id", "other").distinct()
+        ranked = near.join(barred, ["id", "other"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("rank")))
+        at = lambda i, c: F.max(F.when(F.col("at") == i, F.col(c)))
+        two = staged(open_.select("id").join(ranked.groupBy("id").agg(at(1, "other").alias("other"), at(1, "cosine").alias("score"), at(2, "cosine").alias("second")), "id", "left"))
+        short = two.where("second IS NULL").select("id") if k < n else two.select("id").limit(0)
+        wants = two.join(short, "id", "left_anti").where((F.col("score") >= assign) & (F.col("score") - F.coalesce("second", F.lit(-2.0)) >= margin)).select("id", "other")
+        asks = wants.join(own, "id")
+        first = asks.groupBy("other", "key").agg(F.min("id").alias("first"))
+        later = asks.join(first, ["other", "key"]).where("id <> first").select("id").distinct()
+        won = staged(wants.join(later, "id", "left_anti"))
+        out = won if out is None else staged(out.union(won))
+        taken = staged(taken.union(won.join(own, "id").select(F.col("other").alias("component"), "key")).distinct())
+        # those without a centre that fits stay single; those beaten or short of centres ask again
+        again = staged(open_.join(short.union(later).distinct(), "id", "left_semi"))
+        if again.isEmpty():
+            return out.select("id", F.col("other").alias("joined"))
+        k = min(n, 4 * k) if not short.isEmpty() else k
+        open_ = again
+
+
+def cluster(
+    faces: DataFrame, core: float = 0.66, assign: float = 0.54, margin: float = 0.10, k: int = 32, mean: float = 0.60, variance: float = 0.04, depth: int = 7, most: int = 5000, exclusive: DataFrame | None = None
+) -> DataFrame:
     """(id, cluster) in three passes over (id, v): components of mutual nearest neighbours at `core`, single
     faces to the best centre at `assign` with a margin, and splitting of uneven groups.
 
+    exclusive: (node, key), faces with a key in common that never share a cluster: the core graph is merged in the order
+    of similarity around them, and a single face joins no core that holds one of its keys. Centres are those of the cores.
+
     The id of a cluster is the least id in it. Groups of more than `most` faces are split by jobs over all faces of a
     group (halves), smaller ones in a task each; both follow the same rule, so `most` does not change a result.
     """
     near = nearest(faces, k).where(F.col("cosine") >= core).select("id", "other")
+    near = near if exclusive is None else nearest(faces, k).where(F.col("cosine") >= core).select("id", "other", "cosine")
     mutual = near.join(near.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"]).where("id < other")
-    found = components(mutual.select(F.col("id").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "id")
+    if exclusive is None:
+        found = components(mutual.select(F.col("id").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "id")
+    else:
+        links = mutual.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("cosine").alias("weight"))
+        found = constrained_components(links, exclusive)
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        found = found.join(sizes, "component", "left_semi").select(F.col("node").alias("id"), "component")
     labelled = staged(faces.join(found, "id", "left"))
     grouped = labelled.where("component IS NOT NULL")
-    centers = centroids(grouped, "component")
     single = labelled.where("component IS NULL")
-    best = two_nearest(single, centers, "component").where((F.col("score") >= assign) & (F.coalesce("margin", F.lit(2.0)) >= margin)).select("id", F.col("center").alias("joined"))
+    if exclusive is None:
+        best = two_nearest(single, centroids(grouped, "component"), "component").where((F.col("score") >= assign) & (F.coalesce("margin", F.lit(2.0)) >= margin)).select("id", F.col("center").alias("joined"))
+    else:
+        best = _joined(single, grouped, exclusive, assign, margin)
     named = staged(labelled.join(best, "id", "left").select("id", "v", F.coalesce("component", "joined", "id").alias("cluster")))
     named = _large_split(named, mean, variance, depth, most)
     sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -263,8 +311,15 @@ def split_suggestions(faces: DataFrame, least: int = 3, share: float = 0.1, apar
     return f.where(ok).select("person_id", "size_a", "size_b", "cosine")
 
 
-def consolidated(faces: DataFrame, blocked: DataFrame, least: float = 0.75) -> DataFrame:
-    """(cluster, into): clusters (id, v, cluster) whose centres are near enough merge, but for blocked pairs (a, b)."""
-    centers = centroids(faces, "cluster").select(F.col("cluster").alias("id"), F.col("centroid").alias("v"))
-    pairs = cosine_pairs(centers, least).join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("cluster"), F.col("component").alias("into"))
+def consolidated(faces: DataFrame, exclusive: DataFrame, least: float = 0.75, owners: DataFrame | None = None) -> DataFrame:
+    """(cluster, into): clusters (id, v, cluster) whose centres are near enough merge, nearest first, into the largest of them.
+
+    exclusive: (node, key), clusters with a key in common never merge, over others neither; owners: (node, owner), nor
+    do clusters of two owners. Of equally large clusters the least survives; clusters near none are left out.
+    """
+    centers = staged(centroids(faces, "cluster"))
+    pairs = cosine_pairs(centers.select(F.col("cluster").alias("id"), F.col("centroid").alias("v")), least)
+    found = constrained_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("cosine", 9).alias("weight")), exclusive, owners)
+    sized = staged(found.join(centers.select(F.col("cluster").alias("node"), "n"), "node"))
+    into = sized.groupBy("component").agg(F.max(F.struct("n", (-F.col("node")).alias("back"))).alias("x")).select("component", (-F.col("x.back")).alias("into"))
+    return sized.join(into, "component").select(F.col("node").alias("cluster"), "into")

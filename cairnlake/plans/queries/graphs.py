@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from cairnlake.functions.vectors import cosine
 from cairnlake.operators import ann, identity
 from cairnlake.operators import similarity as S
+from cairnlake.operators.constrained import constrained_components
 from cairnlake.operators.graph import components, survivors
 from cairnlake.plans.queries.facts import _KEEPER, keeper_window
 from cairnlake.plans.registry import query
@@ -285,11 +286,44 @@ def _(c):
     return identity.split_suggestions(c.faces.select("person_id", "id", "v"), apart=0.9, cohesive=0.05)
 
 
-@query("people_consolidated", _PEOPLE + """
-, e AS (SELECT a.person_id AS x, b.person_id AS y FROM c a JOIN c b ON a.person_id < b.person_id WHERE list_cosine_similarity(a.centroid, b.centroid) >= 0.01 AND NOT (a.person_id = 0 AND b.person_id = 1)),
-n AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x) SELECT x AS cluster, min(y) AS "into" FROM r GROUP BY x""")
+# a pass over edges e (k, x, y) in order, over the list g of the groups of nodes 1..n, whose keys stand in the list f
+_ORDERED = """
+, z AS (SELECT 0::BIGINT AS k, (SELECT list(i ORDER BY i) FROM n) AS g, (SELECT list(f ORDER BY i) FROM n) AS f UNION ALL
+  SELECT e.k, CASE WHEN len(list_intersect(flatten(list_filter(f, lambda s, i: g[i] = g[e.x])), flatten(list_filter(f, lambda s, i: g[i] = g[e.y])))) > 0 THEN g
+    ELSE list_transform(g, lambda p: CASE WHEN p = g[e.x] OR p = g[e.y] THEN least(g[e.x], g[e.y]) ELSE p END) END, f FROM z JOIN e ON e.k = z.k + 1)
+, last AS (SELECT unnest(g) AS g, generate_subscripts(g, 1) AS i FROM (SELECT g FROM z ORDER BY k DESC LIMIT 1))
+"""
+
+
+@query("people_constrained_groups", """
+WITH u AS (SELECT id, file_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM faces), near AS (
+  SELECT a.id, b.id AS other, round(list_dot_product(a.v, b.v), 9) AS c FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY c DESC, b.id) <= 6
+), pairs AS (SELECT a.id AS x, a.other AS y, a.c FROM near a JOIN near b ON a.id = b.other AND a.other = b.id WHERE a.id < a.other AND a.c >= 0.2
+), n AS (SELECT id, [file_id] AS f, row_number() OVER (ORDER BY id) AS i FROM faces WHERE id IN (SELECT x FROM pairs UNION SELECT y FROM pairs)
+), e AS (SELECT row_number() OVER (ORDER BY c DESC, x, y) AS k, p.i AS x, q.i AS y FROM pairs JOIN n p ON p.id = x JOIN n q ON q.id = y)
+""" + _ORDERED + "SELECT a.id AS node, min(a.id) OVER (PARTITION BY g) AS component FROM last JOIN n a ON a.i = last.i")
+def _(c):
+    near = S.nearest(c.faces.select("id", "v"), 6).where("cosine >= 0.2").select("id", "other", "cosine")
+    mutual = near.join(near.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"]).where("id < other")
+    return constrained_components(mutual.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("cosine").alias("weight")), c.faces.select(F.col("id").alias("node"), F.col("file_id").alias("key")))
+
+
+@query("people_clusters_apart")
+def _(c):
+    faces = c.faces.where("excluded = 0")
+    return identity.cluster(faces.select("id", "v"), core=0.30, assign=0.25, margin=0.02, k=8, exclusive=faces.select(F.col("id").alias("node"), F.col("file_id").alias("key")))
+
+
+# clusters are the faces of a person in a hundred files; those that share a file stay apart, as do two people's
+@query("people_consolidated", _PEOPLE.replace("person_id", "cluster").replace("FROM faces WHERE", "FROM (SELECT *, person_id * 100 + id % 5 AS cluster FROM faces) WHERE") + """
+, n AS (SELECT *, row_number() OVER (ORDER BY cluster) AS i FROM (SELECT person_id * 100 + id % 5 AS cluster, count(*) AS size, list(DISTINCT file_id) AS f FROM faces WHERE person_id IS NOT NULL GROUP BY 1)
+), e AS (SELECT row_number() OVER (ORDER BY round(list_dot_product(a.centroid, b.centroid), 9) DESC, a.cluster, b.cluster) AS k, p.i AS x, q.i AS y
+  FROM c a JOIN c b ON a.cluster < b.cluster JOIN n p ON p.cluster = a.cluster JOIN n q ON q.cluster = b.cluster WHERE list_dot_product(a.centroid, b.centroid) >= 0.15)
+""" + _ORDERED + """
+SELECT n.cluster, first_value(n.cluster) OVER (PARTITION BY g ORDER BY size DESC, n.cluster) AS "into" FROM last JOIN n ON n.i = last.i WHERE n.i IN (SELECT x FROM e UNION SELECT y FROM e)""")
 def _(c):
-    return identity.consolidated(c.faces.where("person_id IS NOT NULL").select("id", "v", F.col("person_id").alias("cluster")), c.spark.createDataFrame([(0, 1)], "a long, b long"), 0.01)
+    faces = c.faces.where("person_id IS NOT NULL").withColumn("cluster", F.col("person_id") * 100 + F.col("id") % 5)
+    return identity.consolidated(faces.select("id", "v", "cluster"), faces.select(F.col("cluster").alias("node"), F.col("file_id").alias("key")), 0.15)
 
 
 @query("vec_ann")
