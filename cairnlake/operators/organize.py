@@ -6,26 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import base_name, generic_folder, name_tokens, usable_folder
+from cairnlake.functions.text import base_name, generic_folder, name_tokens, safe_component, usable_folder
 from cairnlake.operators.filters import moment, taken
 from cairnlake.operators.similarity import centroids
 
 
+#: A time up to a day after the epoch is no date.
+NO_DATE = 86_400.0
+
+
 def cascade() -> Column:
-    """struct(destination, category, confidence) by the first rule that fits: person, place, document, photo, video, audio, model, other."""
-    when = moment(taken())
-    year, month = F.date_format(when, "yyyy"), F.date_format(when, "MM")
-    dated = lambda top: F.when(taken() > 0, F.concat(F.lit(f"{top}/"), year, F.lit("/"), month)).otherwise(F.lit(top))
-    place = F.concat(F.lit("Places/"), F.format_string("%.1f,%.1f", F.round(F.col("lat") * 2) / 2, F.round(F.col("lon") * 2) / 2))
-    here = (F.abs("lat") <= 90) & (F.abs("lon") <= 180)
-    rule = lambda to, category, how: F.struct(to.alias("destination"), F.lit(category).alias("category"), F.lit(how).alias("confidence"))
+    """struct(destination, category, confidence) by the first rule that fits: person, place, document, photo, video, audio, model, misc.
+
+    Columns: person, lat, lon, kind, has_text, created_at, modified_at. Destinations hold the year where there is a date;
+    without one, documents, photos and videos are asked about, and a named person's files are reviewed.
+    """
+    when = taken()
+    dated = ~F.isnan(when) & (F.abs(when) != float("inf")) & (when > NO_DATE)
+    year, month = F.date_format(moment(when), "yyyy"), F.date_format(moment(when), "MMMM")
+    under = lambda top, *more: F.when(dated, F.concat_ws("/", top, *more)).otherwise(top)
+    half = lambda x: F.format_string("%.1f", F.round(F.col(x) * 2) / 2)
+    bucket = F.concat(half("lat"), F.lit("_"), half("lon"))
+    here = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    safe = safe_component(F.col("person"))
+    rule = lambda to, category, how: F.struct(to.alias("destination"), category.alias("category"), how.alias("confidence"))
+    sure = lambda yes, no: F.when(dated, yes).otherwise(no)
+    people, places = F.concat(F.lit("People/"), safe), F.concat(F.lit("Places/"), bucket)
+    kind, review = F.col("kind"), F.lit("review")
     return (
-        F.when(F.col("person").isNotNull(), rule(F.concat(F.lit("People/"), F.col("person")), "person", "auto"))
-        .when(F.col("kind").isin("image", "video") & here, rule(place, "place", "review"))
-        .when(F.col("kind").isin("pdf", "doc"), rule(dated("Documents"), "document", "auto"))
-        .when(F.col("kind") == "image", rule(dated("Photos"), "photo", "auto")).when(F.col("kind") == "video", rule(dated("Videos"), "video", "auto"))
-        .when(F.col("kind") == "audio", rule(F.lit("Audio"), "audio", "review")).when(F.col("kind") == "model", rule(F.lit("Models"), "model", "review"))
-        .otherwise(rule(F.lit("Other"), "other", "ask"))
+        F.when(F.col("person").isNotNull(), rule(under(people, year), people, sure("auto", "review")))
+        .when(here, rule(under(places, year), places, review))
+        .when(F.coalesce("has_text", F.lit(False)) | kind.isin("pdf", "doc"), rule(under(F.lit("Documents"), year), F.lit("document"), sure("review", "ask")))
+        .when(kind == "image", rule(under(F.lit("Photos"), year, month), F.lit("photo"), sure("review", "ask")))
+        .when(kind == "video", rule(under(F.lit("Videos"), year), F.lit("video"), sure("review", "ask")))
+        .when(kind == "audio", rule(under(F.lit("Audio"), year), F.lit("audio"), review))
+        .when(kind == "model", rule(F.lit("3D Models"), F.lit("model"), review))
+        .otherwise(rule(F.lit("Misc"), F.lit("misc"), F.lit("ask")))
     )
 
 
@@ -62,15 +78,23 @@ def feedback_boost(moves: DataFrame, weights: DataFrame, least: float = 3.0) ->
     return t.join(weights, ["token", "folder"]).groupBy("id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= least)
 
 
-def group_names(tokens: DataFrame, most: int = 3) -> DataFrame:
-    """(group, name): words that mark a group, by class-based TF-IDF: tf * ln(1 + mean words of a group / total tf). tokens: (group, token)."""
-    tf = tokens.groupBy("group", "token").agg(F.count(F.lit(1)).alias("tf"))
-    total = tf.groupBy("token").agg(F.sum("tf").alias("total"))
-    mean = tf.groupBy("group").agg(F.sum("tf").alias("n")).agg(F.avg("n").alias("mean"))
-    scored = tf.join(total, "token").join(F.broadcast(mean), F.lit(True)).withColumn("s", F.round(F.col("tf") * F.log(1 + F.col("mean") / F.col("total")), 9))
+def group_names(tokens: DataFrame, most: int = 2) -> DataFrame:
+    """(group, name): words that mark a group, in title case: those of its files that few files of all have.
+
+    tokens: (group, id, token), of all files. A word's score is the share of the group's files that have it, times
+    ln(files / files that have it); words of every file score nothing, and a group without others has a null name.
+    """
+    once = tokens.distinct()
+    of = once.select("group", "id").distinct()
+    size = of.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    total = of.agg(F.countDistinct("id").alias("total"))
+    df = once.groupBy("token").agg(F.countDistinct("id").alias("df"))
+    tf = once.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"))
+    score = F.round(F.col("n") / F.col("size") * F.log(F.col("total") / F.col("df")), 9)
+    scored = tf.join(df, "token").join(size, "group").join(F.broadcast(total), F.lit(True)).withColumn("s", score).where("s > 0")
     r = F.row_number().over(Window.partitionBy("group").orderBy(F.col("s").desc(), "token"))
-    best = scored.withColumn("r", r).where(F.col("r") <= most)
-    return best.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("name"))
+    best = scored.withColumn("r", r).where(F.col("r") <= most).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("r", "token"))).alias("words"))
+    return size.join(best, "group", "left").select("group", F.array_join(F.transform("words", lambda x: F.initcap(x["token"])), " ").alias("name"))
 
 
 def majority(votes: DataFrame, by: str, least: int = 3) -> DataFrame:
@@ -99,7 +123,8 @@ def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, leas
     rest = vectors.join(best.select("id"), "id", "left_anti")
     pairs = cosine_pairs(rest, alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    words = groups.join(files.select("id", F.explode(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0))).alias("token")), "id").select("group", "token")
+    tokens = files.select("id", F.explode(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    words = tokens.join(groups, "id", "left").select(F.coalesce("group", F.lit(-1)).alias("group"), "id", "token")
     named = groups.join(group_names(words, 2), "group", "left")
     return routed.unionByName(named.select("id", F.concat(F.lit("New/"), F.coalesce("name", F.lit("group"))).alias("destination"), F.lit("group").alias("why")))
 
@@ -139,11 +164,16 @@ def fits(file: Column, folder: Column) -> Column:
     return folder.isNull() | (folder == file) | ((folder == "photo") & (file != "video"))
 
 
+#: Names of folders that files are taken out of, and first words that mark such a folder.
+JUNK_NAMES = ("downloads", "downloaded", "desktop", "new folder", "untitled", "temp", "tmp", "misc", "other", "stuff", "things", "files", "unsorted", "inbox")
+JUNK_WORDS = ("desktop", "downloads", "download", "downloaded", "temp", "tmp", "unsorted", "inbox", "misc")
+
+
 def junk_prototype(name: Column) -> Column:
-    """Folder names that cannot stand for a subject: dumps, and bare years that no camera has seen."""
-    low = F.lower(F.trim(name))
-    year = F.regexp_extract(low, r"^(\d{4})$", 1)
-    return low.rlike(r"^(new|old|misc|other|stuff|backup|export|untitled).*$") | ((year != "") & ((year < "1990") | (year > "2100")))
+    """Folder names that cannot stand for a subject: dumps by name or first word, and numbers that are no year from 1900 to 2099."""
+    low = F.lower(name)
+    number = low.rlike(r"^[0-9]+$") & ~low.rlike(r"^(19|20)[0-9]{2}$")
+    return low.isin(*JUNK_NAMES) | number | F.regexp_extract(low, r"^\P{IsAlphabetic}*(\p{IsAlphabetic}+)", 1).isin(*JUNK_WORDS)
 
 
 def components(path: Column, root: str, last: bool = False) -> Column:

@@ -359,16 +359,6 @@ def take_scores(rows: DataFrame, group: str, weights: dict[str, float], penalty:
     return scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("total").desc(), F.col(next(iter(weights))).desc(), "id")).cast("long"))
 
 
-def recommendation(scored: DataFrame, group: str, tie: float = 0.03, clear: float = 0.1) -> DataFrame:
-    """Per group its best id and how sure that is."""
-    best = scored.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("id"),
-        (F.max(F.when(F.col("rank") == 1, F.col("total"))) - F.max(F.when(F.col("rank") == 2, F.col("total")))).alias("lead"),
-    )
-    verdict = F.when(F.col("n") < 2, "insufficient").when(F.round("lead", 6) <= tie, "tie").when(F.round("lead", 6) >= clear, "preferred").otherwise("ranked")
-    return best.select(group, "id", "n", verdict.alias("verdict"))
-
-
 def representatives(members: DataFrame, penalty: float = 0.001) -> DataFrame:
     """(group, id): the member with the greatest sum of cosines to the others of its group; raw files lose a little, ties go to the least id.
 

@@ -109,6 +109,21 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
     return pairs.mapInArrow(compare, "a bigint, b bigint, cosine double")
 
 
+def cosine_links(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, other, cosine): all pairs of one vector of left and another of right at or above a threshold, exact, but for equal ids."""
+    l = _blocks(left, block).select(F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
+    r = _blocks(right, block).select(F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for (a, x), (b, y) in zip(matrices(f, "a", "x"), matrices(f, "b", "y"), strict=True):
+                s = x @ y.T
+                p, q = np.nonzero((s >= threshold) & (a[:, None] != b[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[q]), pa.array(s[p, q])], names=["id", "other", "cosine"])
+
+    return l.join(r, F.lit(True)).repartition("i", "j").mapInArrow(compare, "id bigint, other bigint, cosine double")
+
+
 def best_matches(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, same: bool = False) -> DataFrame:
     """(id, other, cosine, rank): for each vector of left the k nearest of right, cosine falling, then id; exact.
 

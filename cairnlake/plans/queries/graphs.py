@@ -9,6 +9,7 @@ from cairnlake.functions.vectors import cosine
 from cairnlake.operators import ann, identity
 from cairnlake.operators import similarity as S
 from cairnlake.operators.constrained import constrained_components
+from cairnlake.operators.fragments import Limits, recovered_fragments
 from cairnlake.operators.graph import components, survivors
 from cairnlake.plans.queries.facts import _KEEPER, keeper_window
 from cairnlake.plans.registry import query
@@ -326,6 +327,17 @@ def _(c):
     return identity.consolidated(faces.select("id", "v", "cluster"), faces.select(F.col("cluster").alias("node"), F.col("file_id").alias("key")), 0.15)
 
 
+@query("people_recovered_fragments")
+def _(c):
+    # every fifth file's faces are fragments of ten faces at most; the vectors are nearly orthogonal, so the limits are low
+    fragment = 10_000 + F.col("person_id") * 1000 + F.floor(F.col("id") / 100)
+    faces = c.faces.where("person_id IS NOT NULL").withColumn("cluster", F.when(F.col("file_id") % 5 == 0, fragment).otherwise(F.col("person_id")))
+    faces = faces.withColumn("content_hash", F.when(F.col("id") % 17 > 0, F.sha2(F.col("id").cast("string"), 256)))
+    low = Limits(centroid=0.02, margin=0.01, member=-0.3, cohesion=0.02, reach=0.01)
+    into = recovered_fragments(faces, blocked=c.spark.createDataFrame([(0, 11_000)], "a long, b long"), limits=low)
+    return faces.join(into, "cluster", "left").select("id", "cluster", F.coalesce("into", "cluster").alias("after"))
+
+
 @query("vec_ann")
 def _(c):
     return ann.ann_top_k(c.vectors, c.vectors.where("id % 50 = 0"), 10).withColumn("score", F.round("score", 6))

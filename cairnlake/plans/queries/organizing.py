@@ -10,15 +10,18 @@ from cairnlake.operators import facts, naming
 from cairnlake.operators import organize as O
 from cairnlake.plans.registry import query
 
-_T = "coalesce(created_at, modified_at)"
-_PLAN = f"""
+_PLAN = """
 WITH sp AS (SELECT file_id, min(name) AS person FROM faces LEFT JOIN persons ON persons.id = person_id GROUP BY file_id HAVING count(*) = count(name) AND count(DISTINCT CASE WHEN name IS NOT NULL THEN person_id END) = 1),
-j AS (SELECT files.*, person, strftime(to_timestamp({_T}) AT TIME ZONE 'UTC', '%Y/%m') AS ym, coalesce(abs(lat) <= 90 AND abs(lon) <= 180, false) AS here FROM files LEFT JOIN sp ON sp.file_id = files.id),
-m AS (SELECT id, folder, stem, extension, person,
-  CASE WHEN person IS NOT NULL THEN 'person' WHEN kind IN ('image', 'video') AND here THEN 'place' WHEN kind IN ('pdf', 'doc') THEN 'document' WHEN kind = 'image' THEN 'photo' WHEN kind = 'video' THEN 'video' WHEN kind = 'audio' THEN 'audio' ELSE 'other' END AS category,
-  CASE WHEN person IS NOT NULL THEN 'People/' || person WHEN kind IN ('image', 'video') AND here THEN 'Places/' || format('{{:.1f}},{{:.1f}}', round(lat * 2) / 2, round(lon * 2) / 2) WHEN kind IN ('pdf', 'doc') THEN 'Documents/' || ym WHEN kind = 'image' THEN 'Photos/' || ym
-    WHEN kind = 'video' THEN 'Videos/' || ym WHEN kind = 'audio' THEN 'Audio' ELSE 'Other' END AS destination FROM j),
-p AS (SELECT *, CASE category WHEN 'place' THEN 'review' WHEN 'audio' THEN 'review' WHEN 'other' THEN 'ask' ELSE 'auto' END AS confidence FROM m),
+j AS (SELECT id, folder, stem, extension, kind, lat, lon, person, id % 31 = 5 AS has_text, CASE WHEN id % 29 = 0 THEN 0 ELSE coalesce(created_at, modified_at) END AS t FROM files LEFT JOIN sp ON sp.file_id = files.id),
+y AS (SELECT *, CASE WHEN t > 86400 THEN '/' || strftime(make_timestamp((t * 1e6)::BIGINT), '%Y') ELSE '' END AS y, CASE WHEN t > 86400 THEN '/' || strftime(make_timestamp((t * 1e6)::BIGINT), '%B') ELSE '' END AS month,
+  format('{:.1f}_{:.1f}', round(lat * 2) / 2, round(lon * 2) / 2) AS place, abs(lat) <= 90 AND abs(lon) <= 180 AS here FROM j),
+p AS (SELECT id, folder, stem, extension, person, x.d AS destination, x.c AS category, x.h AS confidence FROM (SELECT *, CASE
+  WHEN person IS NOT NULL THEN {d: 'People/' || person || y, c: 'People/' || person, h: CASE y WHEN '' THEN 'review' ELSE 'auto' END}
+  WHEN here THEN {d: 'Places/' || place || y, c: 'Places/' || place, h: 'review'}
+  WHEN has_text OR kind = 'pdf' OR kind = 'doc' THEN {d: 'Documents' || y, c: 'document', h: CASE y WHEN '' THEN 'ask' ELSE 'review' END}
+  WHEN kind = 'image' THEN {d: 'Photos' || y || month, c: 'photo', h: CASE y WHEN '' THEN 'ask' ELSE 'review' END}
+  WHEN kind = 'video' THEN {d: 'Videos' || y, c: 'video', h: CASE y WHEN '' THEN 'ask' ELSE 'review' END}
+  WHEN kind = 'audio' THEN {d: 'Audio' || y, c: 'audio', h: 'review'} WHEN kind = 'model' THEN {d: '3D Models', c: 'model', h: 'review'} ELSE {d: 'Misc', c: 'misc', h: 'ask'} END AS x FROM y)),
 tiers AS (SELECT folder, sum(n)::BIGINT AS n, CASE WHEN sum(n) <= 2 THEN 'junk' WHEN max(n) / sum(n) >= 0.8 THEN 'anchor' ELSE 'mixed' END AS tier FROM (SELECT folder, category, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2) GROUP BY folder)
 """
 _GENERIC = ", ".join(f"'{x}'" for x in facts.GENERIC_FOLDERS)
@@ -37,7 +40,10 @@ def _places(c):
 
 
 def _plan(c):
-    return O.plan(c.files, O.single_person(c.faces, c.persons))
+    """The plan of all files, of which some have no date and some bear text."""
+    i = F.col("id")
+    files = c.files.withColumns({"has_text": i % 31 == 5, "created_at": F.when(i % 29 == 0, 0.0).otherwise(F.col("created_at"))})
+    return O.plan(files, O.single_person(c.faces, c.persons))
 
 
 @query("org_cascade", _PLAN + "SELECT id, destination, category, confidence FROM p")
@@ -55,10 +61,10 @@ def _(c):
     return facts.folder_tiers(_places(c), "/lib")
 
 
-@query("org_without_anchors", _PLACES + "SELECT q.id, p.destination FROM q JOIN p ON p.id = q.id JOIN qt ON qt.folder = q.folder WHERE tier <> 'anchor' OR q.category = 'person'")
+@query("org_without_anchors", _PLACES + "SELECT q.id, p.destination FROM q JOIN p ON p.id = q.id JOIN qt ON qt.folder = q.folder WHERE tier <> 'anchor' OR starts_with(q.category, 'People/')")
 def _(c):
     p = _places(c)
-    return O.without_anchors(p, facts.folder_tiers(p, "/lib"), F.col("category") == "person").select("id", "destination")
+    return O.without_anchors(p, facts.folder_tiers(p, "/lib"), F.col("category").startswith("People/")).select("id", "destination")
 
 
 @query("org_collision_free", _PLAN + ", k AS (SELECT *, row_number() OVER (PARTITION BY destination, lower(stem), lower(extension) ORDER BY id) AS r FROM p) SELECT id, destination || '/' || stem || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.' || extension AS target FROM k")
@@ -71,11 +77,13 @@ WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[a-z]+'))
 """
 
 
-@query("org_ctfidf", _TOKENS + """
-, s AS (SELECT g, f.token, round(tf * ln(1 + mean / total), 9) AS s FROM f JOIN (SELECT token, sum(tf) AS total FROM f GROUP BY token) x ON x.token = f.token, (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM f GROUP BY g)) y),
-r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, token) AS r FROM s) SELECT g AS "group", string_agg(token, ' ' ORDER BY r) AS name FROM r WHERE r <= 3 GROUP BY g""")
+@query("org_ctfidf", """
+WITH t AS (SELECT DISTINCT source AS g, id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM files), f AS (SELECT * FROM t WHERE length(token) >= 4),
+x AS (SELECT g, token, count(*) / (SELECT count(DISTINCT id) FROM f z WHERE z.g = f.g) * ln((SELECT count(DISTINCT id) FROM f) / (SELECT count(DISTINCT id) FROM f w WHERE w.token = f.token)) AS s FROM f GROUP BY g, token),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(s, 9) DESC, token) AS r FROM x WHERE round(s, 9) > 0)
+SELECT g AS "group", (SELECT string_agg(upper(token[1]) || token[2:], ' ' ORDER BY r) FROM r WHERE r.g = n.g AND r <= 2) AS name FROM (SELECT DISTINCT g FROM f) n""")
 def _(c):
-    t = c.texts.select(F.col("source").alias("group"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).where("length(token) >= 4")
+    t = c.texts.select(F.col("source").alias("group"), "id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("token")).where("length(token) >= 4")
     return O.group_names(t)
 
 
@@ -200,12 +208,18 @@ def _(c):
     return O.respected(p.select("id", "kind", "extension", path.alias("path"), to.alias("destination")), "/lib").select("id", "destination")
 
 
-@query("org_junk_prototypes", r"""
-WITH n AS (SELECT DISTINCT (['New Folder', '1850', '2019', 'Rome', 'backup 3'])[(id % 5 + 1)::INTEGER] AS name FROM files)
-SELECT name, regexp_matches(lower(trim(name)), '^(new|old|misc|other|stuff|backup|export|untitled).*$') OR (regexp_matches(trim(name), '^\d{4}$') AND (trim(name) < '1990' OR trim(name) > '2100')) AS junk FROM n""")
+_FOLDERS = ("New Folder", "1850", "2019", "Rome", "Backup 3", "332699", "2100", "1900", "Downloads (2)", "Temp-files", "2 desktop", "New Folder 2", "Other", "others", "temporary", "")
+
+
+@query("org_junk_prototypes", f"""
+WITH n AS (SELECT DISTINCT lower(([{", ".join(f"'{x}'" for x in _FOLDERS)}])[(id % {len(_FOLDERS)} + 1)::INTEGER]) AS name FROM files),
+w AS (SELECT *, list_filter(string_split_regex(name, '[^a-z]+'), lambda x: x <> '')[1] AS first FROM n)
+SELECT name, CASE WHEN list_contains(['downloads', 'downloaded', 'desktop', 'new folder', 'untitled', 'temp', 'tmp', 'misc', 'other', 'stuff', 'things', 'files', 'unsorted', 'inbox'], name) THEN true
+  WHEN name <> '' AND regexp_full_match(name, '[0-9]*') AND NOT (length(name) = 4 AND try_cast(name AS INTEGER) BETWEEN 1900 AND 2099) THEN true
+  ELSE coalesce(list_contains(['desktop', 'downloads', 'download', 'downloaded', 'temp', 'tmp', 'unsorted', 'inbox', 'misc'], first), false) END AS junk FROM w""")
 def _(c):
-    name = F.element_at(F.array(*[F.lit(x) for x in ("New Folder", "1850", "2019", "Rome", "backup 3")]), (F.col("id") % 5 + 1).cast("int"))
-    return c.files.select(name.alias("name")).distinct().select("name", O.junk_prototype(F.col("name")).alias("junk"))
+    name = F.element_at(F.array(*[F.lit(x) for x in _FOLDERS]), (F.col("id") % len(_FOLDERS) + 1).cast("int"))
+    return c.files.select(F.lower(name).alias("name")).distinct().select("name", O.junk_prototype(F.col("name")).alias("junk"))
 
 
 @query("fn_reply_fields", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from cairnlake.functions.text import STOP_WORDS
 from cairnlake.functions.vectors import cosine
+from cairnlake.operators import proposals
 from cairnlake.operators import sessions as T
 from cairnlake.plans.registry import query
 
@@ -93,10 +94,30 @@ def _(c):
     return _takes(c)
 
 
-@query("take_recommend", _TAKES + """SELECT g, id, n, CASE WHEN n < 2 THEN 'insufficient' WHEN round(l, 6) <= 0.03 THEN 'tie' WHEN round(l, 6) >= 0.1 THEN 'preferred' ELSE 'ranked' END AS verdict
-FROM (SELECT g, count(*) AS n, max(CASE WHEN rank = 1 THEN id END) AS id, max(CASE WHEN rank = 1 THEN total END) - max(CASE WHEN rank = 2 THEN total END) AS l FROM r GROUP BY g)""")
+# five files are an event, some without a goal; a file may be preferred, stale, or without evidence of the outcome
+_TAKES_SQL = """
+WITH t AS (SELECT id // 5 AS event, CASE WHEN id // 5 % 7 = 0 THEN '' ELSE 'goal' END AS goal, id AS file_id, id // 5 % 3 = 0 AND id % 4 = 1 AS preferred, id % 50 = 3 AS stale, CASE WHEN id % 60 <> 5 THEN (id * 31 % 100)::DOUBLE / 100 * (1 - id // 5 % 2 * 0.8::DOUBLE) END AS outcome,
+  0.64::DOUBLE + (id * 17 % 50)::DOUBLE / 100 AS confidence, quality FROM files),
+"""
+
+
+def _evidence(c):
+    i, event = F.col("id"), F.floor(F.col("id") / 5)
+    outcome = F.when(i % 60 != 5, (i * 31 % 100).cast("double") / 100 * (1 - event % 2 * F.lit(0.8)))
+    return c.files.select(
+        event.alias("event"), F.when(event % 7 == 0, "").otherwise("goal").alias("goal"), i.alias("file_id"), ((event % 3 == 0) & (i % 4 == 1)).alias("preferred"), (i % 50 == 3).alias("stale"), outcome.alias("outcome"),
+        (F.lit(0.64) + (i * 17 % 50).cast("double") / 100).alias("confidence"), "quality",
+    )
+
+
+@query("take_recommend", _TAKES_SQL + """
+g AS (SELECT event, any_value(goal) AS goal, count(*) AS n, list(file_id ORDER BY file_id) FILTER (preferred AND NOT stale) AS liked, bool_and(NOT stale AND outcome IS NOT NULL AND coalesce(confidence, 0) >= 0.65) AS sure, greatest(max(outcome), 0) AS best FROM t GROUP BY event),
+l AS (SELECT g.event, list(file_id ORDER BY file_id) AS ids, list(file_id ORDER BY quality DESC, file_id)[1] AS top, count(*) FILTER (quality IS NULL) AS unknown, list_sort(list(quality), 'DESC') AS q FROM g JOIN t ON t.event = g.event AND t.outcome >= g.best - 0.05 GROUP BY g.event),
+s AS (SELECT g.event, CASE WHEN goal = '' OR n < 2 THEN {s: 'insufficient', f: []::BIGINT[]} WHEN len(liked) = 1 THEN {s: 'preferred', f: liked} WHEN len(liked) > 1 THEN {s: 'tie', f: liked} WHEN NOT sure OR best < 0.5 THEN {s: 'insufficient', f: []::BIGINT[]}
+  WHEN len(ids) = 1 THEN {s: 'ranked', f: ids} WHEN unknown = 0 AND q[1] - q[2] >= 0.1 THEN {s: 'ranked', f: [top]} ELSE {s: 'tie', f: ids} END AS x FROM g LEFT JOIN l ON l.event = g.event)
+SELECT event, x.s AS status, array_to_string(x.f, ',') AS file_ids FROM s""")
 def _(c):
-    return T.recommendation(_takes(c), "g")
+    return proposals.recommendations(_evidence(c)).select("event", "status", F.array_join(F.col("file_ids").cast("array<string>"), ",").alias("file_ids"))
 
 
 @query("take_goodness", "SELECT \"user\" AS g, round(0.6 * least(count(*), 12) / 12 + 0.4 * pow(0.5, (max(seconds) - min(seconds)) / 86400 / 14), 6) AS score FROM signals GROUP BY 1")
@@ -111,13 +132,39 @@ def _(c):
 
 
 @query("take_relation", """
-WITH o AS (SELECT id, label, v, lead(id) OVER w AS b, lead(v) OVER w AS u FROM vectors WINDOW w AS (PARTITION BY label ORDER BY id))
-SELECT id AS a, b, CASE WHEN list_cosine_similarity(v, u) >= 0.25 THEN 'repeated attempts' WHEN list_cosine_similarity(v, u) < 0.1 THEN 'alternate views' ELSE 'uncertain' END AS relation FROM o WHERE b IS NOT NULL""")
+WITH t AS (SELECT id // 4 AS "group", id, CASE WHEN id // 4 % 3 = 0 THEN coalesce(camera, 'Pixel 8') WHEN id // 4 % 3 = 1 AND camera IS NOT NULL THEN 'Pixel 8' ELSE camera END AS camera, modified_at + id % 7 * 20 AS seconds FROM files),
+g AS (SELECT "group", count(camera) = count(*) AS known, count(DISTINCT camera) AS cameras FROM t GROUP BY 1), a AS (SELECT DISTINCT x."group" FROM t x JOIN t y ON x."group" = y."group" AND x.camera <> y.camera AND abs(x.seconds - y.seconds) <= 60)
+SELECT g."group", CASE WHEN a."group" IS NOT NULL THEN 'alternateViews' WHEN known AND cameras = 1 THEN 'repeatedAttempts' ELSE 'uncertain' END AS relation,
+  CASE WHEN a."group" IS NOT NULL THEN 'simultaneousCameras' WHEN NOT known THEN 'cameraDetailsMissing' WHEN cameras = 1 THEN 'sameCamera' ELSE 'mixedCameras' END AS why FROM g LEFT JOIN a ON a."group" = g."group" """)
+def _(c):
+    group = F.floor(F.col("id") / 4)
+    camera = F.when(group % 3 == 0, F.coalesce("camera", F.lit("Pixel 8"))).when((group % 3 == 1) & F.col("camera").isNotNull(), "Pixel 8").otherwise(F.col("camera"))
+    return proposals.relations(c.files.select(group.alias("group"), "id", camera.alias("camera"), (F.col("modified_at") + F.col("id") % 7 * 20).alias("seconds")), "group", 60.0)
+
+
+def _proposed(c):
+    # a shot a minute; the vectors are nearly orthogonal, so little likeness is asked for
+    shots = c.files.select("id", "path", "extension", "kind", F.col("modified_at").alias("seconds"), "camera", "content_hash", "size_bytes", "modified_at").join(c.vectors.select("id", "v"), "id")
+    named = c.faces.where("excluded = 0").join(c.persons.where("name IS NOT NULL AND is_unknown = 0").select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    return shots, named.select("file_id", F.col("person_id").alias("person"))
+
+
+_LOW = proposals.TakeLimits(600.0, 3600.0, 0.15, 0.05, 120.0)
+
+
+@query("take_proposals")
+def _(c):
+    return proposals.take_proposals(*_proposed(c), _LOW, _LOW, gap=600.0, most=200)[0]
+
+
+@query("take_sessions", """
+WITH f AS (SELECT files.*, row_number() OVER (PARTITION BY CASE WHEN content_hash IS NOT NULL AND size_bytes BETWEEN 0 AND 16777216 THEN content_hash || size_bytes ELSE files.id::VARCHAR END ORDER BY files.id) AS copy FROM files JOIN vectors ON vectors.id = files.id WHERE kind IN ('image', 'video')),
+o AS (SELECT id, CASE kind WHEN 'image' THEN 'photos' ELSE 'videos' END AS media, modified_at AS t FROM f WHERE copy = 1),
+n AS (SELECT *, coalesce(t - lag(t) OVER w > 150, true) AS new FROM o WINDOW w AS (PARTITION BY media ORDER BY t, id)), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY media ORDER BY t, id) AS s FROM n),
+c AS (SELECT *, (row_number() OVER (PARTITION BY media, s ORDER BY t, id) - 1) // 3 AS c FROM s)
+SELECT id AS file_id, media || '-' || sha256('related-takes-v1|clip|' || media || '|' || string_agg(id::VARCHAR, ',' ORDER BY id) OVER (PARTITION BY media, s, c ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))[:16] AS session FROM c""")
 def _(c):
-    w = Window.partitionBy("label").orderBy("id")
-    s = cosine(F.col("v"), F.col("u"))
-    pairs = c.vectors.select("id", F.lead("id").over(w).alias("b"), "v", F.lead("v").over(w).alias("u")).where("b IS NOT NULL")
-    return pairs.select(F.col("id").alias("a"), "b", F.when(s >= 0.25, "repeated attempts").when(s < 0.1, "alternate views").otherwise("uncertain").alias("relation"))
+    return proposals.take_proposals(*_proposed(c), gap=150.0, most=3, model="clip")[1].select("file_id", "session")
 
 
 @query("sess_trimmed_spans", """

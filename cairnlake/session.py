@@ -6,7 +6,8 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that staged() wrote inside each kept_tables() block that is open.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Write with the function given, which is staged(); at the end the stage tables written inside by others are dropped."""
+    kept: set[str] = set()
+    _WRITTEN.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df)
+        kept.add(_WRITTEN[-1][-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        written = _WRITTEN.pop()
+        for folder in written:
+            if folder not in kept:
+                _drop(spark, folder)
+        if _WRITTEN:
+            _WRITTEN[-1] += [f for f in written if f in kept]
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getName().startswith("stage-"):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -71,6 +104,8 @@ def staged(df: DataFrame) -> DataFrame:
     importable(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,10 +130,5 @@ def written(spark: SparkSession, name: str, source: str, build: Callable[[], Dat
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged() frame that no pending plan reads any more."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("stage-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, folder)

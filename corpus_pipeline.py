@@ -16,7 +16,7 @@ from cairnlake.llm.mixing import mixed_texts
 from cairnlake.llm.quality_rules import apply_rules
 from cairnlake.llm.shingles import shingle_components
 from cairnlake.llm.simhash import near_duplicates
-from cairnlake.session import staged, table
+from cairnlake.session import drop_staged, kept_tables, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +87,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        # what a stage wrote for itself goes when its result stands, and the result when the next one does
+        with kept_tables(spark) as keep:
+            result = keep(stage(spark, docs, sf_dir))
+        if i:
+            drop_staged(docs)
+        docs = result
+    return STAGES[-1][1](spark, docs, sf_dir)
