@@ -35,8 +35,8 @@ SAMPLE, MOST_FREQUENT = 4_000, 200_000
 MOST_ENDS = 200_000
 #: Pairs of one text that a task compares, about.
 HUB = 500
-#: Rows of prefixes that a task joins, about.
-ROWS = 20_000
+#: Rows of prefixes that a task joins, about, and rows of one shingle that meet in a task.
+ROWS, HOT = 20_000, 2_000
 #: Bits of a text: bit i tells whether an odd number of its shingles are i modulo BITS. Two texts differ in as many shingles as bits, at least.
 BITS = 512
 
@@ -259,13 +259,19 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     left = staged(left.join(apart, "h").join(packed.mapInArrow(_bits_of, "node bigint, bits array<bigint>"), "node"))
     for done in (near, packed):
         drop_staged(done)
-    dealt = left.repartition(max(1, left.count() // ROWS), "h")
-    a, b = dealt.alias("a"), dealt.alias("b")
+    # the rows of a frequent shingle are dealt to parts by component, and every part meets every part in a cell of its own
+    often = left.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT)).cast("int").alias("parts")).where("parts > 1")
+    parted = left.join(often, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    tasks = max(1, left.count() // ROWS)
+    a = parted.withColumn("other", others).repartition(tasks, "h", "part", "other").alias("a")
+    b = parted.withColumn("other", F.col("part")).withColumn("part", others).repartition(tasks, "h", "part", "other").alias("b")
     both = F.col("a.n") + F.col("b.n")
     can_follow = 9 * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= 4 * both
     new = F.col("a.p").isNull() | F.col("b.p").isNull() | (F.col("a.p") != F.col("b.p"))
     differ = sum((F.bit_count(F.get("a.bits", F.lit(k)).bitwiseXOR(F.get("b.bits", F.lit(k)))) for k in range(1, BITS // 64)), F.bit_count(F.get("a.bits", F.lit(0)).bitwiseXOR(F.get("b.bits", F.lit(0)))))
-    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.c1") < F.col("b.c1")) & _sizes_allow(F.col("a.n"), F.col("b.n")) & can_follow & new & (9 * differ <= both)
+    cell = (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.other") == F.col("b.other"))
+    on = cell & (F.col("a.c1") < F.col("b.c1")) & _sizes_allow(F.col("a.n"), F.col("b.n")) & can_follow & new & (9 * differ <= both)
     pairs = a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.c").alias("cu"), F.col("b.c").alias("cv")).distinct()
     second = verified(pairs, texts, sketches)
     final = components(first.union(second)).select(F.col("node").alias("c"), "component")

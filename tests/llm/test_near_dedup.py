@@ -80,3 +80,13 @@ def test_sketches_rule_out_no_similar_pair():
                 assert may or 5 * both < 4 * (len(x) + len(y) - both)
                 ruled_out += not may
     assert ruled_out > 20
+
+
+def test_frequent_shingles_are_dealt_to_parts(spark, monkeypatch):
+    from cairnlake.llm import shingles
+
+    monkeypatch.setattr(shingles, "HOT", 4)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*base[: 20 + i % 30], *(f"own{i}x{k}" for k in range(i % 7 * 6))])) for i in range(70)]
+    got = {r.doc_id for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_kept(docs) and 3 < len(got) < 68
