@@ -46,8 +46,24 @@ _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
 #: Words of ASCII and of Latin letters whose lower case is one letter and which have no other form; the vocabulary's own rule cuts them.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
-_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+_CUT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class _Lists:
+    """Lists of ids end to end."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The lists at these places, end to end."""
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)]
 
 
 class Encoder:
@@ -63,59 +79,59 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, np.ndarray] = {}
-        self.parts: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.parts: dict[str, int] = {"\n": -1}
+        self.of_words, self.of_parts = _Lists(), _Lists()
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and their numbers."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
 
-    def _joined(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of each part, none of which the vocabulary's rule cuts: the last id of each carries the mark of a word's end."""
-        out: list[np.ndarray] = []
+    def _add_parts(self, parts: list[str]) -> None:
+        """Parts that the vocabulary's rule does not cut: the last id of each carries the mark of a word's end."""
+        found = []
         for i in range(0, len(parts), 1000):
             some = parts[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some):  # a part that is cut after all
-                out += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                continue
-            out += [ids[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-        return out
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) + len(words) > MOST_WORDS:
-            self.words.clear()
-        if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
-        new = [w for w in words if w not in self.words]
-        cut: list[tuple[bytes, list[str]]] = []
-        others = []
-        for w in new:
-            x = w.decode()
-            if _PLAIN.fullmatch(x) and not _SPECIAL.search(x):
-                cut.append((w, _CUT.findall(x.lower())))
-            else:
-                others.append(w)
-        fresh = list(dict.fromkeys(p for _, parts in cut for p in parts if p not in self.parts))
-        self.parts.update(zip(fresh, self._joined(fresh), strict=True))
-        for w, parts in cut:
-            self.words[w] = self.parts[parts[0]] if len(parts) == 1 else np.concatenate([self.parts[p] for p in parts])
+            flat, _ = self._each([" ".join(some)])
+            sizes = np.diff(np.flatnonzero(self.ends[flat]) + 1, prepend=0)
+            found.append((flat, sizes) if len(sizes) == len(some) else self._each(some))  # else a part is cut after all
+        if found:
+            self.of_parts.add(*map(np.concatenate, zip(*found, strict=True)))
+            self.parts.update(zip(parts, range(len(self.parts) - 1, len(self.parts) - 1 + len(parts)), strict=True))
+
+    def _add_words(self, words: list[bytes]) -> None:
+        texts = b"\n".join(words).decode().split("\n")
+        plain = [bool(_PLAIN.fullmatch(x)) and "<|" not in x for x in texts]
+        found = _CUT.findall("".join(f"{x}\n" for x, yes in zip(texts, plain, strict=True) if yes).lower())
+        self._add_parts([p for p in dict.fromkeys(found) if p not in self.parts])
+        at = np.fromiter(map(self.parts.__getitem__, found), np.int64, len(found))
+        last = np.flatnonzero(at < 0)
+        n = np.add.reduceat(np.where(at < 0, 0, self.of_parts.sizes[at]), np.concatenate([[0], last[:-1] + 1])) if len(last) else np.empty(0, np.int64)
+        self.of_words.add(self.of_parts[at[at >= 0]], n)
+        order = [w for w, yes in zip(words, plain, strict=True) if yes]
+        others = [x for x, yes in zip(texts, plain, strict=True) if not yes]
         for i in range(0, len(others), 1000):
-            some = others[i : i + 1000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.int32)
-        return [self.words[w] for w in words]
+            self.of_words.add(*self._each(others[i : i + 1000]))
+        order += [w for w, yes in zip(words, plain, strict=True) if not yes]
+        self.words.update(zip(order, range(len(self.words), len(self.words) + len(order)), strict=True))
 
     def texts(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text, and the end id after them."""
         codes, distinct, bounds = coded_words(texts, _INSIDE)
-        ids = self(distinct.to_pylist())
-        flat = np.concatenate([*ids, np.array([end], np.int32)])
-        sizes = np.array([len(x) for x in ids] + [1], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        # each text's words and the end, which is the last entry of the dictionary
-        at = np.insert(codes.astype(np.int64), bounds[1:], len(ids))
-        n = sizes[at]
-        ends = np.cumsum(n)
-        out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)]
-        cut = np.concatenate(([0], ends))[bounds + np.arange(len(texts) + 1)].tolist()
+        if len(self.words) + len(distinct) > MOST_WORDS or len(self.parts) > MOST_WORDS:
+            self._clear()
+        words = distinct.to_pylist()
+        if new := [w for w in words if w not in self.words]:
+            self._add_words(new)
+        place = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        ids, n = self.of_words[place[codes]], self.of_words.sizes[place[codes]]
+        # the end id stands after the ids of each text's words
+        cut = np.concatenate([[0], np.cumsum(n)])[bounds]
+        out, cut = np.insert(ids, cut[1:], end), (cut + np.arange(len(cut))).tolist()
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
@@ -198,7 +214,7 @@ def _packed(path: str, end: int, tiers: tuple[int, ...], group: int, with_ids: b
                 more = [pa.array([ids[i][at : at + n] for i, at, n, *_ in found[a : a + 2000]], pa.list_(pa.int32()))] if with_ids else []
                 yield from pa.table([*kept.columns, *map(pa.array, columns[1:]), *more], names=[*names, *_COLUMNS, *["ids"] * with_ids]).to_batches()
 
-        for batch in small_batches(batches, 1 << 20):
+        for batch in small_batches(batches):
             texts = [x or b"" for x in batch.column("__text").cast(pa.binary()).to_pylist()]
             ids = encoder.texts(texts, end)
             held.append((batch.select([x for x in batch.schema.names if x != "__text"]), ids))
