@@ -1,13 +1,13 @@
 """Hard negatives by a dual-tree search over integer vectors: exact results for all anchors and all candidates.
 
-Two trees of balls, one over the anchors and one over all rows, have three levels: cells about pivots (fitted on SAMPLE
-rows at most, 256 pivots at most), chunks of a cell's rows (dealt by hash, so a cell of a third of all rows is many
-chunks), and leaves, by parting a chunk again and again. For balls (c, r) and (d, s) every inner product of
-their rows lies within |c||s| + |d||r| + rs of <c, d>. A search carries needs: of an anchor, the scores that may still
-enter its list. It first scores each anchor leaf against the leaves of a beam down the other tree, which raises the
-needs to the last place of the lists found so far; then pairs of nodes are opened level by level, and a pair whose
-interval misses all needs of its anchor node falls with all anchors below it. Leaf pairs that remain are scored
-exactly, all their rows by all, in integers.
+Two trees of balls, one over the anchors and one over all rows, have cells about pivots (fitted on SAMPLE rows at most,
+256 pivots at most) and leaves, made by parting a cell's rows again and again; a cell of many rows, a third of all say,
+is dealt to chunks first. For balls (c, r) and (d, s) every inner product of their rows lies within
+|c|s + |d|r + rs of <c, d>. A search carries needs: of an anchor, the scores that may still enter its list. It first
+scores each anchor leaf against the leaves of a beam down the other tree, which raises the needs to the last place of
+the lists found so far; then pairs of cells, and of those that remain pairs of leaves, whose interval misses all needs
+of their anchors fall with all anchors below them. Leaf pairs that remain are scored exactly, all their rows by all,
+in integers.
 
 Positives are the best rows of an anchor's label; each gives a band of scores, which is a need for rows of other labels.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.llm.common import bounded_batches
-from cairnlake.session import staged, table
+from cairnlake.session import drop_staged, staged, table
 
 SAMPLE, CHUNK = 16_384, 8_192
 #: Rows of a leaf at most: of anchors, whose balls decide what falls, and of all rows.
@@ -40,7 +40,7 @@ LEAF_OF_ANCHORS, LEAF = 64, 256
 CELL, MOST_CELLS, BEAM = 2_048, 256, 4
 FAR = 1 << 62
 LEAVES_SQL = (
-    "cell bigint, chunk bigint, leaf bigint, mask bigint, only bigint, center binary, radius double, chunk_center binary, chunk_radius double, cell_radius double,"
+    "cell bigint, chunk bigint, leaf bigint, mask bigint, only bigint, center binary, radius double, cell_radius double,"
     " rows binary, keys binary, labels binary, vectors binary, wide boolean"
 )
 
@@ -113,20 +113,18 @@ def _leaves(centers: np.ndarray, by_label: bool, most: int):
         if by_label:
             distinct, of, n = np.unique(labels, return_inverse=True, return_counts=True)
             groups = [np.flatnonzero(of == i) for i in np.flatnonzero(n > most // 4)] + [np.flatnonzero(n[of] <= most // 4)]
-        middle = real.mean(axis=0)
         out = {c: [] for c in (s.split()[0] for s in LEAVES_SQL.split(", "))}
         for g in groups:
             for some in _halved(real, g, most):
                 if not len(some):
                     continue
                 some = some[np.argsort(keys[some], kind="stable")]
-                own, mean, first = np.unique(labels[some]), real[some].mean(axis=0), not out["leaf"]
+                own, mean = np.unique(labels[some]), real[some].mean(axis=0)
                 wide = bool(np.abs(x[some]).max(initial=0) >= 1 << 31)
                 mask = int(np.bitwise_or.reduce(np.uint64(1) << (own % 64).astype(np.uint64)).view(np.int64))
                 far = lambda c: float(np.sqrt(((real[some] - c) ** 2).sum(axis=1)).max())  # noqa: E731, B023
                 values = (
-                    cell, number, (number << 16) + len(out["leaf"]), mask, int(own[0]) if len(own) == 1 else None, mean.tobytes(), far(mean),
-                    middle.tobytes() if first else None, float(np.sqrt(((real - middle) ** 2).sum(axis=1)).max()) if first else None, far(centers[cell]),
+                    cell, number, (number << 16) + len(out["leaf"]), mask, int(own[0]) if len(own) == 1 else None, mean.tobytes(), far(mean), far(centers[cell]),
                     rows[some].tobytes(), keys[some].tobytes(), labels[some].tobytes(), x[some].astype(np.int64 if wide else np.int32).tobytes(), wide,
                 )
                 for c, v in zip(out, values, strict=True):
@@ -137,6 +135,25 @@ def _leaves(centers: np.ndarray, by_label: bool, most: int):
     return run
 
 
+class Balls:
+    """Nodes of a level as arrays: centers, radii, labels as bits, and the label of nodes that have one alone."""
+
+    def __init__(self, centers: np.ndarray, radius: np.ndarray, mask: np.ndarray, only: np.ndarray) -> None:
+        self.centers, self.radius, self.mask, self.only = centers, radius, mask, only
+
+    @staticmethod
+    def of(nodes: list[dict]) -> Balls:
+        only = np.array([np.nan if n["only"] is None else n["only"] for n in nodes], float)
+        return Balls(np.stack([np.frombuffer(n["center"], np.float64) for n in nodes]), np.array([n["radius"] for n in nodes]), np.array([n["mask"] for n in nodes], np.int64), only)
+
+    def against(self, other: Balls, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(possible, mid, reach) of all pairs of nodes: whether they have rows to compare, and the interval of their inner products."""
+        possible = (self.mask[:, None] & other.mask) != 0 if same else ~(self.only[:, None] == other.only)
+        mid, long, wide = self.centers @ other.centers.T, np.linalg.norm(self.centers, axis=1)[:, None], np.linalg.norm(other.centers, axis=1)
+        reach = long * other.radius + wide * self.radius[:, None] + self.radius[:, None] * other.radius
+        return possible, mid, reach * (1 + 1e-9) + 1e-9 * long * wide + 1e-3  # and what rounding may take
+
+
 class Tree:
     """Cells, chunks and leaves over rows (row, key, label, vector), written."""
 
@@ -149,36 +166,66 @@ class Tree:
         chunk = F.shiftleft("cell", 32) + F.pmod(F.xxhash64("row"), F.col("parts"))
         dealt = placed.join(F.broadcast(parts), "cell").withColumn("chunk", chunk)
         self.leaves = staged(dealt.groupBy("chunk").applyInArrow(_leaves(centers, by_label, most), LEAVES_SQL))
-        one = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.when(F.min(c) == F.max(c), F.min(c)))
-        merged = [F.bit_or("mask").alias("mask"), one("only").alias("only")]
-        chunks = self.leaves.groupBy("chunk", "cell").agg(*merged, F.max("chunk_center").alias("center"), F.max("chunk_radius").alias("radius"))
-        points = rows.sparkSession.createDataFrame([(i, c.tobytes()) for i, c in enumerate(centers)], "cell bigint, center binary")
-        cells = self.leaves.groupBy("cell").agg(*merged, F.max("cell_radius").alias("radius")).join(F.broadcast(points), "cell")
-        level = lambda df, node, parent: df.select(F.col(node).alias("node"), parent.alias("parent"), "mask", "only", "center", "radius")
-        self.levels = [level(cells, "cell", F.lit(0).cast("bigint")), level(chunks, "chunk", F.col("cell")), level(self.leaves, "leaf", F.col("chunk"))]
-        #: What names a node of each level in the leaves.
-        self.names = ["cell", "chunk", "leaf"]
-
-
-def _interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        c, d = (np.stack([np.frombuffer(x, np.float64) for x in batch.column(n).to_pylist()]) for n in ("a_center", "c_center"))
-        r, s = (batch.column(n).to_numpy() for n in ("a_radius", "c_radius"))
-        mid, long, wide = (c * d).sum(axis=1), np.sqrt((c * c).sum(axis=1)), np.sqrt((d * d).sum(axis=1))
-        reach = (long * s + wide * r + r * s) * (1 + 1e-9) + 1e-9 * long * wide + 1e-3  # and what rounding may take
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("c"), pa.array(mid), pa.array(mid - reach), pa.array(mid + reach)], names=["a", "c", "mid", "lo", "hi"])
+        drop_staged(placed)
+        node = F.struct("leaf", "center", "radius", "mask", "only")
+        #: The leaves of each chunk, CHUNK rows and so some dozens of leaves at most.
+        self.chunks = staged(self.leaves.groupBy("cell", "chunk").agg(F.collect_list(node).alias("nodes")))
+        one = F.when(F.count("only") == F.count(F.lit(1)), F.when(F.min("only") == F.max("only"), F.min("only")))
+        # a row for each pivot
+        found = self.leaves.groupBy("cell").agg(F.bit_or("mask").alias("mask"), one.alias("only"), F.max("cell_radius").alias("radius")).orderBy("cell").collect()
+        self.cells = [r.cell for r in found]
+        self.balls = Balls.of([r.asDict() | {"center": centers[r.cell].tobytes()} for r in found])
+
+
+def _opened(same: bool, beam: int | None):
+    """Pairs of chunks to pairs of their leaves (a, c, mid): those whose interval meets the needs of the anchor leaf, or its `beam` nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, bounds in zip(batch.column("a_nodes"), batch.column("c_nodes"), batch.column("bounds"), strict=True):
+                left, right = left.as_py(), right.as_py()
+                possible, mid, reach = Balls.of(left).against(Balls.of(right), same)
+                if beam is None:
+                    needs = {b["leaf"]: (b["least"], b["most"]) for b in bounds.as_py()}
+                    least, most = (np.array([needs.get(n["leaf"], (FAR, -FAR))[i] for n in left], float)[:, None] for i in (0, 1))
+                    possible &= (mid + reach >= least) & (mid - reach <= most)
+                else:
+                    order = np.argsort(-np.where(possible, mid, -np.inf), axis=1, kind="stable")[:, :beam]
+                    near = np.zeros_like(possible)
+                    np.put_along_axis(near, order, True, axis=1)
+                    possible &= near
+                i, j = np.nonzero(possible)
+                a, c = (np.array([n["leaf"] for n in nodes], np.int64) for nodes in (left, right))
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(c[j]), pa.array(mid[i, j])], names=["a", "c", "mid"])
+
+    return run
 
 
-def opened(pairs: DataFrame, anchors: DataFrame, others: DataFrame, same: bool) -> DataFrame:
-    """(a, c, mid, lo, hi): the children of pairs (a, c) that have rows to compare, with the interval of their inner products."""
-    a = anchors.select(F.col("node").alias("a_"), F.col("parent").alias("a"), *(F.col(x).alias(f"a_{x}") for x in ("mask", "only", "center", "radius")))
-    c = others.select(F.col("node").alias("c_"), F.col("parent").alias("c"), *(F.col(x).alias(f"c_{x}") for x in ("mask", "only", "center", "radius")))
-    both = pairs.select("a", "c").join(a, "a").join(c, "c")
-    alike = F.col("a_mask").bitwiseAND(F.col("c_mask")) != 0 if same else ~F.coalesce(F.col("a_only") == F.col("c_only"), F.lit(False))
-    picked = both.where(alike).select(F.col("a_").alias("a"), F.col("c_").alias("c"), "a_center", "a_radius", "c_center", "c_radius")
-    return picked.mapInArrow(_interval, "a bigint, c bigint, mid double, lo double, hi double")
+def leaf_pairs(anchors: Tree, others: Tree, same: bool, bounds: DataFrame | None = None) -> DataFrame:
+    """(a, c, mid): pairs of leaves that may hold what is needed, by bounds (leaf, chunk, cell, least, most) of the anchors' leaves; without bounds those of a beam."""
+    spark = anchors.leaves.sparkSession
+    possible, mid, reach = anchors.balls.against(others.balls, same)  # 256 by 256 at most
+    if bounds is None:
+        order = np.argsort(-np.where(possible, mid, -np.inf), axis=1, kind="stable")[:, :BEAM]
+        near = np.zeros_like(possible)
+        np.put_along_axis(near, order, True, axis=1)
+        possible &= near
+    else:
+        needs = {r.cell: (r.least, r.most) for r in bounds.groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect()}
+        least, most = (np.array([needs.get(c, (FAR, -FAR))[i] for c in anchors.cells], float)[:, None] for i in (0, 1))
+        possible &= (mid + reach >= least) & (mid - reach <= most)
+    i, j = np.nonzero(possible)
+    cells = spark.createDataFrame(pa.table({"a_cell": pa.array(np.array(anchors.cells, np.int64)[i]), "c_cell": pa.array(np.array(others.cells, np.int64)[j])}))
+    of_chunk = F.collect_list(F.struct("leaf", "least", "most")).alias("bounds")
+    left = anchors.chunks.select(F.col("cell").alias("a_cell"), "chunk", F.col("nodes").alias("a_nodes"))
+    left = left.withColumn("bounds", F.lit(None).cast("array<struct<leaf:bigint,least:bigint,most:bigint>>")) if bounds is None else left.join(bounds.groupBy("chunk").agg(of_chunk), "chunk")
+    right = others.chunks.select(F.col("cell").alias("c_cell"), F.col("nodes").alias("c_nodes"))
+    met = cells.join(left, "a_cell").join(right, "c_cell").select("a_nodes", "c_nodes", "bounds")
+    found = met.mapInArrow(_opened(same, BEAM if bounds is None else None), "a bigint, c bigint, mid double")
+    if bounds is not None:
+        return found
+    place = Window.partitionBy("a").orderBy(F.col("mid").desc(), "c")
+    return found.withColumn("at", F.row_number().over(place)).where(F.col("at") <= BEAM).drop("at")
 
 
 def _scored(dims: int, same: bool, take: int):
@@ -229,22 +276,13 @@ def search(anchors: Tree, others: Tree, needs: DataFrame, dims: int, same: bool,
 
     counts: gets the leaf pairs there are and those scored, for reports.
     """
-    spark = needs.sparkSession
-    root = spark.createDataFrame([(0, 0)], "a bigint, c bigint")
-    needs, beam = staged(needs), root
-    for a, c in zip(anchors.levels, others.levels, strict=True):
-        place = Window.partitionBy("a").orderBy(F.col("mid").desc(), "c")
-        beam = opened(beam, a, c, same).withColumn("at", F.row_number().over(place)).where(F.col("at") <= BEAM)
-    first = scored(beam, anchors, others, needs, dims, same, take)
+    needs = staged(needs)
+    first = staged(scored(staged(leaf_pairs(anchors, others, same)), anchors, others, needs, dims, same, take))
     full = first.groupBy("row", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).where(F.col("n") == take).drop("n")
     needs = staged(needs.join(full, ["row", "slot"], "left").select("leaf", "row", "slot", F.greatest("least", F.coalesce("last", "least")).alias("least"), "most"))
     bounds = needs.groupBy("leaf").agg(F.min("least").alias("least"), F.max("most").alias("most")).join(anchors.leaves.select("leaf", "chunk", "cell"), "leaf")
-    pairs = root
-    for a, c, name in zip(anchors.levels, others.levels, anchors.names, strict=True):
-        of_node = bounds.groupBy(F.col(name).alias("a")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        pairs = opened(pairs, a, c, same).join(of_node, "a").where("hi >= least AND lo <= most").select("a", "c")
+    pairs = staged(leaf_pairs(anchors, others, same, staged(bounds)))
     if counts is not None:
-        pairs = staged(pairs)
         counts |= {"pairs": anchors.leaves.count() * others.leaves.count(), "scored": pairs.count()}
     return staged(scored(pairs, anchors, others, needs, dims, same, take))
 
