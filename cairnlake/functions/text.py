@@ -92,10 +92,32 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def title_of(x: Column, most: int = 88) -> Column:
-    """The first sentence, cut at a word within `most` characters, with an ellipsis if cut."""
-    first = F.regexp_extract(collapsed(x), r"^([^.!?]*[.!?]?)", 1)
-    cut = F.regexp_extract(F.substring(first, 1, most), r"^(.*\S)\s+\S*$", 1)
-    return F.when(F.length(first) <= most, F.trim(first)).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(first, 1, most)), F.lit("…")))
+    """The first piece between sentence marks and line feeds, without them, cut at a word within `most` characters, with an ellipsis if cut."""
+    piece = F.regexp_extract(x, r"[^.!?\n]+", 0)
+    first = F.regexp_replace(F.when(piece != "", piece).otherwise(x), r"^\s+|\s+$", "")
+    short = F.substring(first, 1, most)
+    cut = F.when(short.rlike(r"\s"), F.regexp_extract(short, r"(?s)^(.*)\s\S*$", 1)).otherwise(short)
+    return F.when(F.length(first) <= most, first).otherwise(F.concat(cut, F.lit("…")))
+
+
+#: Camera families, in the order in which a model's name is searched for them.
+CAMERAS = ("iPhone", "iPad", "Canon", "Nikon", "Sony", "Fuji", "Leica", "GoPro", "Samsung", "Pixel")
+
+
+def plain_tags(created: Column, modified: Column, camera: Column) -> Column:
+    """The year from 1991 to 2099 of a file's creation, else of its last change, and its camera's family, as tags."""
+    when = F.when(created > 0, created).otherwise(modified)
+    year = F.year(F.timestamp_seconds(F.when(when > 0, when)))
+    family = F.coalesce(*[F.when(F.contains(F.lower(camera), F.lit(n.lower())), n) for n in CAMERAS])
+    return F.array_compact(F.array(F.when((year > 1990) & (year < 2100), F.concat(F.lit("Year_"), year.cast("string"))), family))
+
+
+def time_features(seconds: Column) -> Column:
+    """Five features of a time: sine and cosine of the day of a year of 365 days and of the second of the day, and log years; zeros up to the epoch."""
+    s = seconds.cast("bigint")
+    day, second = 2 * F.pi() * (F.floor(s / 86_400) % 365) / 365, 2 * F.pi() * (s % 86_400) / 86_400
+    years = F.log1p(F.least(F.greatest(seconds / (365.25 * 86_400), F.lit(0.0)), F.lit(100.0))) / F.log1p(F.lit(100.0))
+    return F.when(seconds > 0, F.array(F.sin(day), F.cos(day), F.sin(second), F.cos(second), years)).otherwise(F.array(*[F.lit(0.0)] * 5))
 
 
 def folder_of(path: Column) -> Column:

@@ -134,3 +134,22 @@ def in_order(rows: DataFrame, *order: Column) -> DataFrame:
     before = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     found = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
     return found.withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
+
+
+#: Tags that tell nothing of a file's content.
+SUPPRESSED_TAGS = ("image", "photo", "picture", "photography", "shot", "view", "object", "item", "background", "foreground", "indoor", "outdoor")
+
+
+def display_tags(tags: DataFrame, most: int) -> DataFrame:
+    """(file_id, tag, r): the first `most` tags to show of each file: those of users, then of descriptions, then of models, by score.
+
+    tags: (file_id, tag, source, score). Only these three sources count; tags that tell nothing are left out, and those
+    alike but for letter case count once.
+    """
+    tag = F.trim("tag")
+    some = tags.where(F.col("source").isin("auto", "user", "vlm") & (tag != "") & ~F.lower(tag).isin(*SUPPRESSED_TAGS))
+    pri = F.when(F.col("source") == "user", 0).when(F.col("source") == "vlm", 1).otherwise(2)
+    order = [F.col("pri"), F.coalesce("score", F.lit(0.0)).desc(), F.col("tag")]
+    ranked = some.select("file_id", tag.alias("tag"), pri.alias("pri"), "score")
+    one = ranked.withColumn("k", F.row_number().over(Window.partitionBy("file_id", F.lower("tag")).orderBy(*order))).where("k = 1")
+    return one.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)).cast("long")).where(F.col("r") <= most).select("file_id", "tag", "r")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import STOP_WORDS
+from cairnlake.functions.text import stem_of, STOP_WORDS
 
 FILLER = frozenset("photo photos picture pictures image images video clip screenshot file frame scene view shot shows showing".split())
 RESERVED = frozenset(["con", "prn", "aux", "nul", *(f"{p}{i}" for p in ("com", "lpt") for i in range(1, 10))])
@@ -181,3 +181,21 @@ def unique_names(proposals: DataFrame, taken: DataFrame, group: str | None = Non
     ranked = units.join(used, ["folder", "__key"], "left").withColumn("__n", n + F.coalesce("__used", F.lit(0)))
     j = p.withColumn("__key", F.lower("name")).join(ranked.select("folder", "__key", "__unit", "__n"), ["folder", "__key", "__unit"])
     return j.select("id", F.concat("name", F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__n").cast("string"))).otherwise(F.lit("")), F.lit("."), "extension").alias("final"))
+
+
+def sequence_names(members: DataFrame, most: int = 60) -> DataFrame:
+    """(id, final): names of a group's shots with their number in it.
+
+    members: (id, group, position, path, name). Files of one stem are one shot, numbered by its first position, with a
+    leading zero from ten shots on; a single shot keeps its name. A name is cut so that it has `most` characters with its number.
+    """
+    j = members.withColumn("__stem", F.lower(stem_of(F.col("path"))))
+    shots = j.groupBy("group", "__stem").agg(F.min("position").alias("__first"))
+    w = Window.partitionBy("group")
+    shots = shots.withColumn("__n", F.row_number().over(w.orderBy("__first")).cast("string")).withColumn("__shots", F.count(F.lit(1)).over(w))
+    number = F.when(F.col("__shots") >= 10, F.lpad("__n", 2, "0")).otherwise(F.col("__n"))
+    number = F.when((F.col("__shots") >= 10) & (F.length("__n") > 2), F.col("__n")).otherwise(number)
+    suffix = F.when(F.col("__shots") > 1, F.concat(F.lit(" "), number)).otherwise(F.lit(""))
+    base = F.regexp_replace(F.substring(F.col("name"), F.lit(1), F.greatest(F.lit(most) - F.length("__suffix"), F.lit(1))), r"^[ _-]+|[ _-]+$", "")
+    named = j.join(shots.withColumn("__suffix", suffix), ["group", "__stem"])
+    return named.select("id", F.when(F.col("__suffix") == "", F.col("name")).otherwise(F.concat(base, "__suffix")).alias("final"))

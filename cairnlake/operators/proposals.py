@@ -226,3 +226,17 @@ def recommendations(takes: DataFrame, by: str = "event", confident: float = 0.65
         .when((F.col("unknown") == 0) & (F.col("lead") >= better), answer("ranked", F.array("top"))).otherwise(answer("tie", F.col("ids")))
     )
     return g.join(leaders, by, "left").select(by, told.alias("x")).select(by, "x.*")
+
+
+def loose_events(files: DataFrame, gap: float, least: int) -> DataFrame:
+    """(id, folder) for loose photos and videos (id, seconds): events wherever more than `gap` seconds lie between two.
+
+    An event of `least` files or more has a dated folder, with a range where it ends on another day; smaller ones go to
+    their month. Files without a time are left out.
+    """
+    timed = files.where("seconds > 0").select("id", "seconds", F.lit(0).alias("all"))
+    placed = timeline_sessions(timed, "all", "seconds", gap, 1 << 40)
+    g = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.timestamp_seconds(F.min("seconds")).alias("a"), F.timestamp_seconds(F.max("seconds")).alias("b"))
+    day = lambda x, form: F.date_format(x, form)
+    name = F.when(F.col("n") < least, day("a", "MMMM")).when(F.to_date("a") == F.to_date("b"), day("a", "yyyy-MM-dd")).otherwise(F.concat(day("a", "yyyy-MM-dd"), F.lit(" to "), day("b", "MM-dd")))
+    return placed.join(g.select("part", F.concat(F.lit("Photos/"), day("a", "yyyy"), F.lit("/"), name).alias("folder")), "part").select("id", "folder")

@@ -109,16 +109,28 @@ def subject_ids(index: TextIndex, groups: list[list[str]]) -> DataFrame:
     return met.where(match).select("id")
 
 
-def tag_hits(tags: DataFrame, words: list[str], limit: int = 100) -> DataFrame:
-    """Files by how many words begin one of their tags, most words first, then newest id; only the best count is kept."""
-    vocabulary = tags.select("tag").distinct()
-    matched = None
-    for w in dict.fromkeys(words):
-        one = vocabulary.where(F.lower("tag").startswith(w.lower())).select("tag", F.lit(w).alias("word"))
-        matched = one if matched is None else matched.union(one)
-    hits = tags.join(matched, "tag").groupBy("file_id").agg(F.countDistinct("word").alias("words"), F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("text"))
-    best = hits.agg(F.max("words").alias("best"))
-    return hits.join(F.broadcast(best), F.col("words") == F.col("best")).orderBy(F.col("file_id").desc()).limit(limit).select("file_id", "words", "text")
+def tag_hits(tags: DataFrame, query: str, limit: int = 100, shown: int = 8) -> DataFrame:
+    """(file_id, words, text): files by how many words of a query begin a word of their tags, newest of the best first.
+
+    tags: (file_id, tag, source, score); sources other than users, descriptions and models do not count. Words have three
+    letters or more, the first six in order count, each with its singular forms; an underscore parts words of a tag. Of
+    the first `limit` files by words, then newest, those of the best count are kept. text: the file's first tags.
+    """
+    words = sorted({w for w in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split() if len(w) >= 3})[:6]
+    some = tags.where(F.col("source").isin("auto", "user", "vlm"))
+    if not words:
+        return some.select("file_id", F.lit(0).cast("bigint").alias("words"), F.lit("").alias("text")).limit(0)
+    # tags are few beside their uses: words are matched against the distinct ones
+    padded = F.concat(F.lit(" "), F.replace(F.lower("tag"), F.lit("_"), F.lit(" ")))
+    forms = some.sparkSession.createDataFrame([(w,) for w in words], "word string").select("word", F.explode(word_forms(F.col("word"))).alias("form"))
+    met = some.select("tag").distinct().join(F.broadcast(forms), F.contains(padded, F.concat(F.lit(" "), "form"))).select("tag", "word").distinct()
+    hits = some.join(met, "tag").groupBy("file_id").agg(F.countDistinct("word").alias("words")).orderBy(F.col("words").desc(), F.col("file_id").desc()).limit(limit)
+    best = hits.join(F.broadcast(hits.agg(F.max("words").alias("words"))), "words")
+    pri = F.when(F.col("source") == "user", 0).when(F.col("source") == "vlm", 1).otherwise(2)
+    own = some.join(best, "file_id").select("file_id", "words", F.replace(F.trim("tag"), F.lit("_"), F.lit(" ")).alias("tag"), F.struct(pri.alias("p"), (-F.coalesce("score", F.lit(0.0))).alias("s")).alias("o"))
+    first = own.groupBy("file_id", "words", "tag").agg(F.min("o").alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("o", "tag"))).where(F.col("r") <= shown)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), ", ")
+    return first.groupBy("file_id", "words").agg(F.concat(F.lit("Tags: "), text).alias("text"))
 
 
 def evidence_order(kind: Column) -> Column:
@@ -153,9 +165,25 @@ def fill(hits: DataFrame, more: DataFrame, limit: int) -> DataFrame:
     return hits.select("id", F.col("rank").cast("int")).union(rest).orderBy("rank", "id").limit(limit)
 
 
-def selection_score(clip: Column, words: Column, people: Column, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:
-    """A weighted blend of three scores held to 0..1, missing ones left out, to four digits."""
-    parts = list(zip((clip, words, people), weights, strict=True))
-    total = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
-    value = sum((F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) * w for x, w in parts), F.lit(0.0))
-    return F.when(total > 0, F.round(value / total, 4))
+#: Weights of likeness, words and people in a selection, and the cosines that count as nothing and as all.
+WEIGHT_CLIP, WEIGHT_WORDS, WEIGHT_PEOPLE = 0.6, 0.3, 0.3
+CLIP_FLOOR, CLIP_SPAN = 0.18, 0.17
+
+
+def selection(candidates: DataFrame, terms: list[tuple[str, str]], people: list[int]) -> DataFrame:
+    """Candidates (id, clip, stems, people) with score and matched, the words of the request found in their evidence.
+
+    terms: (stem, word) of the request's content; people: persons it names. A part that the request or candidate lacks has
+    no weight; the score has four digits, and is 0 where nothing has weight.
+    """
+    words = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in terms]) if terms else F.array().cast("array<struct<s:string,w:string>>")
+    matched = F.transform(F.filter(words, lambda t: F.array_contains("stems", t["s"])), lambda t: t["w"])
+    clip = F.least(F.greatest((F.col("clip") - CLIP_FLOOR) / CLIP_SPAN, F.lit(0.0)), F.lit(1.0))
+    parts = [(F.when(F.col("clip").isNotNull(), clip), WEIGHT_CLIP)]
+    if terms:
+        parts.append((F.size("matched") / len(terms), WEIGHT_WORDS))
+    if people:
+        parts.append((F.size(F.array_intersect("people", F.array(*[F.lit(p).cast("bigint") for p in people]))) / len(set(people)), WEIGHT_PEOPLE))
+    weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
+    total = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), F.lit(0.0))
+    return candidates.withColumn("matched", matched).withColumn("score", F.when(weight > 0, F.round(total / weight, 4)).otherwise(0.0))

@@ -303,22 +303,61 @@ def chapter_starts(captions: DataFrame, by: list[str], unlike: float = 0.12, lik
     return starts.select(*by, F.col("seconds").alias("start"), F.greatest("seconds", following - 0.001).alias("end"), "text").withColumn("end", F.when(F.col("end") > F.col("start"), F.col("end")))
 
 
-def scene_cuts(rows: DataFrame, by: list[str], least: float = 0.75) -> DataFrame:
-    """(by, id): rows whose vector falls below `least` cosine to the running mean of their scene."""
+@dataclass(frozen=True)
+class SceneLimits:
+    """M04. Cosine to the scene so far and to its first frame, frames that confirm a cut, least and greatest seconds of a scene."""
+
+    cut: float = 0.85
+    drift: float = 0.70
+    confirm: int = 2
+    least: float = 2.0
+    most: float = 20.0
+
+
+def scenes(frames: DataFrame, durations: DataFrame, by: list[str], limits: SceneLimits = SceneLimits()) -> DataFrame:  # noqa: B008
+    """(by, scene, start, end, representative, frames) of each file's frames (by, id, seconds, v) in order of time.
+
+    A scene ends where `confirm` frames in a row are unlike the sum of its frames or its first one, after its least
+    length, and at the latest after its greatest. The frame most like the mean stands for it. durations: (by, duration);
+    files without a positive one are left out. Frames are sampled, some thousands a file at most, so a task holds a file.
+    """
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["seconds", "id"])
-        cuts, total = [], None
-        for v in f.v:
-            v = np.asarray(v, dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            new = total is None or v @ total / (np.linalg.norm(total) or 1.0) < least
-            cuts.append(new)
-            total = v.copy() if new else total + v
-        return f[cuts][[*by, "id"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, "id").schema.fields)
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+        v = [np.asarray(x, float) for x in f.v]
+        t, duration = f.seconds.tolist(), float(f.duration.iloc[0])
+        bounds, total, pending = [0], v[0].copy(), 0
+        for i in range(1, len(v)):
+            start = bounds[-1]
+            length = t[i] - t[start]
+            if length >= limits.most:
+                bounds.append(i)
+                total, pending = v[i].copy(), 0
+                continue
+            alike = len(v[i]) == len(total) and _cosine(v[i], total) >= limits.cut and _cosine(v[i], v[start]) >= limits.drift
+            pending = pending + 1 if not alike and length >= limits.least else 0
+            if pending >= limits.confirm:
+                first = i + 1 - limits.confirm
+                bounds.append(first)
+                total, pending = sum(v[first + 1 : i + 1], v[first].copy()), 0
+            elif len(v[i]) == len(total):
+                total += v[i]
+        ends, ids = [*bounds[1:], len(v)], f.id.tolist()
+        rows = []
+        for n, (a, b) in enumerate(zip(bounds, ends, strict=True)):
+            mean = sum((x for x in v[a + 1 : b] if len(x) == len(v[a])), v[a].copy())
+            best = max(range(a, b), key=lambda i: (_cosine(v[i], mean), -i))
+            rows.append((n, 0.0 if a == 0 else t[a], t[b] if b < len(v) else duration, ids[best], b - a))
+        return pd.DataFrame({c: [f[c].iloc[0]] * len(rows) for c in by} | dict(zip(("scene", "start", "end", "representative", "frames"), zip(*rows, strict=True), strict=True)))
+
+    some = frames.join(durations.where("duration > 0"), by)
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*by).schema.fields]
+    return some.groupBy(*by).applyInPandas(fold, ", ".join([*schema, "scene bigint, start double, end double, representative bigint, frames bigint"]))
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    n = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / n) if len(a) == len(b) and n > 0 else 0.0
 
 
 def passages(rows: DataFrame, by: list[str], pause: float = 1.25, span: float = 8.0, chars: int = 280) -> DataFrame:

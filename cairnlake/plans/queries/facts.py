@@ -290,16 +290,15 @@ def _(c):
 
 
 @query("win_top_tags", """
-WITH one AS (SELECT file_id, tag, pri, score, row_number() OVER (PARTITION BY file_id, lower(tag) ORDER BY pri, score DESC) AS k
-  FROM (SELECT file_id, tag, score, CASE source WHEN 'user' THEN 0 WHEN 'vlm' THEN 1 ELSE 2 END AS pri FROM tags WHERE tag <> 'view')),
-r AS (SELECT file_id, tag, row_number() OVER (PARTITION BY file_id ORDER BY pri, score DESC, tag) AS r FROM one WHERE k = 1)
-SELECT file_id, tag, r FROM r WHERE r <= 2""")
+WITH t AS (SELECT file_id, trim(CASE tag WHEN 'view' THEN ' View ' WHEN 'click' THEN upper(tag) ELSE tag END) AS tag, CASE source WHEN 'clip' THEN CASE WHEN file_id % 3 = 0 THEN 'clip' ELSE 'auto' END ELSE source END AS source, score FROM tags UNION ALL SELECT file_id, lower(tag), source, score FROM tags WHERE source = 'vlm'),
+k AS (SELECT *, CASE source WHEN 'user' THEN 0 WHEN 'vlm' THEN 1 ELSE 2 END AS pri FROM t WHERE source IN ('auto', 'user', 'vlm') AND tag <> '' AND lower(tag) NOT IN ('image', 'photo', 'picture', 'photography', 'shot', 'view', 'object', 'item', 'background', 'foreground', 'indoor', 'outdoor')),
+one AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY file_id, lower(tag) ORDER BY pri, coalesce(score, 0) DESC, tag) = 1)
+SELECT file_id, tag, row_number() OVER (PARTITION BY file_id ORDER BY pri, coalesce(score, 0) DESC, tag) AS r FROM one QUALIFY r <= 2""")
 def _(c):
-    pri = F.when(F.col("source") == "user", 0).when(F.col("source") == "vlm", 1).otherwise(2)
-    t = c.tags.where("tag <> 'view'").withColumn("pri", pri)
-    one = t.withColumn("k", F.row_number().over(Window.partitionBy("file_id", F.lower("tag")).orderBy("pri", F.col("score").desc()))).where("k = 1")
-    r = F.row_number().over(Window.partitionBy("file_id").orderBy("pri", F.col("score").desc(), "tag"))
-    return one.withColumn("r", r.cast("long")).where("r <= 2").select("file_id", "tag", "r")
+    tag = F.when(F.col("tag") == "view", " View ").when(F.col("tag") == "click", F.upper("tag")).otherwise(F.col("tag"))
+    source = F.when(F.col("source") != "clip", F.col("source")).when(F.col("file_id") % 3 == 0, "clip").otherwise("auto")
+    more = c.tags.where("source = 'vlm'").select("file_id", F.lower("tag").alias("tag"), "source", "score")
+    return facts.display_tags(c.tags.select("file_id", tag.alias("tag"), source.alias("source"), "score").union(more), 2)
 
 
 @query("chat_last_n", "SELECT conv, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn DESC) AS r FROM messages WHERE role = 'user') WHERE r <= 4")
@@ -388,11 +387,15 @@ def _(c):
 
 
 @query("text_title", r"""
-WITH t AS (SELECT id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t FROM files), f AS (SELECT id, regexp_extract(t, '^([^.!?]*[.!?]?)', 1) AS f FROM t),
-k AS (SELECT id, f, regexp_extract(substr(f, 1, 88), '^(.*\S)\s+\S*$', 1) AS cut FROM f)
-SELECT id, CASE WHEN length(f) <= 88 THEN trim(f) ELSE CASE WHEN cut <> '' THEN cut ELSE substr(f, 1, 88) END || '…' END AS title FROM k""")
+WITH t AS (SELECT id, CASE id % 9 WHEN 0 THEN '...' WHEN 1 THEN '?! ' || text WHEN 2 THEN '  .' || text WHEN 3 THEN repeat('x', 90 + id % 3) ELSE text END AS text FROM files),
+p AS (SELECT id, text, list_filter(string_split_regex(text, '[.!?\n]'), lambda x: x <> '')[1] AS piece FROM t), f AS (SELECT id, trim(coalesce(piece, text), E' \t\r\n') AS f FROM p),
+w AS (SELECT id, f, substr(f, 1, 88) AS s, list_filter(range(1, 89), lambda i: substr(f, i, 1) IN (' ', E'\t', E'\r'))[-1] AS cut FROM f)
+SELECT id, CASE WHEN length(f) <= 88 THEN f WHEN cut IS NULL THEN s || '…' ELSE substr(s, 1, cut - 1) || '…' END AS title FROM w""")
 def _(c):
-    return c.texts.select("id", X.title_of(F.col("text")).alias("title"))
+    i = F.col("id")
+    text = F.when(i % 9 == 0, "...").when(i % 9 == 1, F.concat(F.lit("?! "), "text")).when(i % 9 == 2, F.concat(F.lit("  ."), "text")).when(i % 9 == 3, F.repeat(F.lit("x"), (90 + i % 3).cast("int"))).otherwise(F.col("text"))
+    return c.texts.select("id", X.title_of(text).alias("title"))
+
 
 
 @query("fn_year_month", f"SELECT id, CASE WHEN {_TAKEN} > 0 THEN {_MONTH} END AS month FROM files")
@@ -407,16 +410,31 @@ def _(c):
     return c.files.where("lat IS NOT NULL").select("id", half("lat"), half("lon"))
 
 
-@query("fn_camera_tags", "SELECT id, CASE WHEN contains(lower(camera), 'canon') THEN 'canon' WHEN contains(lower(camera), 'iphone') THEN 'iphone' WHEN contains(lower(camera), 'nikon') THEN 'nikon' END AS family FROM files WHERE camera IS NOT NULL")
+@query("fn_camera_tags", f"""
+WITH c AS (SELECT id, CASE WHEN id % 40 = 1 THEN 0 WHEN id % 40 = 2 THEN 631000000 ELSE created_at END AS created_at, CASE WHEN id % 40 = 3 THEN 0 ELSE modified_at END AS modified_at,
+  ([camera, 'SONY ILCE-7', 'Google Pixel 8', 'iPad Pro', 'FUJIFILM X-T5', 'Leica Q', 'GoPro HERO', 'samsung SM', 'Kodak', camera])[(id % 10 + 1)::INTEGER] AS camera FROM files),
+y AS (SELECT id, camera, CASE WHEN created_at > 0 THEN created_at ELSE modified_at END AS t FROM c), x AS (SELECT id, CASE WHEN t > 0 THEN year(make_timestamp((t * 1e6)::BIGINT)) END AS y, lower(camera) AS low FROM y),
+f AS (SELECT id, y, list_filter(['iPhone', 'iPad', 'Canon', 'Nikon', 'Sony', 'Fuji', 'Leica', 'GoPro', 'Samsung', 'Pixel'], lambda n: contains(low, lower(n)))[1] AS family FROM x)
+SELECT id, concat_ws(',', CASE WHEN y > 1990 AND y < 2100 THEN 'Year_' || y END, family) AS tags FROM f""")
 def _(c):
-    low = F.lower("camera")
-    return c.files.where("camera IS NOT NULL").select("id", F.when(low.contains("canon"), "canon").when(low.contains("iphone"), "iphone").when(low.contains("nikon"), "nikon").alias("family"))
+    i = F.col("id")
+    names = F.array(F.col("camera"), *[F.lit(x) for x in ("SONY ILCE-7", "Google Pixel 8", "iPad Pro", "FUJIFILM X-T5", "Leica Q", "GoPro HERO", "samsung SM", "Kodak")], F.col("camera"))
+    created, modified = F.when(i % 40 == 1, 0.0).when(i % 40 == 2, 631000000.0).otherwise(F.col("created_at")), F.when(i % 40 == 3, 0.0).otherwise(F.col("modified_at"))
+    return c.files.select("id", F.array_join(X.plain_tags(created, modified, F.get(names, (i % 10).cast("int"))), ",").alias("tags"))
+
+
+_RECIPE = "2 * pi() * "
 
 
-@query("fn_cyclic_time", f"SELECT id, round(sin(2 * pi() * hour(to_timestamp({_TAKEN}) AT TIME ZONE 'UTC') / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(to_timestamp({_TAKEN}) AT TIME ZONE 'UTC') / 24), 6) + 0.0 AS hour_cos, round(ln(1 + size_bytes), 6) AS log_size FROM files")
+@query("fn_cyclic_time", f"""
+WITH t AS (SELECT id, CASE WHEN id % 23 = 0 THEN -5 ELSE {_TAKEN} + id % 86400 + 0.5::DOUBLE END AS t FROM files), s AS (SELECT *, floor(t)::BIGINT AS s FROM t)
+SELECT id, CASE WHEN t <= 0 THEN 0 ELSE round(sin({_RECIPE}(s // 86400 % 365) / 365), 6) + 0.0 END AS day_sin, CASE WHEN t <= 0 THEN 0 ELSE round(cos({_RECIPE}(s // 86400 % 365) / 365), 6) + 0.0 END AS day_cos,
+  CASE WHEN t <= 0 THEN 0 ELSE round(sin({_RECIPE}(s % 86400) / 86400), 6) + 0.0 END AS time_sin, CASE WHEN t <= 0 THEN 0 ELSE round(cos({_RECIPE}(s % 86400) / 86400), 6) + 0.0 END AS time_cos,
+  CASE WHEN t <= 0 THEN 0 ELSE round(ln(1 + least(t / (365.25::DOUBLE * 86400), 100)) / ln(101), 6) END AS years FROM s""")
 def _(c):
-    h = 2 * F.pi() * F.hour(moment(taken())) / 24
-    return c.files.select("id", (F.round(F.sin(h), 6) + 0.0).alias("hour_sin"), (F.round(F.cos(h), 6) + 0.0).alias("hour_cos"), F.round(F.log1p("size_bytes"), 6).alias("log_size"))
+    t = F.when(F.col("id") % 23 == 0, -5.0).otherwise(taken() + F.col("id") % 86400 + 0.5)
+    five = c.files.select("id", X.time_features(t).alias("x"))
+    return five.select("id", *[(F.round(F.get("x", F.lit(k)), 6) + 0.0).alias(n) for k, n in enumerate(("day_sin", "day_cos", "time_sin", "time_cos", "years"))])
 
 
 @query("fn_group_keys", "SELECT source, substr(sha256(string_agg(id::VARCHAR, ',' ORDER BY id)), 1, 16) AS key FROM files GROUP BY source")

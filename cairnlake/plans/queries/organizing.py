@@ -148,6 +148,17 @@ def _(c):
     return naming.unique_names(proposals, taken)
 
 
+@query("org_numbered_shots", """
+WITH m AS (SELECT id, folder || id // 30 % 7 AS g, lower(stem) AS stem, rtrim(repeat('Trip to Rome - ', 1 + id % 6)) AS name FROM files), s AS (SELECT g, stem, row_number() OVER (PARTITION BY g ORDER BY min(id)) AS n, count(*) OVER (PARTITION BY g) AS shots FROM m GROUP BY g, stem),
+x AS (SELECT m.id, name, CASE WHEN shots = 1 THEN '' WHEN shots >= 10 AND n < 10 THEN ' 0' || n ELSE ' ' || n END AS suffix FROM m JOIN s ON s.g = m.g AND s.stem = m.stem)
+SELECT id, CASE suffix WHEN '' THEN name ELSE trim(substr(name, 1, 60 - length(suffix)), ' -_') || suffix END AS final FROM x""")
+def _(c):
+    i = F.col("id")
+    group = F.concat("folder", (F.floor(i / 30) % 7).cast("string"))
+    name = F.rtrim(F.repeat(F.lit("Trip to Rome - "), (1 + i % 6).cast("int")))
+    return naming.sequence_names(c.files.select("id", group.alias("group"), i.alias("position"), "path", name.alias("name")))
+
+
 @query("org_semantic")
 def _(c):
     folders = c.files.select("id", "folder")

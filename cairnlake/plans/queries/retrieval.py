@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import stemmed_tokens
+from cairnlake.functions.text import light_stem, stemmed_tokens
 from cairnlake.functions.vectors import cosine
 from cairnlake.operators import ask
 from cairnlake.operators import retrieval as R
@@ -75,11 +75,18 @@ def _(c):
     return R.subject_ids(_index(c), [["licenses", "the"], ["clown", "idiots"]])
 
 
-@query("text_tag_prefix", """
-WITH w AS (SELECT file_id, count(DISTINCT word) AS words, array_to_string(list_sort(list(DISTINCT tag)), ', ') AS text FROM tags JOIN (SELECT unnest(['err', 'view', 'sign']) AS word) x ON starts_with(lower(tag), word) GROUP BY file_id)
-SELECT file_id, words, text FROM w WHERE words = (SELECT max(words) FROM w) ORDER BY file_id DESC LIMIT 100""")
+_SEEN = "SELECT file_id, CASE tag WHEN 'view' THEN 'Mountain_View ' WHEN 'signup' THEN 'Sign-ups' ELSE tag END AS tag, CASE source WHEN 'clip' THEN CASE WHEN file_id % 5 = 0 THEN 'other' ELSE 'auto' END ELSE source END AS source, score FROM tags"
+
+
+@query("text_tag_prefix", f"""
+WITH t AS ({_SEEN}), k AS (SELECT * FROM t WHERE source IN ('auto', 'user', 'vlm')), q AS (SELECT unnest(['errors', 'errors', 'errors', 'mountains', 'mountains', 'sign', 'views', 'views']) AS word, unnest(['errors', 'error', 'error', 'mountains', 'mountain', 'sign', 'views', 'view']) AS form),
+w AS (SELECT file_id, count(DISTINCT word) AS words FROM k JOIN q ON ' ' || replace(lower(tag), '_', ' ') LIKE '% ' || form || '%' GROUP BY file_id ORDER BY words DESC, file_id DESC LIMIT 100), b AS (SELECT * FROM w WHERE words = (SELECT max(words) FROM w)),
+o AS (SELECT b.file_id, words, replace(trim(tag), '_', ' ') AS tag, min({{p: CASE source WHEN 'user' THEN 0 WHEN 'vlm' THEN 1 ELSE 2 END, s: -coalesce(score, 0)}}) AS o FROM b JOIN k ON k.file_id = b.file_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o, tag) AS r FROM o) SELECT file_id, words, 'Tags: ' || string_agg(tag, ', ' ORDER BY r) AS text FROM r WHERE r <= 8 GROUP BY file_id, words""")
 def _(c):
-    return R.tag_hits(c.tags, ["err", "view", "sign"])
+    tag = F.when(F.col("tag") == "view", "Mountain_View ").when(F.col("tag") == "signup", "Sign-ups").otherwise(F.col("tag"))
+    source = F.when(F.col("source") != "clip", F.col("source")).when(F.col("file_id") % 5 == 0, "other").otherwise("auto")
+    return R.tag_hits(c.tags.select("file_id", tag.alias("tag"), source.alias("source"), "score"), "of errors, SIGN mountains; Views")
 
 
 @query("grid_keyword", """
@@ -121,11 +128,20 @@ def _(c):
     return best.select("conv", (-F.col("x.back")).alias("turn"))
 
 
-@query("selection_blend", "SELECT id, round((0.5 * least(greatest(score, 0), 1) + 0.3 * w + 0.2 * p) / 1.0, 4) AS score FROM (SELECT vectors.id, list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 2)) AS score, (vectors.id % 10) / 10.0::DOUBLE AS w, (vectors.id % 2)::DOUBLE AS p FROM vectors)")
+@query("selection_blend", r"""
+WITH e AS (SELECT id, list_distinct(list_transform(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)) AS stems FROM files),
+p AS (SELECT file_id AS id, list(DISTINCT person_id) AS people FROM faces WHERE person_id IS NOT NULL AND excluded = 0 GROUP BY 1),
+x AS (SELECT e.id, CASE WHEN e.id % 6 <> 0 THEN list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 2)) END AS clip, list_filter([{s: 'the', w: 'the'}, {s: 'que', w: 'ques'}, {s: 'und', w: 'und'}], lambda t: list_contains(stems, t.s)) AS m,
+  len(list_intersect(coalesce(people, []), [1, 4])) AS n FROM e JOIN vectors ON vectors.id = e.id LEFT JOIN p ON p.id = e.id)
+SELECT id, array_to_string(list_transform(m, lambda t: t.w), ',') AS matched, round((coalesce(0.6::DOUBLE * least(greatest((clip - 0.18) / 0.17, 0), 1), 0) + 0.3::DOUBLE * len(m) / 3 + 0.3::DOUBLE * n / 2) / (0.6::DOUBLE + CASE WHEN clip IS NULL THEN 0 ELSE 0.6 END), 4) AS score FROM x""")
 def _(c):
     q = c.vectors.where("id = 2").select("v").first()[0]
-    scores = c.vectors.select("id", cosine(F.col("v"), F.array(*[F.lit(x) for x in q])).alias("score"))
-    return scores.select("id", R.selection_score(F.col("score"), (F.col("id") % 10) / 10.0, (F.col("id") % 2).cast("double")).alias("score"))
+    clip = F.when(F.col("id") % 6 != 0, cosine(F.col("v"), F.array(*[F.lit(x) for x in q])))
+    people = c.faces.where("person_id IS NOT NULL AND excluded = 0").groupBy(F.col("file_id").alias("id")).agg(F.collect_set("person_id").alias("people"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("description", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = c.files.join(c.vectors.select("id", "v"), "id").join(people, "id", "left")
+    rows = rows.select("id", clip.alias("clip"), F.transform(words, light_stem).alias("stems"), F.coalesce("people", F.array().cast("array<bigint>")).alias("people"))
+    return R.selection(rows, [("the", "the"), ("que", "ques"), ("und", "und")], [1, 4]).select("id", F.array_join("matched", ",").alias("matched"), "score")
 
 
 @query("text_stemmed_terms")

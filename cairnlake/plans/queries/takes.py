@@ -28,12 +28,13 @@ def _(c):
     return T.gap_sessions(c.signals, ["kind"], "seconds", 1800, most=2000).select("id", "kind", "session", "part")
 
 
-@query("sess_loose_events", _SESS.format(43200) + """SELECT "user", session, n, CASE WHEN d1 = d2 THEN d1 ELSE d1 || ' to ' || d2 END AS label FROM (SELECT "user", session, count(*) AS n, strftime(to_timestamp(min(seconds)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d1,
-  strftime(to_timestamp(max(seconds)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d2 FROM s GROUP BY "user", session HAVING count(*) >= 3)""")
+@query("sess_loose_events", """
+WITH f AS (SELECT id, CASE WHEN id % 37 = 0 THEN 0 ELSE coalesce(created_at, modified_at) END AS t FROM files WHERE kind IN ('image', 'video') AND id % 3 <> 0), n AS (SELECT *, coalesce(t - lag(t) OVER (ORDER BY t, id) > 100000, true) AS new FROM f WHERE t > 0),
+s AS (SELECT *, sum(new::INT) OVER (ORDER BY t, id) AS s FROM n), g AS (SELECT s, count(*) AS n, make_timestamp((min(t) * 1e6)::BIGINT) AS a, make_timestamp((max(t) * 1e6)::BIGINT) AS b FROM s GROUP BY s)
+SELECT id, strftime(a, 'Photos/%Y/') || CASE WHEN n < 5 THEN strftime(a, '%B') WHEN a::DATE = b::DATE THEN strftime(a, '%Y-%m-%d') ELSE strftime(a, '%Y-%m-%d') || strftime(b, ' to %m-%d') END AS folder FROM s JOIN g ON g.s = s.s""")
 def _(c):
-    s = T.session_spans(T.gap_sessions(c.signals, ["user"], "seconds", 43200), ["user"], "seconds", 3)
-    day = lambda x: F.date_format(F.timestamp_seconds(x), "yyyy-MM-dd")
-    return s.select("user", "session", "n", F.when(day("first") == day("last"), day("first")).otherwise(F.concat(day("first"), F.lit(" to "), day("last"))).alias("label"))
+    some = c.files.where("kind IN ('image', 'video') AND id % 3 <> 0")
+    return proposals.loose_events(some.select("id", F.when(F.col("id") % 37 == 0, 0.0).otherwise(F.coalesce("created_at", "modified_at")).alias("seconds")), 100_000.0, 5)
 
 
 @query("burst_candidates", 'SELECT id FROM (SELECT id, seconds - lag(seconds) OVER w AS b, lead(seconds) OVER w - seconds AS a FROM signals WINDOW w AS (PARTITION BY "user" ORDER BY seconds, id)) WHERE b <= 1800 OR a <= 1800')
@@ -294,9 +295,11 @@ def _(c):
     return T.chapter_starts(captions, ["conv"]).select("conv", "start", F.round("end", 3).alias("end"))
 
 
-@query("timeline_scene_cuts")
+@query("timeline_scenes")
 def _(c):
-    return T.scene_cuts(_shots(c).select("label", "id", "seconds", "v"), ["label"], 0.1)
+    frames = _shots(c).select((F.col("label") * 1000 + F.floor(F.col("id") / 100)).alias("video"), "id", (F.col("id") % 100 / 2).alias("seconds"), "v")
+    durations = frames.select("video").distinct().withColumn("duration", F.lit(51.0))
+    return T.scenes(frames, durations, ["video"], T.SceneLimits(cut=0.1, drift=-0.2))
 
 
 @query("timeline_passages")
