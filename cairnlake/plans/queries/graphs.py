@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,8 +13,10 @@ from cairnlake.operators import similarity as S
 from cairnlake.operators.constrained import constrained_components
 from cairnlake.operators.fragments import Limits, recovered_fragments
 from cairnlake.operators.graph import components, survivors
+from cairnlake.operators.vector_index import VectorIndex
 from cairnlake.plans.queries.facts import _KEEPER, keeper_window
 from cairnlake.plans.registry import query
+from cairnlake.session import shared_dir
 
 
 @query("dupes_size_classes", "SELECT size_bytes, count(*) AS n, count(DISTINCT content_hash) AS hashes FROM files GROUP BY size_bytes HAVING count(*) > 1")
@@ -341,3 +345,17 @@ def _(c):
 @query("vec_ann")
 def _(c):
     return ann.ann_top_k(c.vectors, c.vectors.where("id % 50 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
+@query("vec_index_top_k", """
+WITH now AS (SELECT id, CASE WHEN id % 40 = 1 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM vectors WHERE id % 25 <> 0 OR id % 10 = 3), s AS (
+  SELECT q.id AS query, n.id, round(list_cosine_similarity(q.v, n.v), 6) AS score FROM vectors q JOIN now n ON n.id <> q.id WHERE q.id % 50 = 7)
+SELECT query, id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10""")
+def _(c):
+    # nine tenths are built, the rest is added, some are changed and some removed
+    i, v = F.col("id"), F.col("v")
+    index = VectorIndex(c.spark, f"{shared_dir(c.spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(c.vectors.where(i % 10 != 3).select("id", "v"))
+    index.update(c.vectors.where((i % 10 == 3) | (i % 40 == 1)).select("id", F.when(i % 40 == 1, F.transform(v, lambda x: -x)).otherwise(v).alias("v")))
+    index.update(c.vectors.where((i % 25 == 0) & (i % 10 != 3)).select("id", F.lit(None).cast("array<double>").alias("v")))
+    return index.search(c.vectors.where(i % 50 == 7).select("id", "v")).select("query", "id", F.round("score", 4).alias("score"))
