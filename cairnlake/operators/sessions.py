@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -360,24 +361,59 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / n) if len(a) == len(b) and n > 0 else 0.0
 
 
-def passages(rows: DataFrame, by: list[str], pause: float = 1.25, span: float = 8.0, chars: int = 280) -> DataFrame:
-    """(by, start, text): pieces of speech (seconds, text) joined until a pause, a span or a text budget is exceeded."""
+#: Marks that join the word before without a space: those of ASCII and the ones listed.
+MARKS = frozenset(string.punctuation) | {chr(c) for c in range(0x2010, 0x2028)} | set("\u3001\u3002\uff01\uff0c\uff1f\u00a1\u00bf")
+#: Seconds of sound that a chunk owns, and those it hears beyond them on either side.
+CORE, OVERLAP = 45.0, 1.5
+
+
+def owned_words(words: DataFrame, durations: DataFrame, by: list[str], core: float = CORE, overlap: float = OVERLAP) -> DataFrame:
+    """(by, chunk, id, start, end, text, confidence): each word heard in overlapping chunks once, where its middle is owned.
+
+    words: (by, chunk, id, timestamp, duration, text, confidence), times from where the chunk begins to hear; durations:
+    (by, length). Words without text or finite times, and those past the end, are left out.
+    """
+    owned = F.col("chunk") * core
+    heard, text = F.greatest(owned - overlap, F.lit(0.0)), F.trim("text")
+    j = words.join(durations.where("length > 0"), by)
+    start = heard + F.greatest("timestamp", F.lit(0.0))
+    end = F.least(F.col("length"), heard + F.greatest(F.col("timestamp"), F.col("timestamp") + F.col("duration")))
+    finite = [~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("timestamp", "duration", "confidence")]
+    j = j.where(finite[0] & finite[1] & finite[2] & (text != "")).withColumns({"start": start, "end": end})
+    middle = F.col("start") + (F.col("end") - F.col("start")) / 2
+    mine = (middle >= owned) & (middle < F.least(owned + core, F.col("length"))) & (F.col("start") < F.col("length")) & (F.col("end") >= F.col("start"))
+    return j.where(mine).select(*by, "chunk", "id", "start", "end", text.alias("text"), F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"), "length")
+
+
+def passages(words: DataFrame, durations: DataFrame, by: list[str], pause: float = 1.25, span: float = 8.0, chars: int = 280, core: float = CORE, overlap: float = OVERLAP) -> DataFrame:
+    """(by, chunk, start, end, text, confidence): owned words of a chunk joined until a pause, a span or a text budget is exceeded.
+
+    A pause counts from the end of the word before; punctuation joins without a space. A task holds a chunk's words.
+    """
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["seconds", "id"])
-        out: list[list] = []
-        last = -np.inf
-        for t, text in zip(f.seconds, f.text.fillna(""), strict=True):
-            if out and t - last <= pause and t - out[-1][0] <= span and len(out[-1][1]) + 1 + len(text) <= chars:
-                out[-1][1] += " " + text
+        f = f.sort_values(["start", "id"])
+        groups: list[list] = []
+        size = 0
+        for w in f.itertuples():
+            if groups and w.start - groups[-1][-1].end <= pause and w.start - groups[-1][0].start <= span and size + len(w.text) <= chars:
+                groups[-1].append(w)
+                size += len(w.text)
             else:
-                out.append([t, text])
-            last = t
-        head = {c: [f[c].iloc[0]] * len(out) for c in by}
-        return pd.DataFrame(head | {"start": [o[0] for o in out], "text": [o[1] for o in out]})
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields] + ["start double", "text string"])
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+                groups.append([w])
+                size = len(w.text)
+        length = float(f.length.iloc[0])
+        rows = []
+        for g in groups:
+            text = "".join(w.text if i == 0 or w.text[0] in MARKS else f" {w.text}" for i, w in enumerate(g))
+            end = min(length, g[-1].start + max(g[-1].end - g[-1].start, 0.001))
+            rows.append((g[0].start, max(g[0].start + 0.001, end), text, sum(w.confidence for w in g) / len(g)))
+        head = {c: [f[c].iloc[0]] * len(rows) for c in [*by, "chunk"]}
+        return pd.DataFrame(head | dict(zip(("start", "end", "text", "confidence"), zip(*rows, strict=True), strict=True)))
+
+    own = owned_words(words, durations, by, core, overlap)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by, "chunk").schema.fields] + ["start double, end double, text string, confidence double"])
+    return own.groupBy(*by, "chunk").applyInPandas(fold, schema)
 
 
 def goodness(n: Column, age_days: Column) -> Column:

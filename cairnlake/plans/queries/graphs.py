@@ -11,6 +11,7 @@ from cairnlake.functions.vectors import cosine
 from cairnlake.operators import ann, identity
 from cairnlake.operators import similarity as S
 from cairnlake.operators.constrained import constrained_components
+from cairnlake.operators.cosine_join import cosine_join, growing_join
 from cairnlake.operators.fragments import Limits, recovered_fragments
 from cairnlake.operators.graph import components, survivors
 from cairnlake.operators.vector_index import VectorIndex
@@ -359,3 +360,23 @@ def _(c):
     index.update(c.vectors.where((i % 10 == 3) | (i % 40 == 1)).select("id", F.when(i % 40 == 1, F.transform(v, lambda x: -x)).otherwise(v).alias("v")))
     index.update(c.vectors.where((i % 25 == 0) & (i % 10 != 3)).select("id", F.lit(None).cast("array<double>").alias("v")))
     return index.search(c.vectors.where(i % 50 == 7).select("id", "v")).select("query", "id", F.round("score", 4).alias("score"))
+
+
+_CLUSTERED = "c AS (SELECT id, list_transform(v, lambda x, i: x + CASE WHEN i = label + 1 THEN 2.5::DOUBLE ELSE 0 END) AS v FROM vectors)"
+
+
+def _clustered(c):
+    """Vectors drawn together by label."""
+    return c.vectors.select("id", F.transform("v", lambda x, i: x + F.when(i == F.col("label"), 2.5).otherwise(0.0)).alias("v"))
+
+
+@query("vec_pruned_join", f"""
+WITH {_CLUSTERED} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM c a JOIN c b ON a.id < b.id
+WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.9 OR round(list_cosine_similarity(a.v, b.v), 9) >= 0.88 AND (a.id % 7 = 0 OR b.id % 7 = 0)""")
+def _(c):
+    return cosine_join(_clustered(c), 0.9, c.vectors.where("id % 7 = 0").select("id"), 0.88).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("vec_growing_join", f"WITH {_CLUSTERED} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM c a JOIN c b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.9")
+def _(c):
+    return growing_join(_clustered(c), 0.9, 8, 32, probes=4096).withColumn("cosine", F.round("cosine", 6))

@@ -11,7 +11,9 @@ from cairnlake.operators import ask
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import similarity as S
 from cairnlake.operators.filters import Filter
+from cairnlake.operators.shortlist import best_above, codes
 from cairnlake.plans.registry import query
+from cairnlake.session import written
 
 _BM25 = r"""
 WITH t AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM files),
@@ -173,7 +175,8 @@ def _(c):
 @query("vec_passages_floor", "SELECT id, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 30)), 6) AS score FROM vectors WHERE list_cosine_similarity(v, (SELECT v FROM vectors WHERE id = 30)) >= 0.2 ORDER BY score DESC, id LIMIT 20")
 def _(c):
     q = c.vectors.where("id = 30").select("v").first()[0]
-    return S.top_k(c.vectors, q, 20).where("score >= 0.2").select("id", F.round("score", 6).alias("score"))
+    coded = written(c.spark, "codes", f"{c.sf_dir}/embeddings.parquet", lambda: codes(c.vectors.select("id", "v")))
+    return best_above(coded, c.vectors.select("id", "v"), q, 0.2).select("id", F.round("score", 6).alias("score"))
 
 
 @query("chat_retrieval", _BM25 + _VISUAL + r"""

@@ -302,7 +302,21 @@ def _(c):
     return T.scenes(frames, durations, ["video"], T.SceneLimits(cut=0.1, drift=-0.2))
 
 
-@query("timeline_passages")
+# a turn is ten seconds; its words are heard by every chunk that covers them
+@query("timeline_passages", r"""
+WITH t AS (SELECT conv, turn, regexp_extract_all(text, '[\p{L}\p{N}]+|[.,!?]') AS ws FROM messages), w AS (SELECT conv, turn * 1000 + i AS id, turn * 10 + i * 0.31::DOUBLE + CASE WHEN i % 17 = 16 THEN 0.9 ELSE 0 END AS s, ws[i + 1] AS text FROM t, unnest(range(least(len(ws), 40))) r(i)),
+d AS (SELECT conv, max(turn) * 10.0::DOUBLE + 9 AS length FROM messages GROUP BY conv), o AS (SELECT w.*, least(s + 0.2, length) AS e, length FROM w JOIN d ON d.conv = w.conv WHERE s < length),
+c AS (SELECT *, floor((s + (e - s) / 2) / 45)::BIGINT AS chunk FROM o WHERE s + (e - s) / 2 < length), k AS (SELECT *, row_number() OVER (PARTITION BY conv, chunk ORDER BY s, id) AS k FROM c),
+z AS (SELECT conv, chunk, k, s AS g0, e, length(text) AS n, 1 AS g FROM k WHERE k = 1 UNION ALL
+  SELECT k.conv, k.chunk, k.k, CASE WHEN x THEN k.s ELSE g0 END, k.e, CASE WHEN x THEN length(k.text) ELSE n + length(k.text) END, g + x::INT FROM (SELECT z.*, k.s AS ks, k.e AS ke, k.text AS kt, k.s - z.e > 1.25 OR k.s - g0 > 8 OR n + length(k.text) > 280 AS x FROM z JOIN k ON k.conv = z.conv AND k.chunk = z.chunk AND k.k = z.k + 1) y JOIN k ON k.conv = y.conv AND k.chunk = y.chunk AND k.k = y.k + 1)
+SELECT z.conv, z.chunk, round(min(k.s), 6) AS start, round(max(k.e), 6) AS "end", trim(string_agg(CASE WHEN k.text IN ('.', ',', '!', '?') THEN k.text ELSE ' ' || k.text END, '' ORDER BY k.k)) AS text FROM z JOIN k ON k.conv = z.conv AND k.chunk = z.chunk AND k.k = z.k GROUP BY z.conv, z.chunk, g""")
 def _(c):
-    rows = c.messages.select("conv", F.col("turn").alias("id"), F.col("turn").cast("double").alias("seconds"), "text")
-    return T.passages(rows, ["conv"])
+    ws = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[.,!?]"), F.lit(0))
+    w = c.messages.select("conv", "turn", F.posexplode(F.slice(ws, 1, 40)).alias("i", "text"))
+    at = F.col("turn") * 10 + F.col("i") * F.lit(0.31) + F.when(F.col("i") % 17 == 16, 0.9).otherwise(0.0)
+    w = w.select("conv", (F.col("turn") * 1000 + F.col("i")).alias("id"), at.alias("s"), "text")
+    chunks = F.filter(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: (F.floor(F.col("s") / 45) + k).cast("long")), lambda k: (k >= 0) & (F.col("s") >= k * 45 - 1.5) & (F.col("s") < k * 45 + 46.5))
+    heard = w.withColumn("chunk", F.explode(chunks)).withColumn("timestamp", F.col("s") - F.greatest(F.col("chunk") * 45 - 1.5, F.lit(0.0)))
+    lengths = c.messages.groupBy("conv").agg((F.max("turn") * 10.0 + 9).alias("length"))
+    out = T.passages(heard.withColumns({"duration": F.lit(0.2), "confidence": F.lit(0.9)}), lengths, ["conv"])
+    return out.select("conv", "chunk", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")

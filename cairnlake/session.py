@@ -109,17 +109,18 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+def written(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partition_by: str | None = None, version: int = 1) -> DataFrame:
     """A table derived from the files at `source`, written once in the shared folder and read by every later query.
 
-    Its folder carries the source's path, bytes, files and time, so a changed source is derived anew.
+    Its folder carries the source's path, bytes, files and time, so a changed source is derived anew, and the version of
+    the rule that derives it, so a changed rule is too.
     """
     importable(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(source)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     summary = fs.getContentSummary(path)
-    state = f"{source} {summary.getLength()} {summary.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"
+    state = f"{source} {summary.getLength()} {summary.getFileCount()} {fs.getFileStatus(path).getModificationTime()} v{version}"
     out = f"{shared_dir(spark)}/derived-{name}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
     done = hadoop.Path(f"{out}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):

@@ -180,8 +180,10 @@ def test_bursts_windows_and_passages(spark):
     df = spark.createDataFrame(rows, "g long, id long, path string, seconds double, phash long, v array<double>")
     for limits in (T.NEAR_DUPLICATES, T.TAKES, T.BurstLimits(3.0, 9.0, 0.99, 0.9, 3, 4, True)):
         assert {r.id: r.burst for r in T.group_bursts(df, ["g"], limits).collect()} == plain_bursts(rows, limits)
-    said = spark.createDataFrame([(1, i, float(i), "x" * 100) for i in range(4)] + [(1, 9, 30.0, "late")], "f long, id long, seconds double, text string")
-    assert [len(r.text) for r in sorted(T.passages(said, ["f"]).collect(), key=lambda r: r.start)] == [201, 201, 4]
+    words = [(1, 0, i, float(i), 0.5, "x" * 100, 1.0) for i in range(4)] + [(1, 0, 9, 30.0, 0.5, "late", 1.0)]
+    said = spark.createDataFrame(words, "f long, chunk long, id long, timestamp double, duration double, text string, confidence double")
+    length = spark.createDataFrame([(1, 60.0)], "f long, length double")
+    assert [len(r.text) for r in sorted(T.passages(said, length, ["f"]).collect(), key=lambda r: r.start)] == [201, 201, 4]
 
 
 def test_fusion_prefers_agreement_then_first_appearance(spark):
