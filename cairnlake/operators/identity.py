@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from cairnlake.functions.vectors import dot, unit
 from cairnlake.operators.constrained import constrained_components
 from cairnlake.operators.graph import components
-from cairnlake.operators.similarity import best_matches, centroids, cohesion, cosine_pairs, nearest, two_nearest
+from cairnlake.operators.similarity import best_matches, centroids, cohesion, cosine_links, cosine_pairs, nearest, two_nearest
 from cairnlake.session import staged
 
 
@@ -269,9 +269,33 @@ def protected_partition(faces: DataFrame, owners: DataFrame, different: DataFram
     return named.join(named.groupBy("key").agg(F.min("face").alias("part")), "key").select("face", "part")
 
 
-def inherited_ids(priors: DataFrame, clusters: DataFrame, fixed: DataFrame, preserved: DataFrame) -> DataFrame:
+def _one_to_one(pairs: DataFrame) -> DataFrame:
+    """(cluster, id) of pairs (id, cluster, k) taken one to one, greatest k first: rounds in which a pair is the best of both its sides."""
+    open_, out = staged(pairs), None
+    while True:
+        best = [open_.groupBy(c).agg(F.max("k").alias("k")) for c in ("id", "cluster")]
+        won = staged(open_.join(best[0], ["id", "k"]).join(best[1], ["cluster", "k"]).select("cluster", "id"))
+        out = won if out is None else out.union(won)
+        open_ = staged(open_.join(won.select("id"), "id", "left_anti").join(won.select("cluster"), "cluster", "left_anti"))
+        if open_.isEmpty():
+            return out
+
+
+def identity_anchors(faces: DataFrame) -> DataFrame:
+    """(cluster, centroid, radius) of clusters of faces (id, v, cluster): the tenth part of their least cosines to the centre, from 0.45 to 0.85; 0.5 for one face."""
+    centers = centroids(faces, "cluster")
+    scored = faces.join(centers, "cluster").select("cluster", "n", "id", dot(unit(F.col("v")), F.col("centroid")).alias("s"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("s", "id")) - 1)
+    tenth = ranked.where(F.col("r") == F.floor(F.col("n") * 0.1)).select("cluster", F.when(F.col("n") < 2, 0.5).otherwise(F.least(F.greatest("s", F.lit(0.45)), F.lit(0.85))).alias("radius"))
+    return centers.join(tenth, "cluster").select("cluster", "centroid", "radius")
+
+
+def inherited_ids(priors: DataFrame, clusters: DataFrame, fixed: DataFrame, preserved: DataFrame, anchors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(cluster, id): clusters keep the identity of the prior they overlap by half of its faces or more.
 
+    anchors: (id, centroid, radius) of priors and (cluster, centroid) of clusters: those still free then match by their
+    centres, the most alike first, where the cosine reaches the prior's radius.
+
     priors: (id, face); clusters: (cluster, face, representative); fixed: (cluster, id) confirmed by hand;
     preserved: (id) that stay out of reach. Pairs are matched one to one, larger overlap first, then the prior
     that holds the representative, then the lower id: rounds in which a pair is the best of both its sides,
@@ -291,14 +315,20 @@ def inherited_ids(priors: DataFrame, clusters: DataFrame, fixed: DataFrame, pres
     sizes = priors.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     both = priors.join(clusters, "face").groupBy("id", "cluster").agg(F.count(F.lit(1)).alias("overlap"), F.max((F.col("face") == F.col("representative")).cast("int")).alias("anchor"))
     free = both.join(sizes, "id").where(2 * F.col("overlap") >= F.col("size")).join(fixed.select("cluster"), "cluster", "left_anti").join(fixed.select("id").union(preserved.select("id")), "id", "left_anti")
-    open_, out = staged(free.select("id", "cluster", "overlap", "anchor")), fixed.select("cluster", "id")
-    while not open_.isEmpty():
-        key = F.struct("overlap", "anchor", (-F.col("id")).alias("i"), (-F.col("cluster")).alias("c"))
-        best = open_.withColumn("k", key)
-        won = best.join(best.groupBy("id").agg(F.max("k").alias("k")), ["id", "k"]).select("id", "cluster", "k").join(best.groupBy("cluster").agg(F.max("k").alias("k")), ["cluster", "k"]).select("cluster", "id")
-        won = staged(won)
-        out = out.union(won)
-        open_ = staged(open_.join(won.select("id"), "id", "left_anti").join(won.select("cluster"), "cluster", "left_anti"))
+    key = F.struct("overlap", "anchor", (-F.col("id")).alias("i"), (-F.col("cluster")).alias("c"))
+    out = fixed.select("cluster", "id").union(_one_to_one(free.select("id", "cluster", key.alias("k"))))
+    if anchors is not None:
+        out = staged(out)
+        taken = lambda df, c: df.join(out.select(c), c, "left_anti")
+        radius = F.when(~F.isnan("radius") & F.col("radius").between(0.0, 1.0), F.col("radius"))
+        old = taken(anchors[0].join(preserved.select("id"), "id", "left_anti"), "id").select("id", F.col("centroid").alias("v"), radius.alias("radius")).where("v IS NOT NULL AND radius IS NOT NULL")
+        new = taken(anchors[1], "cluster").select(F.col("cluster").alias("id"), F.col("centroid").alias("v"))
+        least = old.agg(F.min("radius")).first()[0]
+        if least is not None:
+            near = cosine_links(old.select("id", "v"), new, least - 1e-9, apart=False).join(old.select("id", "radius"), "id")
+            near = near.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= F.col("radius"))
+            key = F.struct("cosine", (-F.col("id")).alias("i"), (-F.col("other")).alias("c"))
+            out = out.union(_one_to_one(near.select("id", F.col("other").alias("cluster"), key.alias("k"))))
     return clusters.select("cluster").distinct().join(out, "cluster", "left").select("cluster", "id")
 
 

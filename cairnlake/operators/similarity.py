@@ -65,6 +65,34 @@ def hamming_classes(hashes: DataFrame, radius: int) -> DataFrame:
     return hamming_pairs(least, radius).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+#: Members that a listing of groups shows of all, and of one group, and groups at most.
+SHOWN, SHOWN_OF_GROUP, SHOWN_GROUPS = 5_000, 500, 200
+
+
+def similar_listing(files: DataFrame, radius: int, shown: int = SHOWN, of_group: int = SHOWN_OF_GROUP, groups: int = SHOWN_GROUPS) -> DataFrame:
+    """(group_id, id, place, total, total_bytes) of visually similar images, the one to keep first.
+
+    files: (id, kind, failed, phash, content_hash, quality, size_bytes, created_at, path). Groups are components of hashes
+    within the radius, named by their least id; groups of equal contents alone are left out, for they are exact
+    duplicates. Members stand by quality, size, age, length of path and id. In order of their ids groups show of_group
+    members each until `shown` are used up; of these the `groups` with most members shown stay.
+    """
+    from cairnlake.operators.graph import components
+
+    some = files.where("kind = 'image' AND failed = 0 AND phash IS NOT NULL AND phash <> 0")
+    classes = some.groupBy("phash").agg(F.min("id").alias("node"))
+    found = components(hamming_classes(some.select("id", "phash"), radius))
+    named = some.join(classes, "phash").join(found, "node", "left").withColumn("group_id", F.coalesce("component", "node"))
+    facts = named.groupBy("group_id").agg(F.count(F.lit(1)).alias("total"), F.sum("size_bytes").alias("total_bytes"), F.count("content_hash").alias("known"), F.countDistinct("content_hash").alias("contents"))
+    listed = facts.where("total > 1 AND NOT (known = total AND contents = 1)").select("group_id", "total", "total_bytes").orderBy("group_id").limit(shown // 2)
+    before = F.coalesce(F.sum(F.least("total", F.lit(of_group))).over(Window.partitionBy(F.lit(0)).orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # shown // 2 rows
+    visible = F.least("total", F.lit(of_group), F.lit(shown) - F.col("before"))
+    kept = listed.withColumn("before", before).where(F.lit(shown) - F.col("before") >= 2).withColumn("visible", visible).orderBy(F.col("visible").desc(), "group_id").limit(groups)
+    order = [F.coalesce("quality", F.lit(0.0)).desc(), F.col("size_bytes").desc(), F.col("created_at").asc_nulls_last(), F.length("path"), F.col("id")]
+    ranked = named.join(kept, "group_id").withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(*order)))
+    return ranked.where(F.col("place") <= F.col("visible")).select("group_id", "id", "place", "total", "total_bytes")
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k vectors nearest to one by dot product of unit vectors, ties by id; other dimensions are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -109,8 +137,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
     return pairs.mapInArrow(compare, "a bigint, b bigint, cosine double")
 
 
-def cosine_links(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, other, cosine): all pairs of one vector of left and another of right at or above a threshold, exact, but for equal ids."""
+def cosine_links(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK, apart: bool = True) -> DataFrame:
+    """(id, other, cosine): all pairs of a vector of left and one of right at or above a threshold, exact; apart: but for equal ids."""
     l = _blocks(left, block).select(F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
     r = _blocks(right, block).select(F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
 
@@ -118,7 +146,7 @@ def cosine_links(left: DataFrame, right: DataFrame, threshold: float, block: int
         for f in batches:
             for (a, x), (b, y) in zip(matrices(f, "a", "x"), matrices(f, "b", "y"), strict=True):
                 s = x @ y.T
-                p, q = np.nonzero((s >= threshold) & (a[:, None] != b[None, :]))
+                p, q = np.nonzero((s >= threshold) & ((a[:, None] != b[None, :]) | (not apart)))
                 yield pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[q]), pa.array(s[p, q])], names=["id", "other", "cosine"])
 
     return l.join(r, F.lit(True)).repartition("i", "j").mapInArrow(compare, "id bigint, other bigint, cosine double")

@@ -89,6 +89,21 @@ def _(c):
     return components(S.hamming_classes(c.vectors, 16)).select("node", "component")
 
 
+@query("similar_listing", f"""
+WITH v AS (SELECT vectors.id, CASE WHEN vectors.id % 10 = 2 THEN (SELECT any_value(o.phash) FROM vectors o WHERE o.id = vectors.id - vectors.id % 50) ELSE phash END AS phash FROM vectors),
+f AS (SELECT files.id, phash, CASE WHEN files.id // 50 % 3 = 0 AND (files.id % 50 = 0 OR files.id % 10 = 2) THEN 'same' ELSE content_hash END AS content_hash, coalesce(quality, 0) AS q, size_bytes, created_at, path FROM files JOIN v ON v.id = files.id WHERE kind = 'image' OR kind = 'doc'),
+n AS (SELECT a.id AS x, b.id AS y FROM f a JOIN f b ON a.id <> b.id AND bit_count(xor(a.phash, b.phash)) <= 14), r AS (SELECT id AS x, id AS y FROM f UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x), g AS (SELECT x AS id, min(y) AS group_id FROM r GROUP BY x),
+t AS (SELECT group_id, count(*) AS total, sum(size_bytes)::BIGINT AS total_bytes FROM f JOIN g ON g.id = f.id GROUP BY group_id HAVING count(*) > 1 AND NOT (count(content_hash) = count(*) AND count(DISTINCT content_hash) = 1)),
+b AS (SELECT *, least(total, 3, 40 - coalesce(sum(least(total, 3)) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS visible FROM t), k AS (SELECT * FROM b WHERE visible >= 2 OR visible = total ORDER BY visible DESC, group_id LIMIT 12)
+SELECT k.group_id, f.id, row_number() OVER (PARTITION BY k.group_id ORDER BY q DESC, size_bytes DESC, created_at NULLS LAST, length(path), f.id)::INT AS place, total, total_bytes FROM f JOIN g ON g.id = f.id JOIN k ON k.group_id = g.group_id QUALIFY place <= visible""")
+def _(c):
+    i = F.col("id")
+    copied = c.vectors.select("id", "phash").where(i % 50 == 0).select(i.alias("from"), F.col("phash").alias("other"))
+    v = c.vectors.select("id", "phash").join(copied, (i % 10 == 2) & (i - i % 50 == F.col("from")), "left").select("id", F.when(i % 10 == 2, F.col("other")).otherwise(F.col("phash")).alias("phash"))
+    files = c.files.where("kind IN ('image', 'doc')").withColumns({"kind": F.lit("image"), "content_hash": F.when((F.floor(i / 50) % 3 == 0) & ((i % 50 == 0) | (i % 10 == 2)), "same").otherwise(F.col("content_hash"))})
+    return S.similar_listing(files.join(v, "id"), 14, shown=40, of_group=3, groups=12)
+
+
 @query("merge_survivors", """
 WITH e AS (SELECT id AS x, (id // 3) * 3 AS y FROM persons WHERE id <> (id // 3) * 3), n AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x),
 c AS (SELECT x, min(y) AS c FROM r GROUP BY x), f AS (SELECT person_id, count(DISTINCT file_id) AS files FROM faces GROUP BY 1)
@@ -278,7 +293,10 @@ def _(c):
     clusters = c.faces.where("person_id IS NOT NULL").select(moved.alias("cluster"), F.col("id").alias("face"))
     first = clusters.groupBy("cluster").agg(F.min("face").alias("representative"))
     none = c.spark.createDataFrame([], "cluster long, id long")
-    return identity.inherited_ids(priors, clusters.join(first, "cluster"), none, none.select("id"))
+    named = identity.identity_anchors(c.faces.where("person_id IS NOT NULL").select("id", "v", F.col("person_id").alias("cluster")))
+    new = identity.identity_anchors(c.faces.where("person_id IS NOT NULL").select("id", "v", moved.alias("cluster")))
+    anchors = named.select(F.col("cluster").alias("id"), "centroid", "radius"), new.select("cluster", "centroid")
+    return identity.inherited_ids(priors, clusters.join(first, "cluster"), none, none.select("id"), anchors)
 
 
 @query("people_bimodal_parts")

@@ -86,3 +86,26 @@ def test_consolidation_keeps_blocked_clusters_apart_and_the_largest_name(spark):
     assert {r.cluster: r["into"] for r in identity.consolidated(df, pairs).collect()} == {0: 0, 1: 2, 2: 2}
     owners = spark.createDataFrame([(1, 7), (2, 8)], OWNERS)
     assert {r.cluster: r["into"] for r in identity.consolidated(df, pairs, owners=owners).collect()} == {0: 2, 1: 1, 2: 2}
+
+
+def test_free_clusters_inherit_by_their_centres(spark):
+    e = np.eye(5)
+    priors = [(10, f) for f in (1, 2, 3)] + [(20, f) for f in (4, 5, 6, 7, 8)] + [(30, 9), (40, 10), (50, 11)]
+    clusters = [(1, 1, 1), (1, 2, 1), (2, 4, 4), (3, 21, 21), (4, 22, 22), (5, 23, 23)]
+    of_priors = [(10, e[0], 0.5), (20, e[1], 0.7), (30, e[2], 0.6), (40, e[2] * 0.9 + e[3] * 0.436, 0.6), (50, e[4], float("nan"))]
+    of_clusters = [(1, e[1]), (2, e[4]), (3, e[1] * 0.8 + e[2] * 0.6), (4, e[2]), (5, e[3])]
+    frame = lambda rows, names: spark.createDataFrame([tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in rows], names)
+    none = spark.createDataFrame([], "cluster long, id long")
+    anchors = frame(of_priors, "id long, centroid array<double>, radius double"), frame(of_clusters, "cluster long, centroid array<double>")
+    got = identity.inherited_ids(frame(priors, "id long, face long"), frame(clusters, "cluster long, face long, representative long"), none, none.select("id"), anchors)
+    # 10 by overlap; 30 and 4 are one vector; then 20 and 3 with 0.8; 40 lies within 0.436 of 5 alone, below its radius
+    assert {r.cluster: r.id for r in got.collect()} == {1: 10, 2: None, 3: 20, 4: 30, 5: None}
+
+
+def test_anchors_of_clusters(spark):
+    rows = [(i, [1.0, 0.1 * i], 1) for i in range(10)] + [(20, [0.0, 2.0], 2), (30, [1.0, 0.0], 3), (31, [0.0, 1.0], 3)]
+    got = {r.cluster: (r.centroid, r.radius) for r in identity.identity_anchors(spark.createDataFrame(rows, "id long, v array<double>, cluster long")).collect()}
+    x = np.array([v for _, v, c in rows if c == 1])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = x.mean(axis=0) / np.linalg.norm(x.mean(axis=0))
+    assert np.allclose(got[1][0], m) and abs(got[1][1] - min(0.85, sorted(x @ m)[1])) < 1e-9 and got[2][1] == 0.5 and abs(got[3][1] - 0.5**0.5) < 1e-9
