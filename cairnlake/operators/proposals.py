@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions.text import stem_of
+from cairnlake.functions.vectors import cosine
+from cairnlake.operators import sessions
 from cairnlake.session import staged
 
 
@@ -240,3 +242,48 @@ def loose_events(files: DataFrame, gap: float, least: int) -> DataFrame:
     day = lambda x, form: F.date_format(x, form)
     name = F.when(F.col("n") < least, day("a", "MMMM")).when(F.to_date("a") == F.to_date("b"), day("a", "yyyy-MM-dd")).otherwise(F.concat(day("a", "yyyy-MM-dd"), F.lit(" to "), day("b", "MM-dd")))
     return placed.join(g.select("part", F.concat(F.lit("Photos/"), day("a", "yyyy"), F.lit("/"), name).alias("folder")), "part").select("id", "folder")
+
+
+def discovered_takes(files: DataFrame, decisions: DataFrame | None = None, limit: int = 100, photos: sessions.BurstLimits = sessions.TAKES, videos: sessions.BurstLimits = sessions.CLIPS) -> DataFrame:
+    """(rank, key, media, status, captured_at, similarity, shots, file_ids): groups of tries to choose from, best first.
+
+    files: (id, kind, path, extension, seconds, phash, v, content_hash, size_bytes). Bursts of photos and of videos have
+    their own limits; of equal contents (of files that are hashed whole) the lowest id counts; files of one stem are one
+    shot, which its first file that is not raw stands for, and two shots or more make a group. similarity is the least
+    cosine of neighbouring shots. decisions: (decision, file_ids): a group inside a `keepAll` is gone, one inside a `skip`
+    stands last. Groups go by 0.6 * shots, twelve at most, + 0.4 * age, halved each fortnight before the newest.
+    """
+    some = files.where(F.col("kind").isin("image", "video") & F.col("seconds").isNotNull() & ~F.isnan("seconds") & (F.abs("seconds") < float("inf")))
+    some = some.withColumns({"media": F.when(F.col("kind") == "image", "photos").otherwise("videos"), "raw": F.coalesce(F.lower("extension").isin(RAW), F.lit(False)), "stem": F.lower(stem_of(F.col("path")))})
+    rows = staged(sessions.aligned_sidecars(some.select("id", "media", "path", "stem", "raw", "seconds", "phash", "v", "content_hash", "size_bytes"), ["media"]))
+    found = None
+    for media, limits in (("photos", photos), ("videos", videos)):
+        # a longer gap always ends a burst, so a session is a part of its own
+        own = timeline_sessions(rows.where(F.col("media") == media), "media", "seconds", limits.gap, 1 << 40)
+        bursts = sessions.group_bursts(own, ["media", "part"], limits)
+        found = bursts if found is None else found.union(bursts)
+    j = staged(found).join(rows, "id")
+    whole = F.col("content_hash").isNotNull() & F.col("size_bytes").between(0, FULL_HASH_BYTES)
+    copy = F.row_number().over(Window.partitionBy("burst", "content_hash", "size_bytes").orderBy("id"))
+    members = j.withColumn("copy", F.when(whole, copy).otherwise(1)).where("copy = 1").drop("copy")
+    shots = members.groupBy("burst", "stem").agg(F.min("seconds").alias("at"), F.min(F.struct("raw", "id", "v")).alias("x")).select("burst", "at", F.col("x.id").alias("id"), "x.v")
+    order = Window.partitionBy("burst").orderBy("at", "id")
+    near = shots.where("v IS NOT NULL").withColumn("near", cosine(F.col("v"), F.lag("v").over(order))).groupBy("burst").agg(F.min("near").alias("near"))
+    sizes = shots.groupBy("burst").agg(F.count(F.lit(1)).alias("shots")).where("shots >= 2")
+    ids = members.groupBy("burst").agg(F.array_sort(F.collect_list("id")).alias("file_ids"), F.greatest(F.max("seconds"), F.lit(0.0)).alias("captured_at"), F.first("media").alias("media"))  # a burst's shots at most
+    key = F.concat(F.lit("takes-"), F.substring(F.sha2(F.array_join(F.col("file_ids").cast("array<string>"), ","), 256), 1, 16))
+    clamped = F.least(F.greatest(F.coalesce("near", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    groups = staged(ids.join(sizes, "burst").join(near, "burst", "left").select(key.alias("key"), "media", "captured_at", F.round(clamped, 4).alias("similarity"), "shots", "file_ids"))
+    inside = lambda decision: F.lit(False)
+    if decisions is not None:
+        chosen = decisions.withColumn("d", F.monotonically_increasing_id()).select("d", "decision", F.explode(F.array_distinct("file_ids")).alias("id"))
+        met = groups.select("key", F.size("file_ids").alias("n"), F.explode("file_ids").alias("id")).join(staged(chosen), "id").groupBy("key", "n", "d", "decision").agg(F.count(F.lit(1)).alias("m")).where("m = n")
+        groups = groups.join(met.groupBy("key").agg(F.collect_set("decision").alias("decided")), "key", "left")
+        inside = lambda decision: F.coalesce(F.array_contains("decided", decision), F.lit(False))
+    visible = groups.where(~inside("keepAll")).withColumn("status", F.when(inside("skip"), "skipped").otherwise("open"))
+    newest = visible.agg(F.max("captured_at").alias("newest"))
+    value = sessions.goodness(F.col("shots"), F.greatest(F.col("newest") - F.col("captured_at"), F.lit(0.0)) / 86_400.0)
+    order = [F.col("status") == "skipped", F.col("value").desc(), F.col("captured_at").desc(), F.col("key")]
+    first = visible.join(F.broadcast(newest), F.lit(True)).withColumn("value", value).orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # `limit` rows
+    return first.select(rank.alias("rank"), "key", "media", "status", "captured_at", "similarity", "shots", "file_ids")

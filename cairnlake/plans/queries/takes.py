@@ -158,6 +158,14 @@ def _(c):
     return proposals.take_proposals(*_proposed(c), _LOW, _LOW, gap=600.0, most=200)[0]
 
 
+@query("take_discovered")
+def _(c):
+    shots = _proposed(c)[0].join(c.vectors.select("id", "phash"), "id")
+    decided = c.files.where("id < 0").select(F.lit("keepAll").alias("decision"), F.array("id").alias("file_ids")).union(c.files.groupBy(F.floor(F.col("id") / 60).alias("g")).agg(F.collect_list("id").alias("f")).where("g % 4 = 1").select(F.when(F.col("g") % 8 == 1, "skip").otherwise("keepAll"), "f"))
+    loose = T.BurstLimits(600.0, 3600.0, 0.1, -0.1, 24, 60, True)
+    return proposals.discovered_takes(shots, decided, 100, loose, loose)
+
+
 @query("take_sessions", """
 WITH f AS (SELECT files.*, row_number() OVER (PARTITION BY CASE WHEN content_hash IS NOT NULL AND size_bytes BETWEEN 0 AND 16777216 THEN content_hash || size_bytes ELSE files.id::VARCHAR END ORDER BY files.id) AS copy FROM files JOIN vectors ON vectors.id = files.id WHERE kind IN ('image', 'video')),
 o AS (SELECT id, CASE kind WHEN 'image' THEN 'photos' ELSE 'videos' END AS media, modified_at AS t FROM f WHERE copy = 1),

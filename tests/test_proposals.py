@@ -160,3 +160,57 @@ def test_recommendations(spark):
         "none": ("insufficient", []), "one": ("insufficient", []), "liked": ("preferred", [4]), "both": ("tie", [6, 7]), "stale": ("insufficient", []), "weak": ("insufficient", []),
         "clear": ("ranked", [12]), "sharp": ("ranked", [15]), "even": ("tie", [16, 17]), "unknown": ("tie", [18, 19]),
     }
+
+
+def test_discovered_takes(spark):
+    from test_operators import plain_bursts
+
+    from cairnlake.operators import sessions as T
+
+    r, rng = random.Random(8), np.random.default_rng(8)
+    looks, files, t = rng.normal(size=(12, 6)), [], 1.7e9
+    for i in range(1, 221):
+        t += r.choice([0.5, 1, 2, 3, 60, 40_000]) if i % 25 else 9e5
+        v = looks[i // 9 % 12] + 0.12 * rng.normal(size=6)
+        kind = "video" if i % 50 > 40 else "image"
+        files.append((i, kind, f"/p/s{i - (i % 6 == 5)}.{'mp4' if kind == 'video' else 'arw' if i % 2 else 'jpg'}", "arw" if i % 2 else "jpg", None if i % 71 == 9 else t, None, None if i % 43 == 7 else v.tolist(), f"h{i - (i % 11 == 3)}" if i % 4 else None, 17 << 20 if i % 22 == 3 else 9))
+    names = "id long, kind string, path string, extension string, seconds double, phash long, v array<double>, content_hash string, size_bytes long"
+    groups = {}
+    for kind, limits in (("image", T.TAKES), ("video", T.CLIPS)):
+        own = [f for f in files if f[1] == kind and f[4] is not None]
+        rows = [(0, f[0], f[2], f[4], f[5], f[6]) for f in own]
+        times = {}  # of two files of a stem that look alike the later has the earlier one's time
+        for f in own:
+            stem = f[2].rsplit("/")[-1].rsplit(".")[0]
+            same = [o for o in own if o[2].rsplit("/")[-1].rsplit(".")[0] == stem and o[6] and f[6] and np.dot(o[6], f[6]) / np.linalg.norm(o[6]) / np.linalg.norm(f[6]) >= 0.9]
+            times[f[0]] = min([f[4], *(o[4] for o in same)])
+        bursts = {}
+        for i, b in plain_bursts(rows, limits).items():
+            bursts.setdefault(b, []).append(i)
+        by = {f[0]: f for f in own}
+        for ids in bursts.values():
+            seen, kept = set(), []
+            for i in sorted(ids):
+                c = (by[i][7], by[i][8]) if by[i][7] and by[i][8] <= 16 << 20 else i
+                if c not in seen:
+                    seen.add(c)
+                    kept.append(i)
+            shots = {}
+            for i in kept:
+                shots.setdefault(by[i][2].rsplit("/")[-1].rsplit(".")[0], []).append(i)
+            if len(shots) < 2:
+                continue
+            first = sorted((min(times[i] for i in s), min(s, key=lambda i: (by[i][3] in P.RAW, i))) for s in shots.values())
+            vs = [np.array(by[i][6]) for _, i in first if by[i][6]]
+            low = min([1.0, *(a @ b / np.linalg.norm(a) / np.linalg.norm(b) for a, b in zip(vs, vs[1:], strict=False))])
+            key = "takes-" + hashlib.sha256(",".join(map(str, kept)).encode()).hexdigest()[:16]
+            groups[key] = ("photos" if kind == "image" else "videos", kept, len(shots), max(times[i] for i in kept), low)
+    some = sorted(groups, key=lambda k: groups[k][1])
+    decisions = [("keepAll", [*groups[some[0]][1], 999]), ("skip", groups[some[1]][1]), ("keepAll", groups[some[2]][1][:-1])]
+    shown = {k: g for k, g in groups.items() if k != some[0]}
+    newest = max(g[3] for g in shown.values())
+    value = lambda k: 0.6 * min(shown[k][2], 12) / 12 + 0.4 * 0.5 ** ((newest - shown[k][3]) / 86400 / 14)
+    want = sorted(shown, key=lambda k: (k == some[1], -value(k), -shown[k][3], k))
+    got = P.discovered_takes(spark.createDataFrame(files, names).repartition(4), spark.createDataFrame(decisions, "decision string, file_ids array<long>")).orderBy("rank").collect()
+    assert [r.key for r in got] == want and len(want) > 8 and [r.rank for r in got] == list(range(1, len(want) + 1))
+    assert all((r.media, list(r.file_ids), r.shots, r.captured_at) == shown[r.key][:4] and abs(r.similarity - shown[r.key][4]) < 1e-4 and (r.status == "skipped") == (r.key == some[1]) for r in got)
