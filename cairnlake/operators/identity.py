@@ -25,9 +25,33 @@ def merge_suggestions(centers: DataFrame, seen: DataFrame, low: float, high: flo
     return pairs.join(met, ["a", "b"], "left_anti")
 
 
-def review_decision(score: Column, margin: Column, suggest: float, floor: float, least_margin: float) -> Column:
-    """What to do with a face whose best person has a score and a margin to the second."""
-    return F.when(score < floor, "unmatched").when(margin < least_margin, "ambiguous").when(score >= suggest, "suggested").otherwise("uncertain")
+def review_decision(score: Column, margin: Column, suggest: float, floor: float, least_margin: float, assign: bool = False) -> Column:
+    """What to do with a face whose best person has a score and a margin to the next one; without another (null) it is clear."""
+    sure = "assigned" if assign else "suggested"
+    return F.when(score.isNull() | (score < floor), "unmatched").when(margin < least_margin, "ambiguous").when(score >= suggest, sure).otherwise("uncertain")
+
+
+def reviewed(faces: DataFrame, persons: DataFrame, barred: DataFrame, suggest: float = 0.55, floor: float = 0.40, least_margin: float = 0.05, assign: bool = False) -> DataFrame:
+    """(id, person_id, score, decision, runner, runner_score): the person that a face is offered to.
+
+    faces: (id, v); persons: (person_id, v, unknown); barred: (id, person_id) that the face was taken from or refused by. A
+    face nearest to an unknown person is unmatched; else the best person that is not unknown and not barred is offered,
+    against the best other one, whoever that is. Each face is compared with as many persons as it is barred from, and two.
+    """
+    most = barred.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    unknown = persons.where("unknown").select(F.col("person_id").alias("other"), F.lit(True).alias("u"))
+    k = most + 2 + unknown.count()  # unknown persons are a few, by hand
+    near = best_matches(faces, persons.select(F.col("person_id").alias("id"), "v"), k)
+    near = near.join(F.broadcast(unknown), "other", "left").join(barred.select("id", F.col("person_id").alias("other"), F.lit(True).alias("b")).distinct(), ["id", "other"], "left")
+    free = F.col("u").isNull() & F.col("b").isNull()
+    near = near.withColumn("offer", F.min(F.when(free, F.col("rank"))).over(Window.partitionBy("id")))
+    at = lambda r, c: F.max(F.when(r, F.col(c)))
+    best, other = F.col("rank") == F.col("offer"), F.col("rank") == F.when(F.col("offer") == 1, 2).otherwise(1)
+    g = near.groupBy("id").agg(at(best, "other").alias("person_id"), at(best, "cosine").alias("score"), at(other, "other").alias("runner"), at(other, "cosine").alias("runner_score"), F.bool_or((F.col("rank") == 1) & F.col("u").isNotNull()).alias("stranger"))
+    told = F.when(F.coalesce("stranger", F.lit(False)) | F.col("person_id").isNull(), "unmatched").otherwise(review_decision(F.col("score"), F.col("score") - F.col("runner_score"), suggest, floor, least_margin, assign))
+    g = g.withColumn("decision", told)
+    keep = lambda c: F.when(F.col("decision") != "unmatched", F.col(c)).alias(c)
+    return faces.select("id").join(g, "id", "left").select("id", keep("person_id"), keep("score"), F.coalesce("decision", F.lit("unmatched")).alias("decision"), keep("runner"), keep("runner_score"))
 
 
 def admitted(classes: DataFrame, most_files: int, most_bytes: int) -> DataFrame:

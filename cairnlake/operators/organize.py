@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import base_name, generic_folder, name_tokens, safe_component, usable_folder
+from cairnlake.functions.text import base_name, generic_folder, name_tokens, safe_component, tokens, usable_folder
 from cairnlake.operators.filters import moment, taken
 from cairnlake.operators.similarity import centroids
 
@@ -72,10 +72,34 @@ def without_anchors(moves: DataFrame, tiers: DataFrame, exempt: Column) -> DataF
     return moves.join(anchors, "folder", "left").where(F.col("__anchor").isNull() | exempt).drop("__anchor")
 
 
-def feedback_boost(moves: DataFrame, weights: DataFrame, least: float = 3.0) -> DataFrame:
-    """(id, weight): moves whose tokens have enough weight for their folder. moves: (id, folder, tokens); weights: (token, folder, weight)."""
-    t = moves.select("id", "folder", F.explode("tokens").alias("token"))
-    return t.join(weights, ["token", "folder"]).groupBy("id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= least)
+#: Words of file names that tell nothing: of cameras and scans, of English, and extensions within a name; and the weight that makes a habit.
+FILE_WORDS = (
+    "img", "image", "dsc", "dscn", "dscf", "photo", "pic", "picture", "screenshot", "screen", "shot", "untitled", "new", "copy", "final", "draft", "version", "scan", "document", "file", "video", "vid", "clip",
+    "the", "and", "for", "with", "from", "was", "are", "this", "that", "your", "our", "his", "her", "its", "out", "all", "has",
+    "jpg", "jpeg", "png", "gif", "bmp", "heic", "heif", "tiff", "webp", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf", "mov", "mp4", "avi", "mkv", "mp3", "wav", "zip", "rar", "lps",
+)
+HABIT = 3
+
+
+def file_tokens(stem: Column) -> Column:
+    """Words of a file's name, repeats kept: three characters or more, one of them a letter, and not of FILE_WORDS."""
+    return F.filter(tokens(stem), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.isin(*FILE_WORDS))
+
+
+def recorded_moves(moves: DataFrame) -> DataFrame:
+    """(token, folder, weight) of applied moves (id, stem, folder), a weight of one for each token of each."""
+    each = moves.where("folder <> ''").select("folder", F.explode(file_tokens(F.col("stem"))).alias("token"))
+    return each.groupBy("token", "folder").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def boosted(moves: DataFrame, weights: DataFrame, least: int = HABIT) -> DataFrame:
+    """Moves (id, stem, folder, confidence, ...) in which a review becomes auto where files of such names went to that folder before.
+
+    folder: the last name of the destination's path; weights: (token, folder, weight). A move that is asked about stays so.
+    """
+    t = moves.where("confidence = 'review' AND folder <> ''").select("id", "folder", F.explode(file_tokens(F.col("stem"))).alias("token"))
+    known = t.join(weights, ["token", "folder"]).groupBy("id").agg(F.sum("weight").alias("__w")).where(F.col("__w") >= least).select("id", F.lit(True).alias("__habit"))
+    return moves.join(known, "id", "left").withColumn("confidence", F.when(F.col("__habit"), "auto").otherwise(F.col("confidence"))).drop("__habit")
 
 
 def group_names(tokens: DataFrame, most: int = 2) -> DataFrame:

@@ -232,12 +232,16 @@ def _(c):
 
 
 @query("people_review_decision", _PEOPLE + """
-, s AS (SELECT f.id, c.person_id, round(list_cosine_similarity(f.v, centroid), 9) AS s FROM faces f, c WHERE f.person_id IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, person_id) AS r, lead(s) OVER (PARTITION BY id ORDER BY s DESC, person_id) AS second FROM s)
-SELECT id, person_id, round(s, 6) AS score, CASE WHEN s < 0.05 THEN 'unmatched' WHEN s - second < 0.02 THEN 'ambiguous' WHEN s >= 0.15 THEN 'suggested' ELSE 'uncertain' END AS decision FROM r WHERE r = 1""")
-def _(c):
-    centers = S.centroids(c.faces, "person_id")
-    two = S.two_nearest(c.faces.where("person_id IS NULL"), centers, "person_id")
-    return two.select("id", F.col("center").alias("person_id"), F.round("score", 6).alias("score"), identity.review_decision(F.col("score"), F.col("margin"), 0.15, 0.05, 0.02).alias("decision"))
+, s AS (SELECT f.id, c.person_id, round(list_cosine_similarity(f.v, centroid), 9) AS s, c.person_id = 9 AS stranger, c.person_id = f.id % 10 OR c.person_id = f.id % 7 AND f.id % 2 = 0 AS barred FROM faces f, c WHERE f.person_id IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, person_id) AS r FROM s), o AS (SELECT id, min(r) FILTER (NOT stranger AND NOT barred) AS r, bool_or(r = 1 AND stranger) AS lost FROM r GROUP BY id),
+d AS (SELECT o.id, a.person_id, a.s, b.person_id AS runner, b.s AS t, CASE WHEN lost OR a.s < 0.05 THEN 'unmatched' WHEN a.s - b.s < 0.02 THEN 'ambiguous' WHEN a.s >= 0.15 THEN 'suggested' ELSE 'uncertain' END AS decision
+  FROM o JOIN r a ON a.id = o.id AND a.r = o.r JOIN r b ON b.id = o.id AND b.r = CASE o.r WHEN 1 THEN 2 ELSE 1 END)
+SELECT id, decision, CASE WHEN decision <> 'unmatched' THEN person_id END AS person_id, CASE WHEN decision <> 'unmatched' THEN round(s, 6) END AS score, CASE WHEN decision <> 'unmatched' THEN runner END AS runner FROM d""")
+def _(c):
+    faces, i = c.faces.where("person_id IS NULL"), F.col("id")
+    centers = S.centroids(c.faces, "person_id").select("person_id", F.col("centroid").alias("v"), (F.col("person_id") == 9).alias("unknown"))
+    barred = faces.select("id", F.explode(F.array(i % 10, F.when(i % 2 == 0, i % 7))).alias("person_id")).where("person_id IS NOT NULL")
+    return identity.reviewed(faces.select("id", "v"), centers, barred, 0.15, 0.05, 0.02).select("id", "decision", "person_id", F.round("score", 6).alias("score"), "runner")
 
 
 @query("people_outliers", _PEOPLE + "SELECT f.id, f.person_id FROM faces f JOIN c ON f.person_id = c.person_id WHERE list_cosine_similarity(f.v, centroid) < 0.05")

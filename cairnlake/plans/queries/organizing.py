@@ -87,12 +87,19 @@ def _(c):
     return O.group_names(t)
 
 
-@query("org_feedback_boost", """
-WITH w AS (SELECT token, folder, sum(w) AS weight FROM (SELECT lang AS token, folder, 0.5 AS w FROM files) GROUP BY 1, 2) SELECT files.id, round(sum(weight)::DOUBLE, 6) AS weight FROM files JOIN w ON w.folder = files.folder AND w.token = files.lang GROUP BY files.id HAVING sum(weight) >= 3""")
+_FILE_WORDS = ", ".join(f"'{w}'" for w in O.FILE_WORDS)
+
+
+@query("org_feedback_boost", _PLAN + f"""
+, m AS (SELECT id, string_split(destination, '/')[-1] AS folder, confidence, id % 3 = 0 AS applied, list_filter(regexp_extract_all(lower(stem), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND regexp_matches(t, '\\p{{L}}') AND NOT list_contains([{_FILE_WORDS}], t)) AS tokens FROM p),
+w AS (SELECT token, folder, count(*) AS weight FROM (SELECT folder, unnest(tokens) AS token FROM m WHERE applied) GROUP BY 1, 2),
+h AS (SELECT id FROM (SELECT id, folder, unnest(tokens) AS token FROM m WHERE confidence = 'review' AND NOT applied) x JOIN w USING (token, folder) GROUP BY id HAVING sum(weight) >= 3)
+SELECT id, CASE WHEN id IN (SELECT id FROM h) THEN 'auto' ELSE confidence END AS confidence FROM m WHERE NOT applied""")
 def _(c):
-    w = c.files.groupBy(F.col("lang").alias("token"), "folder").agg(F.sum(F.lit(0.5)).alias("weight"))
-    moves = c.files.select("id", "folder", F.array("lang", "source").alias("tokens"))
-    return O.feedback_boost(moves, w).select("id", F.round("weight", 6).alias("weight"))
+    # a third of the plan was applied
+    moves = _plan(c).select("id", "stem", F.element_at(F.split("destination", "/"), -1).alias("folder"), "confidence")
+    applied = F.col("id") % 3 == 0
+    return O.boosted(moves.where(~applied), O.recorded_moves(moves.where(applied))).select("id", "confidence")
 
 
 @query("org_majority_votes", """
