@@ -83,6 +83,20 @@ def _(c):
     return I.backlog(c.faces.withColumn("version", F.col("id") % 4), 3, 50)
 
 
+@query("ingest_backlog_seed", """
+WITH b AS (SELECT id AS face_id, CASE WHEN id % 6 = 0 THEN 'old' ELSE 'now' END AS model, 'v1' AS processing, (['pending', 'missing', 'offline', 'failed', 'done', 'done'])[(id % 7 % 6 + 1)::INTEGER] AS state, (id % 3)::INTEGER AS attempts, CASE WHEN id % 7 = 3 THEN 'unreadable' END AS reason FROM faces WHERE id % 2 = 0),
+o AS (SELECT id AS face_id FROM faces WHERE id % 5 < 3)
+SELECT face_id, model, processing, CASE WHEN model = 'now' AND (state IN ('missing', 'offline', 'failed') OR state = 'done' AND face_id IN (SELECT face_id FROM o)) THEN 'pending' ELSE state END AS state, attempts, reason FROM b
+UNION ALL SELECT face_id, 'now', 'v1', 'pending', 0, NULL FROM o WHERE face_id NOT IN (SELECT face_id FROM b WHERE model = 'now')""")
+def _(c):
+    i = F.col("id")
+    states = F.array(*[F.lit(x) for x in ("pending", "missing", "offline", "failed", "done", "done")])
+    b = c.faces.where(i % 2 == 0).select(
+        i.alias("face_id"), F.when(i % 6 == 0, "old").otherwise("now").alias("model"), F.lit("v1").alias("processing"), F.get(states, (i % 7 % 6).cast("int")).alias("state"), (i % 3).cast("int").alias("attempts"), F.when(i % 7 == 3, "unreadable").alias("reason"),
+    )
+    return I.seeded_backlog(b, c.faces.where(i % 5 < 3).select(i.alias("face_id")), "now", "v1")
+
+
 @query("ingest_snapshot_restore", "SELECT file_id, tag, source FROM tags")
 def _(c):
     kept = I.snapshot({"tags": c.tags}, "file_id", 12)

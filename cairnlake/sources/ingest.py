@@ -77,6 +77,21 @@ def backlog(faces: DataFrame, current: int, limit: int) -> DataFrame:
     return faces.where(F.col("version") < current).orderBy("id").limit(limit).select("id")
 
 
+def seeded_backlog(backlog: DataFrame, outdated: DataFrame, model: str, processing: str) -> DataFrame:
+    """The backlog (face_id, model, processing, state, attempts, reason) with the work that one model and processing owes.
+
+    outdated: (face_id). New ones are pending; of rows that are there, those whose file was missing or offline or that
+    failed are tried again, and done ones are opened again where they are outdated once more. Rows of others stay.
+    """
+    ours = (F.col("model") == model) & (F.col("processing") == processing)
+    due = outdated.select("face_id").distinct()
+    new = due.join(backlog.where(ours).select("face_id"), "face_id", "left_anti")
+    new = new.select("face_id", F.lit(model).alias("model"), F.lit(processing).alias("processing"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("reason"))
+    again = F.col("state").isin("missing", "offline", "failed") | ((F.col("state") == "done") & F.col("__due"))
+    old = backlog.join(due.withColumn("__due", F.lit(True)), "face_id", "left").withColumn("state", F.when(ours & F.coalesce(again, F.lit(False)), "pending").otherwise(F.col("state"))).drop("__due")
+    return old.select("face_id", "model", "processing", "state", "attempts", "reason").unionByName(new)
+
+
 def snapshot(tables: dict[str, DataFrame], column: str, value: int) -> DataFrame:
     """(name, row): the rows of one file in every table, as JSON."""
     out = None
