@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions.text import folded, tokens, word_forms
-from cairnlake.session import written
+from cairnlake.session import drop_staged, staged, written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -29,6 +32,38 @@ class TextIndex:
         return self.postings.where(F.col("term").isin(terms))
 
 
+#: Tokens of documents that are folded at a time, about.
+FOLDED = 1 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's tokens stand in one row, so its postings are made there, without a shuffle of tokens."""
+    for batch in batches:
+        sizes = batch.column("t").value_lengths().fill_null(0).to_numpy()
+        part = np.cumsum(sizes) // FOLDED
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some, n = batch.slice(a, b - a), sizes[a:b]
+            if not n.sum():
+                continue
+            words = some.column("t").flatten().dictionary_encode()
+            doc = np.repeat(np.arange(b - a), n)
+            at = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            key = doc * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # so positions rise within a posting
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            offsets = np.append(first, len(key)).astype(np.int32)
+            owner = doc[order[first]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(pa.array(key[first] % len(words.dictionary))), some.column("id").take(pa.array(owner)), pa.array(n[owner].astype(np.int32)),
+                    pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order])),
+                ],
+                names=["term", "id", "length", "tf", "at"],
+            )
+
+
 def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column) -> TextIndex:
     """The index of docs (id, text), which derive from the files at `source`; written once.
 
@@ -36,13 +71,17 @@ def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column)
     spread over files by id.
     """
 
-    def postings() -> DataFrame:
-        t = docs.select("id", tokens(folded(text)).alias("t")).select("id", F.size("t").alias("length"), F.posexplode("t").alias("p", "term"))
-        each = t.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("p")).alias("at"))
-        return each.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    made = []
 
-    found = written(spark, "postings", source, postings)
-    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tf").alias("total"))))  # one row
+    def postings() -> DataFrame:
+        each = docs.select("id", tokens(folded(text)).alias("t")).mapInArrow(_postings, "term string, id bigint, length int, tf bigint, at array<int>")
+        made.append(staged(each))  # ranges are found from a first look at all rows, which shall not make them twice
+        return made[0].repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+    found = written(spark, "postings", source, postings, version=2)
+    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tf").alias("total"))), version=2)  # one row
+    for t in made:
+        drop_staged(t)
     return TextIndex(found, facts)
 
 
