@@ -19,6 +19,12 @@ def exclusive_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.explode(F.array(F.col(a), F.col(b))).alias("node"), key.alias("key")).distinct()
 
 
+def exclusive_files(faces: DataFrame) -> DataFrame:
+    """(node, key, apart) for the faces (id, file_id) of files with several: one key for a file, and how many others it keeps a face from."""
+    several = faces.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return faces.join(several, "file_id").select(F.col("id").alias("node"), F.concat(F.lit("file|"), F.col("file_id").cast("string")).alias("key"), (F.col("n") - 1).alias("apart"))
+
+
 def constrained_components(edges: DataFrame, exclusive: DataFrame, owners: DataFrame | None = None, most: int = MOST_IN_TASK) -> DataFrame:
     """(node, component) for every node of edges (src, dst, weight), its group's least node.
 

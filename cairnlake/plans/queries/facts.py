@@ -326,19 +326,19 @@ def _(c):
 
 
 @query("text_word_forms", """
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM files WHERE id < 200)
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM files)
 SELECT w, CASE WHEN length(w) >= 4 AND NOT ends_with(w, 'ss') THEN CASE WHEN ends_with(w, 'ies') THEN w || ',' || w[:-4] || 'y' WHEN ends_with(w, 'es') THEN w || ',' || w[:-3] || ',' || w[:-2]
   WHEN ends_with(w, 's') THEN w || ',' || w[:-2] ELSE w END ELSE w END AS forms FROM w""")
 def _(c):
-    w = c.texts.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    w = c.texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
     return w.select("w", F.array_join(X.word_forms(F.col("w")), ",").alias("forms"))
 
 
 @query("text_light_stem", """
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM files WHERE id < 200)
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM files)
 SELECT w, CASE WHEN length(w) > 5 AND ends_with(w, 'ing') THEN w[:-4] WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END AS stem FROM w""")
 def _(c):
-    w = c.texts.where("id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    w = c.texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
     return w.select("w", X.light_stem(F.col("w")).alias("stem"))
 
 
@@ -378,7 +378,7 @@ def _(c):
 
 @query("text_keyphrases")
 def _(c):
-    return c.texts.where("lang = 'en'").select("id", F.array_join(X.keyphrases(F.col("text")), "; ").alias("phrases"), X.grounded_name(F.col("text")).alias("name"))
+    return c.texts.select("id", F.array_join(X.keyphrases(F.col("text")), "; ").alias("phrases"), X.grounded_name(F.col("text")).alias("name"))
 
 
 @query("text_garbled_share")

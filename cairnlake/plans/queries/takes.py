@@ -79,14 +79,14 @@ def _(c):
 
 
 _TAKES = """
-WITH t AS (SELECT id, "user" AS g, value AS sharp, (id % 17) / 16.0::DOUBLE AS faces FROM signals WHERE kind = 'click'),
+WITH t AS (SELECT id, "user" AS g, value AS sharp, (id % 17) / 16.0::DOUBLE AS faces FROM signals),
 s AS (SELECT id, g, sharp, round(0.0::DOUBLE + 0.6 * CASE WHEN max(sharp) OVER (PARTITION BY g) > 0 THEN sharp / max(sharp) OVER (PARTITION BY g) ELSE 0 END + 0.4 * CASE WHEN max(faces) OVER (PARTITION BY g) > 0 THEN faces / max(faces) OVER (PARTITION BY g) ELSE 0 END - CASE WHEN id % 5 = 0 THEN 0.05 ELSE 0 END, 4) AS total FROM t),
 r AS (SELECT id, g, total, row_number() OVER (PARTITION BY g ORDER BY total DESC, sharp DESC, id) AS rank FROM s)
 """
 
 
 def _takes(c):
-    t = c.signals.where("kind = 'click'").select("id", F.col("user").alias("g"), F.col("value").alias("sharp"), ((F.col("id") % 17) / 16.0).alias("faces"))
+    t = c.signals.select("id", F.col("user").alias("g"), F.col("value").alias("sharp"), ((F.col("id") % 17) / 16.0).alias("faces"))
     return T.take_scores(t, "g", {"sharp": 0.6, "faces": 0.4}, F.when(F.col("id") % 5 == 0, 0.05).otherwise(0.0)).select("id", "g", "total", "rank")
 
 
