@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: English function words that carry no subject; written for this engine.
-STOP_WORDS = tuple(
-    "a about after all also an and any are as at be been before but by can could did do does for from had has have he her his how i if in into is it its "
-    "just me more most my no not of on one or other our out over she so some such than that the their them then there these they this those to up us was "
-    "we were what when where which while who will with would you your".split()
+STOP_WORDS = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before", "but", "by", "can", "could", "did", "do", "does", "for", "from",
+    "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "not", "of", "on", "one",
+    "or", "other", "our", "out", "over", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to",
+    "up", "us", "was", "we", "were", "what", "when", "where", "which", "while", "who", "will", "with", "would", "you", "your",
 )
 
 
@@ -135,15 +136,15 @@ def stem_of(path: Column) -> Column:
 
 #: Names of folders that say nothing.
 GENERIC_FOLDERS = (
-    "downloads,downloaded,new folder,untitled folder,untitled,temp,tmp,misc,miscellaneous,other,others,stuff,things,files,unsorted,"
-    "desktop,dump,inbox,to sort,to-sort,import,imports,camera uploads,dcim,export,exports,screenshots,screen shots"
-).split(",")
+    "downloads", "downloaded", "new folder", "untitled folder", "untitled", "temp", "tmp", "misc", "miscellaneous", "other", "others", "stuff", "things", "files",
+    "unsorted", "desktop", "dump", "inbox", "to sort", "to-sort", "import", "imports", "camera uploads", "dcim", "export", "exports", "screenshots", "screen shots",
+)
 
 
 def generic_folder(name: Column) -> Column:
     """Folder names that say nothing: empty, dumps, numbered new folders, camera folders."""
     n = F.lower(F.trim(name))
-    return (n == "") | n.isin(GENERIC_FOLDERS) | n.rlike(r"^(new folder|untitled folder|untitled)( [0-9]+)?$") | n.rlike(r"^[0-9]{3}[a-z_]{3,5}$")
+    return (n == "") | n.isin(*GENERIC_FOLDERS) | n.rlike(r"^(new folder|untitled folder|untitled)( [0-9]+)?$") | n.rlike(r"^[0-9]{3}[a-z_]{3,5}$")
 
 
 def usable_folder(name: Column) -> Column:
@@ -155,15 +156,15 @@ def usable_folder(name: Column) -> Column:
 
 #: Tags of pictures that hold writing.
 WRITING_TAGS = (
-    "handwriting,whiteboard,blackboard,chalkboard,chalk,sticky note,notebook,notepad,note,manuscript,calligraphy,signature,journal,diary,letter,"
-    "envelope,postcard,greeting card,document,printed page,paper,receipt,bill,form,contract,certificate,recipe,list,menu,newspaper,poster,"
-    "screenshot,sign,diagram,calendar,checkbook,text,presentation,writing,write"
-).split(",")
+    "handwriting", "whiteboard", "blackboard", "chalkboard", "chalk", "sticky note", "notebook", "notepad", "note", "manuscript", "calligraphy", "signature", "journal",
+    "diary", "letter", "envelope", "postcard", "greeting card", "document", "printed page", "paper", "receipt", "bill", "form", "contract", "certificate", "recipe",
+    "list", "menu", "newspaper", "poster", "screenshot", "sign", "diagram", "calendar", "checkbook", "text", "presentation", "writing", "write",
+)
 
 
 def text_bearing(tags: Column) -> Column:
     """X11: whether any of a picture's tags says that it holds writing."""
-    return F.exists(tags, lambda t: F.trim(F.replace(F.lower(t), F.lit("_"), F.lit(" "))).isin(WRITING_TAGS))
+    return F.exists(tags, lambda t: F.trim(F.replace(F.lower(t), F.lit("_"), F.lit(" "))).isin(*WRITING_TAGS))
 
 
 def document_shape(width: Column, height: Column, has_camera: Column) -> Column:

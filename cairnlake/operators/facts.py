@@ -62,7 +62,7 @@ def keyset_page(files: DataFrame, after: int, limit: int) -> DataFrame:
 
 
 #: Folder names that mark a folder as junk whatever it holds.
-GENERIC_FOLDERS = "downloads,downloaded,desktop,unsorted,inbox,new folder,untitled,temp,tmp,misc,other,stuff,things,files".split(",")
+GENERIC_FOLDERS = ("downloads", "downloaded", "desktop", "unsorted", "inbox", "new folder", "untitled", "temp", "tmp", "misc", "other", "stuff", "things", "files")
 
 
 def folder_tiers(moves: DataFrame, library_root: str | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def folder_tiers(moves: DataFrame, library_root: str | None = None) -> DataFrame
     """
     each = moves.groupBy("folder", "category").agg(F.count(F.lit(1)).alias("n"))
     by = each.groupBy("folder").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    generic = F.lower(F.regexp_extract("folder", r"([^/\\]*)[/\\]*$", 1)).isin(GENERIC_FOLDERS)
+    generic = F.lower(F.regexp_extract("folder", r"([^/\\]*)[/\\]*$", 1)).isin(*GENERIC_FOLDERS)
     root = F.lower("folder") == library_root.lower() if library_root is not None else F.lit(False)
     tier = F.when(generic | (F.col("n") <= 2), "junk").when(~root & (F.col("top") / F.col("n") >= 0.8), "anchor").otherwise("mixed")
     return by.select("folder", "n", tier.alias("tier"))

@@ -35,7 +35,7 @@ SESSION_GAP, SESSION_FILES, OPEN_GROUPS, GROUP_FILES = 1800.0, 2000, 32, 100
 FULL_HASH_BYTES = 16 << 20
 VERSION = "related-takes-v1"
 #: Extensions of raw photos, which never stand for a shot that has another file.
-RAW = "3fr arw cr2 cr3 dng iiq nef nrw orf pef raf raw rw2 srw x3f".split()
+RAW = ("3fr", "arw", "cr2", "cr3", "dng", "iiq", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "srw", "x3f")
 
 PROPOSAL_SQL = "session string, media string, key string, relation string, file_ids array<bigint>, evidence array<string>, similarity double, captured_at double"
 
@@ -80,7 +80,7 @@ def eligible(files: DataFrame, subjects: DataFrame) -> DataFrame:
     found = kept.join(people, "id", "left").withColumn("people", F.coalesce("people", F.array().cast("array<bigint>")))
     return found.select(
         "id", F.when(F.col("kind") == "image", "photos").otherwise("videos").alias("media"), "path", F.lower(stem_of(F.col("path"))).alias("stem"),
-        F.coalesce(F.lower("extension").isin(RAW), F.lit(False)).alias("raw"), "seconds", camera.alias("camera"), F.col("v").cast("array<double>").alias("v"), "people", mark.alias("fingerprint"),
+        F.coalesce(F.lower("extension").isin(*RAW), F.lit(False)).alias("raw"), "seconds", camera.alias("camera"), F.col("v").cast("array<double>").alias("v"), "people", mark.alias("fingerprint"),
     )
 
 
@@ -254,7 +254,7 @@ def discovered_takes(files: DataFrame, decisions: DataFrame | None = None, limit
     stands last. Groups go by 0.6 * shots, twelve at most, + 0.4 * age, halved each fortnight before the newest.
     """
     some = files.where(F.col("kind").isin("image", "video") & F.col("seconds").isNotNull() & ~F.isnan("seconds") & (F.abs("seconds") < float("inf")))
-    some = some.withColumns({"media": F.when(F.col("kind") == "image", "photos").otherwise("videos"), "raw": F.coalesce(F.lower("extension").isin(RAW), F.lit(False)), "stem": F.lower(stem_of(F.col("path")))})
+    some = some.withColumns({"media": F.when(F.col("kind") == "image", "photos").otherwise("videos"), "raw": F.coalesce(F.lower("extension").isin(*RAW), F.lit(False)), "stem": F.lower(stem_of(F.col("path")))})
     rows = staged(sessions.aligned_sidecars(some.select("id", "media", "path", "stem", "raw", "seconds", "phash", "v", "content_hash", "size_bytes"), ["media"]))
     found = None
     for media, limits in (("photos", photos), ("videos", videos)):
