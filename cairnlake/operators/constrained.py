@@ -11,6 +11,8 @@ from cairnlake.session import drop_staged, staged
 
 #: Edges and keys of a connected part that one task merges in order; larger parts are merged by jobs.
 MOST_IN_TASK = 200_000
+#: A file's faces meet each other in so many parts.
+PARTS = 8
 
 
 def exclusive_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,6 +21,16 @@ def exclusive_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.explode(F.array(F.col(a), F.col(b))).alias("node"), key.alias("key")).distinct()
 
 
+def cannot_links(faces: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the faces (id, file_id) of a file. A face has one file, so rows are made distinct before
+    they meet and not after; the first faces of a file are dealt by id, so one that holds many is many tasks' work."""
+    f = faces.select("file_id", "id").where("file_id IS NOT NULL AND id IS NOT NULL").distinct()
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    x = f.select("file_id", F.col("id").alias("a"), part.alias("part"))
+    y = f.select("file_id", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return x.join(y.hint("shuffle_hash"), ["file_id", "part"]).where("a < b").select("a", "b")
+
+
 def exclusive_files(faces: DataFrame) -> DataFrame:
     """(node, key, apart) for the faces (id, file_id) of files with several: one key for a file, and how many others it keeps a face from."""
     several = faces.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
