@@ -72,7 +72,7 @@ class VectorIndex:
 
     def _changes(self, m: Manifest) -> DataFrame:
         """(id, v): the last change of each id; a null v removes it."""
-        none = self.spark.createDataFrame([], "id bigint, v array<float>, at int")
+        none = self.spark.createDataFrame([], "id bigint, v array<double>, at int")
         every = none
         for at, folder in enumerate(m.changes):
             every = every.union(self.spark.read.parquet(f"{self.path}/{folder}").select("id", "v", F.lit(at).alias("at")))
@@ -102,7 +102,7 @@ class VectorIndex:
         sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
         dealt = placed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         packed = dealt.groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r"))
-        flat = F.flatten(F.transform("r", lambda r: r["v"])).cast("array<float>")
+        flat = F.flatten(F.transform("r", lambda r: r["v"]))
         packed.select("list", "block", F.transform("r", lambda r: r["id"]).alias("ids"), flat.alias("flat")).write.parquet(f"{self.path}/{folder}/blocks")
         n = self.spark.read.parquet(f"{self.path}/{folder}/blocks").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
         probes = len(centers) if n <= self.exact or not n else probes_for(real, centers, self.k, self.recall)
@@ -115,7 +115,7 @@ class VectorIndex:
             return self.build(changes.where("v IS NOT NULL"))
         folder = f"changes-{uuid.uuid4().hex}"
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-        unit = F.transform("v", lambda x: (x / F.when(length > 0, length).otherwise(1.0)).cast("float"))
+        unit = F.transform("v", lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
         last = changes.where("id IS NOT NULL").groupBy("id").agg(F.any_value("v").alias("v"))
         last.select("id", F.when(F.size("v") > 0, unit).alias("v")).write.parquet(f"{self.path}/{folder}")
         m = self._commit(replace(m, number=m.number + 1, changes=(*m.changes, folder)))
@@ -166,7 +166,7 @@ def _scored(k: int):
                 if gone.is_valid:
                     live = ~np.isin(ids, gone.values.to_numpy(zero_copy_only=False))
                     ids, x = ids[live], x[live]
-                s = np.round(y @ x.T, 6)  # lists hold 32-bit numbers
+                s = np.round(y @ x.T, 6)
                 order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]  # ids rise within a block
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query", "id", "score"])
 

@@ -71,3 +71,11 @@ def test_writers_and_odd_rows(spark, tmp_path):
     empty = V.VectorIndex(spark, str(tmp_path / "k"))
     assert empty.build(spark.createDataFrame([], "id long, v array<double>")).n == 0
     assert empty.search(spark.createDataFrame([(1, [1.0])], "id long, v array<double>")).collect() == [] and empty.vectors().count() == 0
+
+
+def test_lists_and_changes_keep_doubles(spark, tmp_path):
+    rows = [(i, [1.0, 1e-9 * i]) for i in range(1, 5)]
+    index = V.VectorIndex(spark, str(tmp_path / "d"), exact=2**62)
+    index.build(spark.createDataFrame(rows[:2], "id long, v array<double>"))
+    index.update(spark.createDataFrame(rows[2:], "id long, v array<double>"))
+    assert {r.id: r.v[1] for r in index.vectors().collect()} == pytest.approx({i: v[1] for i, v in rows}, rel=1e-12)
