@@ -11,6 +11,8 @@ from cairnlake.session import drop_staged, staged
 
 #: Edges and keys of a connected part that one task merges in order; larger parts are merged by jobs.
 MOST_IN_TASK = 200_000
+#: Edges of a larger part that are merged at a time, in order.
+BAND = 100_000
 #: A file's faces meet each other in so many parts.
 PARTS = 8
 
@@ -46,10 +48,12 @@ def constrained_components(edges: DataFrame, exclusive: DataFrame, owners: DataF
     one key of two nodes, and all faces of a file one key, without their pairs.
 
     Connected parts in which nothing is kept apart are groups as they are. Of the others, a part of `most` edges and
-    keys at most is merged in order by one task, and larger ones in rounds: a group that may meet every other takes its
-    first edge, and two others merge where it is the first edge of both. No later edge of the pass can change such a
-    merge, and none before it touches it, so rounds give the groups of the pass; edges between groups that may not meet
-    are dropped as soon as they are, and are never wanted again.
+    keys at most is merged in order by one task. Edges of larger ones are taken in bands of BAND by the same order, each
+    between the groups that the bands before it left: the pass stands there too, and the connected parts of a band do not
+    touch each other, so each is merged by a task. Where a band's part has more than `most` edges and keys it is merged
+    in rounds: a group that may meet every other takes its first edge, and two others merge where it is the first edge
+    of both. No later edge of the pass can change such a merge, and none before it touches it, so rounds give the groups
+    of the pass; edges between groups that may not meet are dropped as soon as they are, and are never wanted again.
 
     Null ends, loops and edges without weight are left out; of repeated edges the heaviest counts; no edges give no rows.
     """
@@ -80,10 +84,54 @@ def constrained_components(edges: DataFrame, exclusive: DataFrame, owners: DataF
     out = parts.join(contested, "component", "left_anti").select("node", "component")
     out = out.union(rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(_in_order, f"node {node}, component {node}"))
     if not large.isEmpty():
-        out = out.union(_in_rounds(parts.join(large, "component", "left_semi").select("node"), rows.join(large, "component", "left_semi")))
+        out = out.union(_in_bands(parts.join(large, "component", "left_semi").select("node"), rows.join(large, "component", "left_semi"), most))
     return out
 
 
+def _in_bands(nodes: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(node, component): parts merged band by band of their edges in order; a band is a few written tables, of the groups that it touches."""
+    groups = staged(nodes.select("node", F.col("node").alias("g")))
+    keys, own = (staged(rows.where(f"kind = {k}").select(F.col("u").alias("node"), "key")) for k in (1, 2))
+    edges = rows.where("kind = 0").select("u", "v", "w")
+    # bounds of bands from the counts of weights; equal weights are parted by their nodes
+    ordered = staged(edges.repartitionByRange(F.col("w").desc(), "u", "v").sortWithinPartitions(F.col("w").desc(), "u", "v").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = sorted((x.p, x.n) for x in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    spark = nodes.sparkSession
+    starts = spark.createDataFrame(before or [(0, 0)], "p bigint, start bigint")
+    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    banded = staged(ordered.withColumn("p", part).join(F.broadcast(starts), "p").select("u", "v", "w", place.alias("k"), F.floor(place / BAND).alias("band")))
+    for band in range(-(-total // BAND)):
+        of = lambda c, x: groups.select(F.col("node").alias(c), F.col("g").alias(x))  # noqa: E731, B023
+        live = banded.where(F.col("band") == band).join(of("u", "x"), "u").join(of("v", "y"), "v").where("x <> y")
+        # the first of several edges of two groups decides; its place in the pass stands for its weight
+        live = staged(live.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg((-F.min("k")).cast("double").alias("w")))
+        linked = staged(components(live, "u", "v"))
+        held = lambda t: t.join(of("node", "u"), "node").select("u", "key").distinct().join(linked.withColumnRenamed("node", "u"), "u")  # noqa: E731, B023
+        null = lambda t: F.lit(None).cast(t)
+        node = dict(linked.dtypes)["node"]
+        all_ = live.join(linked.withColumnRenamed("node", "u"), "u").select("component", F.lit(0).alias("kind"), "u", "v", "w", null("string").alias("key"))
+        for kind, t in ((1, keys), (2, own)):
+            all_ = all_.union(held(t).select("component", F.lit(kind).alias("kind"), "u", null(node).alias("v"), null("double").alias("w"), "key"))
+        all_ = staged(all_)
+        large = staged(all_.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"))
+        merged = all_.join(large, "component", "left_anti").groupBy("component").applyInPandas(_in_order, f"node {node}, component {node}")
+        if not large.isEmpty():
+            merged = merged.union(_in_rounds(linked.join(large, "component", "left_semi").select("node"), all_.join(large, "component", "left_semi")))
+        merged = merged.select(F.col("node").alias("g"), F.col("component").alias("h"))
+        after = staged(groups.join(merged, "g", "left").select("node", F.coalesce("h", "g").alias("g")))
+        for t in (groups, live, linked, all_, large):
+            drop_staged(t)
+        groups = after
+    for t in (keys, own, ordered, banded):
+        drop_staged(t)
+    return groups.select("node", F.col("g").alias("component"))
+
+
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     """One part merged by a pass over its edges in order."""
     edges = rows[rows.kind == 0].sort_values(["w", "u", "v"], ascending=[False, True, True])
