@@ -57,6 +57,11 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def spaced_tokens(x: Column) -> Column:
+    """The same runs in one string, parted by spaces."""
+    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")
+
+
 def word_forms(w: Column) -> Column:
     """A word and its likely singulars, for words of four letters or more."""
     long = (F.length(w) >= 4) & ~w.endswith("ss")

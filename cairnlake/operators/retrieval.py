@@ -9,77 +9,187 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.functions.text import folded, tokens, word_forms
+from cairnlake.functions.text import folded, spaced_tokens, word_forms
 from cairnlake.session import drop_staged, staged, written
 
 K1, B = 1.2, 0.75
 RRF = 60
 
 
+#: Bytes of text whose postings are folded together, and of packed postings that are opened together, about.
+FOLDED, OPENED = 8 << 20, 1 << 20
+PACKED_SQL = "term string, first bigint, docs int, tokens bigint, ids binary, lengths binary, tfs binary, ats binary"
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (term, id, tf, length, at) in the order of terms, and how many documents and tokens there are (n, total)."""
+    """Postings in the order of terms, and how many documents and tokens there are (n, total).
+
+    A row packs a term's postings in some MB of text: `docs` documents of which `first` is the least id, `tokens` in
+    all, and as varints the steps of ids, lengths, numbers of tokens, and steps of positions.
+    """
 
     postings: DataFrame
     facts: DataFrame
 
-    def of(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms: files hold ranges of terms, so only those of the wanted ones are read."""
-        return self.postings.where(F.col("term").isin(terms))
+    def of(self, terms: list[str], positions: bool = True) -> DataFrame:
+        """(term, id, length, tf, at) of some terms: files hold ranges of terms, so only those of the wanted ones are read."""
+        columns = ["term", "first", "docs", "ids", "lengths", "tfs", *["ats"] * positions]
+        found = self.postings.where(F.col("term").isin(terms)).select(*columns)
+        return found.mapInArrow(_opened, "term string, id bigint, length int, tf bigint" + ", at array<int>" * positions)
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers in seven bits a byte, the lowest first, a high bit on all but a number's last byte; and where each begins."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
+    for shift in range(7, 64, 7):
+        size += (values >> np.uint64(shift)) > 0
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.uint8)
+    for k in range(size.max(initial=0)):
+        some = np.flatnonzero(size > k)
+        out[at[some] + k] = ((values[some] >> np.uint64(7 * k)) & np.uint64(127)) | ((size[some] > k + 1) * np.uint64(128))
+    return out, at
+
+
+def numbers(data: np.ndarray) -> np.ndarray:
+    """The numbers that varints() packed."""
+    last = np.flatnonzero(data < 128)
+    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    size = last - start + 1
+    out = np.zeros(len(last), np.uint64)
+    for k in range(size.max(initial=0)):
+        some = np.flatnonzero(size > k)
+        out[some] |= (data[start[some] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings or binaries end to end, and where each begins; nulls have none."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the value before, but values as they are where a group begins."""
+    before = np.concatenate([[0], values[:-1]]).astype(values.dtype)
+    before[first] = 0
+    return values - before
+
+
+def _sums(steps: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of a group's steps so far; groups begin at `first` and have n of them."""
+    total = np.cumsum(steps, dtype=steps.dtype)
+    return total - np.repeat(total[first] - steps[first], n)
+
+
+def _folded(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()  # so ids rise within a term, nulls at the end
+    ids, text = (rows.column(c).chunk(0) for c in ("id", "text"))
+    data, starts_of = _bytes(text)
+    held = data != 32
+    edges = np.concatenate([[False], held, [False]])
+    turns = np.flatnonzero(edges[1:] != edges[:-1]).astype(np.int32)
+    starts, ends = turns[::2], turns[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[held])).dictionary_encode()
+    bounds = np.searchsorted(starts, starts_of)  # a document's words
+    lengths = np.diff(bounds)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+    at = np.arange(len(starts), dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), lengths)
+    term = words.indices.to_numpy()
+    order = np.argsort(term, kind="stable")  # documents and positions rise within a term
+    term, doc, at = term[order], doc[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else term
+    tf = np.diff(np.append(first, len(term)))
+    of, owner = term[first], doc[first]
+    none = ids.is_null().to_numpy(zero_copy_only=False)[owner]
+    row = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (none[1:] != none[:-1])])) if len(of) else first
+    cuts = np.append(row, len(of))
+    number = ids.fill_null(0).to_numpy()[owner]
+    step = _steps(number.view(np.uint64), row)
+    step[row] = 0
+
+    def packed(values: np.ndarray, groups: np.ndarray) -> pa.Array:
+        out, begins = varints(values)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(begins[groups].astype(np.int32)), pa.py_buffer(out)])
+
+    positions = np.append(first, len(term))[cuts]
+    return pa.RecordBatch.from_arrays(
+        [
+            words.dictionary.take(pa.array(of[row])), pa.array(number[row], mask=none[row]), pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.diff(positions)),
+            packed(step, cuts), packed(lengths[owner], cuts), packed(tf, cuts), packed(_steps(at, first), positions),
+        ],
+        names=[c.split()[0] for c in PACKED_SQL.split(", ")],
+    )
+
+
+def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `most` bytes in a column."""
+    part = _bytes(batch.column(column))[1][:-1] // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
-#: Tokens of documents that are folded at a time, about.
-FOLDED = 1 << 20
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings of documents (id, text), whose words are parted by spaces: made in the task, without a shuffle of tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for some in _parts(batch, "text", FOLDED):
+            held.append(some)
+            size += len(_bytes(some.column("text"))[0])
+            if size >= FOLDED:
+                yield _folded(pa.Table.from_batches(held))
+                held, size = [], 0
+    if size:
+        yield _folded(pa.Table.from_batches(held))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's tokens stand in one row, so its postings are made there, without a shuffle of tokens."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = batch.column("t").value_lengths().fill_null(0).to_numpy()
-        part = np.cumsum(sizes) // FOLDED
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            some, n = batch.slice(a, b - a), sizes[a:b]
-            if not n.sum():
+        positions = "ats" in batch.schema.names
+        for some in _parts(batch, "ats" if positions else "ids", OPENED):
+            if not some.num_rows:
                 continue
-            words = some.column("t").flatten().dictionary_encode()
-            doc = np.repeat(np.arange(b - a), n)
-            at = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            key = doc * len(words.dictionary) + words.indices.to_numpy()
-            order = np.argsort(key, kind="stable")  # so positions rise within a posting
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            offsets = np.append(first, len(key)).astype(np.int32)
-            owner = doc[order[first]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    words.dictionary.take(pa.array(key[first] % len(words.dictionary))), some.column("id").take(pa.array(owner)), pa.array(n[owner].astype(np.int32)),
-                    pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order])),
-                ],
-                names=["term", "id", "length", "tf", "at"],
-            )
+            n = some.column("docs").to_numpy()
+            row, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            ids, lengths, tfs = (numbers(_bytes(some.column(c))[0]) for c in ("ids", "lengths", "tfs"))
+            first = some.column("first")
+            ids = _sums(ids, begin, n) + first.fill_null(0).to_numpy().view(np.uint64)[row]
+            none = first.is_null().to_numpy(zero_copy_only=False)[row]
+            out = {"term": some.column("term").take(pa.array(row)), "id": pa.array(ids.view(np.int64), mask=none), "length": pa.array(lengths.astype(np.int32)), "tf": pa.array(tfs.astype(np.int64))}
+            if positions:
+                offsets = np.concatenate([[0], np.cumsum(tfs)]).astype(np.int32)
+                at = _sums(numbers(_bytes(some.column("ats"))[0]), offsets[:-1], np.diff(offsets))
+                out["at"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(out)
 
 
 def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column) -> TextIndex:
     """The index of docs (id, text), which derive from the files at `source`; written once.
 
-    Terms are folded to lower case without accents; `at` are positions. A term in a third of all documents is
-    spread over files by id.
+    Terms are folded to lower case without accents; `at` are positions. Only packed postings are written and shuffled,
+    some bytes a token, so a term in all documents is a row for each FOLDED bytes of text, spread by ids.
     """
 
     made = []
 
     def postings() -> DataFrame:
-        each = docs.select("id", tokens(folded(text)).alias("t")).mapInArrow(_postings, "term string, id bigint, length int, tf bigint, at array<int>")
-        made.append(staged(each))  # ranges are found from a first look at all rows, which shall not make them twice
-        return made[0].repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        spaced = F.concat(spaced_tokens(folded(text)), F.lit(" "))
+        made.append(staged(docs.select("id", spaced.alias("text")).mapInArrow(_postings, PACKED_SQL)))  # ranges are found from a first look at all rows, which shall not make them twice
+        return made[0].repartitionByRange("term", "first").sortWithinPartitions("term", "first")
 
-    found = written(spark, "postings", source, postings, version=2)
-    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tf").alias("total"))), version=2)  # one row
+    found = written(spark, "postings", source, postings, version=3)
+    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tokens").alias("total"))), version=3)  # one row
     for t in made:
         drop_staged(t)
     return TextIndex(found, facts)
@@ -88,7 +198,7 @@ def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column)
 def bm25(index: TextIndex, terms: list[str]) -> DataFrame:
     """(id, score) of documents that hold all terms; idf is ln(1 + (N - n + 0.5) / (n + 0.5)). Only the terms' postings are read."""
     wanted = list(dict.fromkeys(t.lower() for t in terms))
-    own = index.of(wanted)
+    own = index.of(wanted, positions=False)
     counts = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(wanted)]
     found = own.groupBy("id", "length").agg(*counts)
     frequencies = own.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(wanted)])
@@ -112,7 +222,7 @@ def phrase_hits(index: TextIndex, raw: str) -> DataFrame:
     wanted = phrases(raw)
     terms = sorted({t for p in wanted for t in p})
     if not wanted:
-        return index.postings.select("id").where("false")
+        return index.of([], positions=False).select("id")
     at = {t: f"at{i}" for i, t in enumerate(terms)}
     found = index.of(terms).groupBy("id").agg(*[F.first(F.when(F.col("term") == t, F.col("at")), ignorenulls=True).alias(c) for t, c in at.items()])
     found = found.where(" AND ".join(f"{c} IS NOT NULL" for c in at.values()))
@@ -142,7 +252,7 @@ def subject_ids(index: TextIndex, groups: list[list[str]]) -> DataFrame:
     words = sorted({w for g in groups for w in g})
     spark = index.postings.sparkSession
     forms = {r.w: r.f for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", word_forms(F.col("w")).alias("f")).collect()}
-    own = index.of(sorted({f for x in forms.values() for f in x}))
+    own = index.of(sorted({f for x in forms.values() for f in x}), positions=False)
     met = own.groupBy("id").agg(*[F.max(F.col("term").isin(forms[w])).alias(f"w{i}") for i, w in enumerate(words)])
     match = reduce(Column.__or__, [reduce(Column.__and__, [F.col(f"w{words.index(w)}") for w in g]) for g in groups])
     return met.where(match).select("id")
