@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cairnlake.functions.vectors import unit
@@ -39,8 +40,9 @@ def fit_centers(vectors: DataFrame, lists: int | None = None, rounds: int = 8, s
     return c
 
 
-def assigned(vectors: DataFrame, centers: np.ndarray, probes: int = 1) -> DataFrame:
-    """(id, v, list): each vector with its nearest lists; centres travel with the tasks, MOST_LISTS at most."""
+def assigned(vectors: DataFrame, centers: np.ndarray, probes: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """(id, v, *keep, list): each vector with its nearest lists; centres travel with the tasks, MOST_LISTS at most."""
+    some = vectors.select("id", unit(F.col("v")).alias("v"), *(keep or []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches:
@@ -51,7 +53,7 @@ def assigned(vectors: DataFrame, centers: np.ndarray, probes: int = 1) -> DataFr
             order = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n]
             yield f.take(pa.array(np.repeat(np.arange(f.num_rows), n))).append_column("list", pa.array(order.ravel().astype(np.int32)))
 
-    return vectors.select("id", unit(F.col("v")).alias("v")).mapInArrow(run, "id bigint, v array<double>, list int")
+    return some.mapInArrow(run, StructType([*some.schema.fields, StructField("list", IntegerType())]))
 
 
 def probes_for(vectors: DataFrame, centers: np.ndarray, k: int, recall: float = 0.95, sample: int = 128) -> int:
