@@ -8,10 +8,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from cairnlake.session import bounded_batches
+
 #: English function words that carry no subject; written for this engine.
 STOP_WORDS = (
     "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before", "but", "by", "can", "could", "did", "do", "does", "for", "from",
@@ -241,20 +244,30 @@ def rake_phrases(text: str, most: int = 8) -> list[tuple[str, float]]:
     return sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:most]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def keyphrases(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: [p for p, _ in rake_phrases(t)])
+#: Characters of text whose phrases are held at a time, about.
+HELD = 1 << 20
 
 
-@F.pandas_udf(StringType())
-def grounded_name(x: pd.Series) -> pd.Series:
-    """A file name of three to five keyword words, joined by hyphens; null if there are too few."""
+def _phrases_and_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """X06, X07 for (id, text): phrases, and a file name of three to five of their words, joined by hyphens; null if there are too few."""
+    for batch in batches:
+        held, size = [], 0
+        for i in range(batch.num_rows):
+            text = batch.column("text")[i].as_py()
+            phrases = [p for p, _ in rake_phrases(text)]
+            words = list(dict.fromkeys(w for p in phrases for w in p.split()))[:5]
+            held.append((batch.column("id")[i].as_py(), phrases, "-".join(words) if len(words) >= 3 else None))
+            size += len(text or "")
+            if size >= HELD or i + 1 == batch.num_rows:
+                kinds = (pa.int64(), pa.list_(pa.string()), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["id", "phrases", "name"])
+                held, size = [], 0
 
-    def one(t: str) -> str | None:
-        words = list(dict.fromkeys(w for p, _ in rake_phrases(t) for w in p.split()))[:5]
-        return "-".join(words) if len(words) >= 3 else None
 
-    return x.map(one)
+def phrases_and_names(texts: DataFrame) -> DataFrame:
+    """(id, phrases, name) of (id, text); each text is read once for both, and few are held at a time."""
+    bounded_batches(texts.sparkSession)
+    return texts.select("id", "text").mapInArrow(_phrases_and_names, "id bigint, phrases array<string>, name string")
 
 
 _STEP1 = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))

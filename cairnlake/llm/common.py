@@ -7,29 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnlake.session import staged
+from cairnlake.session import bounded_batches, staged  # noqa: F401
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of an Arrow batch that goes to a Python worker; Spark's own limit of 64 MB is held several times over.
-ARROW_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of this session to ARROW_BYTES, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if now and int(now[1]) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
-
-
 def words_of(text: str | None) -> list[str]:
     """The words of a text; null has none."""
     return WORD.findall(text) if text else []

@@ -378,7 +378,7 @@ def _(c):
 
 @query("text_keyphrases")
 def _(c):
-    return c.texts.select("id", F.array_join(X.keyphrases(F.col("text")), "; ").alias("phrases"), X.grounded_name(F.col("text")).alias("name"))
+    return X.phrases_and_names(c.texts).select("id", F.array_join("phrases", "; ").alias("phrases"), "name")
 
 
 @query("text_garbled_share")
