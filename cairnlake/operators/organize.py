@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cairnlake.functions.text import base_name, generic_folder, name_tokens, safe_component, tokens, usable_folder
 from cairnlake.operators.filters import moment, taken
 from cairnlake.operators.similarity import centroids
+from cairnlake.session import staged
 
 
 #: A time up to a day after the epoch is no date.
@@ -102,19 +103,35 @@ def boosted(moves: DataFrame, weights: DataFrame, least: int = HABIT) -> DataFra
     return moves.join(known, "id", "left").withColumn("confidence", F.when(F.col("__habit"), "auto").otherwise(F.col("confidence"))).drop("__habit")
 
 
-def group_names(tokens: DataFrame, most: int = 2) -> DataFrame:
+def group_names(files: DataFrame, most: int = 2) -> DataFrame:
     """(group, name): words that mark a group, in title case: those of its files that few files of all have.
 
-    tokens: (group, id, token), of all files. A word's score is the share of the group's files that have it, times
-    ln(files / files that have it); words of every file score nothing, and a group without others has a null name.
+    files: (group, id, tokens), of all files; tokens: an array of words. A word's score is the share of the group's files
+    that have it, times ln(files / files that have it); words of every file score nothing, and a group without others has
+    a null name. Files without words do not count.
+
+    Words are counted where a file's row is, so a count for each word and task is shuffled and not a row for each word and
+    file. Only the words of ids that have several rows are made distinct over rows.
     """
-    once = tokens.distinct()
-    of = once.select("group", "id").distinct()
-    size = of.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    total = of.agg(F.countDistinct("id").alias("total"))
-    df = once.groupBy("token").agg(F.countDistinct("id").alias("df"))
-    tf = once.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"))
-    score = F.round(F.col("n") / F.col("size") * F.log(F.col("total") / F.col("df")), 9)
+    repeated = staged(files.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of"))
+    again = not repeated.isEmpty()
+    some = lambda how: files.join(repeated, F.col("id").eqNullSafe(F.col("of")), how) if again else files
+    words = lambda how: some(how).select("group", "id", F.posexplode(F.array_distinct("tokens")).alias("at", "token"))
+    n, ids = F.count(F.lit(1)).alias("n"), F.count("id")
+    # a file counts where the first of its words stands
+    counts = staged(words("left_anti").groupBy("group", "token").agg(n, ids.alias("df"), F.count(F.when(F.col("at") == 0, F.col("id"))).alias("files")))
+    tf, df = counts.select("group", "token", "n"), counts.select("token", "df")
+    size = counts.groupBy("group").agg(F.sum("files").alias("size"))
+    total = counts.select(F.sum("files").alias("total"))
+    if again:
+        several = staged(words("left_semi").select("group", "id", "token").distinct())
+        files_of = several.select("group", "id").distinct()
+        tf = tf.union(several.groupBy("group", "token").agg(n)).groupBy("group", "token").agg(F.sum("n").alias("n"))
+        df = df.union(several.select("id", "token").distinct().groupBy("token").agg(ids.alias("df")))
+        size = size.union(files_of.groupBy("group").agg(ids.alias("size"))).groupBy("group").agg(F.sum("size").alias("size"))
+        total = total.union(files_of.agg(F.countDistinct("id").alias("total"))).agg(F.sum("total").alias("total"))
+    df = df.groupBy("token").agg(F.sum("df").alias("df"))
+    score = F.round(F.col("n") / F.nullif("size", F.lit(0)) * F.log(F.col("total") / F.nullif("df", F.lit(0))), 9)
     scored = tf.join(df, "token").join(size, "group").join(F.broadcast(total), F.lit(True)).withColumn("s", score).where("s > 0")
     r = F.row_number().over(Window.partitionBy("group").orderBy(F.col("s").desc(), "token"))
     best = scored.withColumn("r", r).where(F.col("r") <= most).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("r", "token"))).alias("words"))
@@ -147,8 +164,8 @@ def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, leas
     rest = vectors.join(best.select("id"), "id", "left_anti")
     pairs = cosine_pairs(rest, alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    tokens = files.select("id", F.explode(F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
-    words = tokens.join(groups, "id", "left").select(F.coalesce("group", F.lit(-1)).alias("group"), "id", "token")
+    tokens = files.select("id", F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    words = tokens.join(groups, "id", "left").select(F.coalesce("group", F.lit(-1)).alias("group"), "id", "tokens")
     named = groups.join(group_names(words, 2), "group", "left")
     return routed.unionByName(named.select("id", F.concat(F.lit("New/"), F.coalesce("name", F.lit("group"))).alias("destination"), F.lit("group").alias("why")))
 

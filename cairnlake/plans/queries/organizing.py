@@ -83,7 +83,7 @@ x AS (SELECT g, token, count(*) / (SELECT count(DISTINCT id) FROM f z WHERE z.g
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(s, 9) DESC, token) AS r FROM x WHERE round(s, 9) > 0)
 SELECT g AS "group", (SELECT string_agg(upper(token[1]) || token[2:], ' ' ORDER BY r) FROM r WHERE r.g = n.g AND r <= 2) AS name FROM (SELECT DISTINCT g FROM f) n""")
 def _(c):
-    t = c.texts.select(F.col("source").alias("group"), "id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("token")).where("length(token) >= 4")
+    t = c.texts.select(F.col("source").alias("group"), "id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("tokens"))
     return O.group_names(t)
 
 
