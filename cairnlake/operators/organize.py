@@ -153,7 +153,7 @@ def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, leas
     pairs), named by the words that mark them. folders: (id, folder); vectors: (id, v).
     """
     from cairnlake.operators.graph import components
-    from cairnlake.operators.similarity import cosine_pairs, two_nearest
+    from cairnlake.operators.similarity import cosine_forest, two_nearest
 
     member = vectors.join(folders, "id")
     numbered = folders.select("folder").distinct().select("folder", F.xxhash64("folder").alias("key"))
@@ -162,8 +162,7 @@ def semantic_plan(files: DataFrame, vectors: DataFrame, folders: DataFrame, leas
     routed = best.join(numbered.withColumnRenamed("key", "center"), "center").join(folders.withColumnRenamed("folder", "here"), "id", "left")
     routed = routed.where(F.col("here").isNull() | (F.col("here") != F.col("folder"))).select("id", F.col("folder").alias("destination"), F.lit("prototype").alias("why"))
     rest = vectors.join(best.select("id"), "id", "left_anti")
-    pairs = cosine_pairs(rest, alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    groups = components(cosine_forest(rest, alike)).select(F.col("node").alias("id"), F.col("component").alias("group"))
     tokens = files.select("id", F.regexp_extract_all(F.lower("stem"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
     words = tokens.join(groups, "id", "left").select(F.coalesce("group", F.lit(-1)).alias("group"), "id", "tokens")
     named = groups.join(group_names(words, 2), "group", "left")
