@@ -26,7 +26,7 @@ from cairnlake.llm.batches import CODES_SQL, SENT_SQL, answered, answers_by_batc
 from cairnlake.llm.common import small_batches
 from cairnlake.llm.simhash import shingle_hashes
 from cairnlake.operators.graph import components
-from cairnlake.session import drop_staged, staged
+from cairnlake.session import drop_staged, released, staged
 
 SHINGLE = 5
 #: Texts whose shingles are counted for the order, and frequent shingles that are remembered; neither changes a result.
@@ -216,6 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFra
     out = staged(met.select("src", "dst", "x", "y").mapInArrow(_similar, "src bigint, dst bigint"))
     for done in (pairs, possible, ends, sets):
         drop_staged(done)
+    released(texts.sparkSession)
     return out
 
 
@@ -244,6 +245,7 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     shared = met.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("h")
     near = staged(met.join(shared, "h"))
     drop_staged(met)
+    released(rows.sparkSession)
     # one text of each shingle stands for all that hold it
     where = F.struct(F.xxhash64("node"), "node", "c", "n")
     star = near.join(near.groupBy("h").agg(F.min(where).alias("one")), "h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.session import drop_staged, staged
+from cairnlake.session import drop_staged, released, staged
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -24,12 +24,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _signature(e)
+    spark, before = e.sparkSession, _signature(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: every greater neighbour of u is linked to the least of u and its neighbours
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: every greater neighbour of u is linked to the least of u and its neighbours; a row for each edge
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its lesser neighbours are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -43,6 +43,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         now = _signature(new)
         drop_staged(e)
         e = new
+        released(spark)
         if now == before:
             break
         before = now

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -146,3 +147,13 @@ def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged() frame that no pending plan reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _drop(df.sparkSession, folder)
+
+
+def released(spark: SparkSession) -> None:
+    """Let go of shuffles, broadcasts and plans that nothing holds any more, between the steps of a loop.
+
+    Spark frees them when the driver collects its garbage, which a driver that only plans small jobs puts off until
+    its heap is full.
+    """
+    gc.collect()  # Python's frames hold the plans
+    spark.sparkContext._jvm.System.gc()
