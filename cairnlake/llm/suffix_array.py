@@ -42,8 +42,8 @@ WINDOW = 50
 GRAM = 16
 #: Patches of a name beyond which they are split by second anchors.
 HOT = 4096
-#: Bytes of text whose windows are looked at at once.
-PIECE = 1 << 20
+#: Bytes of text whose windows are looked at at once; arrays of eight bytes each stay in a core's cache.
+PIECE = 1 << 18
 #: Bytes that are sorted at once; ranks take 21 bits.
 MOST_SORTED = 1 << 18
 
@@ -55,20 +55,30 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         raise ValueError(f"{n} symbols are sorted at once; ranks take 21 bits")
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int64)
-    t = np.zeros(n + 4, dtype=np.int64)
-    t[:n] = s
     # sampled positions; if n is 1 modulo 3 the empty suffix at n separates the two halves
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    wide = int(t.max()) + 1
+    wide = int(s.max()) + 1
+    # names are of triples, and of longer stretches where more symbols fit in a key: their order is that of the suffixes too
+    most = max([3, *(k for k in range(4, 9) if wide**k < 1 << 63)])
+    t = np.zeros(n + most + 1, dtype=np.int64)
+    t[:n] = s
     if wide <= 1 << 21:
-        keys = (t[sample] * wide + t[sample + 1]) * wide + t[sample + 2]
-        kinds, names = np.unique(keys, return_inverse=True)
+        keys = t[sample]
+        for k in range(1, most):
+            keys = keys * wide + t[sample + k]
+        order = np.argsort(keys)
+        new = np.concatenate([[True], np.diff(keys[order]) != 0])
+        names = np.empty(len(sample), dtype=np.int64)
+        names[order] = np.cumsum(new)
+        alike = not new.all()
     else:
         kinds, names = np.unique(np.stack([t[sample], t[sample + 1], t[sample + 2]], axis=1), axis=0, return_inverse=True)
-        names = names.ravel()
-    order = np.argsort(names, kind="stable") if len(kinds) == len(sample) else suffix_array(names + 1)
+        names = names.ravel() + 1
+        order, alike = np.argsort(names, kind="stable"), len(kinds) < len(sample)
+    if alike:
+        order = suffix_array(names)
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample[order]] = np.arange(1, len(order) + 1)
     sampled = sample[order]
@@ -76,7 +86,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     base = len(order) + 2
     zero = np.arange(0, n, 3)
     key = t[zero] * base + rank[zero + 1]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)  # no two are equal
     zero, key = zero[by], key[by]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.searchsorted(t[ones] * base + rank[ones + 1], key)
@@ -97,7 +107,7 @@ def repeated_starts(strings: list[bytes], window: int = WINDOW) -> tuple[np.ndar
     data = np.frombuffer(b"".join(x + b"\xff" for x in strings), dtype=np.uint8)  # no UTF-8 text holds this byte
     sa = suffix_array(data.astype(np.int64) + 1)
     owner = np.repeat(np.arange(len(strings)), sizes)
-    sa = sa[(sa - begin[owner[sa]]) + window < sizes[owner[sa]]]
+    sa = sa[(np.arange(len(data)) < np.repeat(begin + sizes - window, sizes))[sa]]
     # neighbours' windows are compared eight bytes at a time
     eight = np.ndarray(len(data), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     same = np.ones(max(len(sa) - 1, 0), dtype=bool)
@@ -114,8 +124,8 @@ def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, ((mix(hashes) >> np.uint64(32)) << np.uint64(32)) | at.astype(np.uint64)
 
 
-def _patches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, end, name, anchor, hash) of the patches of texts starts..ends in data; the hash is of the bytes and the anchor's place."""
+def _patches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, start, end, name, anchor, hash) of the patches of texts starts..ends in data; the hash is of the bytes and the anchor's place, or not made."""
     count = np.maximum(ends - WINDOW - starts + 1, 0)
     if not count.sum():
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64))
@@ -131,28 +141,28 @@ def _patches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     final = np.concatenate([begin[1:], [len(start)]]) - 1
     text, a, b, anchor = text[begin], start[begin], start[final] + WINDOW, anchor[begin]
-    return text, a, b, hashes[anchor], anchor, _whole(data, a, b, anchor - a)
+    return text, a, b, hashes[anchor], anchor, _whole(data, a, b, anchor - a) if whole else hashes[:0]
 
 
 def _whole(data: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(Spans(byte_values(data), 0x2545F4914F6CDD1D)(a, b) + place.astype(np.uint64))
 
 
-def patches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, start, end, name, anchor, hash): the patches of joined texts; start, end and anchor are bytes of data.
+def patches(data: np.ndarray, bounds: np.ndarray, whole: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, start, end, name, anchor, hash): the patches of joined texts; start, end and anchor are bytes of data. Without whole there are no hashes.
 
     Windows start at start..end - WINDOW; every window of every text is in exactly one patch.
     """
     found = []
     for doc, starts, ends in pieces(bounds[:-1], bounds[1:] - 1, PIECE, WINDOW - 1):
         lo = starts[0]
-        text, a, b, name, anchor, whole = _patches(data[lo : ends[-1]], starts - lo, ends - lo)
-        found.append((doc + text, a + lo, b + lo, name, anchor + lo, whole))
+        text, a, b, name, anchor, hashed = _patches(data[lo : ends[-1]], starts - lo, ends - lo, whole)
+        found.append((doc + text, a + lo, b + lo, name, anchor + lo, hashed))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else _patches(data, bounds[:0], bounds[:0])
 
 
 def _names(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return patches(data, bounds)[3]
+    return patches(data, bounds, whole=False)[3]
 
 
 def split_patches(data: np.ndarray, a: np.ndarray, b: np.ndarray, name: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
