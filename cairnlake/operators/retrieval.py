@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnlake.functions.text import folded, spaced_tokens, word_forms
-from cairnlake.session import drop_staged, staged, written
+from cairnlake.session import written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -23,32 +24,39 @@ RRF = 60
 
 #: Bytes of text whose postings are folded together, and of packed postings that are opened together, about.
 FOLDED, OPENED = 8 << 20, 1 << 20
-PACKED_SQL = "term string, first bigint, docs int, tokens bigint, ids binary, lengths binary, tfs binary, ats binary"
+#: Parts of the terms, by hash: a row of the index is one part's postings in FOLDED bytes of text. Bytes of a column that are read or skipped as one.
+PARTS, PAGE = 256, 64 << 10
+PACKED_SQL = "part int, first bigint, tokens bigint, terms array<string>, firsts array<bigint>, docs array<int>, ids binary, lengths binary, tfs binary, ats binary"
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings in the order of terms, and how many documents and tokens there are (n, total).
+    """Postings by parts of the terms, and how many documents and tokens there are (n, total).
 
-    A row packs a term's postings in some MB of text: `docs` documents of which `first` is the least id, `tokens` in
-    all, and as varints the steps of ids, lengths, numbers of tokens, and steps of positions.
+    A row packs the postings that some terms have in some MB of text: for each term `docs` documents of which `firsts` is
+    the least id, and as varints the steps of ids, lengths, numbers of tokens, and steps of positions; `tokens` are all of
+    the row's, and `first` is an id of them.
     """
 
     postings: DataFrame
     facts: DataFrame
 
     def of(self, terms: list[str], positions: bool = True) -> DataFrame:
-        """(term, id, length, tf, at) of some terms: files hold ranges of terms, so only those of the wanted ones are read."""
-        columns = ["term", "first", "docs", "ids", "lengths", "tfs", *["ats"] * positions]
-        found = self.postings.where(F.col("term").isin(terms)).select(*columns)
-        return found.mapInArrow(_opened, "term string, id bigint, length int, tf bigint" + ", at array<int>" * positions)
+        """(term, id, length, tf, at) of some terms: only pages that hold their parts are read."""
+        columns = ["terms", "firsts", "docs", "ids", "lengths", "tfs", *["ats"] * positions]
+        found = self.postings.where(F.col("part").isin(sorted({_part(t.encode()) for t in terms}))).select(*columns)
+        return found.mapInArrow(_opened(terms), "term string, id bigint, length int, tf bigint" + ", at array<int>" * positions)
+
+
+def _part(term: bytes) -> int:
+    return zlib.crc32(term) % PARTS
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned numbers in seven bits a byte, the lowest first, a high bit on all but a number's last byte; and where each begins."""
     values = values.astype(np.uint64)
     size = np.ones(len(values), np.int64)
-    for shift in range(7, 64, 7):
+    for shift in range(7, int(values.max(initial=0)).bit_length(), 7):
         size += (values >> np.uint64(shift)) > 0
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.empty(at[-1], np.uint8)
@@ -91,41 +99,83 @@ def _sums(steps: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - steps[first], n)
 
 
-def _folded(rows: pa.Table) -> pa.RecordBatch:
-    rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()  # so ids rise within a term, nulls at the end
-    ids, text = (rows.column(c).chunk(0) for c in ("id", "text"))
-    data, starts_of = _bytes(text)
-    held = data != 32
+def _characters(spark: SparkSession) -> np.ndarray:
+    """What terms have for each code point: another one, a space where words end, or 0 for nothing; by Spark's own expressions.
+
+    Only the capital sigma depends on what stands about it.
+    """
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    of = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", spaced_tokens(folded(c)).alias("c"))
+    rows = of.where("c <> ' '").select(F.col("id").cast("int").alias("id"), F.ascii("c").alias("to"), (F.char_length("c") > 1).alias("more")).toArrow()
+    if pc.any(rows.column("more")).as_py():
+        raise ValueError("a character stands for several in a term")
+    out = np.full(0x110000, 32, np.uint32)
+    out[rows.column("id").to_numpy()] = rows.column("to").to_numpy()
+    return out
+
+
+def _words(text: pa.Array, characters: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of some texts one after the other, where each begins among their characters, and where each text does."""
+    each = ["" if t is None else t.decode("utf-8", "replace") for t in text.cast(pa.binary()).to_pylist()]
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in each])])
+    code = characters[np.frombuffer(" ".join([*each, ""]).encode("utf-32-le", "replace"), np.uint32)]
+    gone = np.flatnonzero(code == 0)
+    if len(gone):
+        code, at = np.delete(code, gone), at - np.searchsorted(gone, at)
+    held = code != 32
     edges = np.concatenate([[False], held, [False]])
     turns = np.flatnonzero(edges[1:] != edges[:-1]).astype(np.int32)
-    starts, ends = turns[::2], turns[1::2]
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[held])).dictionary_encode()
+    starts, code = turns[::2], code[held]
+    ends = np.concatenate([[0], np.cumsum(turns[1::2] - starts)]).astype(np.int32)
+    if code.max(initial=0) < 128:
+        data = code.astype(np.uint8)
+    else:
+        data = code.tobytes().decode("utf-32-le").encode()
+        ends = np.concatenate([[0], np.cumsum(np.searchsorted([0x80, 0x800, 0x10000], code, "right") + 1)]).astype(np.int32)[ends]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)), starts, at
+
+
+def _folded(rows: pa.Table, characters: np.ndarray) -> pa.RecordBatch:
+    rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()  # so ids rise within a term, nulls at the end
+    ids = rows.column("id").chunk(0)
+    words, starts, starts_of = _words(rows.column("text").chunk(0), characters)
+    words = words.dictionary_encode()
     bounds = np.searchsorted(starts, starts_of)  # a document's words
     lengths = np.diff(bounds)
     doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
     at = np.arange(len(starts), dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), lengths)
-    term = words.indices.to_numpy()
-    order = np.argsort(term, kind="stable")  # documents and positions rise within a term
-    term, doc, at = term[order], doc[order], at[order]
+    part = np.array([_part(t) for t in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+    by = np.argsort(part, kind="stable")  # terms in the order of their parts
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    # documents and positions rise within a term
+    order = np.sort((place[words.indices.to_numpy()] << 32) | np.arange(len(starts)))
+    term, order = order >> 32, order & 0xFFFFFFFF
+    doc, at = doc[order], at[order]
     first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else term
     tf = np.diff(np.append(first, len(term)))
     of, owner = term[first], doc[first]
     none = ids.is_null().to_numpy(zero_copy_only=False)[owner]
-    row = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (none[1:] != none[:-1])])) if len(of) else first
-    cuts = np.append(row, len(of))
+    group = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (none[1:] != none[:-1])])) if len(of) else first
     number = ids.fill_null(0).to_numpy()[owner]
-    step = _steps(number.view(np.uint64), row)
-    step[row] = 0
+    step = _steps(number.view(np.uint64), group)
+    step[group] = 0
+    docs = np.diff(np.append(group, len(of)))
+    parts = part[by][of[group]]
+    row = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else group  # of groups
+    groups = pa.array(np.append(row, len(group)).astype(np.int32))
+    cuts = np.append(group, len(of))[np.append(row, len(group))]  # of documents
+    positions = np.append(first, len(term))[cuts]
 
-    def packed(values: np.ndarray, groups: np.ndarray) -> pa.Array:
+    def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
         out, begins = varints(values)
-        return pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(begins[groups].astype(np.int32)), pa.py_buffer(out)])
+        return pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(begins[cuts].astype(np.int32)), pa.py_buffer(out)])
 
-    positions = np.append(first, len(term))[cuts]
+    listed = lambda values: pa.ListArray.from_arrays(groups, values)
     return pa.RecordBatch.from_arrays(
         [
-            words.dictionary.take(pa.array(of[row])), pa.array(number[row], mask=none[row]), pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.diff(positions)),
+            pa.array(parts[row].astype(np.int32)), pa.array(number[cuts[:-1]]), pa.array(np.diff(positions)),
+            listed(words.dictionary.take(pa.array(by[of[group]]))), listed(pa.array(number[group], mask=none[group])), listed(pa.array(docs.astype(np.int32))),
             packed(step, cuts), packed(lengths[owner], cuts), packed(tf, cuts), packed(_steps(at, first), positions),
         ],
         names=[c.split()[0] for c in PACKED_SQL.split(", ")],
@@ -140,58 +190,73 @@ def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(a, b - a)
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed postings of documents (id, text), whose words are parted by spaces: made in the task, without a shuffle of tokens."""
-    held, size = [], 0
-    for batch in batches:
-        for some in _parts(batch, "text", FOLDED):
-            held.append(some)
-            size += len(_bytes(some.column("text"))[0])
-            if size >= FOLDED:
-                yield _folded(pa.Table.from_batches(held))
-                held, size = [], 0
-    if size:
-        yield _folded(pa.Table.from_batches(held))
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        positions = "ats" in batch.schema.names
-        for some in _parts(batch, "ats" if positions else "ids", OPENED):
-            if not some.num_rows:
-                continue
-            n = some.column("docs").to_numpy()
-            row, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-            ids, lengths, tfs = (numbers(_bytes(some.column(c))[0]) for c in ("ids", "lengths", "tfs"))
-            first = some.column("first")
-            ids = _sums(ids, begin, n) + first.fill_null(0).to_numpy().view(np.uint64)[row]
-            none = first.is_null().to_numpy(zero_copy_only=False)[row]
-            out = {"term": some.column("term").take(pa.array(row)), "id": pa.array(ids.view(np.int64), mask=none), "length": pa.array(lengths.astype(np.int32)), "tf": pa.array(tfs.astype(np.int64))}
-            if positions:
-                offsets = np.concatenate([[0], np.cumsum(tfs)]).astype(np.int32)
-                at = _sums(numbers(_bytes(some.column("ats"))[0]), offsets[:-1], np.diff(offsets))
-                out["at"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))
-            yield pa.RecordBatch.from_pydict(out)
+def _postings(characters: np.ndarray):
+    """Packed postings of documents (id, text): made in the task, without a shuffle of tokens."""
+    small = zlib.compress(characters.tobytes(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(zlib.decompress(small), np.uint32)
+        held, size = [], 0
+        for batch in batches:
+            for some in _parts(batch, "text", FOLDED):
+                held.append(some)
+                size += len(_bytes(some.column("text"))[0])
+                if size >= FOLDED:
+                    yield _folded(pa.Table.from_batches(held), known)
+                    held, size = [], 0
+        if size:
+            yield _folded(pa.Table.from_batches(held), known)
+
+    return run
+
+
+def _opened(terms: list[str]):
+    """The postings of some terms, out of rows that hold others of their parts too."""
+    wanted = pa.array(sorted(set(terms)), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            positions = "ats" in batch.schema.names
+            for some in _parts(batch, "ats" if positions else "ids", OPENED):
+                if not some.num_rows:
+                    continue
+                term, first, n = (some.column(c).flatten() for c in ("terms", "firsts", "docs"))
+                n = n.to_numpy()
+                group, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                mine = pc.is_in(term.cast(pa.string()), wanted).to_numpy(zero_copy_only=False)[group]
+                group = group[mine]
+                ids, lengths, tfs = (numbers(_bytes(some.column(c))[0]) for c in ("ids", "lengths", "tfs"))
+                ids = _sums(ids, begin, n)[mine] + first.fill_null(0).to_numpy().view(np.uint64)[group]
+                none = first.is_null().to_numpy(zero_copy_only=False)[group]
+                size = tfs.astype(np.int64)
+                tf = size[mine]
+                out = {"term": term.take(pa.array(group)), "id": pa.array(ids.view(np.int64), mask=none), "length": pa.array(lengths[mine].astype(np.int32)), "tf": pa.array(tf)}
+                if positions:
+                    at = numbers(_bytes(some.column("ats"))[0])[np.repeat(mine, size)]
+                    offsets = np.concatenate([[0], np.cumsum(tf)]).astype(np.int32)
+                    at = _sums(at, offsets[:-1], tf)
+                    out["at"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 def text_index(spark: SparkSession, source: str, docs: DataFrame, text: Column) -> TextIndex:
     """The index of docs (id, text), which derive from the files at `source`; written once.
 
-    Terms are folded to lower case without accents; `at` are positions. Only packed postings are written and shuffled,
-    some bytes a token, so a term in all documents is a row for each FOLDED bytes of text, spread by ids.
+    Terms are folded to lower case without accents; `at` are positions. Only packed postings are written, some bytes a
+    token, and a row of them holds the terms of a part that FOLDED bytes of text have, so rows are few.
     """
 
-    made = []
-
     def postings() -> DataFrame:
-        spaced = F.concat(spaced_tokens(folded(text)), F.lit(" "))
-        made.append(staged(docs.select("id", spaced.alias("text")).mapInArrow(_postings, PACKED_SQL)))  # ranges are found from a first look at all rows, which shall not make them twice
-        return made[0].repartitionByRange("term", "first").sortWithinPartitions("term", "first")
-
-    found = written(spark, "postings", source, postings, version=3)
-    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tokens").alias("total"))), version=3)  # one row
-    for t in made:
-        drop_staged(t)
+        # what stands about a capital sigma decides what it becomes; all else goes character by character, in the task
+        plain = F.when(F.contains(text, F.lit("Σ")), spaced_tokens(folded(text))).otherwise(text)
+        return docs.select("id", plain.alias("text")).mapInArrow(_postings(_characters(spark)), PACKED_SQL)
+
+    # rows of a task's text go by parts and pages hold few of them, so a search skips the other parts' pages and nothing is shuffled
+    pages = {"parquet.page.size": str(PAGE), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+    found = written(spark, "postings", source, postings, version=5, options=pages)
+    facts = written(spark, "postings-facts", source, lambda: docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.sum("tokens").alias("total"))), version=5)  # one row
     return TextIndex(found, facts)
 
 

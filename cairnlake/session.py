@@ -123,11 +123,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partition_by: str | None = None, version: int = 1) -> DataFrame:
+def written(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partition_by: str | None = None, version: int = 1, options: dict[str, str] | None = None) -> DataFrame:
     """A table derived from the files at `source`, written once in the shared folder and read by every later query.
 
     Its folder carries the source's path, bytes, files and time, so a changed source is derived anew, and the version of
-    the rule that derives it, so a changed rule is too.
+    the rule that derives it, so a changed rule is too. options: the writer's.
     """
     importable(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -138,7 +138,7 @@ def written(spark: SparkSession, name: str, source: str, build: Callable[[], Dat
     out = f"{shared_dir(spark)}/derived-{name}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
     done = hadoop.Path(f"{out}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        writer = build().write.mode("overwrite")
+        writer = build().write.mode("overwrite").options(**options or {})
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(out)
     return spark.read.parquet(out)
 
