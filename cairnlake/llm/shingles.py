@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.batches import CODES_SQL, SENT_SQL, answered, answers_by_batch, bucket_bits, cells, distinct, each_bucket, pack, read_codes, readers, sent_names, unpack
 from cairnlake.llm.common import small_batches
 from cairnlake.llm.simhash import shingle_hashes
-from cairnlake.operators.graph import components
+from cairnlake.operators.graph import FEW_EDGES, components
 from cairnlake.session import drop_staged, released, staged
 
 SHINGLE = 5
@@ -253,7 +253,7 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     star = star.groupBy(F.col("node").alias("u"), F.col("one.node").alias("v")).agg(F.first("c").alias("cu"), F.first("one.c").alias("cv"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
     # a pair that is left out here is met again below, unless it has become one component
     first = verified(star.where("20 * m >= n"), texts, sketches)
-    joined = staged(components(first).select(F.col("node").alias("c"), F.col("component").alias("c1")))
+    joined = staged(components(first, in_task=FEW_EDGES).select(F.col("node").alias("c"), F.col("component").alias("c1")))
     left = near.join(joined, "c", "left").withColumn("c1", F.coalesce("c1", "c"))
     apart = left.groupBy("h").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("h")
     # A similar pair is met at the first shingle that its prefixes share: there the shingles before differ, and enough can
@@ -276,5 +276,5 @@ def shingle_components(rows: DataFrame, linked: DataFrame, text: str = "text", r
     on = cell & (F.col("a.c1") < F.col("b.c1")) & _sizes_allow(F.col("a.n"), F.col("b.n")) & can_follow & new & (9 * differ <= both)
     pairs = a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.c").alias("cu"), F.col("b.c").alias("cv")).distinct()
     second = verified(pairs, texts, sketches)
-    final = components(first.union(second)).select(F.col("node").alias("c"), "component")
+    final = components(first.union(second), in_task=FEW_EDGES).select(F.col("node").alias("c"), "component")
     return base.join(final, "c", "left").select(row, F.coalesce("component", "c").alias("component"))

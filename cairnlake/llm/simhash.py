@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.common import bounded_batches, small_batches
-from cairnlake.operators.graph import components
+from cairnlake.operators.graph import FEW_EDGES, components
 from cairnlake.session import staged, table
 
 SHINGLE = 3
@@ -108,7 +108,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows = staged(fingerprints(docs, text, key))
     nodes = staged(rows.groupBy("fp").agg(F.min("key").alias("least")))
     # the graph is over fingerprints, so rows without a key link like any other
-    found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    found = components(links(nodes.select("fp")), in_task=FEW_EDGES).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(named, "fp").select("key", "fp", "component")

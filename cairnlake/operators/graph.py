@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.session import drop_staged, released, staged
 
+#: Edges of a graph that a task joins by itself, where a caller lets it; larger graphs take rounds.
+FEW_EDGES = 200_000
+
 
 def _signature(edges: DataFrame) -> tuple:
     """What tells one set of edges from another: their number and two folds of their hashes."""
@@ -14,17 +20,41 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a task's edges (u, v)."""
+    above: dict = {}
+
+    def top(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+        kind = batch.schema.field("u").type
+    if above:
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "component"])
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, in_task: int = 0) -> DataFrame:
     """(node, component) for every node that an edge touches; component is its smallest reachable node.
 
     Alternates large-star and small-star steps: every step links nodes to the least neighbour they see, so
     a chain of n nodes takes about log n rounds. All steps are grouped minima and equi-joins, edges never
     exceed their first number, and each round is a written table, so lost executors cost one round at most.
-    Null ends and loops are left out; repeated edges count once; no edges give no rows.
+    Null ends and loops are left out; repeated edges count once; no edges give no rows. A graph of in_task edges at most
+    is joined by one task: rounds over few edges cost the driver a plan and several stages each, whatever they hold.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     spark, before = e.sparkSession, _signature(e)
+    if before[0] <= in_task:
+        found = staged(e.coalesce(1).mapInArrow(_joined, f"node {e.schema['u'].dataType.simpleString()}, component {e.schema['u'].dataType.simpleString()}"))
+        drop_staged(e)
+        return found
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
